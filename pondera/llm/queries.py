@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pondera.llm import mixing, sharding, urls
+from pondera.llm import decontamination, langid, matroska, mixing, quality, sharding, urls
 
 #: The rules of the URL query (host, path, verdict).
 URL_RULES = [
@@ -30,18 +30,48 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def id_slice(n: int):
+    """crc32 of the id's text modulo ``n``; null ids count as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    filters = langid.train(docs.where(id_slice(4) != 2))
+    return langid.identify(docs.select("doc_id", "text"), filters).select("doc_id", (id_slice(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(id_slice(3) != 1)
+    scored = quality.classify(docs, quality.train(docs, labels))
+    return scored.select("doc_id", (id_slice(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontamination.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    ids = F.col("hit_items")
+    return found.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), decontamination.items_digest(ids).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.read_back(matroska.store_texts(documents(spark, sf_dir)))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     return sharding.place(docs, shards=SHARDS, slots=SLOTS).select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "slot", "shard")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
+    named = [op1_url_filter, op4_language_id, op6_quality, op7_decontaminate, op8_mixing, op9_matroska, op10_sharding]
+    return {f.__name__: f for f in named}
 
 
 _SQL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -70,6 +100,21 @@ SELECT doc_id, size, source_size, target, (floor(rate)::BIGINT + (u < rate - flo
 """
 
 
+SQL_LEAKS = r"""
+WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[]) AS w FROM low),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+grams AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT r, i, n, item_id FROM grams JOIN win USING (n, s)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, array_to_string(list_sort(list(k)), ',') AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS k FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+"""
+
+
 def shard_sql() -> str:
     table = sharding.fill_table([f"shard-{i}" for i in range(SHARDS)], SLOTS)
     return f"""
@@ -80,4 +125,4 @@ SELECT doc_id, source, n_bytes, slot, a[slot + 1]::INTEGER AS shard FROM d, t
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": SQL_URLS, "op8_mixing": SQL_MIX, "op10_sharding": shard_sql()}
+    return {"op1_url_filter": SQL_URLS, "op7_decontaminate": SQL_LEAKS, "op8_mixing": SQL_MIX, "op10_sharding": shard_sql()}
