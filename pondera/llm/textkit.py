@@ -154,9 +154,11 @@ def shingle_sets(w: np.ndarray, borders: np.ndarray, n: int = 5) -> tuple[np.nda
             extra[there] += w[borders[:-1][few[there]] + j] * _PLACE[j]
         names = np.concatenate([names, mix(extra + lens[few].astype(_U))])
         rows = np.concatenate([rows, few])
-    order = np.lexsort((names, rows))
+    order = np.argsort(rows, kind="stable") if len(few) else slice(None)
     names, rows = names[order], rows[order]
+    at = np.searchsorted(rows, np.arange(len(borders)))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        names[a:b].sort()
     keep = np.ones(len(names), dtype=bool)
     keep[1:] = (names[1:] != names[:-1]) | (rows[1:] != rows[:-1])
-    names, rows = names[keep], rows[keep]
-    return names, np.searchsorted(rows, np.arange(len(borders)))
+    return names[keep], np.concatenate([[0], np.cumsum(keep)])[at]
