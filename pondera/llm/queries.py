@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pondera.llm import decontamination, langid, matroska, mixing, near_dup, quality, sharding, urls
+from pondera.llm import decontamination, langid, matroska, mixing, near_dup, ngram_lm, quality, sharding, urls
 
 #: The rules of the URL query (host, path, verdict).
 URL_RULES = [
@@ -45,6 +45,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), filters).select("doc_id", (id_slice(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.score_texts(documents(spark, sf_dir), folds=5, fold=1)
+    return scored.withColumn("held_out", id_slice(5) == 1)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(id_slice(3) != 1)
@@ -74,7 +79,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_url_filter, op2_near_dup, op4_language_id, op6_quality, op7_decontaminate, op8_mixing, op9_matroska, op10_sharding]
+    named = [op1_url_filter, op2_near_dup, op4_language_id, op5_lm_score, op6_quality, op7_decontaminate, op8_mixing, op9_matroska, op10_sharding]
     return {f.__name__: f for f in named}
 
 
