@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pondera.llm import decontamination, langid, matroska, mixing, near_dup, ngram_lm, quality, sharding, urls
+from pondera.llm import decontamination, langid, matroska, mixing, near_dup, ngram_lm, quality, repeats, sharding, urls
 
 #: The rules of the URL query (host, path, verdict).
 URL_RULES = [
@@ -34,6 +34,10 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir), length=50, with_text=False)
+
+
 def id_slice(n: int):
     """crc32 of the id's text modulo ``n``; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
@@ -79,7 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_url_filter, op2_near_dup, op4_language_id, op5_lm_score, op6_quality, op7_decontaminate, op8_mixing, op9_matroska, op10_sharding]
+    named = [op1_url_filter, op2_near_dup, op3_repeats, op4_language_id, op5_lm_score, op6_quality, op7_decontaminate, op8_mixing, op9_matroska, op10_sharding]
     return {f.__name__: f for f in named}
 
 
