@@ -14,9 +14,9 @@
    that is already connected in its cell needs no confirmation.
 5. Components of the confirmed links are the result.
 
-At a similarity of 0.85 a pair misses all 32 bands with probability 6e-11; the
-sketch distance that is let through lies over five standard deviations above
-its mean there.  Lower thresholds are refused.
+A pair of similarity 0.85 misses all 32 bands with probability 6e-11, one of 0.8
+with 5e-8; the sketch distance that is let through lies over five standard
+deviations above its mean at the threshold.  Thresholds under 0.8 are refused.
 """
 
 from __future__ import annotations
