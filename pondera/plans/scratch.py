@@ -28,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
         sc.setCheckpointDir(_own[0].name)
     return f"file://{_own[0].name}"
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 class Scratch:
     """Named tables of one operator call, in a folder no other call uses."""
@@ -36,18 +38,22 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, *, batch_rows: int = 0, **options: str) -> DataFrame:
         """Write the rows and return them as read back, with no lineage behind them.
 
         Shuffle files of the write are removed as it ends: the table replaces them.
+        ``batch_rows`` bounds Arrow batches where rows are large.
         """
         conf = self.spark.conf
-        before = conf.get(_CLEAN, None)
-        conf.set(_CLEAN, "true")
+        own = {_CLEAN: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+        before = {k: conf.get(k, None) for k in own}
         try:
+            for k, v in own.items():
+                conf.set(k, v)
             df.write.mode("errorifexists").options(**options).parquet(f"{self.root}/{name}")
         finally:
-            conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
