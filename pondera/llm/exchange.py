@@ -54,6 +54,7 @@ def pack(docs: DataFrame, chunk_bytes: int, role: Callable[[int | None], int] |
         for kind in list(open_):
             yield flush(kind)
 
+    textkit.bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
 

@@ -34,6 +34,7 @@ from pondera.llm import exchange, textkit
 from pondera.plans.scratch import Scratch
 
 ANCHOR = 20
+BUCKET_BYTES = 8 << 20
 _BLOCK = 1 << 19
 _U = np.uint64
 _A, _B = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -273,7 +274,7 @@ def _results(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, chunk_bytes: int = 4 << 20, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, chunk_bytes: int = 2 << 20, with_text: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the bytes left) for every row.
 
     A byte of a document is removed if a ``length``-byte string that covers it also
@@ -286,11 +287,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, chunk_bytes: int = 4 <<
         raise ValueError(f"length must be from {2 * ANCHOR} to 64")
     scratch = Scratch(docs.sparkSession, "repeats")
     packed = scratch.keep(exchange.pack(docs, chunk_bytes), "packed", compression="zstd")
-    buckets = exchange.bucket_count(packed.agg(F.sum("n_bytes")).first()[0] or 0)
+    buckets = exchange.bucket_count(packed.agg(F.sum("n_bytes")).first()[0] or 0, BUCKET_BYTES)
     asked = packed.mapInArrow(_round_one(length, buckets), _REQUEST)
-    one = scratch.keep(asked.groupBy("bucket").applyInArrow(_sort_pairs, _REPLY), "one")
+    one = scratch.keep(asked.groupBy("bucket").applyInArrow(_sort_pairs, _REPLY), "one", batch_rows=4)
     again = packed.groupBy("chunk").cogroup(one.groupBy("chunk")).applyInArrow(_round_two(length, buckets), _REQUEST)
-    two = scratch.keep(again.groupBy("bucket").applyInArrow(_sort_strings, _REPLY), "two")
+    two = scratch.keep(again.groupBy("bucket").applyInArrow(_sort_strings, _REPLY), "two", batch_rows=4)
     answered = packed.groupBy("chunk").cogroup(one.unionByName(two).groupBy("chunk"))
     kept = ", kept binary" if with_text else ""
     return answered.applyInArrow(_results(length, with_text), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}")

@@ -8,8 +8,12 @@ text is.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 BLOCK = 1 << 20
 _U = np.uint64
@@ -68,6 +72,24 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch | pa.Array, column: str | None = None, max_bytes: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Row ranges with at most so many bytes of text each, or one row."""
+    _, offsets = utf8(batch.column(column) if column else batch)
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + max_bytes, side="right")) - 1)
+        yield i, min(j, n, i + 4096)
+        i = min(j, n, i + 4096)
+
+
+def bound_batches(spark: SparkSession, n_bytes: int = 8 << 20) -> None:
+    """Have Arrow batches bounded by bytes, as texts differ much in size; a session's own smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", str(spark.conf.get(key, None))) or 0)
+    if not 0 < now <= n_bytes:
+        spark.conf.set(key, str(n_bytes))
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word; a word never crosses a text's border."""
     if not len(data):
