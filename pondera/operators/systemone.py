@@ -8,8 +8,10 @@ noul); entries are JSON text or null.  Question ids never enter a prompt.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +44,6 @@ def explode_requests(requests: DataFrame) -> DataFrame:
     Order of questions and of a choice's criteria matters, which a variant would
     lose, so the objects are read in Python.
     """
-    import json
-
-    import pandas as pd
-
     shape = "array<struct<qid:string,ordinal:int,type:string,instructions:string,criteria:array<struct<name:string,desc:string>>>>"
 
     @F.pandas_udf(shape)
