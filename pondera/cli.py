@@ -1,4 +1,4 @@
-"""Commands over files: score, eval, convert, check-tasks, split, calibrate, report and systemone."""
+"""Commands over files: score, eval, convert, check-tasks, split, calibrate, report, benchmark, systemone, experiment and serve."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from pondera.functions import scores as S
 from pondera.operators import calibration, metrics, scorers, splits, systemone, tasks
-from pondera.plans.experiment import analyze_variants, refuse_existing
+from pondera.plans.experiment import analyze_variants, refuse_existing, run
+from pondera.serve import make_server
 from pondera.sources import readers, sinks
 
 LEGACY = "context string, options array<string>, label int"
@@ -38,6 +39,8 @@ def parser() -> argparse.ArgumentParser:
     add("benchmark", "folder", "out", temperature={"type": float, "default": 1.0}, samples={"type": int, "default": 1000})
     add("split", "examples", "out", seed={"type": int, "default": 42})
     add("systemone", "texts", "requests")
+    add("experiment", "settings")
+    add("serve", "texts", port={"type": int, "default": 8000}, api_key={})
     return p
 
 
@@ -88,6 +91,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         found = splits.clusters(rows, splits.identity_keys(rows))
         members = kept.select("row").join(found, "row")
         sinks.write_splits(kept.join(members.join(splits.group_split(members), "cluster").select("row", "split"), "row").drop("row", "gold", "removed", "conflict"), a.out, ())
+    elif a.command == "experiment":
+        settings = readers.Experiment.load(a.settings)
+        data = {k: readers.features(spark, v)[0] for k, v in (settings.caches or settings.datasets).items()}
+        print(json.dumps(run(settings, data)))
+    elif a.command == "serve":
+        make_server(model, a.port, a.api_key).serve_forever()
     elif a.command == "systemone":
         requests = spark.read.text(a.requests).select(F.get_json_object("value", "$.id").alias("request_id"), F.get_json_object("value", "$.state").alias("state"), F.get_json_object("value", "$.questions").alias("questions"))
         requests = requests.withColumn("state", F.when(F.try_parse_json("state").isNotNull() & ~F.col("state").rlike(r"^-?\d"), F.col("state")).otherwise(F.regexp_replace(F.to_json(F.struct("state")), r'(?s)^\{"state":(.*)\}$', "$1")))

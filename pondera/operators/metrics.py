@@ -149,3 +149,10 @@ def move_quality(predictions: DataFrame, references: DataFrame, tolerance: float
 def missing_references(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """Candidate moves that the references lack; must be empty before ``move_quality``."""
     return predictions.select("fen", F.explode("candidates").alias("move")).distinct().join(references, ["fen", "move"], "left_anti")
+
+
+def latency(runs: DataFrame) -> DataFrame:
+    """``name, runs, median_seconds, min_seconds`` of timed runs ``name, seconds``, and each median's ratio to the fastest."""
+    per = runs.groupBy("name").agg(F.count(F.lit(1)).alias("runs"), F.median("seconds").alias("median_seconds"), F.min("seconds").alias("min_seconds"))
+    best = per.agg(F.min("median_seconds").alias("_best"))
+    return per.crossJoin(F.broadcast(best)).withColumn("ratio", F.col("median_seconds") / F.col("_best")).drop("_best")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pondera.functions import scores as S
+from pondera.operators.tasks import worst_difference
 
 BOS = "<s>"
 SCORED = "id string, pos int, option string, n_tokens int, logprob_sum double, logprob_uncond double"
@@ -59,6 +60,22 @@ def train_bigrams(texts: DataFrame, *, column: str = "text", unit: str = "word",
     return Bigrams(counts, singles, counts.agg(F.countDistinct("b")).first()[0] or 0, unit, k)
 
 
+def require_token_limits(tasks: DataFrame, *, context_tokens: int = 4096, candidate_tokens: int = 256, unit: str = "word") -> DataFrame:
+    """Fail the query at a context or option over its limit; nothing is truncated."""
+    tokens = UNITS[unit]
+    over = (F.size(tokens(F.col("context"))) > context_tokens) | F.exists("options", lambda o: F.size(tokens(o)) > candidate_tokens)
+    return tasks.where(F.when(F.coalesce(over, F.lit(False)), F.raise_error(F.concat(F.lit("too many tokens: "), F.col("id").cast("string")))).otherwise(F.lit(True)))
+
+
+def invariance(tasks: DataFrame, score: Callable[[DataFrame], DataFrame], *, tolerance: float = 1e-9, norm: str = "sum") -> DataFrame:
+    """``n, worst, ok``: how far probabilities move when options are reversed and task ids renamed."""
+    def flat(df: DataFrame) -> DataFrame:
+        return distributions(score(df), norm=norm).select("id", F.explode(F.arrays_zip(F.col("options").alias("cand_id"), F.col("probabilities").alias("probability"))).alias("c")).select("id", "c.*")
+
+    turned = flat(tasks.withColumns({"id": F.concat(F.lit("renamed:"), "id"), "options": F.reverse("options")}))
+    return worst_difference(flat(tasks), turned.withColumn("id", F.substring("id", 9, 1 << 20)), tolerance)
+
+
 def _steps(tasks: DataFrame, model: Bigrams) -> DataFrame:
     """Each option's tokens with the token before: the context's last one, or the sentinel, before the first."""
     tokens = UNITS[model.unit]

@@ -168,6 +168,49 @@ def test_commands(spark, tmp_path, capsys):
     assert set(json.loads(capsys.readouterr().out)["answers"]) == set(QUESTIONS)
 
 
+def test_server(spark, model):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from pondera.serve import make_server
+
+    server = make_server(model, 0, "key")
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def post(path, body, key="key"):
+        r = urllib.request.Request(base + path, json.dumps(body).encode(), {"Authorization": f"Bearer {key}"})
+        try:
+            with urllib.request.urlopen(r) as f:
+                return f.status, json.load(f)
+        except urllib.error.HTTPError as e:
+            return e.code, json.load(e)
+
+    try:
+        assert json.load(urllib.request.urlopen(base + "/health")) == {"status": "ok"}
+        assert post("/score", {"context": "the", "options": ["cat", "zzz"]})[1]["best"] == "cat"
+        assert [post("/score", b)[0] for b in ({"context": "x", "options": ["a"]}, {"context": "x", "options": ["a", ""]}, [1])] == [400, 400, 400]
+        assert post("/score", {}, "no")[0] == 401 and post("/other", {})[0] == 404
+        assert set(post("/v1/systemone", {"state": "s", "questions": QUESTIONS})[1]["answers"]) == set(QUESTIONS)
+    finally:
+        server.shutdown()
+
+
+def test_limits_invariance_latency_actions(spark, model):
+    from pondera.serve import choose_actions
+
+    assert scorers.require_token_limits(tasks(spark)).count() == 2
+    with pytest.raises(Exception, match="too many tokens"):
+        scorers.require_token_limits(tasks(spark), candidate_tokens=1).collect()
+    assert scorers.invariance(tasks(spark), lambda d: scorers.score_bigrams(d, model)).first().ok
+    t = {r.name: r for r in metrics.latency(spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 4.0)], "name string, seconds double")).collect()}
+    assert (t["a"].median_seconds, t["a"].min_seconds, t["b"].ratio) == (2, 1, 2)
+    s = spark.createDataFrame([(1, [("DoomImp", "monster", 0.5, 0.6)], 5.0, 5.0, 50.0, 90, 3, 0, None)], "id long, things array<struct<name:string,kind:string,cx:double,size:double>>, depth_center double, depth_left double, depth_right double, health int, ammo int, kills int, last_action string")
+    got = choose_actions(s, model, "win", ["shoot"], [("a", "b")], ["attack", "the mat"]).first()
+    assert got.action in ("attack", "the mat") and sum(got.probabilities) == pytest.approx(1)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     log = spark.createDataFrame([("2024-01-01 00:00:00", 1, 1, "go", 1.0), ("2024-01-01 00:20:00", 1, 2, "go", 2.0), ("2024-01-01 05:00:00", 1, 3, "stop", 3.0)], "ts string, episode long, step long, action string, reward double").withColumn("ts", F.col("ts").cast("timestamp"))
     sinks.append_log(log.coalesce(1), str(tmp_path / "log"))
