@@ -18,7 +18,10 @@ from pondera.plans.scratch import Scratch
 
 def _round(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = both.groupBy("u").agg(F.min("v").alias("m"))
+    # the restated key gives this side of the join an exchange of its own: adaptive execution
+    # splits a hub's edges only between plain exchanges
+    low = low.select(F.when(F.col("u").isNotNull(), F.col("u")).alias("u"), F.least("u", "m").alias("m"))
     large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     low = large.groupBy("u").agg(F.min("v").alias("m"))
     small = large.join(low, "u")
