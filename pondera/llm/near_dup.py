@@ -34,6 +34,7 @@ from pondera.plans.scratch import Scratch
 
 SAMPLES, ROWS, BITS = 128, 4, 512
 BANDS = SAMPLES // ROWS
+FILTER_BITS = 1 << 24
 _FACTOR = textkit.mix(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = textkit.mix(np.arange(5001, 5001 + SAMPLES, dtype=np.uint64))
 _PLACE = textkit.mix(np.arange(9001, 9001 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
@@ -86,8 +87,8 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i, j in textkit.slices(batch, "text"):
+                part = batch.slice(i, j - i)
                 names, borders = _sets(part.column(1), shingle)
                 n = np.diff(borders)
                 full = np.flatnonzero(n > 0)
@@ -172,8 +173,8 @@ def _close_pairs(limit: int):
 def _full_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i, j in textkit.slices(batch, "text"):
+                part = batch.slice(i, j - i)
                 names, borders = _sets(part.column("text"), shingle)
                 full = np.flatnonzero(np.diff(borders) > 0)
                 if len(full) < part.num_rows:  # a repeated id whose other text is empty
@@ -235,6 +236,28 @@ def _to_cells(rows: DataFrame, group: str, keep: list[str]) -> DataFrame:
     return rows.select("cell", "block", *keep).repartition("cell").sortWithinPartitions("cell", "block")
 
 
+def _maybe_in(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Documents that may have one of the ids ``rep``, so that a join needn't shuffle all texts.
+
+    The ids' hashes are a bitmap of fixed size; with very many ids it lets more
+    documents through, never fewer than it must.
+    """
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(FILTER_BITS - 1))
+    word = groups.select(F.shiftright(slot("rep"), 3).alias("i"), F.expr("shiftleft(1, cast(xxhash64(rep) & 7 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    found = word.toPandas()
+    bitmap[found["i"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            at = batch.column("slot").to_numpy()
+            yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0)).select(["doc_id", "text"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(run, "doc_id bigint, text string")
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, block: int = 128) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -248,6 +271,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, blo
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
+    textkit.bound_batches(docs.sparkSession)
     limit, scratch = max_distance(percent), Scratch(docs.sparkSession, "neardup")
     docs = docs.select("doc_id", "text")
     signed = scratch.keep(signatures(docs, shingle), "signed")
@@ -262,7 +286,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, blo
     groups = scratch.keep(groups, "groups")
 
     sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    texts = docs.join(groups.join(sizes, "group").withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
+    texts = _maybe_in(docs, groups).join(groups.join(sizes, "group").withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
     sets = texts.mapInArrow(_full_sets(shingle), "rep bigint, group bigint, blocks bigint, sketch binary, names binary")
     links = _to_cells(sets, "group", ["rep", "sketch", "names"]).mapInArrow(_links(percent, limit), "a bigint, b bigint")
     linked = connected_components(links).toDF("rep", "linked")
