@@ -23,8 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pondera.llm import textkit
+from pondera.plans.scratch import Scratch
 
 UNKNOWN = "und"
+#: A task's counts of a language are passed on beyond so many different n-grams.
+MERGE_GRAMS = 1 << 18
 #: ASCII letters folded; other ASCII bytes are blanks; the rest as it is.
 _LETTERS = textkit.FOLD.copy()
 _LETTERS[[b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122)]] = 32
@@ -83,9 +86,9 @@ class Filters:
         """Language and score (the winner's share of all corrected popcounts) of each text."""
         rows, lang = len(column), len(self.languages)
         hits, total = np.zeros((rows, lang)), np.zeros(rows)
-        for i in range(0, rows, 512):
-            packed, row = grams(column.slice(i, 512), self.n)
-            k = min(512, rows - i)
+        for i, end in textkit.slices(column):
+            k = end - i
+            packed, row = grams(column.slice(i, k), self.n)
             total[i : i + k] = np.bincount(row, minlength=k)
             masks = self.masks(packed)
             for j in range(lang):
@@ -101,20 +104,39 @@ class Filters:
 
 
 def count_grams(texts: DataFrame, n: int) -> DataFrame:
-    """``lang, gram, n`` over all texts with a language; each batch is summed before the shuffle."""
+    """``lang, gram, n`` over all texts with a language; each task sums before the shuffle."""
+    textkit.bound_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
+            parts = open_.pop(lang)
+            found, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return found, np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(found)).astype(np.int64)
+
+        def flush(lang: str) -> pa.RecordBatch:
+            found, times = merged(lang)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(times)], ["lang", "gram", "n"])
+
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
+            for i, j in textkit.slices(batch, "text"):
+                part = batch.slice(i, j - i)
                 code = part.column("lang").dictionary_encode()
                 which = np.asarray(code.indices)
                 packed, row = grams(part.column("text"), n)
                 own = which[row] if len(row) else row
-                for j, lang in enumerate(code.dictionary.to_pylist()):
-                    found, times = np.unique(packed[own == j], return_counts=True)
+                for k, lang in enumerate(code.dictionary.to_pylist()):
+                    found, times = np.unique(packed[own == k], return_counts=True)
                     if len(found):
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(times, pa.int64())], ["lang", "gram", "n"])
+                        parts = open_.setdefault(lang, [])
+                        parts.append((found, times))
+                        if len(parts) >= 16:
+                            open_[lang] = [merged(lang)]
+                            if len(open_[lang][0][0]) > MERGE_GRAMS:
+                                yield flush(lang)
+        for lang in list(open_):
+            yield flush(lang)
 
     counted = texts.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -122,8 +144,6 @@ def count_grams(texts: DataFrame, n: int) -> DataFrame:
 
 def train(texts: DataFrame, *, n: int = 5, min_share: float = 1e-5, hashes: int = 3, slots: int = 1 << 20) -> Filters | None:
     """Filters from all rows of ``lang, text``; None if there is no text with a language."""
-    from pondera.plans.scratch import Scratch
-
     scratch = Scratch(texts.sparkSession, "langid")
     counts = scratch.keep(count_grams(texts, n), "grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -153,6 +173,7 @@ def identify(docs: DataFrame, filters: Filters | None) -> DataFrame:
     text without filters.  A text with letters but no known n-gram takes the
     language with the most training text.  Own columns of these names are replaced.
     """
+    textkit.bound_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 

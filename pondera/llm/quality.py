@@ -31,8 +31,8 @@ _UPPER, _LOWER, _DIGIT, _BLANK, _LINE, _WIDE, _PIPE, _SHOUT, _COMMA, _PERIOD = r
 def text_statistics(column: pa.Array) -> np.ndarray:
     """One row of ``STATISTICS`` for each text; zeros for null and empty ones."""
     out = np.zeros((len(column), len(STATISTICS)))
-    for i in range(0, len(column), 512):
-        _statistics(column.slice(i, 512), out[i : i + 512])
+    for i, j in textkit.slices(column):
+        _statistics(column.slice(i, j - i), out[i:j])
     return out
 
 
@@ -76,6 +76,7 @@ _NOT_LINE[10] = False
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` and ``stats``, the array of ``STATISTICS``."""
+    textkit.bound_batches(docs.sparkSession)
     docs = docs.drop("stats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
