@@ -113,6 +113,28 @@ SELECT doc_id, size, source_size, target, (floor(rate)::BIGINT + (u < rate - flo
 """
 
 
+SQL_NEAR = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+c AS (SELECT doc_id AS r, doc_id AS c FROM documents UNION SELECT l.y, c.c FROM c JOIN l ON l.x = c.r WHERE c.c < l.y)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT r, min(c) AS c FROM c GROUP BY r) m ON m.r = d.doc_id
+"""
+SQL_REPEATS = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, j, substr(h, 2 * j + 1, 1098) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 500)) AS j FROM d WHERE length(h) >= 100)),
+w AS (SELECT doc_id, j + i AS i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, j, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM c)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+b AS (SELECT doc_id, i AS lo, i + 50 AS hi, max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w JOIN f USING (s) WHERE doc_id > first),
+g AS (SELECT *, count(*) FILTER (reach IS NULL OR lo > reach) OVER (PARTITION BY doc_id ORDER BY lo) AS k FROM b),
+r AS (SELECT doc_id, k, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY doc_id, k),
+e AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM r),
+t AS (SELECT e.doc_id, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
 SQL_LEAKS = r"""
 WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[]) AS w FROM low),
@@ -138,4 +160,4 @@ SELECT doc_id, source, n_bytes, slot, a[slot + 1]::INTEGER AS shard FROM d, t
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": SQL_URLS, "op7_decontaminate": SQL_LEAKS, "op8_mixing": SQL_MIX, "op10_sharding": shard_sql()}
+    return {"op1_url_filter": SQL_URLS, "op2_near_dup": SQL_NEAR, "op3_repeats": SQL_REPEATS, "op7_decontaminate": SQL_LEAKS, "op8_mixing": SQL_MIX, "op10_sharding": shard_sql()}
