@@ -93,6 +93,7 @@ class Ranked:
             found.append((p + lo, own[p], around[np.arange(len(p)), first] + lo, fits.sum(1)))
         parts = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.at, self.own, self.first, self.strings = parts
+        self.own = textkit.mix(self.own ^ _A)  # anchors are minima: spread their ranks evenly again
         self.anchor_row = row[self.at] if len(self.at) else self.at
         self.left = np.maximum(offsets[:-1][self.anchor_row], self.at - self.reach)
         self.right = np.minimum(offsets[1:][self.anchor_row], self.at + length)
