@@ -185,10 +185,11 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = 10, group_bytes:
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g) if groups > 1 else items
         built = build([(r[0], r[1]) for r in part.collect()], window)
         shared = spark.sparkContext.broadcast(built)
-        docs = docs.mapInArrow(_pass(shared), docs.schema)
-        if groups > 1:
-            docs = scratch.keep(docs, f"group{g}")
-    return docs.mapInArrow(_summary, _summary_schema(docs))
+        one = _pass(shared)
+        if g < groups - 1:
+            docs = scratch.keep(docs.mapInArrow(textkit.lean(one), docs.schema), f"group{g}")
+    # the last pass and the summary share a Python worker
+    return docs.mapInArrow(textkit.lean(lambda batches: _summary(one(batches))), _summary_schema(docs))
 
 
 def _pass(shared):

@@ -138,7 +138,7 @@ def count_grams(texts: DataFrame, n: int) -> DataFrame:
         for lang in list(open_):
             yield flush(lang)
 
-    counted = texts.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint")
+    counted = texts.where("lang is not null and text is not null").select("lang", "text").mapInArrow(textkit.lean(run), "lang string, gram bigint, n bigint")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -184,4 +184,4 @@ def identify(docs: DataFrame, filters: Filters | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{own}, lang_pred string, score double")
+    return docs.mapInArrow(textkit.lean(run), f"{own}, lang_pred string, score double")

@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * BANDS)]), pa.int32()), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), lists, _blobs(sketch)], ["doc_id", "n", "h1", "h2", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(textkit.lean(run), "doc_id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -255,7 +255,7 @@ def _maybe_in(docs: DataFrame, groups: DataFrame) -> DataFrame:
             at = batch.column("slot").to_numpy()
             yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0)).select(["doc_id", "text"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(run, "doc_id bigint, text string")
+    return docs.where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(textkit.lean(run), "doc_id bigint, text string")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, block: int = 128) -> DataFrame:
@@ -281,14 +281,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, blo
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     rows = keys.join(shared.select("key", F.ceil(F.col("members") / (2 * block)).alias("blocks")), "key").join(classes.select("rep", "sketch"), "rep")
-    close = _to_cells(rows, "key", ["rep", "sketch"]).mapInArrow(_close_pairs(limit), "a bigint, b bigint")
+    close = _to_cells(rows, "key", ["rep", "sketch"]).mapInArrow(textkit.lean(_close_pairs(limit)), "a bigint, b bigint")
     groups = connected_components(close).toDF("rep", "group")
     groups = scratch.keep(groups, "groups")
 
     sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     texts = _maybe_in(docs, groups).join(groups.join(sizes, "group").withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
-    sets = texts.mapInArrow(_full_sets(shingle), "rep bigint, group bigint, blocks bigint, sketch binary, names binary")
-    links = _to_cells(sets, "group", ["rep", "sketch", "names"]).mapInArrow(_links(percent, limit), "a bigint, b bigint")
+    sets = texts.mapInArrow(textkit.lean(_full_sets(shingle)), "rep bigint, group bigint, blocks bigint, sketch binary, names binary")
+    links = _to_cells(sets, "group", ["rep", "sketch", "names"]).mapInArrow(textkit.lean(_links(percent, limit)), "a bigint, b bigint")
     linked = connected_components(links).toDF("rep", "linked")
     scratch.drop("groups")
 

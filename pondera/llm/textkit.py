@@ -8,8 +8,9 @@ text is.
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,22 @@ def slices(batch: pa.RecordBatch | pa.Array, column: str | None = None, max_byte
         i = min(j, n, i + 4096)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same batch function, which gives freed memory back to the system when its partition ends.
+
+    Workers are kept for later stages, so what one holds on to counts against all of them.
+    """
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # no glibc
+            pass
+
+    return wrapped
+
+
 def bound_batches(spark: SparkSession, n_bytes: int = 8 << 20) -> None:
     """Have Arrow batches bounded by bytes, as texts differ much in size; a session's own smaller bound stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
