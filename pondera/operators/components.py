@@ -70,7 +70,8 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     n = at.count()
     at = scratch.keep(at.repartition(max(1, -(-n // PART_EDGES))).mapInArrow(_stars, at.schema), "stars")
     scratch.drop("round0")
-    state = _state(at)
+    whole = n <= PART_EDGES  # one partition held all edges, so its stars are the components
+    state = _state(at) if not whole else (0, 0)
     for i in range(1, max_rounds + 1):
         if state[0] == 0:
             break
