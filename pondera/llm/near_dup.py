@@ -4,15 +4,22 @@
    MinHash samples folded to 32 band keys of 4, and an odd sketch: 512 parity
    bits, one flip per sample, so that the XOR of two sketches counts samples
    that differ.
-2. Equal sets become one class, whatever their number; the smallest id stands
-   for it.
-3. Classes that share a band key are compared by sketch.  A key with many classes
-   is dealt out as cells, pairs of blocks of bounded size, so every pair meets in
-   some task.  A cell returns a spanning forest of its close pairs, not the pairs.
-4. The components of these forests hold all links.  Only their members' full sets
-   are shuffled, once, again to cells, where links are confirmed exactly; a pair
-   that is already connected in its cell needs no confirmation.
-5. Components of the confirmed links are the result.
+2. Equal sets become one class, whatever their number or ids.  Classes are the
+   nodes from here on, named by the number of one of their rows.
+3. Every band key has a pivot, its smallest class.  Each class is compared by
+   sketch with the pivots of its keys and exactly with the closest: this links
+   most of a dense group by one comparison for each member.
+4. A key whose classes are all connected by now is done.  In other keys the
+   classes outside the largest part are compared by sketch with all that are in
+   other parts.  Keys are dealt out as cells, pairs of blocks of bounded size, so
+   every pair meets in some task; a cell returns a spanning forest of its close
+   pairs, not the pairs.
+5. The forests' components are dealt out alike with their full sets, and links
+   between parts are confirmed exactly, against a forest that grows in the cell.
+6. Components of all confirmed links are the result.
+
+The work of 4 and 5 is a key's classes times those outside its largest part, not
+their square, unless the key falls into many unconnected parts that are all close.
 
 A pair of similarity 0.85 misses all 32 bands with probability 6e-11, one of 0.8
 with 5e-8; the sketch distance that is let through lies over five standard
@@ -34,7 +41,8 @@ from pondera.plans.scratch import Scratch
 
 SAMPLES, ROWS, BITS = 128, 4, 512
 BANDS = SAMPLES // ROWS
-FILTER_BITS = 1 << 24
+#: Binary logarithm of the largest bitmap of nodes, 16 MB.
+MAX_FILTER_BITS = 27
 _FACTOR = textkit.mix(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = textkit.mix(np.arange(5001, 5001 + SAMPLES, dtype=np.uint64))
 _PLACE = textkit.mix(np.arange(9001, 9001 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
@@ -82,14 +90,14 @@ def _blobs(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, n, h1, h2, bands, sketch`` of each text; an empty set has n = 0 and no bands."""
+def signatures(texts: DataFrame, shingle: int) -> DataFrame:
+    """``uid, doc_id, n, h1, h2, bands, sketch`` of each text; an empty set has n = 0 and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in textkit.slices(batch, "text"):
                 part = batch.slice(i, j - i)
-                names, borders = _sets(part.column(1), shingle)
+                names, borders = _sets(part.column("text"), shingle)
                 n = np.diff(borders)
                 full = np.flatnonzero(n > 0)
                 starts = np.concatenate([borders[:-1][full], borders[-1:]])
@@ -100,21 +108,21 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     samples = minhash(names, starts)
                     bands, sketch[full] = band_keys(samples).view(np.int64), odd_sketch(samples)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * BANDS)]), pa.int32()), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), lists, _blobs(sketch)], ["doc_id", "n", "h1", "h2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), lists, _blobs(sketch)], ["uid", "doc_id", "n", "h1", "h2", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(textkit.lean(run), "doc_id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(textkit.lean(run), f"uid bigint, doc_id {kind}, n bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches that are sorted by a column."""
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by the columns."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column(column).to_numpy(zero_copy_only=False)
-        new = np.flatnonzero(key[1:] != key[:-1])
+        new = np.flatnonzero(_changes(batch, columns))
         cut = int(new[-1]) + 1 if len(new) else 0
-        if rest and rest[-1].column(column)[-1].as_py() != key[0]:
+        if rest and any(rest[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in columns):
             yield pa.Table.from_batches(rest).combine_chunks()
             rest = []
         if cut:
@@ -126,7 +134,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.
         yield pa.Table.from_batches(rest).combine_chunks()
 
 
-def _fixed(column: pa.ChunkedArray, words: int) -> np.ndarray:
+def _changes(rows: pa.RecordBatch | pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether a row's group differs from that of the row before, from the second row on."""
+    out = np.zeros(max(rows.num_rows - 1, 0), bool)
+    for c in columns:
+        key = rows.column(c).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy()
+        out |= key[1:] != key[:-1]
+    return out
+
+
+def _fixed(column: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
     data, _ = textkit.utf8(column.cast(pa.binary()).combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
     return data.view(np.uint64).reshape(-1, words) if len(data) % 8 == 0 and data.ctypes.data % 8 == 0 else np.frombuffer(data.tobytes(), np.uint64).reshape(-1, words)
 
@@ -138,68 +155,109 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _close_pairs(limit: int):
-    """Forests of the sketch-close pairs of every cell."""
+def _sizes_fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def _shared(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are as similar as asked."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _near(limit: int, percent: int):
+    """Pairs of a class and a pivot that may be linked, with their sketch distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far = np.bitwise_count(_fixed(b.column("sketch"), BITS // 64) ^ _fixed(b.column("pivot_sketch"), BITS // 64)).sum(1)
+            ok = (far <= limit) & _sizes_fit(b.column("n").to_numpy(), b.column("pivot_n").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([b.column("node").filter(pa.array(ok)), b.column("pivot").filter(pa.array(ok)), pa.array(far[ok], pa.int32())], ["node", "pivot", "far"])
+
+    return run
+
+
+def _pivot_links(percent: int):
+    """Links of classes to their pivot, which is the first row of its cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, whole = -1, np.zeros(0, np.uint64)
+        for b in batches:
+            found = []
+            for node, own, member, raw in zip(b.column("node").to_pylist(), b.column("pivot").to_pylist(), b.column("member").to_pylist(), b.column("names"), strict=True):
+                names = np.frombuffer(raw.as_buffer(), np.uint64)
+                if not member:
+                    pivot, whole = own, names.copy()
+                elif own == pivot and _shared(names, whole, percent):
+                    found.append((node, own))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+_CELL = ["group", "kind", "lo", "hi"]
+
+
+def _cells(t: pa.Table) -> Iterator[tuple[int, int]]:
+    at = np.concatenate([[0], np.flatnonzero(_changes(t, _CELL)) + 1, [t.num_rows]])
+    yield from ((i, j) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if j - i > 1)
+
 
-    def forest(rep: np.ndarray, block: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = _distances(s, s) <= limit
-        if block[0] != block[-1]:
-            near &= block[:, None] != block[None, :]
-        label = np.arange(len(rep))
+def _candidates(n: np.ndarray, comp: np.ndarray, side: np.ndarray, far: np.ndarray, limit: int, percent: int) -> np.ndarray:
+    """Pairs of a cell that are in different parts, on different sides if it has two, and may be linked."""
+    ok = (far <= limit) & _sizes_fit(n[:, None], n, percent) & (comp[:, None] != comp)
+    return ok & (side[:, None] != side) if side.min() != side.max() else ok
+
+
+def _close_pairs(limit: int, percent: int):
+    """Forests of the candidate pairs of every cell."""
+
+    def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        label = np.arange(len(near))
         while True:
-            new = np.minimum(label, np.where(near, label[None, :], len(rep)).min(1))
+            new = np.minimum(label, np.where(near, label[None, :], len(near)).min(1))
             new = new[new]
             if (new == label).all():
                 break
             label = new
-        off = np.flatnonzero(label != np.arange(len(rep)))
-        return rep[off], rep[label[off]]
+        off = np.flatnonzero(label != np.arange(len(near)))
+        return off, label[off]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "cell"):
-            cell, rep, block = (t.column(c).to_numpy() for c in ("cell", "rep", "block"))
-            s = _fixed(t.column("sketch"), BITS // 64)
-            at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-            size = np.diff(at)
-            two = at[:-1][size == 2]
-            near = np.bitwise_count(s[two] ^ s[two + 1]).sum(1) <= limit
-            parts = [(rep[two[near]], rep[two[near] + 1])]
-            parts += [forest(rep[i : i + n], block[i : i + n], s[i : i + n]) for i, n in zip(at[:-1], size, strict=True) if n > 2]
+        for t in whole_groups(batches, _CELL):
+            node, comp, side, n = (t.column(c).to_numpy() for c in ("node", "comp", "side", "n"))
+            s, parts = _fixed(t.column("sketch"), BITS // 64), [(node[:0], node[:0])]
+            for i, j in _cells(t):
+                a, b = forest(_candidates(n[i:j], comp[i:j], side[i:j], _distances(s[i:j], s[i:j]), limit, percent))
+                parts.append((node[i:j][a], node[i:j][b]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["a", "b"])
 
     return run
 
 
-def _full_sets(shingle: int):
+def _full_sets(shingle: int, columns: list[str]):
+    """The sorted shingle names of each text, beside its other columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in textkit.slices(batch, "text"):
                 part = batch.slice(i, j - i)
                 names, borders = _sets(part.column("text"), shingle)
-                full = np.flatnonzero(np.diff(borders) > 0)
-                if len(full) < part.num_rows:  # a repeated id whose other text is empty
-                    part = part.take(pa.array(full))
-                    borders = np.concatenate([borders[:-1][full], borders[-1:]])
-                if not part.num_rows:
-                    continue
                 blobs = pa.array([names[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "group", "blocks")), _blobs(odd_sketch(minhash(names, borders))), blobs], ["rep", "group", "blocks", "sketch", "names"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), blobs], [*columns, "names"])
 
     return run
 
 
-def _links(percent: int, limit: int):
-    """Confirmed links that connect what is linked in every cell."""
+def _cell_links(percent: int, limit: int):
+    """Confirmed links between the parts of every cell."""
 
-    def confirmed(rep: np.ndarray, block: np.ndarray, s: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        n = np.array([len(x) for x in sets])
+    def confirmed(node: np.ndarray, comp: np.ndarray, side: np.ndarray, s: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         far = _distances(s, s)
-        ok = (far <= limit) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
-        if block[0] != block[-1]:
-            ok &= block[:, None] != block[None, :]
-        i, j = np.nonzero(np.triu(ok, 1))
+        i, j = np.nonzero(np.triu(_candidates(np.array([len(x) for x in sets]), comp, side, far, limit, percent), 1))
         order = np.argsort(far[i, j], kind="stable")
-        root, out = list(range(len(rep))), []
+        part = np.unique(comp, return_inverse=True)[1].tolist()
+        root, out = list(range(len(node))), []
 
         def top(x: int) -> int:
             while root[x] != x:
@@ -208,91 +266,122 @@ def _links(percent: int, limit: int):
             return x
 
         for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-            p, q = top(x), top(y)
-            if p != q:
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                    root[q] = p
-                    out.append((rep[x], rep[y]))
+            p, q = top(part[x]), top(part[y])
+            if p != q and _shared(sets[x], sets[y], percent):
+                root[q] = p
+                out.append((int(node[x]), int(node[y])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "cell"):
-            cell, rep, block = (t.column(c).to_numpy() for c in ("cell", "rep", "block"))
+        for t in whole_groups(batches, _CELL):
+            node, comp, side = (t.column(c).to_numpy() for c in ("node", "comp", "side"))
             s = _fixed(t.column("sketch"), BITS // 64)
-            sets = [np.frombuffer(b, np.uint64) for b in t.column("names").to_pylist()]
-            at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-            out = [e for i, j in zip(at[:-1], at[1:], strict=True) if j - i > 1 for e in confirmed(rep[i:j], block[i:j], s[i:j], sets[i:j])]
+            sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in t.column("names")]
+            out = [e for i, j in _cells(t) for e in confirmed(node[i:j], comp[i:j], side[i:j], s[i:j], sets[i:j])]
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _to_cells(rows: DataFrame, group: str, keep: list[str]) -> DataFrame:
-    """Deal each group's ``blocks`` blocks out to cells of two blocks (or one with itself), sorted by cell."""
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    rows = rows.withColumn("cell", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")))
-    return rows.select("cell", "block", *keep).repartition("cell").sortWithinPartitions("cell", "block")
+def _to_cells(rows: DataFrame, block: int) -> DataFrame:
+    """``group, node, comp`` rows as cells: blocks of the rows outside a group's largest part against each other and the rest.
+
+    A group that is one part has no cell.
+    """
+    parts = rows.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("big")).where("all > big.n")
+    parts = parts.select("group", F.col("big.comp").alias("big"), F.ceil((F.col("all") - F.col("big.n")) / block).cast("int").alias("rest"), F.ceil(F.col("big.n") / block).cast("int").alias("base"))
+    rows = rows.join(parts, "group").withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("comp") == F.col("big"), F.col("base")).otherwise(F.col("rest"))).cast("int"))
+    cells = """if(comp = big,
+        transform(sequence(0, rest - 1), o -> named_struct('kind', 1, 'lo', o, 'hi', mine, 'side', 1)),
+        concat(transform(sequence(0, rest - 1), o -> named_struct('kind', 0, 'lo', least(o, mine), 'hi', greatest(o, mine), 'side', int(mine >= o))),
+               transform(sequence(0, base - 1), o -> named_struct('kind', 1, 'lo', mine, 'hi', o, 'side', 0))))"""
+    return rows.select("group", "node", "comp", F.explode(F.expr(cells)).alias("cell")).select("group", "cell.kind", "cell.lo", "cell.hi", "cell.side", "node", "comp")
+
+
+def _gather(cells: DataFrame) -> DataFrame:
+    return cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
 
 
-def _maybe_in(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Documents that may have one of the ids ``rep``, so that a join needn't shuffle all texts.
+def _maybe_in(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Texts whose number may be among the nodes, so that a join needn't shuffle all texts.
 
-    The ids' hashes are a bitmap of fixed size; with very many ids it lets more
-    documents through, never fewer than it must.
+    The nodes' hashes are a bitmap, whose size has a bound; with very many nodes it
+    lets more texts through, never fewer than it must.
     """
-    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(FILTER_BITS - 1))
-    word = groups.select(F.shiftright(slot("rep"), 3).alias("i"), F.expr("shiftleft(1, cast(xxhash64(rep) & 7 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
-    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = 1 << min(MAX_FILTER_BITS, max(20, (16 * nodes.count()).bit_length()))
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+    word = nodes.select(F.shiftright(slot("node"), 3).alias("i"), F.expr(f"shiftleft(1, cast(xxhash64(node) & {bits - 1} & 7 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    bitmap = np.zeros(bits // 8, np.uint8)
     found = word.toPandas()
     bitmap[found["i"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             at = batch.column("slot").to_numpy()
-            yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0)).select(["doc_id", "text"])
+            yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0)).select(["uid", "text"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(textkit.lean(run), "doc_id bigint, text string")
+    return texts.select("uid", "text", slot("uid").alias("slot")).mapInArrow(textkit.lean(run), "uid bigint, text string").withColumnRenamed("uid", "node")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, block: int = 128) -> DataFrame:
+def _with_sets(texts: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """The rows with the full set of their ``node``, as ``names``."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return _maybe_in(texts, rows.select("node").distinct()).join(rows, "node").mapInArrow(textkit.lean(_full_sets(shingle, rows.columns)), f"{kinds}, names binary")
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, block: int = 128, fan: int = 1024) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Documents are linked when the sets of their ``shingle``-word runs have
     ``100 * shared >= percent * all``; a component is all that links reach, named by
     its smallest id, and ``kept`` is true for that document.  A text of fewer words
     is one shingle; a null text, or one without words, has no shingle and is linked
-    with nothing.  A row with a null id joins the component of its text but
-    doesn't name one; without a named one it is kept.  Rows that repeat an id are
-    returned each.  Other columns are ignored.
+    with nothing.  Rows are linked by their texts alone: rows that repeat an id are
+    returned each, each in the component of its own text.  A row with a null id is
+    linked like any other but doesn't name a component; a component without any id
+    has a null name and all its rows are kept.  Ids are of any type that has an
+    order.  Other columns are ignored; an empty table gives an empty one.  One text
+    and its set are held whole, about 30 bytes for each byte of text.
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
     textkit.bound_batches(docs.sparkSession)
     limit, scratch = max_distance(percent), Scratch(docs.sparkSession, "neardup")
-    docs = docs.select("doc_id", "text")
-    signed = scratch.keep(signatures(docs, shingle), "signed")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    texts = scratch.keep(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "texts", compression="zstd")
+    signed = scratch.keep(signatures(texts, shingle), "signed")
+    classes = signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("named"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = scratch.keep(classes, "classes")
-
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    rows = keys.join(shared.select("key", F.ceil(F.col("members") / (2 * block)).alias("blocks")), "key").join(classes.select("rep", "sketch"), "rep")
-    close = _to_cells(rows, "key", ["rep", "sketch"]).mapInArrow(textkit.lean(_close_pairs(limit)), "a bigint, b bigint")
-    groups = connected_components(close).toDF("rep", "group")
-    groups = scratch.keep(groups, "groups")
-
-    sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    texts = _maybe_in(docs, groups).join(groups.join(sizes, "group").withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
-    sets = texts.mapInArrow(textkit.lean(_full_sets(shingle)), "rep bigint, group bigint, blocks bigint, sketch binary, names binary")
-    links = _to_cells(sets, "group", ["rep", "sketch", "names"]).mapInArrow(textkit.lean(_links(percent, limit)), "a bigint, b bigint")
-    linked = connected_components(links).toDF("rep", "linked")
-    scratch.drop("groups")
-
-    named = classes.join(linked, "rep", "left").select("n", "h1", "h2", F.coalesce("linked", "rep").alias("component_id"))
+    sketches = classes.select("node", "n", "sketch")
+
+    keys = classes.select("node", F.explode("bands").alias("group"))
+    pivots = keys.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot")).where("members > 1")
+    keys = scratch.keep(keys.join(pivots.drop("members"), "group"), "keys")
+    pairs = keys.where("node <> pivot").select("node", "pivot").distinct().join(sketches, "node").join(sketches.toDF("pivot", "pivot_n", "pivot_sketch"), "pivot")
+    near = pairs.mapInArrow(textkit.lean(_near(limit, percent)), "node bigint, pivot bigint, far int")
+    closest = scratch.keep(near.groupBy("node").agg(F.min(F.struct("far", "pivot")).alias("best")).select("node", F.col("best.pivot").alias("pivot")), "closest")
+    spread = closest.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("cells"))
+    rows = closest.join(spread, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), "cells").cast("int").alias("cell"), F.lit(1).alias("member"))
+    rows = rows.unionByName(spread.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("member")))
+    sets = _with_sets(texts, rows, shingle).repartition("pivot", "cell").sortWithinPartitions("pivot", "cell", "member")
+    first = scratch.keep(sets.mapInArrow(textkit.lean(_pivot_links(percent)), "a bigint, b bigint"), "links1")
+
+    parts = scratch.keep(connected_components(first).toDF("node", "comp"), "parts")
+    rows = keys.select("group", "node").join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    close = _gather(_to_cells(rows, block).join(sketches, "node")).mapInArrow(textkit.lean(_close_pairs(limit, percent)), "a bigint, b bigint")
+    groups = scratch.keep(connected_components(close).toDF("node", "group"), "groups")
+    rows = groups.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    cells = scratch.keep(_to_cells(rows, block).join(sketches.drop("n"), "node"), "cells")
+    second = _gather(_with_sets(texts, cells, shingle)).mapInArrow(textkit.lean(_cell_links(percent, limit)), "a bigint, b bigint")
+    second = scratch.keep(second, "links2")
+    scratch.drop("texts", "keys", "closest", "groups", "cells")
+    linked = classes.select("node", "named").join(connected_components(first.union(second)).toDF("node", "comp"), "node")
+    linked = linked.join(linked.groupBy("comp").agg(F.min("named").alias("component_id")), "comp").select("node", "component_id")
+    named = classes.join(linked, "node", "left").select("n", "h1", "h2", F.coalesce("component_id", "named").alias("component_id"))
     out = signed.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    out = scratch.keep(out, "result")
+    scratch.drop("signed", "classes", "links1", "links2", "parts")
+    return out

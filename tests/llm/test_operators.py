@@ -106,6 +106,22 @@ def test_near_dup_blocks_lose_no_link(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in sets} and len({top(i) for i in sets}) > 1
 
 
+def test_near_dup_many_near_copies_under_one_id(spark):
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join([*base[:k % 150], f"z{k}", *base[k % 150 + 1:]]) for k in range(1200)]
+    one = near_dup.near_duplicates(spark.createDataFrame([(0, t) for t in texts], "doc_id long, text string"))
+    assert [tuple(r) for r in one.distinct().collect()] == [(0, 146, 0, True)] and one.count() == 1200
+    many = near_dup.near_duplicates(spark.createDataFrame([(f"d{i:05}", t) for i, t in enumerate(texts)], "doc_id string, text string"), fan=100)
+    assert many.select("component_id").distinct().collect() == [("d00000",)] and many.where("kept").count() == 1
+
+
+def test_near_dup_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(base)), (7, " ".join([*base, "x"])), (None, " ".join(f"v{i}" for i in range(60))), (None, " ".join(f"v{i}" for i in range(61)))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got))) == sorted(map(str, [(None, 56, 7, False), (7, 57, 7, True), (None, 56, None, True), (None, 57, None, True)]))
+
+
 def test_odd_sketch_counts_flips():
     a = np.sort(textkit.mix(np.arange(1000, dtype=np.uint64)))
     b = np.sort(np.concatenate([a[:900], textkit.mix(np.arange(5000, 5100, dtype=np.uint64))]))
