@@ -24,11 +24,24 @@ from pondera.plans.scratch import Scratch
 PART_EDGES = 1 << 19
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's edges as stars around the smallest node of each part that they connect."""
-    parts = list(batches)
-    if not parts:
-        return
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges as stars around the smallest node of each part that they connect.
+
+    ``PART_EDGES`` edges at most are held: more are reduced as they come.
+    """
+    parts: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        parts.append(batch)
+        held += batch.num_rows
+        if held > PART_EDGES:
+            yield from _reduced(parts)
+            parts, held = [], 0
+    if parts:
+        yield from _reduced(parts)
+
+
+def _reduced(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges = pa.Table.from_batches(parts).combine_chunks()
     both = pa.concat_arrays([edges.column(c).chunk(0) for c in (0, 1)]) if edges.num_rows else pa.array([], edges.schema.field(0).type)
     names, codes = np.unique(both.to_numpy(zero_copy_only=False), return_inverse=True)
@@ -68,7 +81,7 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     scratch = Scratch(edges.sparkSession, "components")
     at = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "round0")
     n = at.count()
-    at = scratch.keep(at.repartition(max(1, -(-n // PART_EDGES))).mapInArrow(_stars, at.schema), "stars")
+    at = scratch.keep(at.repartition(max(1, -(-n // PART_EDGES))).mapInArrow(stars, at.schema), "stars")
     scratch.drop("round0")
     whole = n <= PART_EDGES  # one partition held all edges, so its stars are the components
     state = _state(at) if not whole else (0, 0)
