@@ -6,9 +6,10 @@
    that differ.
 2. Equal sets become one class, whatever their number or ids.  Classes are the
    nodes from here on, named by the number of one of their rows.
-3. Every band key has a pivot, its smallest class.  Each class is compared by
-   sketch with the pivots of its keys and exactly with the closest: this links
-   most of a dense group by one comparison for each member.
+3. Every band key has a pivot, the class that has most classes in its keys, as
+   the text has from which others were made.  Each class is compared by sketch
+   with the pivots of its keys and exactly with the closest: this links most of a
+   dense group by one comparison for each member.
 4. A key whose classes are all connected by now is done.  In other keys the
    classes outside the largest part are compared by sketch with all that are in
    other parts.  Keys are dealt out as cells, pairs of blocks of bounded size, so
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pondera.llm import textkit
-from pondera.operators.components import connected_components
+from pondera.operators.components import connected_components, stars
 from pondera.plans.scratch import Scratch
 
 SAMPLES, ROWS, BITS = 128, 4, 512
@@ -210,7 +211,7 @@ def _candidates(n: np.ndarray, comp: np.ndarray, side: np.ndarray, far: np.ndarr
 
 
 def _close_pairs(limit: int, percent: int):
-    """Forests of the candidate pairs of every cell."""
+    """Forests of the candidate pairs of the cells."""
 
     def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = np.arange(len(near))
@@ -226,13 +227,14 @@ def _close_pairs(limit: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, _CELL):
             node, comp, side, n = (t.column(c).to_numpy() for c in ("node", "comp", "side", "n"))
-            s, parts = _fixed(t.column("sketch"), BITS // 64), [(node[:0], node[:0])]
+            s = _fixed(t.column("sketch"), BITS // 64)
             for i, j in _cells(t):
                 a, b = forest(_candidates(n[i:j], comp[i:j], side[i:j], _distances(s[i:j], s[i:j]), limit, percent))
-                parts.append((node[i:j][a], node[i:j][b]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["a", "b"])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i:j][a]), pa.array(node[i:j][b])], ["a", "b"])
 
-    return run
+    # one text's pairs are in many cells: a partition returns them merged to stars
+    return lambda batches: stars(run(batches))
 
 
 def _full_sets(shingle: int, columns: list[str]):
@@ -356,9 +358,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, blo
     sketches = classes.select("node", "n", "sketch")
 
     keys = classes.select("node", F.explode("bands").alias("group"))
-    pivots = keys.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot")).where("members > 1")
-    keys = scratch.keep(keys.join(pivots.drop("members"), "group"), "keys")
-    pairs = keys.where("node <> pivot").select("node", "pivot").distinct().join(sketches, "node").join(sketches.toDF("pivot", "pivot_n", "pivot_sketch"), "pivot")
+    members = keys.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    keys = scratch.keep(keys.join(members, "group"), "keys")
+    central = keys.groupBy("node").agg(F.sum("members").alias("near"))
+    pivots = keys.join(central, "node").groupBy("group").agg(F.max(F.struct("near", -F.col("node"))).alias("top")).select("group", (-F.col("top.col2")).alias("pivot"))
+    pairs = keys.join(pivots, "group").where("node <> pivot").select("node", "pivot").distinct().join(sketches, "node").join(sketches.toDF("pivot", "pivot_n", "pivot_sketch"), "pivot")
     near = pairs.mapInArrow(textkit.lean(_near(limit, percent)), "node bigint, pivot bigint, far int")
     closest = scratch.keep(near.groupBy("node").agg(F.min(F.struct("far", "pivot")).alias("best")).select("node", F.col("best.pivot").alias("pivot")), "closest")
     spread = closest.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("cells"))
