@@ -1,16 +1,22 @@
-"""URL filters: a sort-merge sweep of reversed-host keys over prefix rules.
+"""URL filters: a sort-merge range join of reversed-host keys with nested rules.
 
 A rule ``(host, path, verdict)`` fits its host and all subdomains when the URL's
-path starts with the rule's path.  With host labels reversed (``org.example``)
-the hosts under a rule are one interval of keys, and so are the paths under its
-path.  Each distinct (host, path) is put under those of its parent hosts that
-have rules; under one such host, rules are nested intervals of paths.  A sweep
-in path order keeps the latest rule begun, and with it the stack of the rules
-that enclose it; a path takes the innermost of the stack that is still open.
-
-Everything is DataFrame expressions.  Copies of one URL are judged once.  Paths
-under a host are dealt to as many sweeps as their number asks for, each with
-the host's rules, so one hot host never becomes one task.
+path starts with the rule's path.  With host labels reversed (``org.example.``)
+the hosts under a rule are one interval of sorted keys, and so are the paths under
+its path.  Two sweeps join URLs with intervals:
+
+1. distinct (host, path) pairs, sorted by reversed host and path, with the rule
+   hosts' intervals: each pair learns the rule hosts that enclose it;
+2. pairs under each of these, sorted by rule host and path, with the intervals of
+   that host's paths.
+
+A sweep range-partitions keys, interval starts and interval ends together; a start
+is also carried into the later partitions that its interval reaches.  Inside a
+partition, the latest start that a key has passed names the stack of intervals
+open there (itself and those around it); the key keeps those it is still in.
+
+Everything is DataFrame expressions.  Copies of one URL are judged once.  Keys are
+(host, path) pairs, so a hot host spreads over as many partitions as it needs.
 """
 
 from __future__ import annotations
@@ -18,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pondera.plans.scratch import Scratch
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,44 +56,71 @@ def parent_keys(key: Column) -> Column:
 
 
 def compile_rules(rules: DataFrame) -> DataFrame:
-    """Rules with their key and, per rule, the stack of enclosing rules of the same host, outermost first.
+    """Distinct rules as ``at`` (reversed host), ``begin`` (path), ``rule`` and ``verdict``.
 
-    Equal (host, path) rules count once: block wins over allow.  Nulls in a rule
-    drop it.
+    Equal (host, path) rules count once: block wins over allow.  A rule with a null
+    in it is dropped.
     """
     rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull())
-    rules = rules.groupBy(reversed_host(F.translate("host", _UPPER, _LOWER)).alias("at"), F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.col("path").alias("begin")).agg(F.max("verdict").alias("verdict"))
-    entry = F.struct(F.length("begin").alias("size"), F.concat("rule_host", "begin").alias("rule"), "begin", "verdict")
-    outer = rules.select("at", F.col("begin").alias("prefix"), entry.alias("entry"))
-    inner = rules.select("at", "begin", F.explode(F.transform(F.sequence(F.lit(0), F.length("begin")), lambda n: F.col("begin").substr(F.lit(1), n))).alias("prefix"))
-    return inner.join(outer, ["at", "prefix"]).groupBy("at", "begin").agg(F.sort_array(F.collect_list("entry")).alias("stack"))
+    host = F.translate("host", _UPPER, _LOWER)
+    rules = rules.groupBy(host.alias("host"), "path").agg(F.max("verdict").alias("verdict"))
+    return rules.select(reversed_host(F.col("host")).alias("at"), F.col("path").alias("begin"), F.concat("host", "path").alias("rule"), "verdict")
+
+
+def _host_intervals(rules: DataFrame) -> DataFrame:
+    """``prefix, stack``: each rule host's keys and the rule hosts around it, outermost first."""
+    hosts = rules.select("at").distinct()
+    around = hosts.select("at", F.explode(parent_keys(F.col("at"))).alias("outer")).join(hosts.select(F.col("at").alias("outer")), "outer")
+    return around.groupBy(F.col("at").alias("prefix")).agg(F.sort_array(F.collect_list(F.struct(F.length("outer").alias("size"), F.col("outer").alias("prefix")))).alias("stack"))
+
+
+def _path_intervals(rules: DataFrame) -> DataFrame:
+    """``prefix, stack``: the paths of each rule and the rules around it at the same host, outermost first."""
+    entry = F.struct(F.length("begin").alias("size"), _under("at", "begin").alias("prefix"), "rule", "verdict")
+    outer = rules.select("at", F.col("begin").alias("outer"), entry.alias("entry"))
+    inner = rules.select("at", "begin", F.explode(F.transform(F.sequence(F.lit(0), F.length("begin")), lambda n: F.col("begin").substr(F.lit(1), n))).alias("outer"))
+    return inner.join(outer, ["at", "outer"]).groupBy(_under("at", "begin").alias("prefix")).agg(F.sort_array(F.collect_list("entry")).alias("stack"))
+
+
+def _under(outer: str, inner: str) -> Column:
+    return F.concat(F.col(outer), F.lit("\0"), F.col(inner))
+
+
+def _sweep(points: DataFrame, intervals: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Points with ``open``: the entries of nested prefix intervals that hold their ``key``, outermost first."""
+    places = points.columns
+    key = lambda c: F.col(c).cast("binary")
+    blank = lambda f: F.lit(None).cast(f.dataType).alias(f.name)
+    events = points.select(key("key").alias("place"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("prefix"), F.lit(None).cast(intervals.schema["stack"].dataType).alias("stack"), *places)
+    bare = [blank(f) for f in points.schema]
+    events = events.unionByName(intervals.select(key("prefix").alias("place"), F.lit(0).alias("kind"), "prefix", "stack", *bare))
+    # no UTF-8 text has the byte FF, so this is after all keys with the prefix
+    events = events.unionByName(intervals.select(F.concat(key("prefix"), F.lit(b"\xff")).alias("place"), F.lit(2).alias("kind"), "prefix", F.lit(None).alias("stack"), *bare))
+    events = scratch.keep(events.repartitionByRange("place").withColumn("part", F.spark_partition_id()), name)
+    starts = events.where("kind = 0").drop("part").join(events.where("kind <> 1").groupBy("prefix").agg(F.min("part").alias("from"), F.max("part").alias("to")), "prefix")
+    starts = starts.withColumn("part", F.explode(F.expr("sequence(from, to)"))).select(*events.columns)
+    order = Window.partitionBy("part").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.where("kind = 1").unionByName(starts).withColumn("open", F.last("stack", ignorenulls=True).over(order)).where("kind = 1")
+    return swept.select(*places, F.filter("open", lambda e: F.col("key").startswith(e["prefix"])).alias("open"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "allow", sweep_rows: int = 1024) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "allow") -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to every row of ``pages``.
 
     The longest host, then the longest path, of all fitting rules decides; with
     none, ``rule`` is null and ``verdict`` is ``default``.  A null or schemeless
     URL has empty host and path and fits no rule.  Columns of ``pages`` with one
-    of the four names are replaced.  Repeated rows stay repeated; empty tables
-    give empty results.
+    of the four names are replaced, all others are kept.  Repeated rows stay
+    repeated; empty tables give empty results.  URLs are of any length.
     """
-    source = F.col(f"`{url}`")
+    source = F.col(f"`{url.replace('`', '``')}`")
     pages = pages.withColumns({"host": host_of(source), "path": path_of(source)}).drop("rule", "verdict")
-    stacks = compile_rules(rules)
-    targets = pages.select("host", "path").where("host != ''").distinct()
-    hosts = stacks.groupBy("at").agg(F.count(F.lit(1)).alias("n_rules"))
-    points = targets.select("host", "path", F.explode(parent_keys(reversed_host(F.col("host")))).alias("at"))
-    points = points.join(hosts, "at", "left_semi")
-    dealt = points.groupBy("at").agg(F.count(F.lit(1)).alias("n")).join(hosts, "at")
-    dealt = dealt.select("at", F.ceil(F.col("n") / F.greatest(F.lit(sweep_rows), 4 * F.col("n_rules"))).cast("int").alias("sweeps"))
-    points = points.join(dealt, "at").select("at", F.concat_ws("#", "at", F.pmod(F.xxhash64("host", "path"), "sweeps")).alias("sweep"), F.col("path").alias("key"), F.lit(1).alias("kind"), "host", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
-    starts = stacks.join(dealt, "at").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sweeps") - 1)))
-    starts = starts.select("at", F.concat_ws("#", "at", "i").alias("sweep"), F.col("begin").alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "stack")
-    order = Window.partitionBy("sweep").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = points.unionByName(starts).withColumn("open", F.last("stack", ignorenulls=True).over(order)).where("kind = 1")
-    fits = F.filter("open", lambda e: F.col("key").startswith(e["begin"]))
-    best = swept.where(F.size(fits) > 0).select("host", F.col("key").alias("path"), F.struct(F.length("at").alias("depth"), F.element_at(fits, -1).alias("top")).alias("best"))
-    best = best.groupBy("host", "path").agg(F.max("best").alias("best"))
-    out = pages.join(best, ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("best.top.rule"), "verdict": F.coalesce("best.top.verdict", F.lit(default))}).drop("best")
+    rules, scratch = compile_rules(rules), Scratch(pages.sparkSession, "urls")
+    targets = pages.select("host", "path").where("host != ''").distinct().withColumn("at", reversed_host(F.col("host")))
+    enclosed = _sweep(targets.select("host", "path", _under("at", "path").alias("key")), _host_intervals(rules), scratch, "hosts")
+    under = enclosed.select("host", "path", F.explode("open").alias("outer")).select("host", "path", F.col("outer.size").alias("depth"), F.concat("outer.prefix", F.lit("\0"), "path").alias("key"))
+    fits = _sweep(under, _path_intervals(rules), scratch, "paths").where(F.size("open") > 0)
+    best = fits.groupBy("host", "path").agg(F.max(F.struct("depth", F.element_at("open", -1).alias("top"))).alias("best"))
+    best = scratch.keep(best.select("host", "path", F.col("best.top.rule").alias("rule"), F.col("best.top.verdict").alias("verdict")), "best")
+    scratch.drop("hosts", "paths")
+    return pages.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))

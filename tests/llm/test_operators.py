@@ -56,6 +56,8 @@ def test_urls(spark):
     assert urls.judge(pages, rules).count() == 9
     assert urls.judge(pages, rules.limit(0), default="block").where("verdict = 'block'").count() == 9
     assert urls.judge(pages.limit(0), rules).count() == 0
+    clash = pages.selectExpr("page_id as best", "url as `u``rl.x`", "page_id as key", "page_id as open", "page_id as part", "rule as verdict")
+    assert sorted((r["best"], r["part"], r["verdict"]) for r in urls.judge(clash, rules, url="u`rl.x").collect()) == sorted((r.page_id, r.page_id, r.verdict) for r in urls.judge(pages, rules).collect())
 
 
 def test_urls_against_plain_rules(spark):
@@ -64,7 +66,7 @@ def test_urls_against_plain_rules(spark):
     rules = [(rng.choice(hosts[:-1]), "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(4))), rng.choice(["allow", "block"])) for _ in range(30)]
     rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
     pages = [(i, f"http://{rng.choice(['c.b.a.org', 'b.a.org', 'aorg', 'x.com', 'y.x.com', 'org'])}/{''.join(rng.choice('ab/') for _ in range(rng.randrange(6)))}") for i in range(300)]
-    df = urls.judge(spark.createDataFrame(pages, "page_id int, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), sweep_rows=8)
+    df = urls.judge(spark.createDataFrame(pages, "page_id int, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"))
     for r in df.collect():
         fits = [(len(h), len(p), h + p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
         assert (r.rule, r.verdict) == (max(fits)[2:] if fits else (None, "allow"))
