@@ -24,16 +24,21 @@ PACKED = "chunk bigint, role int, doc_ids array<bigint>, offsets array<bigint>,
 
 
 def pack(docs: DataFrame, chunk_bytes: int, role: Callable[[int | None], int] | None = None) -> DataFrame:
-    """``doc_id, text`` rows as chunks of one role each; null texts are empty, null ids stay null."""
+    """``doc_id, text`` rows as chunks of one role each; null texts are empty, null ids stay null.
+
+    A chunk has at most ``chunk_bytes`` of text, or one text that is longer.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part, made = task.partitionId() if task else 0, 0
         open_: dict[int, tuple[list, list, list]] = {}
+        size: dict[int, int] = {}
 
         def flush(kind: int) -> pa.RecordBatch:
             nonlocal made
             ids, lens, data = open_.pop(kind)
+            size.pop(kind)
             made += 1
             offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
             row = [[part << 32 | made], [kind], [ids], [offsets.tolist()], [int(offsets[-1])], [b"".join(data)]]
@@ -44,13 +49,14 @@ def pack(docs: DataFrame, chunk_bytes: int, role: Callable[[int | None], int] |
             data, offsets = textkit.utf8(batch.column(1))
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 kind = role(doc) if role else 0
-                ids, lens, parts = open_.setdefault(kind, ([], [], []))
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                if kind in open_ and size[kind] + len(raw) > chunk_bytes:
+                    yield flush(kind)
+                ids, lens, parts = open_.setdefault(kind, ([], [], []))
                 ids.append(doc)
                 lens.append(len(raw))
                 parts.append(raw)
-                if sum(lens[-1:]) >= chunk_bytes or len(lens) % 64 == 0 and sum(lens) >= chunk_bytes:
-                    yield flush(kind)
+                size[kind] = size.get(kind, 0) + len(raw)
         for kind in list(open_):
             yield flush(kind)
 

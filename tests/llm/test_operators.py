@@ -211,6 +211,12 @@ def test_model_is_a_distribution():
     assert loss(w[2]) <= min(map(loss, grid)) + 1e-3
 
 
+def test_chunks_keep_their_bound(spark):
+    rows = [(i, "x" * (990 if i % 10 else 5000)) for i in range(70)] + [(70 + i, "y" * 9) for i in range(300)]
+    got = exchange.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 1000).collect()
+    assert all(r.n_bytes <= 1000 or len(r.doc_ids) == 1 for r in got) and sorted(i for r in got for i in r.doc_ids) == list(range(370))
+
+
 def test_counts_round_trip():
     n = np.array([0, 1, 254, 255, 256, 10**12])
     assert (exchange.unpack_counts(exchange.pack_counts(n)) == n).all() and len(exchange.unpack_counts(exchange.pack_counts(n[:0]))) == 0
