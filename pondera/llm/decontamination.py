@@ -7,35 +7,55 @@ length, the window's words are hit.  Before streaming, words and neighbouring
 pairs of words that occur in no item are ruled out by array lookups, which
 leaves short stretches to the automaton.
 
-Items are control data: they are collected in groups of at most
-``group_bytes`` of text, one automaton each, and documents pass the groups one
-after the other.  Documents are never shuffled.
+Items are control data: their distinct texts are read in groups of at most
+``group_bytes``, one automaton each.  Texts of documents are not shuffled, unless
+there are several groups, whose marks are then joined to the documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import functools
+from array import array
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from pondera.llm import textkit
 from pondera.plans.scratch import Scratch
 
 
 class SuffixAutomaton:
-    """All runs of symbols of several sequences, as states with suffix links."""
+    """All runs of symbols of several sequences, as states with suffix links.
 
-    def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.size = [0]
+    Flat arrays: most states have one way out, held in ``symbol`` and ``to``; only
+    further ones are in ``more``.  About 50 bytes for each symbol added.
+    """
 
-    def _state(self, size: int, link: int, step: dict[int, int]) -> int:
-        self.next.append(step)
+    def __init__(self) -> None:
+        self.symbol, self.to, self.link, self.size = array("i", [-1]), array("i", [-1]), array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+
+    def step(self, state: int, c: int) -> int:
+        """Where a symbol leads, or -1."""
+        if self.symbol[state] == c:
+            return self.to[state]
+        more = self.more.get(state)
+        return more.get(c, -1) if more else -1
+
+    def _lead(self, state: int, c: int, target: int) -> None:
+        if self.symbol[state] in (c, -1):
+            self.symbol[state], self.to[state] = c, target
+        else:
+            self.more.setdefault(state, {})[c] = target
+
+    def _state(self, size: int, link: int) -> int:
+        self.symbol.append(-1)
+        self.to.append(-1)
         self.link.append(link)
         self.size.append(size)
         return len(self.size) - 1
@@ -44,75 +64,86 @@ class SuffixAutomaton:
         """Give the shorter runs of q, those that follow p, a state of their own."""
         if self.size[q] == self.size[p] + 1:
             return q
-        new = self._state(self.size[p] + 1, self.link[q], dict(self.next[q]))
+        new = self._state(self.size[p] + 1, self.link[q])
+        self.symbol[new], self.to[new] = self.symbol[q], self.to[q]
+        if q in self.more:
+            self.more[new] = dict(self.more[q])
         self.link[q] = new
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = new
+        while p >= 0 and self.step(p, c) == q:
+            self._lead(p, c, new)
             p = self.link[p]
         return new
 
-    def add(self, sequence: list[int]) -> list[int]:
-        """Add a sequence; the state of each of its prefixes."""
-        last, ends = 0, []
+    def add(self, sequence: Iterable[int]) -> None:
+        """Add a sequence."""
+        last = 0
         for c in sequence:
-            if c in self.next[last]:
-                last = self._split(last, c, self.next[last][c])
-            else:
-                new, p = self._state(self.size[last] + 1, 0, {}), last
-                while p >= 0 and c not in self.next[p]:
-                    self.next[p][c] = new
-                    p = self.link[p]
-                if p >= 0:
-                    self.link[new] = self._split(p, c, self.next[p][c])
-                last = new
-            ends.append(last)
-        return ends
+            q = self.step(last, c)
+            if q >= 0:
+                last = self._split(last, c, q)
+                continue
+            new, p = self._state(self.size[last] + 1, 0), last
+            while p >= 0 and (q := self.step(p, c)) < 0:
+                self._lead(p, c, new)
+                p = self.link[p]
+            if p >= 0:
+                self.link[new] = self._split(p, c, q)
+            last = new
 
 
 @dataclass
 class Items:
-    """An automaton of items and what its states say about windows."""
+    """An automaton of items and what its states say about windows.
+
+    ``owners`` are the items (places in ``ids``) of the window states, ``owned`` the
+    sorted states, each repeated for each of its items.  ``short`` has states of
+    whole items below the window's length.
+    """
 
     window: int
     vocabulary: np.ndarray
     pairs: np.ndarray
     shortest: int
     automaton: SuffixAutomaton
-    long: dict[int, frozenset] = field(default_factory=dict)
-    short: dict[int, list[tuple[int, str]]] = field(default_factory=dict)
+    ids: list[list[str]]
+    owned: np.ndarray
+    owners: np.ndarray
+    short: dict[int, list[tuple[int, int]]]
 
 
-def build(items: list[tuple[str, str]], window: int) -> Items | None:
-    """Automaton of ``(id, text)`` items; None if no item has a word."""
-    names, borders = textkit.words(pa.array([t for _, t in items], pa.string()), textkit.ALNUM)
-    vocabulary, codes = np.unique(names, return_inverse=True)
-    seqs = [(i, codes[borders[k] : borders[k + 1]].tolist()) for k, (i, _) in enumerate(items)]
-    seqs = [(i, s) for i, s in seqs if s]
-    if not seqs:
+def build(items: dict[str, list[str]], window: int) -> Items | None:
+    """Automaton of texts with their items' ids; None if no text has a word."""
+    names, borders = textkit.words(pa.array(list(items), pa.large_string()), textkit.ALNUM)
+    if not len(names):
         return None
+    vocabulary, codes = np.unique(names, return_inverse=True)
+    lens = np.diff(borders)
+    joined = np.ones(max(len(codes) - 1, 0), bool)
+    cuts = borders[1:-1]
+    joined[cuts[(cuts > 0) & (cuts < len(codes))] - 1] = False
+    pairs = np.unique(codes[:-1][joined] * np.int64(len(vocabulary)) + codes[1:][joined])
     auto = SuffixAutomaton()
-    for _, s in seqs:
-        auto.add(s)
-    owner: dict[int, set] = {}
-    short: dict[int, list[tuple[int, str]]] = {}
-    for i, s in seqs:  # states are final now
+    for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+        auto.add(codes[a:b].tolist())
+    owned, owners, short = array("i"), array("i"), {}
+    for k, (a, b) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)):  # states are final now
         state = 0
-        for n, c in enumerate(s, 1):
-            state = auto.next[state][c]
+        for n, c in enumerate(codes[a:b].tolist(), 1):
+            state = auto.step(state, c)
             if n >= window:
                 p = state
                 while auto.size[auto.link[p]] >= window:
                     p = auto.link[p]
-                owner.setdefault(p, set()).add(i)
-        if len(s) < window:
-            short.setdefault(state, []).append((len(s), i))
-    v = np.int64(len(vocabulary))
-    pairs = {a * int(v) + c for _, s in seqs for a, c in zip(s, s[1:], strict=False)}
-    return Items(window, vocabulary, np.array(sorted(pairs), np.int64), min(window, min(len(s) for _, s in seqs)), auto, {k: frozenset(x) for k, x in owner.items()}, short)
+                owned.append(p)
+                owners.append(k)
+        if 0 < b - a < window:
+            short.setdefault(state, []).append((b - a, k))
+    both = np.unique(np.frombuffer(owned, np.int32).astype(np.int64) << 32 | np.frombuffer(owners, np.int32))
+    return Items(window, vocabulary, pairs, min(window, int(lens[lens > 0].min())), auto, list(items.values()), (both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int32), short)
 
 
 def scan(items: Items, names: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, dict[int, set]]:
-    """Marks of hit words, and the items with an occurring window by row."""
+    """Marks of hit words, and the items (places) with an occurring window by row."""
     hit, found = np.zeros(len(names), bool), {}
     if not len(names):
         return hit, found
@@ -133,31 +164,39 @@ def scan(items: Items, names: np.ndarray, borders: np.ndarray) -> tuple[np.ndarr
     enough = ends - begins >= items.shortest
     begins, ends = begins[enough], ends[enough]
     rows = np.searchsorted(borders, begins, side="right") - 1
-    auto, window = items.automaton, items.window
-    step, link, size = auto.next, auto.link, auto.size
+    auto, window, short = items.automaton, items.window, items.short
+    symbol, to, more, link, size = auto.symbol, auto.to, auto.more, auto.link, auto.size
+    none: dict[int, int] = {}
     for b, e, row in zip(begins.tolist(), ends.tolist(), rows.tolist(), strict=True):
         state = run = 0
+        windows = set()
         for i, c in enumerate(at[b:e].tolist(), b):
-            while state and c not in step[state]:
+            while True:
+                q = to[state] if symbol[state] == c else more.get(state, none).get(c, -1)
+                if q >= 0:
+                    state, run = q, run + 1
+                    break
+                if not state:
+                    break
                 state = link[state]
                 run = size[state]
-            if c in step[state]:
-                state = step[state][c]
-                run += 1
             if run >= window:
                 hit[i - window + 1 : i + 1] = True
                 p = state
                 while size[link[p]] >= window:
                     p = link[p]
-                found.setdefault(row, set()).update(items.long[p])
-            if items.short:
+                windows.add(p)
+            if short:
                 p = state
                 while p > 0:
-                    for n, item in items.short.get(p, ()):
+                    for n, item in short.get(p, ()):
                         if n <= run:
                             hit[i - n + 1 : i + 1] = True
                             found.setdefault(row, set()).add(item)
                     p = link[p]
+        for p in windows:
+            a, z = np.searchsorted(items.owned, [p, p + 1])
+            found.setdefault(row, set()).update(items.owners[a:z].tolist())
     return hit, found
 
 
@@ -166,83 +205,103 @@ def _spans(hit: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
+def _groups(items: DataFrame, group_bytes: int) -> Iterator[dict[str, list[str]]]:
+    """Distinct item texts with their ids, in groups of at most so many bytes or one text."""
+    texts = items.where("text is not null").groupBy("text").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    group, held = {}, 0
+    for row in texts.toLocalIterator():
+        if group and held + len(row["text"].encode()) > group_bytes:
+            yield group
+            group, held = {}, 0
+        group[row["text"]] = row["ids"]
+        held += len(row["text"].encode())
+    yield group
+
+
 def matches(docs: DataFrame, items: DataFrame, *, window: int = 10, group_bytes: int = 32 << 20) -> DataFrame:
     """All columns of ``docs`` and ``n_words``, ``n_hit``, ``hit_items`` (distinct item ids as text, sorted), ``hit_spans``.
 
     ``hit_spans`` are ``start, end`` byte ranges of the maximal hit runs of words in
     the UTF-8 text.  Null and empty texts have no words.  An item without words
     has no window; one with fewer than ``window`` words is a window itself.  Items
-    with a null id hit words but are not listed.  Own columns of ``docs`` with
-    these names are replaced; repeated rows stay.
+    with a null id hit words but are not listed; equal item texts are held once.
+    Own columns of ``docs`` with these four names are replaced, all others are kept;
+    repeated rows stay; empty tables give empty results.
+
+    The driver and each Python worker hold one group of items, about ten bytes for
+    each byte of item text.  With several groups the documents are written once and
+    read once for each group.
     """
     textkit.bound_batches(docs.sparkSession)
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // group_bytes))
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontaminate")
-    docs = docs.drop("n_words", "n_hit", "hit_items", "hit_spans", "_hit").withColumn("_hit", F.lit(None).cast("binary")).withColumn("_items", F.array().cast("array<string>"))
-    for g in range(groups):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g) if groups > 1 else items
-        built = build([(r[0], r[1]) for r in part.collect()], window)
-        shared = spark.sparkContext.broadcast(built)
-        one = _pass(shared)
-        if g < groups - 1:
-            docs = scratch.keep(docs.mapInArrow(textkit.lean(one), docs.schema), f"group{g}")
-    # the last pass and the summary share a Python worker
-    return docs.mapInArrow(textkit.lean(lambda batches: _summary(one(batches))), _summary_schema(docs))
-
-
-def _pass(shared):
+    spark, docs = docs.sparkSession, docs.drop("n_words", "n_hit", "hit_items", "hit_spans")
+    shared = [spark.sparkContext.broadcast(build(group, window)) for group in _groups(items, group_bytes)]
+    found = "n_words bigint, n_hit bigint, hit_items array<string>, hit_spans array<bigint>"
+    if len(shared) == 1:
+        return textkit.beside(docs, _find(shared[0]), found)
+    scratch = Scratch(spark, "decontaminate")
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "rows", compression="zstd")
+    texts = rows.select("uid", F.col("row.text").alias("text"))
+    marked = functools.reduce(DataFrame.unionByName, [texts.mapInArrow(textkit.lean(_mark(s)), "uid bigint, marks binary, items array<string>") for s in shared])
+    marked = marked.groupBy("uid").agg(F.collect_list("marks").alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    kind = StructType([StructField("row", docs.schema), *StructType.fromDDL(found)])
+    rows = rows.join(marked, "uid", "left").select("row", "marks", "items").mapInArrow(textkit.lean(_merge), kind)
+    return rows.select("row.*", "n_words", "n_hit", "hit_items", "hit_spans")
+
+
+def _hits(items: Items | None, text: pa.Array) -> tuple[list[np.ndarray | None], list[list[str]]]:
+    """Each row's marks of hit words, if it has any, and its items' ids."""
+    n = len(text)
+    marks: list[np.ndarray | None] = [None] * n
+    ids: list[list[str]] = [[]] * n
+    if items is not None:
+        names, borders = textkit.words(text, textkit.ALNUM)
+        hit, found = scan(items, names, borders)
+        for row in np.unique(np.searchsorted(borders, np.flatnonzero(hit), side="right") - 1).tolist():
+            marks[row] = hit[borders[row] : borders[row + 1]]
+            ids[row] = sorted({i for k in found[row] for i in items.ids[k]})
+    return marks, ids
+
+
+def _summary(batch: pa.RecordBatch, marks: list[np.ndarray | None], ids: list[list[str]]) -> pa.RecordBatch:
+    data, offsets = textkit.utf8(textkit.field(batch, "text"))
+    starts, ends = textkit.word_bounds(data, offsets, textkit.ALNUM)
+    borders = np.searchsorted(starts, offsets)
+    n_hit, spans = [0] * len(marks), [[]] * len(marks)
+    for k, hit in enumerate(marks):
+        if hit is not None:
+            runs = _spans(hit)
+            n_hit[k] = int(hit.sum())
+            spans[k] = (np.stack([starts[borders[k] + runs[:, 0]], ends[borders[k] + runs[:, 1] - 1]], 1) - offsets[k]).ravel().tolist()
+    found = [pa.array(np.diff(borders), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays([batch.column("row"), *found], ["row", "n_words", "n_hit", "hit_items", "hit_spans"])
+
+
+def _find(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
         for batch in batches:
-            if items is None:
-                yield batch
-                continue
-            names, borders = textkit.words(batch.column("text"), textkit.ALNUM)
-            hit, found = scan(items, names, borders)
-            marks, had, lists = [], batch.column("_hit").to_pylist(), batch.column("_items").to_pylist()
-            any_hit = np.add.reduceat(np.concatenate([hit, [False]]).astype(np.int64), borders[:-1]) * (np.diff(borders) > 0) if batch.num_rows else []
-            for k in range(batch.num_rows):
-                if any_hit[k]:
-                    own = hit[borders[k] : borders[k + 1]]
-                    if had[k]:
-                        own = own | np.unpackbits(np.frombuffer(had[k], np.uint8), count=len(own)).astype(bool)
-                    marks.append(np.packbits(own).tobytes())
-                    lists[k] = sorted(set(lists[k]) | {i for i in found[k] if i is not None})
-                else:
-                    marks.append(had[k])
-            columns = [*batch.columns]
-            columns[batch.schema.get_field_index("_hit")] = pa.array(marks, pa.binary())
-            columns[batch.schema.get_field_index("_items")] = pa.array(lists, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            yield _summary(batch, *_hits(shared.value, textkit.field(batch, "text")))
 
     return run
 
 
-def _summary_schema(docs: DataFrame) -> str:
-    own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("_hit", "_items"))
-    return f"{own}, n_words bigint, n_hit bigint, hit_items array<string>, hit_spans array<bigint>"
+def _mark(shared):
+    """The rows that one group of items hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, ids = _hits(shared.value, batch.column("text"))
+            rows = [k for k, hit in enumerate(marks) if hit is not None]
+            columns = [batch.column("uid").take(pa.array(rows, pa.int64())), pa.array([np.packbits(marks[k]).tobytes() for k in rows], pa.binary()), pa.array([ids[k] for k in rows], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "marks", "items"])
+
+    return run
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = textkit.utf8(batch.column("text"))
-        starts, ends = textkit.word_bounds(data, offsets, textkit.ALNUM)
-        borders = np.searchsorted(starts, offsets)
-        n_hit, spans = [], []
-        for k, mark in enumerate(batch.column("_hit").to_pylist()):
-            if mark is None:
-                n_hit.append(0)
-                spans.append([])
-                continue
-            hit = np.unpackbits(np.frombuffer(mark, np.uint8), count=int(borders[k + 1] - borders[k]))
-            runs = _spans(hit)
-            n_hit.append(int(hit.sum()))
-            spans.append((np.stack([starts[borders[k] + runs[:, 0]], ends[borders[k] + runs[:, 1] - 1]], 1) - offsets[k]).ravel().tolist())
-        keep = [i for i, n in enumerate(batch.schema.names) if n not in ("_hit", "_items")]
-        columns = [batch.column(i) for i in keep] + [pa.array(np.diff(borders), pa.int64()), pa.array(n_hit, pa.int64()), batch.column("_items"), pa.array(spans, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[i] for i in keep] + ["n_words", "n_hit", "hit_items", "hit_spans"])
+        _, borders = textkit.words(textkit.field(batch, "text"), textkit.ALNUM)
+        marks = [None if not m else np.bitwise_or.reduce([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x in m]).astype(bool) for m, n in zip(batch.column("marks").to_pylist(), np.diff(borders).tolist(), strict=True)]
+        yield _summary(batch, marks, [x or [] for x in batch.column("items").to_pylist()])
 
 
 def items_digest(ids):
@@ -259,20 +318,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_wo
     """
     found = matches(docs, items, window=window)
     kept = found.where((F.col("n_hit") <= max_words) & (F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")))
-    if cut:
-        kept = kept.mapInArrow(_cut, kept.schema)
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    if not cut:
+        return kept.select(*names)
+    rows = kept.select(F.struct(*names).alias("row"), "hit_spans")
+    return rows.mapInArrow(textkit.lean(_cut), StructType([rows.schema["row"]])).select("row.*")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("hit_spans").to_pylist(), strict=True):
+        for text, spans in zip(textkit.field(batch, "text").to_pylist(), batch.column("hit_spans").to_pylist(), strict=True):
             if spans:
                 raw = text.encode()
                 at = [0, *spans, len(raw)]
                 text = b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2], strict=True)).decode()
             texts.append(text)
-        columns = [*batch.columns]
-        columns[batch.schema.get_field_index("text")] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        row = batch.column("row")
+        columns, names = row.flatten(), [f.name for f in row.type]
+        columns[names.index("text")] = pa.array(texts, pa.string())
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, names)], ["row"])

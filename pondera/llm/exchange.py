@@ -26,7 +26,7 @@ PACKED = "chunk bigint, role int, doc_ids array<bigint>, offsets array<bigint>,
 def pack(docs: DataFrame, chunk_bytes: int, role: Callable[[int | None], int] | None = None) -> DataFrame:
     """``doc_id, text`` rows as chunks of one role each; null texts are empty, null ids stay null.
 
-    A chunk has at most ``chunk_bytes`` of text, or one text that is longer.
+    A chunk has at most ``chunk_bytes`` of text and a 16th as many texts, or one text that is longer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def pack(docs: DataFrame, chunk_bytes: int, role: Callable[[int | None], int] |
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 kind = role(doc) if role else 0
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                if kind in open_ and size[kind] + len(raw) > chunk_bytes:
+                if kind in open_ and (size[kind] + len(raw) > chunk_bytes or len(open_[kind][0]) >= chunk_bytes // 16):
                     yield flush(kind)
                 ids, lens, parts = open_.setdefault(kind, ([], [], []))
                 ids.append(doc)

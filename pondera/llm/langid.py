@@ -180,8 +180,7 @@ def identify(docs: DataFrame, filters: Filters | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = shared.value
-            lang, score = f.predict(batch.column("text")) if f else ([UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            lang, score = f.predict(textkit.field(batch, "text")) if f else ([UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(textkit.lean(run), f"{own}, lang_pred string, score double")
+    return textkit.beside(docs, run, "lang_pred string, score double")

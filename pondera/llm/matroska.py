@@ -99,6 +99,8 @@ def elements(b: bytes, at: int, end: int, stop: frozenset | set = frozenset()) -
 
 
 def _uint(b: bytes, s: int, e: int) -> int:
+    if e - s > 8:
+        raise MatroskaError(f"integer of {e - s} bytes at byte {s}")
     return int.from_bytes(b[s:e], "big")
 
 
@@ -148,6 +150,8 @@ def _block(b: bytes, s: int, e: int, base: int, key: bool | None, media: Media)
         sizes = [e - p]
     step = media.tracks.get(track, {}).get("default_duration", 0)
     at = (base + rel) * media.scale
+    if max(abs(at), abs(at + len(sizes) * step)) >= 1 << 63:
+        raise MatroskaError(f"timestamp out of range at byte {s}")
     simple = key is None
     for i, n in enumerate(sizes):
         media.packets.append(Packet(track, at + i * step, bool(flags & 0x80) if simple else bool(key), i, p, n))
@@ -307,13 +311,21 @@ def describe(media: Media, payload: bytes) -> str:
     """Container counts and signal features of what was read back."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)))
-    last = max(media.packets, key=lambda p: p.timestamp_ns)
-    rate = media.tracks[last.track]["rate"]
+    last = max(media.packets, key=lambda p: p.timestamp_ns, default=None)
+    rate = media.tracks.get(last.track, {}).get("rate", 0.0) if last and payload else 0.0
+    if not 0 < rate < float("inf"):
+        raise MatroskaError("no payload, track or sampling rate to describe")
     return f"packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};ms={last.timestamp_ns // 1_000_000 + int(last.size * 1000 // rate)};mean={int(x.sum() * 1000 // len(x))};power={int((x * x).sum() // len(x))};crossings={crossings}"
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """Each text as a Matroska file: ``doc_id, n_bytes, media`` (binary). A null text is empty."""
+    """Each text as a Matroska file: ``doc_id, n_bytes, media`` (binary).
+
+    A null text is empty; an empty one is stored as its padding.  Ids are of any type
+    and may be null.  Repeated rows are stored each, equal texts as equal files.  A
+    text is held whole, about four times its bytes.  Other columns are ignored.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,18 +335,23 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([mux(pad(r)) for r in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     textkit.bound_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """Digests and features of each stored file's payload; a file that can't be read has nulls and its error as feature."""
+    """Digests and features of each stored file's payload.
+
+    A null or damaged file has nulls and its error as feature.  Repeated rows are
+    read each; an empty table gives an empty one.  Other columns are ignored.
+    """
+    kind = stored.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             rows = []
-            for doc, n, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
+            for n, b in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "media")), strict=True):
                 b = b or b""
                 try:
                     media = parse(b)
@@ -342,10 +359,10 @@ def read_back(stored: DataFrame) -> DataFrame:
                     found = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), describe(media, data))
                 except (MatroskaError, ValueError) as e:
                     found = (None, None, None, f"error: {e}")
-                rows.append((doc, n, *found[:3], len(b), hashlib.sha256(b).hexdigest(), found[3]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names)
+                rows.append((n, *found[:3], len(b), hashlib.sha256(b).hexdigest(), found[3]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True))], names)
 
-    return stored.mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return stored.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def packets(files: DataFrame, *, key: str, media: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pondera.llm import textkit
 from pondera.plans.scratch import Scratch
 
 #: A word: a run of anything but space and \t..\r.
@@ -71,13 +72,15 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_re
     scratch = Scratch(docs.sparkSession, "mix")
     sizes = scratch.keep(docs.groupBy("source").agg(F.sum("size").alias("size")), "sizes")
     rates = water_fill(cycle_weights(sizes, weights), total, max_repeats)
-    rates = scratch.keep(rates.select(F.col("source").alias("mixed_source"), F.col("size").alias("source_size"), "target"), "rates")
+    of = textkit.free_name(docs, "mixed_source")
+    rates = scratch.keep(rates.select(F.col("source").alias(of), F.col("size").alias("source_size"), "target"), "rates")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(max_repeats))).otherwise(F.lit(0.0))
     extra = (uniform(seed, F.col("doc_id")) < rate - F.floor(rate)).cast("long")
-    out = docs.join(rates, F.col("source").eqNullSafe(F.col("mixed_source")), "left").drop("mixed_source")
+    out = docs.join(rates, F.col("source").eqNullSafe(F.col(of)), "left").drop(of)
     return out.withColumn("copies", F.floor(rate) + extra)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("copy")
+    """Each document as many times as the mix takes it; all columns stay."""
+    copy = textkit.free_name(mixed, "copy")
+    return mixed.where("copies > 0").withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop(copy)

@@ -74,19 +74,17 @@ _NOT_LINE = np.ones(256, bool)
 _NOT_LINE[10] = False
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``stats``, the array of ``STATISTICS``."""
+def with_statistics(docs: DataFrame, name: str = "stats") -> DataFrame:
+    """All columns of ``docs`` and the array of ``STATISTICS``, as ``name``; null and empty texts have zeros."""
     textkit.bound_batches(docs.sparkSession)
-    docs = docs.drop("stats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = text_statistics(batch.column("text"))
+            found = text_statistics(textkit.field(batch, "text"))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1]), pa.int32()), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), flat], ["row", name])
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{own}, stats array<double>")
+    return textkit.beside(docs, run, f"{name} array<double>")
 
 
 @dataclass(frozen=True)
@@ -152,10 +150,12 @@ class RuleEnsemble:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 24, depth: int = 3, penalty: float = 0.002, rounds: int = 600, seed: int = 7) -> RuleEnsemble:
+def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 24, depth: int = 3, penalty: float = 0.002, rounds: int = 600, seed: int = 7, tree_rows: int = 4000) -> RuleEnsemble:
     """Rules from trees, then lasso logistic weights by accelerated proximal gradient.
 
-    With no rows the score is 0.5; with one class it is near that class.
+    Each tree grows on ``tree_rows`` rows at most, drawn with repetition; the weights
+    are fitted on all rows.  With no rows the score is 0.5; with one class it is near
+    that class.
     """
     y = y.astype(float)
     base = (y.sum() + 0.5) / (len(y) + 1)
@@ -163,7 +163,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 24, depth: int = 3, penalt
     rng = np.random.default_rng(seed)
     if len(y) and y.min() != y.max():
         for _ in range(trees):
-            pick = rng.integers(0, len(y), min(len(y), 4000))
+            pick = rng.integers(0, len(y), min(len(y), tree_rows))
             _grow(x[pick], y[pick], depth, max(5, len(pick) // 200), (), rng.choice(x.shape[1], max(1, x.shape[1] // 2), replace=False), rules)
     ordered = sorted(rules, key=lambda r: r.tests)
     held = {}
@@ -203,7 +203,13 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_row
 
 
 def classify(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
-    """All columns of ``docs`` with ``score`` and ``predicted``; null and empty texts have all statistics 0."""
+    """All columns of ``docs`` with ``score`` and ``predicted``.
+
+    Null and empty texts have all statistics 0 and a score like any other.  Own
+    columns of these two names are replaced, all others are kept.  Repeated rows
+    stay; an empty table gives an empty one.  Texts are handled whole, in blocks.
+    """
     docs = docs.drop("score", "predicted")
-    scored = with_statistics(docs).withColumn("score", model.column(F.col("stats"))).drop("stats")
+    stats = textkit.free_name(docs, "stats")
+    scored = with_statistics(docs, stats).withColumn("score", model.column(F.col(stats))).drop(stats)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

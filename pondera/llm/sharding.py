@@ -61,10 +61,11 @@ def place(docs: DataFrame, *, shards: int | list[str] = 64, slots: int = 65537,
     """Add ``slot`` and ``shard`` to every row.
 
     The key is the id's text; rows with a null id are placed by their text, so
-    that they spread too.  Equal keys go to one shard.  Columns named ``slot`` or
-    ``shard`` are replaced.
+    that they spread too.  Equal keys, and so repeated rows, go to one shard.
+    Columns named ``slot`` or ``shard`` are replaced, all others are kept.  An empty
+    table gives an empty one; texts are never moved, whatever their length.
     """
     names = shards if isinstance(shards, list) else [f"shard-{i}" for i in range(shards)]
-    by = F.coalesce(F.col(f"`{key}`").cast("string"), *([F.col("text")] if "text" in docs.columns else []), F.lit(""))
+    by = F.coalesce(F.col(f"`{key.replace('`', '``')}`").cast("string"), *([F.col("text")] if "text" in docs.columns else []), F.lit(""))
     docs = docs.drop("slot", "shard").withColumn("slot", slot_of(by, slots))
     return docs.join(F.broadcast(lookup(docs.sparkSession, names, slots)), "slot")

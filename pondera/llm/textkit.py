@@ -14,7 +14,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 BLOCK = 1 << 20
 _U = np.uint64
@@ -99,6 +101,31 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return wrapped
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def beside(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str) -> DataFrame:
+    """All columns of ``docs``, whatever their names, and those that ``run`` adds.
+
+    ``run`` takes batches with one column ``row``, a struct, and returns it with the
+    columns ``added`` (their names and types).
+    """
+    new = StructType.fromDDL(added)
+    rows = docs.select(F.struct("*").alias("row")).mapInArrow(lean(run), StructType([StructField("row", docs.schema, False), *new]))
+    return rows.select("row.*", *new.names)
+
+
+def field(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of the batch's ``row``."""
+    row = batch.column("row")
+    return row.field(row.type.get_field_index(name))
+
+
 def bound_batches(spark: SparkSession, n_bytes: int = 8 << 20) -> None:
     """Have Arrow batches bounded by bytes, as texts differ much in size; a session's own smaller bound stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -1,5 +1,6 @@
 """Edge cases of each operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import pickle
 import random
 
 import numpy as np
@@ -270,12 +271,31 @@ def test_matches_against_plain(spark, group_bytes):
         assert (r.n_hit, r.hit_items) == (n, sorted(map(str, found)))
 
 
+def test_automaton_knows_all_runs_and_is_small():
+    rng = random.Random(4)
+    seqs = [[rng.randrange(6) for _ in range(rng.randrange(30))] for _ in range(20)]
+    auto = decontamination.SuffixAutomaton()
+    for s in seqs:
+        auto.add(s)
+    runs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+    for _ in range(2000):
+        r, state = tuple(rng.randrange(6) for _ in range(rng.randrange(1, 7))), 0
+        for c in r:
+            state = auto.step(state, c) if state >= 0 else -1
+        assert (state >= 0) == (r in runs)
+    text = {" ".join(f"w{rng.randrange(20_000)}" for _ in range(400)): [str(i)] for i in range(250)}
+    assert len(pickle.dumps(decontamination.build(text, 10))) < 15 * sum(map(len, text))
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, "Hello world"), (2, None), (3, "..."), (None, "no ID here")], "item_id long, text string")
     docs = odd(spark).union(spark.createDataFrame([(9, "say: HELLO, World! again")], "doc_id long, text string")).withColumn("n_hit", F.lit("clash"))
     got = decontamination.matches(docs, items).collect()
     assert len(got) == len(ODD) + 1 and sorted(r.doc_id or 0 for r in got if r.n_hit) == [0, 4, 4, 9]
     assert next(r for r in got if r.doc_id is None).hit_items == []
+    for g in (1 << 20, 1):
+        clash = decontamination.matches(docs.withColumn("_items", F.lit(5)).withColumn("uid", F.lit(6)).withColumn("marks", F.lit(7)).withColumn("a`b.c", F.lit(8)), items, group_bytes=g).where("doc_id = 9").first()
+        assert (clash["_items"], clash["uid"], clash["marks"], clash["a`b.c"], clash["hit_items"]) == (5, 6, 7, 8, ["1"])
     kept = decontamination.decontaminate(docs, items)
     assert kept.columns == docs.columns and kept.count() == len(ODD) + 1 - 4
     cut = decontamination.decontaminate(docs, items, max_words=5, max_coverage=0.9, cut=True).where("doc_id = 9").first()
@@ -348,6 +368,19 @@ def test_damaged_files(spark):
     assert matroska.read_back(matroska.store_texts(none(spark))).count() == 0
 
 
+def test_hostile_numbers(spark):
+    track = e(matroska.TRACKS, e(matroska.TRACK_ENTRY, e(matroska.TRACK_NUMBER, b"\1") + e(matroska.AUDIO, e(matroska.SAMPLING_FREQUENCY, bytes(8)))))
+    block = e(matroska.SIMPLE_BLOCK, b"\x81\x00\x05\x00zz")
+    cluster = e(matroska.CLUSTER, e(matroska.CLUSTER_TIMESTAMP, b"\x0a") + block)
+    far = e(matroska.SEGMENT, e(matroska.INFO, e(matroska.TIMESTAMP_SCALE, b"\xff" * 8)) + cluster)
+    wide = e(matroska.SEGMENT, e(matroska.INFO, e(matroska.TIMESTAMP_SCALE, b"\xff" * 9)) + cluster)
+    files = spark.createDataFrame([("far", far), ("wide", wide), ("rate", e(matroska.SEGMENT, track + cluster)), ("empty", e(matroska.SEGMENT, b""))], "name string, file binary")
+    got = {r.name: r.error for r in matroska.packets(files, key="name", media="file").collect()}
+    assert got["far"] and got["wide"] and got["rate"] is None
+    back = matroska.read_back(files.selectExpr("name as doc_id", "1L as n_bytes", "file as media")).collect()
+    assert len(back) == 4 and all(r.feature.startswith("error: ") and r.payload_sha256 is None for r in back)
+
+
 # ---- 10 sharding
 
 def test_table_is_even_and_stable():
@@ -368,3 +401,21 @@ def test_sharding_edges(spark):
     got = sharding.place(docs, shards=5, slots=101).collect()
     assert len(got) == len(ODD) and len({r.shard for r in got if r.doc_id == 4}) == 1 and all(0 <= r.shard < 5 for r in got)
     assert sharding.place(none(spark), shards=5, slots=101).count() == 0
+
+
+# ---- clashing names
+
+def test_columns_with_clashing_names_stay(spark):
+    names = ["best", "at", "copy", "mixed_source", "stats", "_label", "_items", "row", "uid", "node", "comp", "slot_", "a`b", "c.d"]
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en", "s"), (None, None, None, None)], "doc_id long, text string, lang string, source string")
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(i))
+    items = spark.createDataFrame([(1, "the cat")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    mixed = mixing.mix(docs)
+    outs = [langid.identify(docs, langid.train(train_rows(spark))), quality.classify(docs, quality.train(docs, labels)), decontamination.matches(docs, items), decontamination.decontaminate(docs, items), mixed, mixing.emit(mixed), sharding.place(docs, shards=3, slots=11), decontamination.decontaminate(docs, items, max_words=9, max_coverage=1.0, cut=True)]
+    for out in outs:
+        assert [c for c in out.columns if c in names] == names
+        assert all([r[n] for n in names] == list(range(len(names))) for r in out.collect())
+    assert outs[-1].where("doc_id = 1").first().text == " and the dog"
+    assert near_dup.near_duplicates(docs).count() == repeats.remove_repeats(docs).count() == ngram_lm.score_texts(docs).count() == matroska.read_back(matroska.store_texts(docs)).count() == 2
