@@ -8,7 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def canonical_json(value: object) -> str:
@@ -42,13 +42,20 @@ def canonical(raw: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def indented(raw: pd.Series) -> pd.Series:
     """An entry as prompt text: null is empty, a JSON string is itself, all else is indented by two."""
-    def one(text):
-        if text is None:
-            return ""
-        value = json.loads(text)
-        return "" if value is None else value if isinstance(value, str) else json.dumps(value, indent=2, ensure_ascii=False)
+    return raw.map(_indented)
 
-    return raw.map(one)
+
+@F.pandas_udf(ArrayType(StringType()))
+def all_indented(raw: pd.Series) -> pd.Series:
+    """The same for every entry of an array; null for a null array."""
+    return raw.map(lambda entries: None if entries is None else [_indented(e) for e in entries])
+
+
+def _indented(text: str | None) -> str:
+    if text is None:
+        return ""
+    value = json.loads(text)
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, indent=2, ensure_ascii=False)
 
 
 def sha256(text: Column) -> Column:

@@ -50,11 +50,15 @@ def intervals(drawn: DataFrame) -> DataFrame:
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     """Metric differences b - a of the same examples: ``id, cluster, hit, nll, brier, confidence`` (confidence 0).
 
-    Both tables must hold the same ids with the same candidates and label: an id
-    that one lacks, or that differs, fails the query.
+    Both tables must hold the same ids with the same label, number of scores and, as
+    far as both have them, ``ids``, ``candidates``, ``texts`` and ``fen``: an id that one
+    lacks, or that differs, fails the query.
     """
     x, y = a.alias("x"), b.alias("y")
     same = F.col("x.label").eqNullSafe(F.col("y.label")) & (F.size("x.scores") == F.size("y.scores"))
+    for c in ("ids", "candidates", "texts", "fen"):
+        if c in a.columns and c in b.columns:
+            same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
     joined = x.join(y, F.col("x.id") == F.col("y.id"), "full")
     checked = joined.where(F.when(F.coalesce(same & F.col("x.id").isNotNull() & F.col("y.id").isNotNull(), F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("examples do not match"))))
     return checked.select("x.id", "x.cluster", *[(F.col(f"y.{c}") - F.col(f"x.{c}")).alias(c) for c in ("hit", "nll", "brier")], F.lit(0.0).alias("confidence"))

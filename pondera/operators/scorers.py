@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pondera.functions import scores as S
 from pondera.operators.tasks import worst_difference
+from pondera.plans.scratch import Scratch
 
 BOS = "<s>"
 SCORED = "id string, pos int, option string, n_tokens int, logprob_sum double, logprob_uncond double"
@@ -50,12 +51,16 @@ class Bigrams:
 
 
 def train_bigrams(texts: DataFrame, *, column: str = "text", unit: str = "word", k: float = 0.5) -> Bigrams:
-    """Count neighbours over all texts, each started by a sentinel.  Partial sums come before the shuffle."""
+    """Count neighbours over all texts, each started by a sentinel.
+
+    Partial sums come before the shuffle.  The counts are written once, so that
+    scoring doesn't count again.
+    """
     t = UNITS[unit](F.col(column))
     n = F.greatest(F.size("t") - 1, F.lit(0))
     joined = F.arrays_zip(F.slice("t", 1, n).alias("a"), F.slice("t", 2, n).alias("b"))
     pairs = texts.select(F.concat(F.array(F.lit(BOS)), t).alias("t")).select(F.explode(joined).alias("p")).select("p.a", "p.b")
-    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counts = Scratch(texts.sparkSession, "bigrams").keep(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "counts")
     singles = counts.groupBy("a").agg(F.sum("n").alias("n"))
     return Bigrams(counts, singles, counts.agg(F.countDistinct("b")).first()[0] or 0, unit, k)
 
@@ -76,26 +81,31 @@ def invariance(tasks: DataFrame, score: Callable[[DataFrame], DataFrame], *, tol
     return worst_difference(flat(tasks), turned.withColumn("id", F.substring("id", 9, 1 << 20)), tolerance)
 
 
-def _steps(tasks: DataFrame, model: Bigrams) -> DataFrame:
-    """Each option's tokens with the token before: the context's last one, or the sentinel, before the first."""
-    tokens = UNITS[model.unit]
-    flat = tasks.select("id", F.coalesce(F.try_element_at(tokens(F.col("context")), F.lit(-1)), F.lit(BOS)).alias("last"), F.posexplode("options").alias("pos", "option"))
-    t = tokens(F.col("option"))
-    checked = flat.withColumn("t", F.when(F.size(t) > 0, t).otherwise(F.raise_error(F.lit("an option has no token"))))
-    lead = lambda first: F.slice(F.concat(F.array(first), F.col("t")), 1, F.size("t"))
-    return checked.select("id", "pos", "option", F.explode(F.arrays_zip(lead(F.col("last")).alias("a"), lead(F.lit(BOS)).alias("u"), F.col("t").alias("b"))).alias("s")).select("id", "pos", "option", "s.*")
+def _with_log_probability(steps: DataFrame, model: Bigrams) -> DataFrame:
+    """Add ``lp`` to rows with a token ``b`` and the one before it, ``a``."""
+    joined = steps.join(model.pairs.withColumnRenamed("n", "np"), ["a", "b"], "left").join(model.singles.withColumnRenamed("n", "ns"), "a", "left")
+    return joined.withColumn("lp", model.log_probability(F.col("np"), F.col("ns"))).drop("np", "ns")
 
 
 def score_bigrams(tasks: DataFrame, model: Bigrams) -> DataFrame:
-    """Score options with the context shared: only its last token matters to a bigram.
+    """Score options with all that they share: a bigram sees only the context's last token, and only at an option's first.
 
-    ``logprob_uncond`` has the sentinel in the context's place; it differs in the first token alone.
+    Tokens after the first are scored once for each distinct option, and first tokens
+    once for each distinct pair with a context's last.  ``logprob_uncond`` has the
+    sentinel in the context's place.
     """
-    steps = _steps(tasks, model)
-    both = steps.select("id", "pos", "option", "b", F.explode(F.array(F.struct(F.lit(True).alias("given"), F.col("a")), F.struct(F.lit(False).alias("given"), F.col("u").alias("a")))).alias("g")).select("id", "pos", "option", "b", "g.*")
-    joined = both.join(model.pairs.withColumnRenamed("n", "np"), ["a", "b"], "left").join(model.singles.withColumnRenamed("n", "ns"), "a", "left")
-    lp = model.log_probability(F.col("np"), F.col("ns"))
-    return joined.groupBy("id", "pos", "option").agg(F.count(F.when(F.col("given"), 1)).cast("int").alias("n_tokens"), F.sum(F.when(F.col("given"), lp)).alias("logprob_sum"), F.sum(F.when(~F.col("given"), lp)).alias("logprob_uncond"))
+    tokens, scratch = UNITS[model.unit], Scratch(tasks.sparkSession, "scored")
+    last = F.coalesce(F.try_element_at(tokens(F.col("context")), F.lit(-1)), F.lit(BOS))
+    flat = scratch.keep(tasks.select("id", last.alias("a"), F.posexplode("options").alias("pos", "option")), "flat")
+    t = tokens(F.col("option"))
+    distinct = flat.select("option").distinct().withColumn("t", F.when(F.size(t) > 0, t).otherwise(F.raise_error(F.lit("an option has no token"))))
+    steps = distinct.select("option", F.posexplode(F.arrays_zip(F.slice(F.concat(F.array(F.lit(BOS)), F.col("t")), 1, F.size("t")).alias("a"), F.col("t").alias("b"))).alias("i", "s")).select("option", "i", "s.a", "s.b")
+    rest = F.coalesce(F.sum(F.when(F.col("i") > 0, F.col("lp"))), F.lit(0.0))
+    options = _with_log_probability(steps, model).groupBy("option").agg(F.count(F.lit(1)).cast("int").alias("n_tokens"), F.max(F.when(F.col("i") == 0, F.col("b"))).alias("b"), F.sum("lp").alias("logprob_uncond"), rest.alias("rest"))
+    options = scratch.keep(options, "options")
+    rows = flat.join(options, "option")
+    firsts = _with_log_probability(rows.select("a", "b").distinct(), model)
+    return rows.join(firsts, ["a", "b"]).select("id", "pos", "option", "n_tokens", (F.col("lp") + F.col("rest")).alias("logprob_sum"), "logprob_uncond")
 
 
 def score_naive(tasks: DataFrame, model: Bigrams) -> DataFrame:
@@ -114,10 +124,10 @@ def score_naive(tasks: DataFrame, model: Bigrams) -> DataFrame:
 
 
 def distributions(scored: DataFrame, *, norm: str = "mean") -> DataFrame:
-    """``id, options, scores, probabilities`` by norm, candidates in their own order."""
+    """``id, options, scores, probabilities, n_tokens`` by norm, candidates in their own order; ``n_tokens`` is of all options."""
     s = scored.withColumn("score", S.normalised(norm, F.col("logprob_sum"), F.col("n_tokens"), F.col("logprob_uncond")))
-    rows = s.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "option", "score"))).alias("c"))
-    out = rows.select("id", F.transform("c", lambda c: c["option"]).alias("options"), F.transform("c", lambda c: c["score"]).alias("scores"))
+    rows = s.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "option", "score"))).alias("c"), F.sum("n_tokens").cast("long").alias("n_tokens"))
+    out = rows.select("id", "n_tokens", F.transform("c", lambda c: c["option"]).alias("options"), F.transform("c", lambda c: c["score"]).alias("scores"))
     few = F.when(F.size("scores") < 2, F.raise_error(F.lit("need at least two options"))).otherwise(F.lit(True))
     return out.where(few).withColumn("probabilities", S.softmax(F.col("scores")))
 
@@ -125,7 +135,7 @@ def distributions(scored: DataFrame, *, norm: str = "mean") -> DataFrame:
 def score_with_forced(tasks: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Score tasks of several options; a single option gets score 0 without the model."""
     many = score(tasks.where(F.size("options") > 1))
-    forced = tasks.where(F.size("options") == 1).select("id", "options", F.array(F.lit(0.0)).alias("scores"), F.array(F.lit(1.0)).alias("probabilities"))
+    forced = tasks.where(F.size("options") == 1).select("id", "options", F.array(F.lit(0.0)).alias("scores"), F.array(F.lit(1.0)).alias("probabilities"), F.lit(0).cast("long").alias("n_tokens"))
     return many.unionByName(forced)
 
 
@@ -263,19 +273,17 @@ def score_attention(tasks: DataFrame, head: AttentionHead) -> DataFrame:
 
 
 def train_attention(train: DataFrame, validation: DataFrame, *, rank: int = 16, epochs: int = 8, batch_size: int = 64, lr: float = 5e-4, weight_decay: float = 1e-4, seed: int = 7, brier_weight: float = 0.0, selection: str = "top1", max_rows: int = 50_000) -> tuple[AttentionHead, list[dict]]:
-    """AdamW with clipped gradients on at most ``max_rows`` labelled rows per role, those with the smallest id hashes.
+    """AdamW with clipped gradients on at most ``max_rows`` labelled rows, those with the smallest id hashes.
 
     The best epoch by the validation metric (top1, nll or brier; the first of
-    equals) is returned with the history.
+    equals) over all labelled validation rows is returned with the history.
     """
     if brier_weight < 0 or not np.isfinite(brier_weight) or selection not in ("top1", "nll", "brier"):
         raise ValueError("invalid Brier weight or selection metric")
-    def rows(df: DataFrame) -> list[tuple]:
-        got = df.where("label is not null").select("id", "context", "options", "label").orderBy(F.md5(F.col("id").cast("string"))).limit(max_rows).collect()
-        return [(np.array(r["context"], float), np.array(r["options"], float), r["label"]) for r in got]
-
-    tr, va = rows(train), rows(validation)
-    if not tr or not va:
+    picked = train.where("label is not null").select("id", "context", "options", "label").orderBy(F.md5(F.col("id").cast("string"))).limit(max_rows).collect()
+    tr = [(np.array(r["context"], float), np.array(r["options"], float), r["label"]) for r in picked]
+    va = validation.where("label is not null")
+    if not tr or va.isEmpty():
         raise ValueError("no labelled rows")
     head, rng = AttentionHead.random(tr[0][0].shape[1], rank, seed), np.random.default_rng(seed)
     m, v, step, best, history = [np.zeros_like(w) for w in head.weights], [np.zeros_like(w) for w in head.weights], 0, (-np.inf, head), []
@@ -294,9 +302,9 @@ def train_attention(train: DataFrame, validation: DataFrame, *, rank: int = 16,
             m = [0.9 * a + 0.1 * g for a, g in zip(m, grads, strict=True)]
             v = [0.999 * a + 0.001 * g * g for a, g in zip(v, grads, strict=True)]
             head = AttentionHead.of([w * (1 - lr * weight_decay) - lr * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8) for w, a, b in zip(head.weights, m, v, strict=True)])
-        found = [(head.forward(c, o)[0], y) for c, o, y in va]
-        top1 = float(np.mean([z.argmax() == y for z, y in found]))
-        nll, brier = float(np.mean([choice_loss(z, y)[0] for z, y in found])), float(np.mean([choice_loss(z, y, 1.0)[0] - choice_loss(z, y)[0] for z, y in found]))
+        found = score_attention(va, head)
+        hit = (S.first_best(F.col("scores")) == F.col("label")).cast("double")
+        top1, nll, brier = found.agg(F.avg(hit), F.avg(S.nll(F.col("scores"), F.col("label"))), F.avg(S.brier(S.softmax(F.col("scores")), F.col("label")))).first()
         history.append({"epoch": epoch, "train_loss": total / len(tr), "val_top1": top1, "val_nll": nll, "val_brier": brier})
         metric = top1 if selection == "top1" else -(nll if selection == "nll" else brier)
         if metric > best[0]:

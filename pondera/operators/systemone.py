@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pondera.functions import scores as S
 from pondera.functions import text as X
 from pondera.operators import scorers
+from pondera.plans.scratch import Scratch
 
 # The prompts' sentences.
 CHOICE_HEAD, SCORE_HEAD = "Choose exactly one option.\nOptions:\n", "Rate on the following ordered levels and answer with the level number only.\nLevels:\n"
@@ -65,12 +66,12 @@ def explode_requests(requests: DataFrame) -> DataFrame:
 
 
 def render(questions: DataFrame) -> DataFrame:
-    """Add ``prompt`` and ``labels``; an invalid question fails the query."""
+    """Add ``prompt`` and ``labels``, row by row; an invalid question fails the query."""
     broken = fault(F.col("type"), F.col("criteria"))
     rows = questions.where(F.when(broken.isNotNull(), F.raise_error(broken)).otherwise(F.lit(True)))
-    flat = rows.select("request_id", "qid", F.posexplode_outer("criteria").alias("pos", "c")).select("request_id", "qid", "pos", "c.name", X.indented("c.desc").alias("desc"))
-    listed = flat.groupBy("request_id", "qid").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "name", "desc")))).alias("entries"))
-    joined = rows.join(listed, ["request_id", "qid"]).withColumns({"_s": X.indented("state"), "_i": X.indented("instructions")})
+    empty = F.array().cast("array<struct<name:string,desc:string>>")
+    joined = rows.withColumns({"_d": X.all_indented(F.transform(F.coalesce("criteria", empty), lambda c: c["desc"])), "_s": X.indented("state"), "_i": X.indented("instructions")})
+    joined = joined.withColumn("entries", F.transform(F.coalesce("criteria", empty), lambda c, i: F.struct(i.alias("pos"), c["name"].alias("name"), F.get("_d", i).alias("desc"))))
     titled = lambda head, e: F.when(e["desc"] != "", F.concat(head, F.lit(": "), e["desc"])).otherwise(head)
     choice = F.concat(F.lit(CHOICE_HEAD), F.array_join(F.transform("entries", lambda e: titled(F.concat(F.lit("- "), e["name"]), e)), "\n"), F.lit(TAIL))
     score = F.concat(F.lit(SCORE_HEAD), F.array_join(F.transform("entries", lambda e: titled(e["pos"].cast("string"), e)), "\n"), F.lit(TAIL))
@@ -79,7 +80,7 @@ def render(questions: DataFrame) -> DataFrame:
     noul = F.concat(when(YES_HEAD, "true"), when(NO_HEAD, "false"), F.lit(NOUL_TAIL))
     body = F.when(F.col("type") == "choice", choice).when(F.col("type") == "score", score).otherwise(noul)
     labels = F.when(F.col("type") == "choice", F.transform("entries", lambda e: e["name"])).when(F.col("type") == "score", F.transform("entries", lambda e: e["pos"].cast("string"))).otherwise(F.array(F.lit("yes"), F.lit("no")))
-    return joined.withColumns({"prompt": F.concat(X.block("State", F.col("_s")), X.block("Question", F.col("_i")), body), "labels": labels}).drop("_s", "_i", "entries")
+    return joined.withColumns({"prompt": F.concat(X.block("State", F.col("_s")), X.block("Question", F.col("_i")), body), "labels": labels}).drop("_s", "_i", "_d", "entries")
 
 
 def answer(scored: DataFrame) -> DataFrame:
@@ -103,14 +104,15 @@ def system_one(questions: DataFrame, score: Callable[[DataFrame], DataFrame], *,
     """Answer every question with a scorer (see ``scorers``): question rows with answers and ``input_tokens, output_tokens``.
 
     Rows have ``state`` beside the question's columns, so a question never meets
-    its request in a join.
+    its request in a join.  Rendered questions are numbered and written once; null
+    and repeated ids stay, each row with its own answer.
     """
-    rendered = render(questions).withColumn("id", F.concat_ws("\x1f", "request_id", "qid"))
+    scratch = Scratch(questions.sparkSession, "systemone")
+    rendered = render(questions).withColumn("input_tokens", F.size(scorers.words_of(F.col("prompt"))).cast("long"))
+    rendered = scratch.keep(rendered.withColumn("id", F.monotonically_increasing_id().cast("string")), "rendered")
     scored = score(rendered.select("id", F.col("prompt").alias("context"), F.col("labels").alias("options")))
-    tokens = scored.groupBy("id").agg(F.sum("n_tokens").cast("long").alias("output_tokens"))
-    spread = scorers.distributions(scored, norm=norm).select("id", "probabilities")
-    context = F.size(scorers.words_of(F.col("prompt"))).cast("long").alias("input_tokens")
-    return answer(rendered.join(spread, "id").join(tokens, "id")).select("*", context).drop("id")
+    spread = scorers.distributions(scored, norm=norm).select("id", "probabilities", F.col("n_tokens").alias("output_tokens"))
+    return answer(rendered.join(spread, "id")).drop("id")
 
 
 def responses(answers: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A stage boundary is a Parquet table in the folder that the cluster names in
 ``spark.checkpoint.dir``: it survives lost executors, unlike shuffle files or
-local checkpoints.  Where the setting is absent (tests, notebooks) a folder of
-the local machine is used and set.
+local checkpoints.  Where the setting is absent a local master (tests, notebooks)
+uses and sets a folder of its machine; any other one refuses.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _own:
         _own.append(tempfile.TemporaryDirectory(prefix="pondera-"))
         sc.setCheckpointDir(_own[0].name)

@@ -76,6 +76,14 @@ def test_prompts_and_answers(spark, model):
         systemone.render(systemone.explode_requests(bad)).collect()
 
 
+def test_null_and_repeated_question_ids_stay(spark, model):
+    q = systemone.explode_requests(spark.createDataFrame([("r", '"hello"', json.dumps(QUESTIONS))], "request_id string, state string, questions string"))
+    odd = q.where("qid = 'ok'").withColumn("qid", F.lit(None).cast("string")).unionByName(q).unionByName(q.where("qid = 'pick'"))
+    assert systemone.render(odd).count() == 5
+    got = systemone.system_one(odd, lambda d: scorers.score_bigrams(d, model)).collect()
+    assert sorted(str(r.qid) for r in got) == ["None", "ok", "pick", "pick", "rate"]
+
+
 def test_certainty_and_draws(spark):
     df = spark.createDataFrame([([0.5, 0.5],), ([1.0, 0.0],), ([1.0],)], "p array<double>").coalesce(1)
     assert [r[0] for r in df.select(S.certainty(F.col("p"))).collect()] == [0, 1, 1]

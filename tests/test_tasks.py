@@ -214,3 +214,32 @@ def test_game_words(spark):
     got = spark.range(1).select(X.status(F.lit(90), F.lit(5), F.lit(1), F.lit(None).cast("string")), X.game_prompt("win", ["r"], [("s", "a")], F.lit("scene"), F.lit("state"))).first()
     assert got[0] == "Health 90, ammo 5, kills 1."
     assert got[1] == "You are playing Doom. Goal: win\n\nRules:\n- r\n\nExamples:\nSituation: s -> a\n\nSituation: scene\nstate\n->"
+
+
+def test_values_without_a_canonical_form_are_faults(spark):
+    head = '{"schema_version":1,"id":"t","question":"q","candidates":[{"id":"x","text":"X"},{"id":"y","text":"Y"}],"state":'
+    lines = [head + '{"x":1e999}}', head + '"\\ud800"}', head + '"ok"}', head.replace('"X"', '"\\udfff"') + '"s"}']
+    got = [r.error for r in tasks.parse_tasks(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)).collect()]
+    assert got[0] and got[1] and got[2] is None and got[3]
+
+
+def test_first_row_of_null_and_tied_keys(spark):
+    rows = spark.createDataFrame([(None, 1, "a"), (None, 0, "b"), ("k", 3, "x"), ("k", 3, "y")], "k string, n int, g string").withColumn("removed_", F.lit(1))
+    got = {r.k: r for r in tasks.keep_first(rows, "k", "n", "g").collect()}
+    assert len(got) == 2 and got[None].n == 0 and got[None].conflict and got["k"].removed == 1
+    assert {str(r) for r in tasks.keep_first(rows.repartition(3), "k", "n", "g").collect()} == {str(r) for r in got.values()}
+
+
+def test_limit_counts_rows_of_all_partitions(spark):
+    rows = spark.range(8).repartition(4).select(F.monotonically_increasing_id().alias("n"))
+    assert tasks.first_rows(rows, "n", 5).count() == 5 and tasks.first_rows(rows, "n", 0).count() == 8
+
+
+def test_pairs_must_have_the_same_candidates(spark):
+    from pondera.operators import resample
+
+    shape = "id string, cluster string, label int, scores array<double>, ids array<string>, hit double, nll double, brier double"
+    a, b = (spark.createDataFrame([("1", "c", 0, [1.0, 0.0], ids, 1.0, 0.1, 0.1)], shape) for ids in (["x", "y"], ["x", "z"]))
+    assert resample.paired(a, a).first().hit == 0
+    with pytest.raises(Exception, match="do not match"):
+        resample.paired(a, b).collect()
