@@ -115,35 +115,6 @@ def signatures(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(textkit.lean(run), f"uid bigint, doc_id {kind}, n bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches that are sorted by the columns."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = np.flatnonzero(_changes(batch, columns))
-        cut = int(new[-1]) + 1 if len(new) else 0
-        if rest and any(rest[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in columns):
-            yield pa.Table.from_batches(rest).combine_chunks()
-            rest = []
-        if cut:
-            yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks()
-            rest = [batch.slice(cut)]
-        else:
-            rest.append(batch)
-    if rest:
-        yield pa.Table.from_batches(rest).combine_chunks()
-
-
-def _changes(rows: pa.RecordBatch | pa.Table, columns: list[str]) -> np.ndarray:
-    """Whether a row's group differs from that of the row before, from the second row on."""
-    out = np.zeros(max(rows.num_rows - 1, 0), bool)
-    for c in columns:
-        key = rows.column(c).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy()
-        out |= key[1:] != key[:-1]
-    return out
-
-
 def _fixed(column: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
     data, _ = textkit.utf8(column.cast(pa.binary()).combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
     return data.view(np.uint64).reshape(-1, words) if len(data) % 8 == 0 and data.ctypes.data % 8 == 0 else np.frombuffer(data.tobytes(), np.uint64).reshape(-1, words)
@@ -200,7 +171,7 @@ _CELL = ["group", "kind", "lo", "hi"]
 
 
 def _cells(t: pa.Table) -> Iterator[tuple[int, int]]:
-    at = np.concatenate([[0], np.flatnonzero(_changes(t, _CELL)) + 1, [t.num_rows]])
+    at = np.concatenate([[0], np.flatnonzero(textkit.changes(t, _CELL)) + 1, [t.num_rows]])
     yield from ((i, j) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if j - i > 1)
 
 
@@ -225,7 +196,7 @@ def _close_pairs(limit: int, percent: int):
         return off, label[off]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, _CELL):
+        for t in textkit.whole_groups(batches, _CELL):
             node, comp, side, n = (t.column(c).to_numpy() for c in ("node", "comp", "side", "n"))
             s = _fixed(t.column("sketch"), BITS // 64)
             for i, j in _cells(t):
@@ -275,7 +246,7 @@ def _cell_links(percent: int, limit: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, _CELL):
+        for t in textkit.whole_groups(batches, _CELL):
             node, comp, side = (t.column(c).to_numpy() for c in ("node", "comp", "side"))
             s = _fixed(t.column("sketch"), BITS // 64)
             sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in t.column("names")]

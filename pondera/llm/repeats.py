@@ -1,23 +1,27 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
-
-A position's rank at length h names its next h bytes.  Ranks double: the rank at
-2h is made from the pair of ranks at a position and h further on; here they are
-64-bit names, equal for equal bytes in every task, so the first rounds (1, 2, 4
-... 32 bytes) need no exchange.  Only then are positions sorted across the
-cluster, in two rounds with pruning:
-
-1. Of every ``length``-byte string, the ``ANCHOR``-byte substrings of smallest
-   rank are its anchors; equal strings have equal anchors, and one position in
-   sixteen is one.  Anchors are sorted by the pair (own rank, rank of all bytes
-   within reach of the strings around it).  Where the pair is also in an earlier
-   document, all those strings repeat.  Where the own rank is in one document only,
-   none does, and the position is settled as unique.
-2. What is left are anchors with the same own rank in other surroundings: there
-   the strings themselves, named by the pair of ranks at their start and end,
-   are sorted.
-
-Both rounds go through the chunk exchange, so a passage that is in a third of
-all documents is one entry per chunk.
+"""Removal of repeated byte strings by distributed prefix doubling over sampled positions.
+
+Sorting every byte position at every doubling would shuffle over a hundred times
+the input, so positions are sampled by content: of every ``length``-byte string,
+the smallest (by a mixing order, the first of equals) of its ``BASE``-byte
+substrings is its anchor.  Equal strings have equal anchors at the same place, and
+one position in about seventeen is one.  Then, with ``n`` anchors to a chain:
+
+1. Spark sorts anchors by their own bytes and ranks them.  An anchor whose bytes are
+   in one document only is settled: none of its strings repeats.
+2. Chains double.  At offsets of 1, 2, 4 ... anchors Spark sorts the pairs (rank of
+   a chain, rank of the chain that follows it, the bytes in between) and ranks them
+   anew.  A pair in one document only is settled as unique; a chain that is at
+   least ``length`` bytes long is settled as past the threshold, and if it is in an
+   earlier document, all its bytes go.
+3. What is left are strings at the edges of repeats, which no such chain holds.  For
+   each anchor that is in several documents, the bytes around it that these
+   strings reach are grouped by the anchor's rank, and the strings themselves are
+   sorted and compared.  A rank with very many surroundings is dealt out by string.
+
+Ranks number distinct keys in the order of a sorted partition, one partition after
+the other; a key is compared as whole bytes, so no hash decides anything.  A chunk
+of texts sends each distinct key once, so a passage that is in a third of all
+documents costs a row for each chunk, and rows grow with the input, not faster.
 """
 
 from __future__ import annotations
@@ -27,243 +31,390 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pondera.llm import exchange, textkit
 from pondera.plans.scratch import Scratch
 
-ANCHOR = 20
-BUCKET_BYTES = 8 << 20
+BASE = 16
 _BLOCK = 1 << 19
-_U = np.uint64
-_A, _B = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
-_NAMES = textkit._BYTE_CODE
+_PLACES = np.uint64((1 << 20) - 1)
+_A, _B = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_HEAD = 4
+_PACKED = "chunk bigint, doc_ids array<bigint>, offsets array<bigint>, data binary, anchors binary"
+_STATE = "chunk bigint, body binary, cover binary"
+_NOTES = "chunk bigint, kind int, cid int, x binary"
+ALIVE, COVER, HITS = 0, 1, 2
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return textkit.mix(a * _A + b * _B)
+def _pack(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
 
 
-def _double(names: np.ndarray, h: int) -> np.ndarray:
-    return _pair(names[: len(names) - h], names[h:])
+def _unpack(raw: bytes | pa.Buffer, kind: np.dtype | type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
-def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
-    """``f`` over all windows of w entries, by doubling."""
+def _slide(x: np.ndarray, w: int) -> np.ndarray:
+    """Minima of all windows of w entries, by doubling."""
     h = 1
     while 2 * h <= w:
-        x = f(x[: len(x) - h], x[h:])
+        x = np.minimum(x[: len(x) - h], x[h:])
         h *= 2
-    return f(x[: len(x) - (w - h)], x[w - h :]) if w > h else x
-
-
-class Ranked:
-    """A chunk's texts with the ranks of its anchors and of any position.
-
-    ``length`` is from 2 * ANCHOR to 64.
-    """
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, live: np.ndarray, length: int):
-        self.length, self.reach = length, length - ANCHOR
-        n, row = len(data), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        self.row, self.offsets = row, offsets
-        begins = np.zeros(n, bool)  # where a string begins that stays in its text
-        if n:
-            begins[:] = live[row] & (np.arange(n) + length <= offsets[1:][row])
-        self.names32 = np.zeros(n, _U)
-        found: list[tuple[np.ndarray, ...]] = []
-        for s in range(0, n, _BLOCK):
-            e = min(n, s + _BLOCK)
-            lo, hi = max(0, s - self.reach), min(n, e + 64 + length)
-            x = _NAMES[data[lo:hi]]
-            x = np.concatenate([x, np.zeros(64 + length, _U)])
-            for h in (1, 2, 4, 8):
-                x = _double(x, h)
-            own = _pair(x[: hi - lo], x[ANCHOR - 16 : hi - lo + ANCHOR - 16])
-            self.names32[s:e] = _double(x, 16)[s - lo : e - lo]
-            low = _slide(np.concatenate([own, np.full(self.reach, ~_U(0))]), self.reach + 1, np.minimum)
-            low = np.where(begins[lo:hi], low, 0)  # by string's begin; own ranks of 0 don't matter
-            high = _slide(np.concatenate([np.zeros(self.reach, _U), low]), self.reach + 1, np.maximum)
-            p = np.flatnonzero((high == own) & (own > 0))
-            p = p[(p >= s - lo) & (p < e - lo)]
-            around = p[:, None] - np.arange(self.reach, -1, -1)
-            fits = (low[np.maximum(around, 0)] == own[p, None]) & (around >= 0)
-            first = fits.argmax(1)
-            found.append((p + lo, own[p], around[np.arange(len(p)), first] + lo, fits.sum(1)))
-        parts = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.at, self.own, self.first, self.strings = parts
-        self.own = textkit.mix(self.own ^ _A)  # anchors are minima: spread their ranks evenly again
-        self.anchor_row = row[self.at] if len(self.at) else self.at
-        self.left = np.maximum(offsets[:-1][self.anchor_row], self.at - self.reach)
-        self.right = np.minimum(offsets[1:][self.anchor_row], self.at + length)
-        size = self.right - self.left
-        context = self.names32[self.left] * _A + self.names32[self.left + (size - 32) // 2] * _B + self.names32[self.right - 32] * (_A ^ _B)
-        self.context = textkit.mix(context + (self.at - self.left).astype(_U) * _U(251) + size.astype(_U))
-
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin, row and rank of the distinct strings around the anchors ``which``."""
-        n = self.strings[which]
-        begin = np.unique(np.repeat(self.first[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())) if len(which) else np.zeros(0, np.int64)
-        return begin, self.row[begin] if len(begin) else begin, _pair(self.names32[begin], self.names32[begin + self.length - 32])
+    return np.minimum(x[: len(x) - (w - h)], x[w - h :]) if w > h else x
+
+
+def find_anchors(data: np.ndarray, offsets: np.ndarray, live: np.ndarray, length: int) -> np.ndarray:
+    """``first, count, at``: runs of strings with one anchor, by the first string's begin, their number and the anchor's place."""
+    n, w = len(data), length - BASE + 1
+    whole = np.flatnonzero(live & (np.diff(offsets) >= length))
+    valid = np.zeros(n + 1, np.int8)
+    valid[offsets[whole]] += 1
+    valid[offsets[whole + 1] - length + 1] -= 1
+    valid = np.cumsum(valid, dtype=np.int8)[:n] > 0
+    found = [np.zeros((3, 0), np.int64)]
+    for s in range(0, n, _BLOCK):
+        e = min(n, s + _BLOCK)
+        here = np.flatnonzero(valid[s:e])
+        if not len(here):
+            continue
+        m = e - s + w - 1
+        x = np.zeros(m + BASE, np.uint64)
+        part = data[s : s + m + BASE]
+        x[: len(part)] = part
+        for h in (1, 2, 4):
+            x = (x[: len(x) - h] << np.uint64(8 * h)) | x[h:]
+        order = textkit.mix(x[:m] * _A + x[8 : 8 + m] * _B)
+        order = (order & ~_PLACES) | np.arange(m, dtype=np.uint64)
+        at = (_slide(order, w) & _PLACES).astype(np.int64)[here]
+        new = np.ones(len(here), bool)
+        new[1:] = (at[1:] != at[:-1]) | (here[1:] != here[:-1] + 1)
+        first = np.flatnonzero(new)
+        found.append(np.stack([here[first] + s, np.diff(np.append(first, len(here))), at[first] + s]))
+    runs = np.concatenate(found, axis=1)
+    if not runs.shape[1]:
+        return runs
+    same = (runs[2, 1:] == runs[2, :-1]) & (runs[0, 1:] == runs[0, :-1] + runs[1, :-1])  # a run that a block's end cut
+    starts = np.flatnonzero(np.concatenate([[True], ~same]))
+    return np.stack([runs[0, starts], np.add.reduceat(runs[1], starts), runs[2, starts]])
+
+
+class _Groups:
+    """Rows grouped by equal values in all columns, groups in sorted order."""
+
+    def __init__(self, columns: list[np.ndarray]):
+        self.order = np.lexsort(columns[::-1])
+        new = np.zeros(len(self.order), bool)
+        new[:1] = True
+        for c in columns:
+            c = c[self.order]
+            new[1:] |= c[1:] != c[:-1]
+        self.starts = np.flatnonzero(new)
+        self.group = np.empty(len(new), np.int64)
+        self.group[self.order] = np.cumsum(new) - 1
+
+    def low(self, values: np.ndarray) -> np.ndarray:
+        return np.minimum.reduceat(values[self.order], self.starts) if len(self.starts) else values
+
+    def high(self, values: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(values[self.order], self.starts) if len(self.starts) else values
 
 
 class _Chunk:
-    """One packed chunk: ranked anchors, grouped by their pair of ranks."""
+    """Texts with their anchors."""
 
-    def __init__(self, batch, i: int, length: int):
+    def __init__(self, batch: pa.RecordBatch, i: int):
         self.chunk = batch.column("chunk")[i].as_py()
         ids = batch.column("doc_ids")[i].values
-        self.ids, self.live = ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_valid())
+        self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         self.offsets = batch.column("offsets")[i].values.to_numpy(zero_copy_only=False)
-        self.data = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8)
-        self.ranked = r = Ranked(self.data, self.offsets, self.live, length)
-        order = np.lexsort((r.context, r.own))
-        new = np.ones(len(order), bool)
-        new[1:] = (r.own[order][1:] != r.own[order][:-1]) | (r.context[order][1:] != r.context[order][:-1])
-        self.group = np.empty(len(order), np.int64)
-        self.group[order] = np.cumsum(new) - 1
-        self.own, self.context = r.own[order][new], r.context[order][new]
-        self.doc = self.ids[r.anchor_row]
-        self.lowest = np.full(len(self.own), np.iinfo(np.int64).max)
-        np.minimum.at(self.lowest, self.group, self.doc)
-
-    def settle(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Covered ranges by round 1, and the anchors that go on to round 2."""
-        r, got = self.ranked, flags[self.group]
-        covered = (got & 1 > 0) | (self.doc > self.lowest[self.group])
-        return r.left[covered], r.right[covered], np.flatnonzero(~covered & (got & 2 > 0))
-
-    def strings(self, covered: tuple[np.ndarray, np.ndarray], which: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Round 2: begin, document and group of each string, and each group's rank and smallest document."""
-        begin, row, name = self.ranked.windows(which)
-        reach = np.zeros(len(self.data) + 1, np.int64)
-        np.maximum.at(reach, covered[0], covered[1])
-        open_ = np.maximum.accumulate(reach)[begin] < begin + self.ranked.length
-        begin, row, name = begin[open_], row[open_], name[open_]
-        names, group = np.unique(name, return_inverse=True)
-        doc = self.ids[row]
-        lowest = np.full(len(names), np.iinfo(np.int64).max)
-        np.minimum.at(lowest, group, doc)
-        return begin, doc, group, names, lowest
-
-
-def _ids(docs: np.ndarray) -> bytes:
-    """Document ids as a base and 4 bytes each where they are that near, else 8."""
-    base = int(docs.min()) if len(docs) else 0
-    if len(docs) and int(docs.max()) - base < 1 << 32:
-        return np.int64(base).tobytes() + b"\4" + (docs - base).astype(np.uint32).tobytes()
-    return np.int64(0).tobytes() + b"\10" + docs.astype(np.int64).tobytes()
-
-
-def _unids(raw: bytes) -> np.ndarray:
-    base = np.frombuffer(raw, np.int64, 1)[0]
-    return np.frombuffer(raw[9:], np.uint32 if raw[8] == 4 else np.int64).astype(np.int64) + base
-
-
-_REQUEST = "bucket bigint, chunk bigint, names binary, pairs binary, docs binary"
-_REPLY = "chunk bigint, round int, bucket bigint, flags binary"
-
-
-def _blocks(chunk: int, names: np.ndarray, context: np.ndarray | None, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
-    at = exchange.bucket_borders(names, buckets)
-    low = (context & _U((1 << 48) - 1)) if context is not None else None
-    rows = []
-    for b in range(buckets):
-        s = slice(at[b], at[b + 1])
-        if at[b] < at[b + 1]:
-            rows.append((b, chunk, names[s].tobytes(), low[s].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if low is not None else b"", _ids(docs[s])))
-    columns = zip(*rows, strict=True) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), *[pa.binary()] * 3], strict=True)], ["bucket", "chunk", "names", "pairs", "docs"])
-
-
-def _round_one(length: int, buckets: int):
+        self.data = _unpack(batch.column("data")[i].as_buffer(), np.uint8)
+        runs = _unpack(batch.column("anchors")[i].as_buffer(), np.int32).reshape(3, -1).astype(np.int64)
+        self.first, self.count, self.at = np.cumsum(runs[0]), runs[1], np.cumsum(runs[0]) + runs[2]
+        self.row = np.searchsorted(self.offsets, self.at, side="right") - 1
+        self.doc = self.ids[self.row] if len(self.row) else np.zeros(0, np.int64)
+
+    def own_bytes(self) -> list[np.ndarray]:
+        words = np.lib.stride_tricks.sliding_window_view(self.data, BASE)[self.at].view(np.int64) if len(self.at) else np.zeros((0, 2), np.int64)
+        return [np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1])]
+
+    def bridges(self, words: int) -> np.ndarray:
+        """How far the next anchor of the text is (0: there is none), and the bytes in between that neither has."""
+        out = np.zeros((len(self.at), 8 * words), np.uint8)
+        gap = np.zeros(len(self.at), np.uint16)
+        gap[:-1] = np.where(self.row[1:] == self.row[:-1], np.minimum(np.diff(self.at), 65535), 0)
+        gap[gap > BASE + 8 * words - 2] = 0  # strings in between are missing: not neighbours
+        out[:, :2] = gap.view(np.uint8).reshape(-1, 2)
+        k = np.arange(8 * words - 2)
+        where = np.minimum(self.at[:, None] + BASE + k, max(len(self.data) - 1, 0))
+        out[:, 2:] = np.where(k < gap.astype(np.int64)[:, None] - BASE, self.data[where], 0)
+        return out.view(np.int64)
+
+
+def _words(length: int) -> int:
+    return -(-(2 + max(0, length - 2 * BASE + 1)) // 8)
+
+
+def _state_type(length: int) -> np.dtype:
+    return np.dtype([("index", "i4"), ("at", "i4"), ("row", "i4"), ("span", "i4"), ("doc", "i8"), ("rank", "i8"), ("lower", "i1"), ("bridge", "i8", (_words(length),))])
+
+
+# ---- sorting and ranking
+
+def _requests(keys: int) -> str:
+    return ", ".join(f"k{i} bigint" for i in range(keys)) + ", chunk bigint, id int, low bigint"
+
+
+def _ask(chunk: int, columns: list[np.ndarray], doc: np.ndarray) -> pa.RecordBatch:
+    """Each distinct key of a chunk with its smallest document; ``id`` is twice its number, and one more if several documents have it."""
+    g = _Groups(columns)
+    rep, low = g.order[g.starts], g.low(doc)
+    number = 2 * np.arange(len(rep)) + (g.high(doc) > low)
+    arrays = [*(pa.array(c[rep]) for c in columns), pa.array(np.full(len(rep), chunk)), pa.array(number.astype(np.int32)), pa.array(low)]
+    return pa.RecordBatch.from_arrays(arrays, [*(f"k{i}" for i in range(len(columns))), "chunk", "id", "low"])
+
+
+def _rank(keys: list[str], level: int):
+    """Rank sorted keys; those of one document are settled and dropped."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                c = _Chunk(batch, i, length)
-                yield _blocks(c.chunk, c.own, c.context, c.lowest, buckets)
+        base = level << 58 | TaskContext.get().partitionId() << 36
+        for t in textkit.whole_groups(batches, keys):
+            new = np.concatenate([[True], textkit.changes(t, keys)])
+            starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+            number, low = t.column("id").to_numpy(), t.column("low").to_numpy()
+            first = np.minimum.reduceat(low, starts)
+            shared = (first < np.maximum.reduceat(low, starts)) | (np.maximum.reduceat(number & 1, starts) > 0)
+            keep = shared[group]
+            yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks().filter(pa.array(keep)), pa.array(number[keep] >> 1), pa.array(base + group[keep]), pa.array((low > first[group])[keep])], ["chunk", "id", "rank", "lower"])
+            base += len(starts)
 
     return run
 
 
-def _reply(chunks: list[int], sizes: list[int], bucket: int, flags: np.ndarray, round_: int) -> pa.Table:
-    at, out = 0, []
-    for chunk, n in zip(chunks, sizes, strict=True):
-        own = flags[at : at + n]
-        at += n
-        out.append((chunk, round_, bucket, exchange.pack_counts(own)))
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.binary()], strict=True)], ["chunk", "round", "bucket", "flags"])
-
-
-def _sort_pairs(t: pa.Table) -> pa.Table:
-    """Flags of each entry: 1, its pair is in a smaller document; 2, its own rank is in other pairs and documents too."""
-    blocks = [np.frombuffer(x, _U) for x in t.column("names").to_pylist()]
-    own, docs = np.concatenate(blocks), np.concatenate([_unids(x) for x in t.column("docs").to_pylist()])
-    pairs = np.zeros((len(own), 8), np.uint8)
-    pairs[:, :6] = np.frombuffer(b"".join(t.column("pairs").to_pylist()), np.uint8).reshape(-1, 6)
-    pairs = pairs.view(_U).ravel()
-    order = np.lexsort((docs, pairs, own))
-    o, p, d = own[order], pairs[order], docs[order]
-    new_own = np.concatenate([[True], o[1:] != o[:-1]])
-    new_pair = new_own | np.concatenate([[True], p[1:] != p[:-1]])
-    starts, pair_of, own_of = np.flatnonzero(new_pair), np.cumsum(new_pair) - 1, np.cumsum(new_own) - 1
-    own_starts = np.flatnonzero(new_own)
-    several = (np.bincount(own_of[starts]) > 1) & (np.minimum.reduceat(d, own_starts) < np.maximum.reduceat(d, own_starts))
-    flags = np.empty(len(own), np.int64)
-    flags[order] = (d[starts][pair_of] < d) + 2 * several[own_of]
-    return _reply(t.column("chunk").to_pylist(), [len(x) for x in blocks], t.column("bucket")[0].as_py(), flags, 1)
-
-
-def _sort_strings(t: pa.Table) -> pa.Table:
-    """Flag of each entry: 1, its string is in a smaller document."""
-    blocks = [np.frombuffer(x, _U) for x in t.column("names").to_pylist()]
-    names, docs = np.concatenate(blocks), np.concatenate([_unids(x) for x in t.column("docs").to_pylist()])
-    order = np.lexsort((docs, names))
-    o, d = names[order], docs[order]
-    new = np.concatenate([[True], o[1:] != o[:-1]])
-    flags = np.empty(len(names), np.int64)
-    flags[order] = d[np.flatnonzero(new)][np.cumsum(new) - 1] < d
-    return _reply(t.column("chunk").to_pylist(), [len(x) for x in blocks], t.column("bucket")[0].as_py(), flags, 2)
-
-
-def _flags(replies: pa.Table, round_: int, n: int) -> np.ndarray:
-    t = replies.filter(pa.array(replies.column("round").to_numpy() == round_)).sort_by("bucket") if replies.num_rows else replies
-    return np.concatenate([exchange.unpack_counts(x) for x in t.column("flags").to_pylist()]) if t.num_rows else np.zeros(n, np.int64)
-
-
-def _round_two(length: int, buckets: int):
+def _ranked(asked: DataFrame, keys: list[str], level: int) -> DataFrame:
+    return asked.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(textkit.lean(_rank(keys, level)), "chunk bigint, id int, rank bigint, lower boolean")
+
+
+def _replies(replies: pa.Table, g: _Groups, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's rank, or -1, and whether its key is in a smaller document."""
+    rank, lower = np.full(len(g.starts), -1), np.zeros(len(g.starts), bool)
+    number = replies.column("id").to_numpy()
+    rank[number], lower[number] = replies.column("rank").to_numpy(), replies.column("lower").to_numpy(zero_copy_only=False)
+    return rank[g.group], lower[g.group] | (doc > g.low(doc)[g.group])
+
+
+# ---- chunks
+
+def _prepare(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                data = np.frombuffer(b.column("data")[i].as_buffer(), np.uint8)
+                ids, offsets = b.column("doc_ids")[i].values, b.column("offsets")[i].values.to_numpy(zero_copy_only=False)
+                runs = find_anchors(data, offsets, np.asarray(ids.is_valid()), length)
+                runs = np.stack([np.diff(runs[0], prepend=0), runs[1], runs[2] - runs[0]]).astype(np.int32)
+                row = b.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([row.column("chunk"), row.column("doc_ids"), row.column("offsets"), pa.array([_pack(data)]), pa.array([_pack(runs)])], ["chunk", "doc_ids", "offsets", "data", "anchors"])
+
+    return run
+
+
+def _ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            c = _Chunk(batch, i)
+            yield _ask(c.chunk, c.own_bytes(), c.doc)
+
+
+def _states(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    columns = [[r[0] for r in rows], [_pack(r[1]) for r in rows], [_pack(r[2]) for r in rows]]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "body", "cover"])
+
+
+def _begin(length: int):
+    """The anchors that several documents have, as chains of one."""
+
     def run(packed: pa.Table, replies: pa.Table) -> pa.Table:
-        if not packed.num_rows:
-            return pa.Table.from_batches([_blocks(0, np.zeros(0, _U), None, np.zeros(0, np.int64), buckets)])
-        c = _Chunk(packed.combine_chunks().to_batches()[0], 0, length)
-        left, right, which = c.settle(_flags(replies, 1, len(c.own)))
-        _, _, _, names, lowest = c.strings((left, right), which)
-        return pa.Table.from_batches([_blocks(c.chunk, names, None, lowest, buckets)])
+        if not packed.num_rows or not replies.num_rows:
+            return _states([])
+        c = _Chunk(packed.combine_chunks().to_batches()[0], 0)
+        rank, lower = _replies(replies, _Groups(c.own_bytes()), c.doc)
+        alive = np.flatnonzero(rank >= 0)
+        out = np.zeros(len(alive), _state_type(length))
+        for name, values in (("index", alive), ("at", c.at[alive]), ("row", c.row[alive]), ("span", BASE), ("doc", c.doc[alive]), ("rank", rank[alive]), ("lower", lower[alive]), ("bridge", c.bridges(_words(length))[alive])):
+            out[name] = values
+        return _states([(c.chunk, out, np.zeros((2, 0), np.int32))])
+
+    return run
+
+
+def _pairs(s: np.ndarray, step: int, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Chains below the threshold, the chains that follow them, and the columns of their pairs."""
+    j = np.searchsorted(s["index"], s["index"] + step)
+    near = np.minimum(j, len(s) - 1)
+    ok = (s["index"][near] == s["index"] + step) & (s["row"][near] == s["row"]) & (s["span"] < length) & (s["bridge"][:, 0] != 0) if len(s) else np.zeros(0, bool)
+    i = np.flatnonzero(ok)
+    j = near[i]
+    return i, j, [s["rank"][i], s["rank"][j], *(np.ascontiguousarray(s["bridge"][i, k]) for k in range(s["bridge"].shape[1]))]
+
+
+def _ask_pairs(step: int, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body"), strict=True):
+                s = _unpack(body.as_buffer(), _state_type(length))
+                i, _, columns = _pairs(s, step, length)
+                yield _ask(chunk, columns, s["doc"][i])
+
+    return run
+
+
+def _extend(step: int, length: int):
+    """Chains that are still shared, doubled; those past the threshold stay as they are and cover their bytes."""
+
+    def run(states: pa.Table, replies: pa.Table) -> pa.Table:
+        if not states.num_rows:
+            return _states([])
+        s = _unpack(states.column("body")[0].as_buffer(), _state_type(length))
+        i, j, columns = _pairs(s, step, length)
+        rank, lower = _replies(replies, _Groups(columns), s["doc"][i])
+        i, j, rank, lower = (x[rank >= 0] for x in (i, j, rank, lower))
+        grown = s[i].copy()
+        grown["span"] = s["at"][j] + s["span"][j] - s["at"][i]
+        grown["rank"], grown["lower"], grown["bridge"] = rank, lower, s["bridge"][j]
+        done = grown[(grown["span"] >= length) & (grown["lower"] > 0)]
+        out = np.concatenate([s[s["span"] >= length], grown])
+        return _states([(states.column("chunk")[0].as_py(), out[np.argsort(out["index"], kind="stable")], np.stack([done["at"], done["at"] + done["span"]]))])
+
+    return run
+
+
+# ---- strings at edges
+
+class _Edges:
+    """The surroundings of a chunk's shared anchors that have strings which no covering chain holds; equal ones are one."""
+
+    def __init__(self, c: _Chunk, notes: pa.Table, length: int):
+        kinds = notes.column("kind").to_numpy()
+        blobs = notes.column("x").to_pylist()
+        s = np.concatenate([np.zeros(0, _state_type(length)), *(_unpack(b, _state_type(length)) for b, k in zip(blobs, kinds, strict=True) if k == ALIVE)])
+        self.depth, reach = np.zeros(len(c.data) + 1, np.int32), np.zeros(len(c.data) + 1, np.int64)
+        for b, k in zip(blobs, kinds, strict=True):
+            if k == COVER:
+                lo, hi = _unpack(b, np.int32).reshape(2, -1)
+                np.add.at(self.depth, lo, 1)
+                np.add.at(self.depth, hi, -1)
+                np.maximum.at(reach, lo, hi)
+        reach = np.maximum.accumulate(reach)
+        first, count = c.first[s["index"]], c.count[s["index"]]
+        starts = np.concatenate([[0], np.cumsum(count)])
+        begin = np.arange(starts[-1]) - np.repeat(starts[:-1] - first, count)
+        open_ = reach[begin] < begin + length  # a string that chains only cover in parts may be new itself
+        big = np.int64(1) << 60
+        lo = np.minimum.reduceat(np.where(open_, begin, big), starts[:-1]) if len(s) else first
+        hi = np.maximum.reduceat(np.where(open_, begin, -1), starts[:-1]) if len(s) else first
+        some = np.flatnonzero(hi >= 0)
+        self.lo, self.hi, self.doc, self.lower, rank = lo[some], hi[some], s["doc"][some], s["lower"][some] > 0, s["rank"][some]
+        head = np.stack([s["at"][some] - self.lo, self.hi - self.lo + 1], 1).astype("<u2")
+        seen: dict[tuple[int, bytes], int] = {}
+        data = c.data.tobytes()
+        self.cid = np.array([seen.setdefault((r, h.tobytes() + data[a : b + length]), len(seen)) for r, h, a, b in zip(rank.tolist(), head, self.lo.tolist(), self.hi.tolist(), strict=True)], np.int64)
+        self.keys = list(seen)
+        self.low = np.full(len(seen), big)
+        np.minimum.at(self.low, self.cid, self.doc)
+        self.asked = np.zeros(len(seen), bool)  # whether the smallest document here has the anchor from a smaller one
+        np.logical_or.at(self.asked, self.cid, self.lower & (self.doc == self.low[self.cid]))
+
+
+_EDGES = "rank bigint, around binary, low bigint, chunk bigint, cid int, asked boolean"
+
+
+def _ask_edges(length: int):
+    def run(packed: pa.Table, notes: pa.Table) -> pa.Table:
+        columns: list = [[]] * 6
+        if packed.num_rows and notes.num_rows:
+            c = _Chunk(packed.combine_chunks().to_batches()[0], 0)
+            e = _Edges(c, notes, length)
+            columns = [[k[0] for k in e.keys], [k[1] for k in e.keys], e.low, [c.chunk] * len(e.keys), range(len(e.keys)), e.asked]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _EDGES.split(", ")])
 
     return run
 
 
-def _covered(c: _Chunk, replies: pa.Table) -> np.ndarray:
-    """Marks of the bytes to be removed."""
-    left, right, which = c.settle(_flags(replies, 1, len(c.own)))
-    begin, doc, group, names, lowest = c.strings((left, right), which)
-    hit = (_flags(replies, 2, len(names))[group] > 0) | (doc > lowest[group])
-    depth = np.zeros(len(c.data) + 1, np.int32)
-    np.add.at(depth, np.concatenate([left, begin[hit]]), 1)
-    np.add.at(depth, np.concatenate([right, begin[hit] + c.ranked.length]), -1)
-    return np.cumsum(depth[:-1]) > 0
+def _compare_edges(length: int, max_bytes: int = 16 << 20):
+    """Which strings of each asked row are in a smaller document, by the places of their begins."""
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        data, at = textkit.utf8(t.column("around").combine_chunks())
+        n = data[at[:-1] + 2].astype(np.int64) | data[at[:-1] + 3].astype(np.int64) << 8
+        starts = np.concatenate([[0], np.cumsum(n)])
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.arange(starts[-1]) - starts[row]
+        words = np.zeros((len(row), -(-length // 8) * 8), np.uint8)
+        words[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[at[row] + _HEAD + place]
+        words = words.view(np.int64)
+        low = t.column("low").to_numpy()[row]
+        g = _Groups([t.column("rank").to_numpy()[row], *(np.ascontiguousarray(words[:, k]) for k in range(words.shape[1]))])
+        hit = (low > g.low(low)[g.group]) & t.column("asked").to_numpy(zero_copy_only=False)[row]
+        rows = np.flatnonzero(np.bincount(row[hit], minlength=len(n)))
+        found = np.split(place[hit], np.flatnonzero(np.diff(row[hit])) + 1) if len(rows) else []
+        take = pa.array(rows)
+        return pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks().take(take), pa.array(np.full(len(rows), HITS, np.int32)), t.column("cid").combine_chunks().take(take), pa.array([f.astype(">u2").tobytes() for f in found], pa.binary())], ["chunk", "kind", "cid", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in textkit.whole_groups(batches, ["rank"]):
+            borders = np.concatenate([[0], np.flatnonzero(textkit.changes(t, ["rank"])) + 1, [t.num_rows]])
+            sizes = np.concatenate([[0], np.cumsum(np.diff(textkit.utf8(t.column("around").combine_chunks())[1]))])[borders] * length
+            i = 0
+            while i < len(borders) - 1:
+                j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + max_bytes, side="right")) - 1)
+                yield compare(t.slice(borders[i], borders[j] - borders[i]))
+                i = j
+
+    return run
+
+
+def _edge_hits(edges: DataFrame, length: int, group: int) -> DataFrame:
+    """``_NOTES`` of the edges' strings that are in a smaller document."""
+    sizes = edges.groupBy("rank").agg(F.max("asked").alias("any"), F.count(F.lit(1)).alias("n")).where("any").select("rank", (F.col("n") <= group).alias("few"))
+    live = edges.join(sizes, "rank")
+    few = live.where("few").drop("few").repartition("rank").sortWithinPartitions("rank").mapInArrow(textkit.lean(_compare_edges(length)), _NOTES)
+    # the rest by string: its bytes tell the place of its anchor, so they are the whole key
+    byte = lambda i: F.conv(F.hex(F.substring("around", i, 1)), 16, 10).cast("int")
+    number = byte(3) + 256 * byte(4)
+    strings = live.where("not few").withColumn("place", F.explode(F.sequence(F.lit(0), number - 1)))
+    strings = strings.select("rank", F.expr(f"substring(around, place + {_HEAD + 1}, {length})").alias("string"), "low", "chunk", "cid", "asked", "place")
+    first = strings.groupBy("rank", "string").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").drop("last")
+    hit = strings.where("asked").join(first, ["rank", "string"]).where("low > first")
+    return few.unionByName(hit.select("chunk", F.lit(HITS).alias("kind"), "cid", F.unhex(F.lpad(F.hex("place"), 4, "0")).alias("x")))
 
 
 def _results(length: int, with_text: bool):
-    def run(packed: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, notes: pa.Table) -> pa.Table:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
         types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
         if not packed.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names)
         batch = packed.combine_chunks().to_batches()[0]
-        c = _Chunk(batch, 0, length)
-        gone = _covered(c, replies)
+        c = _Chunk(batch, 0)
+        e = _Edges(c, notes, length)
+        later = e.doc > e.low[e.cid]
+        np.add.at(e.depth, e.lo[later], 1)  # the smaller document is in this chunk: all strings repeat
+        np.add.at(e.depth, e.hi[later] + length, -1)
+        hits: dict[int, list[np.ndarray]] = {}
+        for kind, cid, x in zip(notes.column("kind").to_pylist(), notes.column("cid").to_pylist(), notes.column("x").to_pylist(), strict=True):
+            if kind == HITS:
+                hits.setdefault(cid, []).append(np.frombuffer(x, ">u2").astype(np.int64))
+        for k in np.flatnonzero(~later).tolist() if hits else []:
+            for places in hits.get(int(e.cid[k]), ()):
+                np.add.at(e.depth, e.lo[k] + places, 1)
+                np.add.at(e.depth, e.lo[k] + places + length, -1)
+        gone = np.cumsum(e.depth[:-1]) > 0
         rows = []
         for doc, a, b in zip(batch.column("doc_ids")[0].as_py(), c.offsets[:-1].tolist(), c.offsets[1:].tolist(), strict=True):
             cut = gone[a:b]
@@ -275,24 +426,45 @@ def _results(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, chunk_bytes: int = 2 << 20, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, chunk_bytes: int = 4 << 20, group: int = 4096, with_text: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the bytes left) for every row.
 
     A byte of a document is removed if a ``length``-byte string that covers it also
     starts in a document with a smaller id; strings are judged on the whole input
     and never cross documents.  A null text is empty.  Rows with a null id neither
-    lose bytes nor count as smaller; rows with equal ids don't affect each other.
-    The kept bytes of a text can end within a character.
+    lose bytes nor count as smaller; rows with equal ids, repeated rows among them,
+    don't affect each other.  The kept bytes of a text can end within a character.
+    Ids are integers.  Other columns are ignored; an empty table gives an empty one.
+
+    A text is handled whole: a worker holds about 30 bytes for each byte of a chunk,
+    which is ``chunk_bytes`` or one longer text.
     """
-    if not 2 * ANCHOR <= length <= 64:
-        raise ValueError(f"length must be from {2 * ANCHOR} to 64")
+    if not BASE < length <= 256:
+        raise ValueError(f"length must be from {BASE + 1} to 256")
     scratch = Scratch(docs.sparkSession, "repeats")
-    packed = scratch.keep(exchange.pack(docs, chunk_bytes), "packed", compression="zstd")
-    buckets = exchange.bucket_count(packed.agg(F.sum("n_bytes")).first()[0] or 0, BUCKET_BYTES)
-    asked = packed.mapInArrow(_round_one(length, buckets), _REQUEST)
-    one = scratch.keep(asked.groupBy("bucket").applyInArrow(_sort_pairs, _REPLY), "one", batch_rows=4)
-    again = packed.groupBy("chunk").cogroup(one.groupBy("chunk")).applyInArrow(_round_two(length, buckets), _REQUEST)
-    two = scratch.keep(again.groupBy("bucket").applyInArrow(_sort_strings, _REPLY), "two", batch_rows=4)
-    answered = packed.groupBy("chunk").cogroup(one.unionByName(two).groupBy("chunk"))
+    packed = exchange.pack(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), chunk_bytes).mapInArrow(textkit.lean(_prepare(length)), _PACKED)
+    packed = scratch.keep(packed, "packed", compression="none")
+    ranks = scratch.keep(_ranked(packed.mapInArrow(textkit.lean(_ask_anchors), _requests(2)), ["k0", "k1"], 0), "ranks0")
+    begun = scratch.keep(packed.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_begin(length), _STATE), "chains0", batch_rows=64, compression="none")
+    scratch.drop("ranks0")
+    keys, level, chains, covers = [f"k{i}" for i in range(2 + _words(length))], 0, begun, []
+    while True:
+        step, level = 1 << level, level + 1
+        asked = chains.mapInArrow(textkit.lean(_ask_pairs(step, length)), _requests(len(keys)))
+        ranks = scratch.keep(_ranked(asked, keys, level), f"ranks{level}")
+        if ranks.isEmpty():
+            break
+        chains = scratch.keep(chains.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_extend(step, length), _STATE), f"chains{level}", batch_rows=64, compression="none")
+        scratch.drop(f"ranks{level}")
+        covers.append(chains.select("chunk", F.lit(COVER).alias("kind"), F.lit(0).alias("cid"), F.col("cover").alias("x")))
+    notes = begun.select("chunk", F.lit(ALIVE).alias("kind"), F.lit(0).alias("cid"), F.col("body").alias("x"))
+    for c in covers:
+        notes = notes.unionByName(c)
+    edges = packed.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(_ask_edges(length), _EDGES)
+    edges = scratch.keep(edges, "edges", compression="zstd")
+    hits = scratch.keep(_edge_hits(edges, length, group), "hits")
+    out = packed.groupBy("chunk").cogroup(notes.unionByName(hits).groupBy("chunk"))
     kept = ", kept binary" if with_text else ""
-    return answered.applyInArrow(_results(length, with_text), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}")
+    out = scratch.keep(out.applyInArrow(_results(length, with_text), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}"), "result")
+    scratch.drop("packed", "edges", "hits", *(f"chains{i}" for i in range(level)))
+    return out

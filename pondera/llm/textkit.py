@@ -126,6 +126,35 @@ def field(batch: pa.RecordBatch, name: str) -> pa.Array:
     return row.field(row.type.get_field_index(name))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by the columns."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.flatnonzero(changes(batch, columns))
+        cut = int(new[-1]) + 1 if len(new) else 0
+        if rest and any(rest[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in columns):
+            yield pa.Table.from_batches(rest).combine_chunks()
+            rest = []
+        if cut:
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks()
+            rest = [batch.slice(cut)]
+        else:
+            rest.append(batch)
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def changes(rows: pa.RecordBatch | pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether a row's group differs from that of the row before, from the second row on."""
+    out = np.zeros(max(rows.num_rows - 1, 0), bool)
+    for c in columns:
+        key = rows.column(c).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy()
+        out |= key[1:] != key[:-1]
+    return out
+
+
 def bound_batches(spark: SparkSession, n_bytes: int = 8 << 20) -> None:
     """Have Arrow batches bounded by bytes, as texts differ much in size; a session's own smaller bound stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -145,15 +145,34 @@ def test_repeats_edges(spark):
     assert repeats.remove_repeats(none(spark)).count() == 0
 
 
-def test_repeats_against_plain(spark):
+@pytest.mark.parametrize("length,chunk,group", [(50, 500, 4096), (50, 1 << 20, 1), (17, 700, 3), (41, 3000, 2), (120, 2000, 5)])
+def test_repeats_against_plain(spark, length, chunk, group):
     from test_queries import plain_repeats
 
-    rng = random.Random(1)
-    pool = ["".join(rng.choice("ab ") for _ in range(rng.randrange(20, 140))) for _ in range(12)]
+    rng = random.Random(length)
+    pool = ["".join(rng.choice("ab ") for _ in range(rng.randrange(20, 140))) for _ in range(12)] + ["a" * 90, "ab" * 60, "abc" * 50]
     texts = {i: "".join(rng.choice(pool) for _ in range(rng.randrange(6))) for i in range(60)}
-    for chunk in (500, 1 << 20):
-        got = repeats.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), chunk_bytes=chunk, with_text=False).collect()
-        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_repeats(texts)
+    got = repeats.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), length=length, chunk_bytes=chunk, group=group, with_text=False).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_repeats(texts, length)
+
+
+def test_anchors_do_not_depend_on_blocks():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcde ") for _ in range(n)) for n in (0, 49, 50, 51, 3000, 20)] + ["x" * 700]
+    data, offsets = textkit.utf8(pa.array(texts))
+    live = np.array([True] * 6 + [True])
+    want = repeats.find_anchors(data, offsets, live, 50)
+    old, repeats._BLOCK = repeats._BLOCK, 64
+    try:
+        got = repeats.find_anchors(data, offsets, live, 50)
+    finally:
+        repeats._BLOCK = old
+    strings = [k for a, b in zip(offsets[:-1], offsets[1:]) for k in range(a, b - 49)]
+    for runs in (want, got):
+        assert [k for f, n, _ in runs.T.tolist() for k in range(f, f + n)] == strings
+        assert all(f + n - 1 <= at <= f + 34 for f, n, at in runs.T.tolist())
+    place = {bytes(data[k : k + 50]): at - k for f, n, at in want.T.tolist() for k in range(f, f + n)}
+    assert all(place[bytes(data[k : k + 50])] == at - k for runs in (want, got) for f, n, at in runs.T.tolist() for k in range(f, f + n))
 
 
 # ---- 4 language ID
