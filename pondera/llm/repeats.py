@@ -158,6 +158,10 @@ def _words(length: int) -> int:
     return -(-(2 + max(0, length - 2 * BASE + 1)) // 8)
 
 
+#: What stays of the anchors that several documents have.
+_ALIVE_TYPE = np.dtype([("index", "i4"), ("rank", "i8"), ("lower", "i1")])
+
+
 def _state_type(length: int) -> np.dtype:
     return np.dtype([("index", "i4"), ("at", "i4"), ("row", "i4"), ("span", "i4"), ("doc", "i8"), ("rank", "i8"), ("lower", "i1"), ("bridge", "i8", (_words(length),))])
 
@@ -236,7 +240,7 @@ def _states(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
 
 
 def _begin(length: int):
-    """The anchors that several documents have, as chains of one."""
+    """The anchors that several documents have, as chains of one; ``cover`` has them without what only chains need."""
 
     def run(packed: pa.Table, replies: pa.Table) -> pa.Table:
         if not packed.num_rows or not replies.num_rows:
@@ -247,7 +251,10 @@ def _begin(length: int):
         out = np.zeros(len(alive), _state_type(length))
         for name, values in (("index", alive), ("at", c.at[alive]), ("row", c.row[alive]), ("span", BASE), ("doc", c.doc[alive]), ("rank", rank[alive]), ("lower", lower[alive]), ("bridge", c.bridges(_words(length))[alive])):
             out[name] = values
-        return _states([(c.chunk, out, np.zeros((2, 0), np.int32))])
+        slim = np.zeros(len(alive), _ALIVE_TYPE)
+        for name in _ALIVE_TYPE.names:
+            slim[name] = out[name]
+        return _states([(c.chunk, out, slim)])
 
     return run
 
@@ -301,7 +308,7 @@ class _Edges:
     def __init__(self, c: _Chunk, notes: pa.Table, length: int):
         kinds = notes.column("kind").to_numpy()
         blobs = notes.column("x").to_pylist()
-        s = np.concatenate([np.zeros(0, _state_type(length)), *(_unpack(b, _state_type(length)) for b, k in zip(blobs, kinds, strict=True) if k == ALIVE)])
+        s = np.concatenate([np.zeros(0, _ALIVE_TYPE), *(_unpack(b, _ALIVE_TYPE) for b, k in zip(blobs, kinds, strict=True) if k == ALIVE)])
         self.depth, reach = np.zeros(len(c.data) + 1, np.int32), np.zeros(len(c.data) + 1, np.int64)
         for b, k in zip(blobs, kinds, strict=True):
             if k == COVER:
@@ -318,8 +325,8 @@ class _Edges:
         lo = np.minimum.reduceat(np.where(open_, begin, big), starts[:-1]) if len(s) else first
         hi = np.maximum.reduceat(np.where(open_, begin, -1), starts[:-1]) if len(s) else first
         some = np.flatnonzero(hi >= 0)
-        self.lo, self.hi, self.doc, self.lower, rank = lo[some], hi[some], s["doc"][some], s["lower"][some] > 0, s["rank"][some]
-        head = np.stack([s["at"][some] - self.lo, self.hi - self.lo + 1], 1).astype("<u2")
+        self.lo, self.hi, self.doc, self.lower, rank = lo[some], hi[some], c.doc[s["index"]][some], s["lower"][some] > 0, s["rank"][some]
+        head = np.stack([c.at[s["index"]][some] - self.lo, self.hi - self.lo + 1], 1).astype("<u2")
         seen: dict[tuple[int, bytes], int] = {}
         data = c.data.tobytes()
         self.cid = np.array([seen.setdefault((r, h.tobytes() + data[a : b + length]), len(seen)) for r, h, a, b in zip(rank.tolist(), head, self.lo.tolist(), self.hi.tolist(), strict=True)], np.int64)
@@ -445,26 +452,26 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, chunk_bytes: int = 4 <<
     packed = exchange.pack(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), chunk_bytes).mapInArrow(textkit.lean(_prepare(length)), _PACKED)
     packed = scratch.keep(packed, "packed", compression="none")
     ranks = scratch.keep(_ranked(packed.mapInArrow(textkit.lean(_ask_anchors), _requests(2)), ["k0", "k1"], 0), "ranks0")
-    begun = scratch.keep(packed.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_begin(length), _STATE), "chains0", batch_rows=64, compression="none")
+    chains = scratch.keep(packed.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_begin(length), _STATE), "chains0", batch_rows=64, compression="none")
     scratch.drop("ranks0")
-    keys, level, chains, covers = [f"k{i}" for i in range(2 + _words(length))], 0, begun, []
+    note = lambda level: scratch.keep(chains.select("chunk", F.lit(COVER if level else ALIVE).alias("kind"), F.lit(0).alias("cid"), F.col("cover").alias("x")), f"note{level}", compression="none")
+    keys, level, notes = [f"k{i}" for i in range(2 + _words(length))], 0, note(0)
     while True:
-        step, level = 1 << level, level + 1
+        step = 1 << level
         asked = chains.mapInArrow(textkit.lean(_ask_pairs(step, length)), _requests(len(keys)))
-        ranks = scratch.keep(_ranked(asked, keys, level), f"ranks{level}")
+        ranks = scratch.keep(_ranked(asked, keys, level + 1), f"ranks{level + 1}")
         if ranks.isEmpty():
             break
-        chains = scratch.keep(chains.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_extend(step, length), _STATE), f"chains{level}", batch_rows=64, compression="none")
-        scratch.drop(f"ranks{level}")
-        covers.append(chains.select("chunk", F.lit(COVER).alias("kind"), F.lit(0).alias("cid"), F.col("cover").alias("x")))
-    notes = begun.select("chunk", F.lit(ALIVE).alias("kind"), F.lit(0).alias("cid"), F.col("body").alias("x"))
-    for c in covers:
-        notes = notes.unionByName(c)
+        chains = scratch.keep(chains.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_extend(step, length), _STATE), f"chains{level + 1}", batch_rows=64, compression="none")
+        scratch.drop(f"ranks{level + 1}", f"chains{level}")
+        level += 1
+        notes = notes.unionByName(note(level))
+    scratch.drop(f"ranks{level + 1}", f"chains{level}")
     edges = packed.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(_ask_edges(length), _EDGES)
     edges = scratch.keep(edges, "edges", compression="zstd")
     hits = scratch.keep(_edge_hits(edges, length, group), "hits")
     out = packed.groupBy("chunk").cogroup(notes.unionByName(hits).groupBy("chunk"))
     kept = ", kept binary" if with_text else ""
     out = scratch.keep(out.applyInArrow(_results(length, with_text), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}"), "result")
-    scratch.drop("packed", "edges", "hits", *(f"chains{i}" for i in range(level)))
+    scratch.drop("packed", "edges", "hits", *(f"note{i}" for i in range(level + 1)))
     return out
