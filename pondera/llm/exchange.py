@@ -23,9 +23,10 @@ from pondera.llm import textkit
 PACKED = "chunk bigint, role int, doc_ids array<bigint>, offsets array<bigint>, n_bytes bigint, data binary"
 
 
-def pack(docs: DataFrame, chunk_bytes: int, role: Callable[[int | None], int] | None = None) -> DataFrame:
+def pack(docs: DataFrame, chunk_bytes: int, role: Callable[[int | None], int] | None = None, finish: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda chunk: chunk, schema: str = PACKED) -> DataFrame:
     """``doc_id, text`` rows as chunks of one role each; null texts are empty, null ids stay null.
 
+    ``finish`` may turn a chunk into a row of another ``schema``.
     A chunk has at most ``chunk_bytes`` of text and a 16th as many texts, or one text that is longer.
     """
 
@@ -51,17 +52,17 @@ def pack(docs: DataFrame, chunk_bytes: int, role: Callable[[int | None], int] |
                 kind = role(doc) if role else 0
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 if kind in open_ and (size[kind] + len(raw) > chunk_bytes or len(open_[kind][0]) >= chunk_bytes // 16):
-                    yield flush(kind)
+                    yield finish(flush(kind))
                 ids, lens, parts = open_.setdefault(kind, ([], [], []))
                 ids.append(doc)
                 lens.append(len(raw))
                 parts.append(raw)
                 size[kind] = size.get(kind, 0) + len(raw)
         for kind in list(open_):
-            yield flush(kind)
+            yield finish(flush(kind))
 
     textkit.bound_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(textkit.lean(run), schema)
 
 
 def bucket_count(n_bytes: int, bucket_bytes: int = 16 << 20, least: int = 16) -> int:

@@ -47,7 +47,7 @@ _HEAD = 4
 _PACKED = "chunk bigint, doc_ids array<bigint>, offsets array<bigint>, data binary, anchors binary"
 _STATE = "chunk bigint, body binary, cover binary"
 _NOTES = "chunk bigint, kind int, cid int, x binary"
-ALIVE, COVER, HITS = 0, 1, 2
+ALIVE, COVER, HITS, LATER = 0, 1, 2, 3
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -102,16 +102,37 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, live: np.ndarray, length
     return np.stack([runs[0, starts], np.add.reduceat(runs[1], starts), runs[2, starts]])
 
 
+def _name(columns: list[np.ndarray]) -> np.ndarray:
+    """One number for each row; with the other columns it tells the first, so it can take its place."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in reversed(columns):
+        out = textkit.mix(out ^ c.view(np.uint64))
+    return out.view(np.int64)
+
+
+def _borders(columns: list[np.ndarray]) -> np.ndarray:
+    """Whether a row differs from the one before in any column."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 class _Groups:
-    """Rows grouped by equal values in all columns, groups in sorted order."""
+    """Rows grouped by equal values in all columns.
+
+    They are sorted by one number; should different rows share one, by all columns.
+    """
 
     def __init__(self, columns: list[np.ndarray]):
-        self.order = np.lexsort(columns[::-1])
-        new = np.zeros(len(self.order), bool)
-        new[:1] = True
-        for c in columns:
-            c = c[self.order]
-            new[1:] |= c[1:] != c[:-1]
+        name = _name(columns)
+        self.order = np.argsort(name, kind="stable")
+        name, ordered = name[self.order], [c[self.order] for c in columns]
+        new = _borders(ordered)
+        if (new[1:] & (name[1:] == name[:-1])).any():
+            self.order = np.lexsort(columns[::-1])
+            new = _borders([c[self.order] for c in columns])
         self.starts = np.flatnonzero(new)
         self.group = np.empty(len(new), np.int64)
         self.group[self.order] = np.cumsum(new) - 1
@@ -173,34 +194,42 @@ def _requests(keys: int) -> str:
 
 
 def _ask(chunk: int, columns: list[np.ndarray], doc: np.ndarray) -> pa.RecordBatch:
-    """Each distinct key of a chunk with its smallest document; ``id`` is twice its number, and one more if several documents have it."""
+    """Each distinct key of a chunk with its smallest document; ``id`` is twice its number, and one more if several documents have it.
+
+    The first column is replaced by the key's name, by which Spark sorts.
+    """
     g = _Groups(columns)
     rep, low = g.order[g.starts], g.low(doc)
     number = 2 * np.arange(len(rep)) + (g.high(doc) > low)
-    arrays = [*(pa.array(c[rep]) for c in columns), pa.array(np.full(len(rep), chunk)), pa.array(number.astype(np.int32)), pa.array(low)]
+    arrays = [*(pa.array(c[rep]) for c in (_name(columns), *columns[1:])), pa.array(np.full(len(rep), chunk)), pa.array(number.astype(np.int32)), pa.array(low)]
     return pa.RecordBatch.from_arrays(arrays, [*(f"k{i}" for i in range(len(columns))), "chunk", "id", "low"])
 
 
 def _rank(keys: list[str], level: int):
-    """Rank sorted keys; those of one document are settled and dropped."""
+    """Rank keys sorted by name; those of one document are settled and dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = level << 58 | TaskContext.get().partitionId() << 36
-        for t in textkit.whole_groups(batches, keys):
-            new = np.concatenate([[True], textkit.changes(t, keys)])
+        for t in textkit.whole_groups(batches, keys[:1]):
+            columns = [t.column(k).to_numpy() for k in keys]
+            new = _borders(columns)
+            if (new[1:] & (columns[0][1:] == columns[0][:-1])).any():  # different keys of one name may be mixed up
+                order = np.lexsort(columns[::-1])
+                t, new = t.take(pa.array(order)), _borders([c[order] for c in columns])
             starts, group = np.flatnonzero(new), np.cumsum(new) - 1
             number, low = t.column("id").to_numpy(), t.column("low").to_numpy()
             first = np.minimum.reduceat(low, starts)
             shared = (first < np.maximum.reduceat(low, starts)) | (np.maximum.reduceat(number & 1, starts) > 0)
-            keep = shared[group]
-            yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks().filter(pa.array(keep)), pa.array(number[keep] >> 1), pa.array(base + group[keep]), pa.array((low > first[group])[keep])], ["chunk", "id", "rank", "lower"])
+            keep = np.flatnonzero(shared[group])
+            own = group[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(t.column("chunk").to_numpy()[keep]), pa.array(number[keep] >> 1), pa.array(base + own), pa.array(low[keep] > first[own])], ["chunk", "id", "rank", "lower"])
             base += len(starts)
 
     return run
 
 
 def _ranked(asked: DataFrame, keys: list[str], level: int) -> DataFrame:
-    return asked.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(textkit.lean(_rank(keys, level)), "chunk bigint, id int, rank bigint, lower boolean")
+    return asked.repartition(keys[0]).sortWithinPartitions(keys[0]).mapInArrow(textkit.lean(_rank(keys, level)), "chunk bigint, id int, rank bigint, lower boolean")
 
 
 def _replies(replies: pa.Table, g: _Groups, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,17 +243,16 @@ def _replies(replies: pa.Table, g: _Groups, doc: np.ndarray) -> tuple[np.ndarray
 # ---- chunks
 
 def _prepare(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                data = np.frombuffer(b.column("data")[i].as_buffer(), np.uint8)
-                ids, offsets = b.column("doc_ids")[i].values, b.column("offsets")[i].values.to_numpy(zero_copy_only=False)
-                runs = find_anchors(data, offsets, np.asarray(ids.is_valid()), length)
-                runs = np.stack([np.diff(runs[0], prepend=0), runs[1], runs[2] - runs[0]]).astype(np.int32)
-                row = b.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([row.column("chunk"), row.column("doc_ids"), row.column("offsets"), pa.array([_pack(data)]), pa.array([_pack(runs)])], ["chunk", "doc_ids", "offsets", "data", "anchors"])
+    """A packed chunk, compressed and with its anchors."""
 
-    return run
+    def finish(b: pa.RecordBatch) -> pa.RecordBatch:
+        data = np.frombuffer(b.column("data")[0].as_buffer(), np.uint8)
+        ids, offsets = b.column("doc_ids")[0].values, b.column("offsets")[0].values.to_numpy(zero_copy_only=False)
+        runs = find_anchors(data, offsets, np.asarray(ids.is_valid()), length)
+        runs = np.stack([np.diff(runs[0], prepend=0), runs[1], runs[2] - runs[0]]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([b.column("chunk"), b.column("doc_ids"), b.column("offsets"), pa.array([_pack(data)]), pa.array([_pack(runs)])], ["chunk", "doc_ids", "offsets", "data", "anchors"])
+
+    return finish
 
 
 def _ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,52 +381,97 @@ def _ask_edges(length: int):
     return run
 
 
-def _compare_edges(length: int, max_bytes: int = 16 << 20):
+def _compare(t: pa.Table, length: int) -> pa.RecordBatch:
     """Which strings of each asked row are in a smaller document, by the places of their begins."""
-
-    def compare(t: pa.Table) -> pa.RecordBatch:
-        data, at = textkit.utf8(t.column("around").combine_chunks())
-        n = data[at[:-1] + 2].astype(np.int64) | data[at[:-1] + 3].astype(np.int64) << 8
-        starts = np.concatenate([[0], np.cumsum(n)])
-        row = np.repeat(np.arange(len(n)), n)
-        place = np.arange(starts[-1]) - starts[row]
-        words = np.zeros((len(row), -(-length // 8) * 8), np.uint8)
-        words[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[at[row] + _HEAD + place]
-        words = words.view(np.int64)
-        low = t.column("low").to_numpy()[row]
-        g = _Groups([t.column("rank").to_numpy()[row], *(np.ascontiguousarray(words[:, k]) for k in range(words.shape[1]))])
-        hit = (low > g.low(low)[g.group]) & t.column("asked").to_numpy(zero_copy_only=False)[row]
-        rows = np.flatnonzero(np.bincount(row[hit], minlength=len(n)))
-        found = np.split(place[hit], np.flatnonzero(np.diff(row[hit])) + 1) if len(rows) else []
-        take = pa.array(rows)
-        return pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks().take(take), pa.array(np.full(len(rows), HITS, np.int32)), t.column("cid").combine_chunks().take(take), pa.array([f.astype(">u2").tobytes() for f in found], pa.binary())], ["chunk", "kind", "cid", "x"])
+    data, at = textkit.utf8(t.column("around"))
+    n = data[at[:-1] + 2].astype(np.int64) | data[at[:-1] + 3].astype(np.int64) << 8
+    starts = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(starts[-1]) - starts[row]
+    words = np.zeros((len(row), -(-length // 8) * 8), np.uint8)
+    words[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[at[row] + _HEAD + place]
+    words = words.view(np.int64)
+    low = t.column("low").to_numpy()[row]
+    g = _Groups([t.column("rank").to_numpy()[row], *(np.ascontiguousarray(words[:, k]) for k in range(words.shape[1]))])
+    hit = (low > g.low(low)[g.group]) & t.column("asked").to_numpy()[row]
+    rows = np.flatnonzero(np.bincount(row[hit], minlength=len(n)))
+    found = np.split(place[hit], np.flatnonzero(np.diff(row[hit])) + 1) if len(rows) else []
+    nothing = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.binary(), pa.int64())]
+    columns = [t.column("chunk").to_numpy()[rows], np.full(len(rows), HITS, np.int32), t.column("cid").to_numpy()[rows], pa.array([f.astype(">u2").tobytes() for f in found], pa.binary()), *nothing, pa.nulls(len(rows), pa.bool_())]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _COMPARED_NAMES)
+
+
+_COMPARED = f"{_NOTES}, rank bigint, around binary, low bigint, asked boolean"
+_COMPARED_NAMES = [x.split()[0] for x in _COMPARED.split(", ")]
+
+
+def _left(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows that are to be dealt out by string."""
+    n = rows.num_rows
+    own = [rows.column(c) for c in ("rank", "around", "low", "asked")]
+    return pa.RecordBatch.from_arrays([rows.column("chunk"), pa.array(np.full(n, LATER, np.int32)), rows.column("cid"), pa.nulls(n, pa.binary()), *own], _COMPARED_NAMES)
+
+
+def _compare_edges(length: int, group: int, max_bytes: int = 16 << 20):
+    """Strings of ranks with at most ``group`` rows (or those of one batch), compared; the rows of other ranks as they are."""
+
+    def small(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        new = np.concatenate([[True], textkit.changes(t, ["rank"])])
+        starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+        some = np.maximum.reduceat(t.column("asked").to_numpy(), starts) & (np.diff(np.append(starts, t.num_rows)) > 1)
+        t = t.take(pa.array(np.flatnonzero(some[of]))).combine_chunks()
+        if not t.num_rows:
+            return
+        borders = np.concatenate([[0], np.flatnonzero(textkit.changes(t, ["rank"])) + 1, [t.num_rows]])
+        sizes = textkit.utf8(t.column("around"))[1][borders] * length
+        i = 0
+        while i < len(borders) - 1:
+            j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + max_bytes, side="right")) - 1)
+            yield _compare(t.slice(borders[i], borders[j] - borders[i]), length)
+            i = j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in textkit.whole_groups(batches, ["rank"]):
-            borders = np.concatenate([[0], np.flatnonzero(textkit.changes(t, ["rank"])) + 1, [t.num_rows]])
-            sizes = np.concatenate([[0], np.cumsum(np.diff(textkit.utf8(t.column("around").combine_chunks())[1]))])[borders] * length
-            i = 0
-            while i < len(borders) - 1:
-                j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + max_bytes, side="right")) - 1)
-                yield compare(t.slice(borders[i], borders[j] - borders[i]))
-                i = j
+        rest: list[pa.RecordBatch] = []  # rows of the last rank so far
+        last, large = None, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rank = b.column("rank").to_numpy()
+            cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(rank)]
+            begin = 0
+            if rank[0] == last:
+                begin = cuts[1]
+                if large:
+                    yield _left(b.slice(0, begin))
+                else:
+                    rest.append(b.slice(0, begin))
+                    if sum(r.num_rows for r in rest) > group:
+                        yield from map(_left, rest)
+                        rest, large = [], True
+            if begin < len(rank):
+                if rest:
+                    yield from small(rest)
+                if begin < cuts[-2]:
+                    yield from small([b.slice(begin, cuts[-2] - begin)])
+                rest, last, large = [b.slice(cuts[-2])], rank[-1], False
+        if rest:
+            yield from small(rest)
 
     return run
 
 
-def _edge_hits(edges: DataFrame, length: int, group: int) -> DataFrame:
+def _edge_hits(edges: DataFrame, length: int, group: int, scratch: Scratch) -> DataFrame:
     """``_NOTES`` of the edges' strings that are in a smaller document."""
-    sizes = edges.groupBy("rank").agg(F.max("asked").alias("any"), F.count(F.lit(1)).alias("n")).where("any").select("rank", (F.col("n") <= group).alias("few"))
-    live = edges.join(sizes, "rank")
-    few = live.where("few").drop("few").repartition("rank").sortWithinPartitions("rank").mapInArrow(textkit.lean(_compare_edges(length)), _NOTES)
-    # the rest by string: its bytes tell the place of its anchor, so they are the whole key
+    compared = edges.repartition("rank").sortWithinPartitions("rank").mapInArrow(textkit.lean(_compare_edges(length, group)), _COMPARED)
+    compared = scratch.keep(compared, "compared", compression="zstd")
     byte = lambda i: F.conv(F.hex(F.substring("around", i, 1)), 16, 10).cast("int")
-    number = byte(3) + 256 * byte(4)
-    strings = live.where("not few").withColumn("place", F.explode(F.sequence(F.lit(0), number - 1)))
+    strings = compared.where(F.col("kind") == LATER).withColumn("place", F.explode(F.sequence(F.lit(0), byte(3) + 256 * byte(4) - 1)))
     strings = strings.select("rank", F.expr(f"substring(around, place + {_HEAD + 1}, {length})").alias("string"), "low", "chunk", "cid", "asked", "place")
     first = strings.groupBy("rank", "string").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").drop("last")
     hit = strings.where("asked").join(first, ["rank", "string"]).where("low > first")
-    return few.unionByName(hit.select("chunk", F.lit(HITS).alias("kind"), "cid", F.unhex(F.lpad(F.hex("place"), 4, "0")).alias("x")))
+    hits = compared.where(F.col("kind") == HITS).select("chunk", "kind", "cid", "x")
+    return hits.unionByName(hit.select("chunk", F.lit(HITS).alias("kind"), "cid", F.unhex(F.lpad(F.hex("place"), 4, "0")).alias("x")))
 
 
 def _results(length: int, with_text: bool):
@@ -449,7 +522,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, chunk_bytes: int = 4 <<
     if not BASE < length <= 256:
         raise ValueError(f"length must be from {BASE + 1} to 256")
     scratch = Scratch(docs.sparkSession, "repeats")
-    packed = exchange.pack(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), chunk_bytes).mapInArrow(textkit.lean(_prepare(length)), _PACKED)
+    packed = exchange.pack(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), chunk_bytes, finish=_prepare(length), schema=_PACKED)
     packed = scratch.keep(packed, "packed", compression="none")
     ranks = scratch.keep(_ranked(packed.mapInArrow(textkit.lean(_ask_anchors), _requests(2)), ["k0", "k1"], 0), "ranks0")
     chains = scratch.keep(packed.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_begin(length), _STATE), "chains0", batch_rows=64, compression="none")
@@ -469,9 +542,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, chunk_bytes: int = 4 <<
     scratch.drop(f"ranks{level + 1}", f"chains{level}")
     edges = packed.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(_ask_edges(length), _EDGES)
     edges = scratch.keep(edges, "edges", compression="zstd")
-    hits = scratch.keep(_edge_hits(edges, length, group), "hits")
+    hits = scratch.keep(_edge_hits(edges, length, group, scratch), "hits")
     out = packed.groupBy("chunk").cogroup(notes.unionByName(hits).groupBy("chunk"))
     kept = ", kept binary" if with_text else ""
     out = scratch.keep(out.applyInArrow(_results(length, with_text), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}"), "result")
-    scratch.drop("packed", "edges", "hits", *(f"note{i}" for i in range(level + 1)))
+    scratch.drop("packed", "edges", "compared", "hits", *(f"note{i}" for i in range(level + 1)))
     return out

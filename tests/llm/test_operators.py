@@ -156,6 +156,22 @@ def test_repeats_against_plain(spark, length, chunk, group):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_repeats(texts, length)
 
 
+def test_repeats_of_ranks_with_many_surroundings(spark):
+    from test_queries import plain_repeats
+
+    rng = random.Random(9)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    texts = {i: "".join(rng.choice("abcdefgh ") for _ in range(30)) + common[rng.randrange(12) : 60 - rng.randrange(12)] + "".join(rng.choice("ab") for _ in range(30)) for i in range(80)}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        got = repeats.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5), group=4, with_text=False).collect()
+    finally:
+        spark.conf.set(key, old)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_repeats(texts)
+
+
 def test_anchors_do_not_depend_on_blocks():
     rng = random.Random(6)
     texts = ["".join(rng.choice("abcde ") for _ in range(n)) for n in (0, 49, 50, 51, 3000, 20)] + ["x" * 700]
