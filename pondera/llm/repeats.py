@@ -162,16 +162,17 @@ class _Chunk:
         words = np.lib.stride_tricks.sliding_window_view(self.data, BASE)[self.at].view(np.int64) if len(self.at) else np.zeros((0, 2), np.int64)
         return [np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1])]
 
-    def bridges(self, words: int) -> np.ndarray:
+    def bridges(self, words: int, which: np.ndarray) -> np.ndarray:
         """How far the next anchor of the text is (0: there is none), and the bytes in between that neither has."""
-        out = np.zeros((len(self.at), 8 * words), np.uint8)
-        gap = np.zeros(len(self.at), np.uint16)
-        gap[:-1] = np.where(self.row[1:] == self.row[:-1], np.minimum(np.diff(self.at), 65535), 0)
-        gap[gap > BASE + 8 * words - 2] = 0  # strings in between are missing: not neighbours
-        out[:, :2] = gap.view(np.uint8).reshape(-1, 2)
+        gap = np.zeros(len(self.at), np.int64)
+        gap[:-1] = np.where(self.row[1:] == self.row[:-1], np.diff(self.at), 0)
+        gap = gap[which]
+        out = np.zeros((len(which), 8 * words), np.uint8)
+        out[:, :2] = gap.astype("<u2").view(np.uint8).reshape(-1, 2)
+        far = np.flatnonzero(gap > BASE)
         k = np.arange(8 * words - 2)
-        where = np.minimum(self.at[:, None] + BASE + k, max(len(self.data) - 1, 0))
-        out[:, 2:] = np.where(k < gap.astype(np.int64)[:, None] - BASE, self.data[where], 0)
+        where = np.minimum(self.at[which[far], None] + BASE + k, max(len(self.data) - 1, 0))
+        out[far, 2:] = np.where(k < gap[far, None] - BASE, self.data[where], 0)
         return out.view(np.int64)
 
 
@@ -277,7 +278,7 @@ def _begin(length: int):
         rank, lower = _replies(replies, _Groups(c.own_bytes()), c.doc)
         alive = np.flatnonzero(rank >= 0)
         out = np.zeros(len(alive), _state_type(length))
-        for name, values in (("index", alive), ("at", c.at[alive]), ("row", c.row[alive]), ("span", BASE), ("doc", c.doc[alive]), ("rank", rank[alive]), ("lower", lower[alive]), ("bridge", c.bridges(_words(length))[alive])):
+        for name, values in (("index", alive), ("at", c.at[alive]), ("row", c.row[alive]), ("span", BASE), ("doc", c.doc[alive]), ("rank", rank[alive]), ("lower", lower[alive]), ("bridge", c.bridges(_words(length), alive))):
             out[name] = values
         slim = np.zeros(len(alive), _ALIVE_TYPE)
         for name in _ALIVE_TYPE.names:
@@ -354,16 +355,56 @@ class _Edges:
         hi = np.maximum.reduceat(np.where(open_, begin, -1), starts[:-1]) if len(s) else first
         some = np.flatnonzero(hi >= 0)
         self.lo, self.hi, self.doc, self.lower, rank = lo[some], hi[some], c.doc[s["index"]][some], s["lower"][some] > 0, s["rank"][some]
-        head = np.stack([c.at[s["index"]][some] - self.lo, self.hi - self.lo + 1], 1).astype("<u2")
-        seen: dict[tuple[int, bytes], int] = {}
-        data = c.data.tobytes()
-        self.cid = np.array([seen.setdefault((r, h.tobytes() + data[a : b + length]), len(seen)) for r, h, a, b in zip(rank.tolist(), head, self.lo.tolist(), self.hi.tolist(), strict=True)], np.int64)
-        self.keys = list(seen)
-        self.low = np.full(len(seen), big)
+        self.rank, self.head = rank, np.stack([c.at[s["index"]][some] - self.lo, self.hi - self.lo + 1], 1).astype("<u2")
+        self.data, self.end = c.data.tobytes(), self.hi + length
+        self.cid, self.reps = self._same(c.data)
+        self.low = np.full(len(self.reps), big)
         np.minimum.at(self.low, self.cid, self.doc)
-        self.asked = np.zeros(len(seen), bool)  # whether the smallest document here has the anchor from a smaller one
+        self.asked = np.zeros(len(self.reps), bool)  # whether the smallest document here has the anchor from a smaller one
         np.logical_or.at(self.asked, self.cid, self.lower & (self.doc == self.low[self.cid]))
 
+    def _same(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each one's number, and for each number one that has it; equal rank, head and sampled bytes are compared in full."""
+        if not len(self.lo):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words = np.lib.stride_tricks.sliding_window_view(data, 8)
+        sample = [np.ascontiguousarray(words[at]).view(np.int64).ravel() for at in (self.lo, (self.lo + self.end - 8) // 2, self.end - 8)]
+        g = _Groups([self.rank, self.head.astype(np.int64) @ np.array([1, 1 << 16]), *sample])
+        rep = g.order[g.starts]
+        cid, reps = g.group.copy(), rep.tolist()
+        for k in np.flatnonzero(rep[g.group] != np.arange(len(cid))).tolist():
+            r = reps[cid[k]]
+            if self.data[self.lo[k] : self.end[k]] != self.data[self.lo[r] : self.end[r]]:
+                cid[k] = len(reps)
+                reps.append(k)
+        return cid, np.array(reps, np.int64)
+
+    def around(self) -> pa.Array:
+        """Head and bytes of each number."""
+        lo, end = self.lo[self.reps], self.end[self.reps]
+        offsets = np.concatenate([[0], np.cumsum(end - lo + _HEAD)]).astype(np.int32)
+        joined = b"".join([x for h, a, b in zip(self.head[self.reps], lo.tolist(), end.tolist(), strict=True) for x in (h.tobytes(), self.data[a:b])])
+        return pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
+
+    def covered(self, notes: pa.Table, length: int) -> np.ndarray:
+        """Marks of all bytes that go."""
+        later = self.doc > self.low[self.cid]  # the smaller document is in this chunk: all strings repeat
+        hit = np.flatnonzero(notes.column("kind").to_numpy() == HITS)
+        raw, borders = textkit.utf8(notes.column("x").take(pa.array(hit)))
+        places = raw.view(">u2").astype(np.int64) if len(raw) else np.zeros(0, np.int64)
+        of = np.repeat(notes.column("cid").to_numpy()[hit], np.diff(borders) // 2)
+        order = np.argsort(of, kind="stable")
+        of, places = of[order], places[order]
+        own = np.flatnonzero(~later)
+        first = np.searchsorted(of, self.cid[own])
+        n = np.searchsorted(of, self.cid[own], side="right") - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(own) else np.zeros(0, np.int64)
+        begin = np.repeat(self.lo[own], n) + places[at]
+        size = len(self.depth)
+        up = np.bincount(np.concatenate([begin, self.lo[later]]), minlength=size)
+        down = np.bincount(np.concatenate([begin + length, self.hi[later] + length]), minlength=size)
+        return np.cumsum(self.depth + up - down)[:-1] > 0
+
 
 _EDGES = "rank bigint, around binary, low bigint, chunk bigint, cid int, asked boolean"
 
@@ -374,9 +415,10 @@ def _ask_edges(length: int):
         if packed.num_rows and notes.num_rows:
             c = _Chunk(packed.combine_chunks().to_batches()[0], 0)
             e = _Edges(c, notes, length)
-            columns = [[k[0] for k in e.keys], [k[1] for k in e.keys], e.low, [c.chunk] * len(e.keys), range(len(e.keys)), e.asked]
+            n = len(e.reps)
+            columns = [e.rank[e.reps], e.around(), e.low, np.full(n, c.chunk), np.arange(n, dtype=np.int32), e.asked]
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _EDGES.split(", ")])
+        return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _EDGES.split(", ")])
 
     return run
 
@@ -482,19 +524,7 @@ def _results(length: int, with_text: bool):
             return pa.Table.from_arrays([pa.array([], t) for t in types], names)
         batch = packed.combine_chunks().to_batches()[0]
         c = _Chunk(batch, 0)
-        e = _Edges(c, notes, length)
-        later = e.doc > e.low[e.cid]
-        np.add.at(e.depth, e.lo[later], 1)  # the smaller document is in this chunk: all strings repeat
-        np.add.at(e.depth, e.hi[later] + length, -1)
-        hits: dict[int, list[np.ndarray]] = {}
-        for kind, cid, x in zip(notes.column("kind").to_pylist(), notes.column("cid").to_pylist(), notes.column("x").to_pylist(), strict=True):
-            if kind == HITS:
-                hits.setdefault(cid, []).append(np.frombuffer(x, ">u2").astype(np.int64))
-        for k in np.flatnonzero(~later).tolist() if hits else []:
-            for places in hits.get(int(e.cid[k]), ()):
-                np.add.at(e.depth, e.lo[k] + places, 1)
-                np.add.at(e.depth, e.lo[k] + places + length, -1)
-        gone = np.cumsum(e.depth[:-1]) > 0
+        gone = _Edges(c, notes, length).covered(notes, length)
         rows = []
         for doc, a, b in zip(batch.column("doc_ids")[0].as_py(), c.offsets[:-1].tolist(), c.offsets[1:].tolist(), strict=True):
             cut = gone[a:b]
