@@ -44,9 +44,11 @@ _BLOCK = 1 << 19
 _PLACES = np.uint64((1 << 20) - 1)
 _A, _B = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _HEAD = 4
+#: Rows of an Arrow batch of keys.
+_ROWS = 1 << 16
 _PACKED = "chunk bigint, doc_ids array<bigint>, offsets array<bigint>, data binary, anchors binary"
 _STATE = "chunk bigint, body binary, cover binary"
-_NOTES = "chunk bigint, kind int, cid int, x binary"
+_NOTES = "chunk bigint, kind int, x binary"
 ALIVE, COVER, HITS, LATER = 0, 1, 2, 3
 
 
@@ -184,6 +186,23 @@ def _words(length: int) -> int:
 _ALIVE_TYPE = np.dtype([("index", "i4"), ("rank", "i8"), ("lower", "i1")])
 
 
+_REPLY = np.dtype([("id", "i4"), ("rank", "i8"), ("lower", "i1")])
+_HIT = np.dtype([("cid", ">i4"), ("place", ">u2")])
+
+
+def _by_chunk(chunk: np.ndarray, rows: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Distinct chunks and each one's rows as bytes."""
+    order = np.argsort(chunk, kind="stable")
+    chunk, rows = chunk[order], np.ascontiguousarray(rows[order])
+    cuts = np.flatnonzero(np.concatenate([np.ones(min(len(chunk), 1), bool), chunk[1:] != chunk[:-1]]))
+    offsets = (np.append(cuts, len(chunk)) * rows.itemsize).astype(np.int32)
+    return pa.array(chunk[cuts]), pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+
+
+def _joined(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
+
+
 def _state_type(length: int) -> np.dtype:
     return np.dtype([("index", "i4"), ("at", "i4"), ("row", "i4"), ("span", "i4"), ("doc", "i8"), ("rank", "i8"), ("lower", "i1"), ("bridge", "i8", (_words(length),))])
 
@@ -222,22 +241,23 @@ def _rank(keys: list[str], level: int):
             first = np.minimum.reduceat(low, starts)
             shared = (first < np.maximum.reduceat(low, starts)) | (np.maximum.reduceat(number & 1, starts) > 0)
             keep = np.flatnonzero(shared[group])
-            own = group[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(t.column("chunk").to_numpy()[keep]), pa.array(number[keep] >> 1), pa.array(base + own), pa.array(low[keep] > first[own])], ["chunk", "id", "rank", "lower"])
+            own, out = group[keep], np.empty(len(keep), _REPLY)
+            out["id"], out["rank"], out["lower"] = number[keep] >> 1, base + own, low[keep] > first[own]
+            yield pa.RecordBatch.from_arrays([*_by_chunk(t.column("chunk").to_numpy()[keep], out)], ["chunk", "body"])
             base += len(starts)
 
     return run
 
 
 def _ranked(asked: DataFrame, keys: list[str], level: int) -> DataFrame:
-    return asked.repartition(keys[0]).sortWithinPartitions(keys[0]).mapInArrow(textkit.lean(_rank(keys, level)), "chunk bigint, id int, rank bigint, lower boolean")
+    return asked.repartition(keys[0]).sortWithinPartitions(keys[0]).mapInArrow(textkit.lean(_rank(keys, level)), "chunk bigint, body binary")
 
 
 def _replies(replies: pa.Table, g: _Groups, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's rank, or -1, and whether its key is in a smaller document."""
     rank, lower = np.full(len(g.starts), -1), np.zeros(len(g.starts), bool)
-    number = replies.column("id").to_numpy()
-    rank[number], lower[number] = replies.column("rank").to_numpy(), replies.column("lower").to_numpy(zero_copy_only=False)
+    got = _joined(replies.column("body").to_pylist(), _REPLY)
+    rank[got["id"]], lower[got["id"]] = got["rank"], got["lower"] > 0
     return rank[g.group], lower[g.group] | (doc > g.low(doc)[g.group])
 
 
@@ -338,7 +358,7 @@ class _Edges:
         kinds = notes.column("kind").to_numpy()
         blobs = notes.column("x").to_pylist()
         s = np.concatenate([np.zeros(0, _ALIVE_TYPE), *(_unpack(b, _ALIVE_TYPE) for b, k in zip(blobs, kinds, strict=True) if k == ALIVE)])
-        self.depth, reach = np.zeros(len(c.data) + 1, np.int32), np.zeros(len(c.data) + 1, np.int64)
+        self.depth, reach = np.zeros(len(c.data) + 1, np.int32), np.zeros(len(c.data) + 1, np.int32)
         for b, k in zip(blobs, kinds, strict=True):
             if k == COVER:
                 lo, hi = _unpack(b, np.int32).reshape(2, -1)
@@ -389,10 +409,8 @@ class _Edges:
     def covered(self, notes: pa.Table, length: int) -> np.ndarray:
         """Marks of all bytes that go."""
         later = self.doc > self.low[self.cid]  # the smaller document is in this chunk: all strings repeat
-        hit = np.flatnonzero(notes.column("kind").to_numpy() == HITS)
-        raw, borders = textkit.utf8(notes.column("x").take(pa.array(hit)))
-        places = raw.view(">u2").astype(np.int64) if len(raw) else np.zeros(0, np.int64)
-        of = np.repeat(notes.column("cid").to_numpy()[hit], np.diff(borders) // 2)
+        hits = _joined([x for x, k in zip(notes.column("x").to_pylist(), notes.column("kind").to_pylist(), strict=True) if k == HITS], _HIT)
+        of, places = hits["cid"].astype(np.int64), hits["place"].astype(np.int64)
         order = np.argsort(of, kind="stable")
         of, places = of[order], places[order]
         own = np.flatnonzero(~later)
@@ -400,10 +418,10 @@ class _Edges:
         n = np.searchsorted(of, self.cid[own], side="right") - first
         at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(own) else np.zeros(0, np.int64)
         begin = np.repeat(self.lo[own], n) + places[at]
-        size = len(self.depth)
-        up = np.bincount(np.concatenate([begin, self.lo[later]]), minlength=size)
-        down = np.bincount(np.concatenate([begin + length, self.hi[later] + length]), minlength=size)
-        return np.cumsum(self.depth + up - down)[:-1] > 0
+        for lo, hi in ((begin, begin + length), (self.lo[later], self.hi[later] + length)):
+            np.add.at(self.depth, lo, 1)
+            np.add.at(self.depth, hi, -1)
+        return np.cumsum(self.depth[:-1], dtype=np.int32) > 0
 
 
 _EDGES = "rank bigint, around binary, low bigint, chunk bigint, cid int, asked boolean"
@@ -436,22 +454,23 @@ def _compare(t: pa.Table, length: int) -> pa.RecordBatch:
     low = t.column("low").to_numpy()[row]
     g = _Groups([t.column("rank").to_numpy()[row], *(np.ascontiguousarray(words[:, k]) for k in range(words.shape[1]))])
     hit = (low > g.low(low)[g.group]) & t.column("asked").to_numpy()[row]
-    rows = np.flatnonzero(np.bincount(row[hit], minlength=len(n)))
-    found = np.split(place[hit], np.flatnonzero(np.diff(row[hit])) + 1) if len(rows) else []
-    nothing = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.binary(), pa.int64())]
-    columns = [t.column("chunk").to_numpy()[rows], np.full(len(rows), HITS, np.int32), t.column("cid").to_numpy()[rows], pa.array([f.astype(">u2").tobytes() for f in found], pa.binary()), *nothing, pa.nulls(len(rows), pa.bool_())]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _COMPARED_NAMES)
+    found = np.empty(np.count_nonzero(hit), _HIT)
+    found["cid"], found["place"] = t.column("cid").to_numpy()[row[hit]], place[hit]
+    chunks, x = _by_chunk(t.column("chunk").to_numpy()[row[hit]], found)
+    n = len(chunks)
+    nothing = [pa.nulls(n, k) for k in (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_())]
+    return pa.RecordBatch.from_arrays([chunks, pa.array(np.full(n, HITS, np.int32)), x, *nothing], _COMPARED_NAMES)
 
 
-_COMPARED = f"{_NOTES}, rank bigint, around binary, low bigint, asked boolean"
+_COMPARED = f"{_NOTES}, rank bigint, around binary, low bigint, cid int, asked boolean"
 _COMPARED_NAMES = [x.split()[0] for x in _COMPARED.split(", ")]
 
 
 def _left(rows: pa.RecordBatch) -> pa.RecordBatch:
     """Rows that are to be dealt out by string."""
     n = rows.num_rows
-    own = [rows.column(c) for c in ("rank", "around", "low", "asked")]
-    return pa.RecordBatch.from_arrays([rows.column("chunk"), pa.array(np.full(n, LATER, np.int32)), rows.column("cid"), pa.nulls(n, pa.binary()), *own], _COMPARED_NAMES)
+    own = [rows.column(c) for c in ("rank", "around", "low", "cid", "asked")]
+    return pa.RecordBatch.from_arrays([rows.column("chunk"), pa.array(np.full(n, LATER, np.int32)), pa.nulls(n, pa.binary()), *own], _COMPARED_NAMES)
 
 
 def _compare_edges(length: int, group: int, max_bytes: int = 16 << 20):
@@ -506,14 +525,14 @@ def _compare_edges(length: int, group: int, max_bytes: int = 16 << 20):
 def _edge_hits(edges: DataFrame, length: int, group: int, scratch: Scratch) -> DataFrame:
     """``_NOTES`` of the edges' strings that are in a smaller document."""
     compared = edges.repartition("rank").sortWithinPartitions("rank").mapInArrow(textkit.lean(_compare_edges(length, group)), _COMPARED)
-    compared = scratch.keep(compared, "compared", compression="zstd")
+    compared = scratch.keep(compared, "compared", batch_rows=_ROWS, compression="zstd")
     byte = lambda i: F.conv(F.hex(F.substring("around", i, 1)), 16, 10).cast("int")
     strings = compared.where(F.col("kind") == LATER).withColumn("place", F.explode(F.sequence(F.lit(0), byte(3) + 256 * byte(4) - 1)))
     strings = strings.select("rank", F.expr(f"substring(around, place + {_HEAD + 1}, {length})").alias("string"), "low", "chunk", "cid", "asked", "place")
     first = strings.groupBy("rank", "string").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").drop("last")
     hit = strings.where("asked").join(first, ["rank", "string"]).where("low > first")
-    hits = compared.where(F.col("kind") == HITS).select("chunk", "kind", "cid", "x")
-    return hits.unionByName(hit.select("chunk", F.lit(HITS).alias("kind"), "cid", F.unhex(F.lpad(F.hex("place"), 4, "0")).alias("x")))
+    hits = compared.where(F.col("kind") == HITS).select("chunk", "kind", "x")
+    return hits.unionByName(hit.select("chunk", F.lit(HITS).alias("kind"), F.unhex(F.concat(F.lpad(F.hex("cid"), 8, "0"), F.lpad(F.hex("place"), 4, "0"))).alias("x")))
 
 
 def _results(length: int, with_text: bool):
@@ -554,15 +573,15 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, chunk_bytes: int = 4 <<
     scratch = Scratch(docs.sparkSession, "repeats")
     packed = exchange.pack(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), chunk_bytes, finish=_prepare(length), schema=_PACKED)
     packed = scratch.keep(packed, "packed", compression="none")
-    ranks = scratch.keep(_ranked(packed.mapInArrow(textkit.lean(_ask_anchors), _requests(2)), ["k0", "k1"], 0), "ranks0")
+    ranks = scratch.keep(_ranked(packed.mapInArrow(textkit.lean(_ask_anchors), _requests(2)), ["k0", "k1"], 0), "ranks0", batch_rows=_ROWS)
     chains = scratch.keep(packed.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_begin(length), _STATE), "chains0", batch_rows=64, compression="none")
     scratch.drop("ranks0")
-    note = lambda level: scratch.keep(chains.select("chunk", F.lit(COVER if level else ALIVE).alias("kind"), F.lit(0).alias("cid"), F.col("cover").alias("x")), f"note{level}", compression="none")
+    note = lambda level: scratch.keep(chains.select("chunk", F.lit(COVER if level else ALIVE).alias("kind"), F.col("cover").alias("x")), f"note{level}", compression="none")
     keys, level, notes = [f"k{i}" for i in range(2 + _words(length))], 0, note(0)
     while True:
         step = 1 << level
         asked = chains.mapInArrow(textkit.lean(_ask_pairs(step, length)), _requests(len(keys)))
-        ranks = scratch.keep(_ranked(asked, keys, level + 1), f"ranks{level + 1}")
+        ranks = scratch.keep(_ranked(asked, keys, level + 1), f"ranks{level + 1}", batch_rows=_ROWS)
         if ranks.isEmpty():
             break
         chains = scratch.keep(chains.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_extend(step, length), _STATE), f"chains{level + 1}", batch_rows=64, compression="none")
