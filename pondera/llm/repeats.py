@@ -592,8 +592,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, chunk_bytes: int = 4 <<
     edges = packed.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(_ask_edges(length), _EDGES)
     edges = scratch.keep(edges, "edges", compression="zstd")
     hits = scratch.keep(_edge_hits(edges, length, group, scratch), "hits")
+    scratch.drop("edges", "compared")
     out = packed.groupBy("chunk").cogroup(notes.unionByName(hits).groupBy("chunk"))
     kept = ", kept binary" if with_text else ""
     out = scratch.keep(out.applyInArrow(_results(length, with_text), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}"), "result")
-    scratch.drop("packed", "edges", "compared", "hits", *(f"note{i}" for i in range(level + 1)))
+    scratch.drop("packed", "hits", *(f"note{i}" for i in range(level + 1)))
     return out
