@@ -134,7 +134,7 @@ PRETTY = {
     "MarineChainsaw": "chainsaw marine", "GreenArmor": "green armor", "BlueArmor": "blue armor", "Medikit": "medkit", "Stimpack": "stimpack",
     "Clip": "ammo clip", "ClipBox": "box of bullets", "ShellBox": "box of shells", "Shell": "shells", "HealthBonus": "health bonus", "ArmorBonus": "armor bonus",
 }
-#: Words by the first bound that a value is under (or, where marked, not over).
+#: Fixed values too: words by the first bound that a value is under (or, where marked, not over).
 WHERE = [(0.15, False, "at the far left edge"), (0.38, False, "on the left"), (0.46, False, "slightly left of center"), (0.54, True, "dead center, in the crosshair"), (0.62, True, "slightly right of center"), (0.85, True, "on the right")]
 WHERE_ELSE = "at the far right edge"
 #: Words by the first bound that a size is over.
@@ -168,9 +168,10 @@ def pretty_name(name: Column) -> Column:
     return F.coalesce(F.try_element_at(known, name), F.lower(name))
 
 
-def actor_kind(name: Column, monsters: list[str], items: list[str]) -> Column:
-    """monster, item, or null for what is neither."""
-    return F.when(name.isin(*monsters) | name.endswith("Vzd"), "monster").when(name.isin(*items), "item")
+def actor_kind(name: Column, monsters: list[str], items: list[str], size: Column | None = None) -> Column:
+    """monster, item, or null for what is neither or, given its size, has none."""
+    kind = F.when(name.isin(*monsters) | name.endswith("Vzd"), "monster").when(name.isin(*items), "item")
+    return kind if size is None else F.when(size > 0, kind)
 
 
 def situation(things: Column, center: Column, left: Column, right: Column) -> Column:

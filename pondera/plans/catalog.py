@@ -504,6 +504,104 @@ def task_validation(spark, sf_dir):
     return tasks.parse_tasks(rows.select("key", line.alias("value"))).select(F.col("key").alias("id"), "error")
 
 
+@query(f"WITH RECURSIVE {CLUSTERS}, k AS (SELECT r, min(c) AS c FROM cc GROUP BY r) SELECT count(*) AS rows, count(DISTINCT c) AS clusters, 4::BIGINT AS splits, 0::BIGINT AS torn_clusters, true AS near_fractions FROM k")
+def group_split_totals(spark, sf_dir):
+    members = splits.clusters(*event_keys(spark, sf_dir))
+    rows = members.join(splits.group_split(members), "cluster")
+    torn = rows.groupBy("cluster").agg(F.countDistinct("split").alias("s")).agg(F.count(F.lit(1)).alias("clusters"), F.sum((F.col("s") - 1).cast("long")).alias("torn_clusters"))
+    per = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    near = F.bool_and(F.abs(F.col("n") / F.col("all") - F.when(F.col("split") == "train", 0.7).otherwise(0.1)) < 0.05)
+    sums = per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("all")))).agg(F.first("all").alias("rows"), F.count(F.lit(1)).alias("splits"), near.alias("near_fractions"))
+    return sums.crossJoin(torn).select("rows", "clusters", "splits", "torn_clusters", "near_fractions")
+
+
+@query("""WITH k AS (SELECT o_orderkey AS row, unnest(['game', 'puzzle', 'position']) AS kind, unnest([CASE WHEN o_orderkey % 3 = 0 THEN 'https://games.example/' || o_custkey END, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END, nullif(CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_clerk END, '')]) AS value FROM (SELECT *, 'c' || (o_custkey % 9) AS o_clerk FROM orders))
+SELECT row, kind, value FROM k WHERE value IS NOT NULL""")
+def identity_keys(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    url = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("https://games.example/"), F.col("o_custkey"), F.lit("/?ply=3#top")))
+    rows = o.select(F.col("o_orderkey").alias("row"), F.lit("").alias("game_id"), url.alias("game_url"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).alias("puzzle_id"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.concat(F.lit("c"), F.col("o_custkey") % 9)).alias("position"))
+    return splits.identity_keys(rows)
+
+
+@query("SELECT o_orderkey AS row, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4)::INTEGER AS batch FROM orders")
+def batch_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), "o_custkey")
+    return splits.batches(rows, order="row", size=4, partition="o_custkey").select("row", "batch")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY event_id LIMIT 100")
+def first_hundred(spark, sf_dir):
+    return tasks.first_rows(table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts")), "event_id", 100)
+
+
+@query("SELECT p_partkey, array_to_string(string_split_regex(trim(p_name || '   w - ' || p_size || ' 1'), '\\s+')[1:4], ' ') AS position, CASE WHEN p_retailprice < 1000 THEN '<1000' WHEN p_retailprice < 1400 THEN '1000-1399' WHEN p_retailprice < 1800 THEN '1400-1799' ELSE '1800+' END AS bucket FROM part")
+def positions(spark, sf_dir):
+    fen = F.concat("p_name", F.lit("   w - "), F.col("p_size").cast("string"), F.lit(" 1"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.position_of(fen).alias("position"), X.rating_bucket(F.col("p_retailprice")).alias("bucket"))
+
+
+#: Positions that stand for a game's: the first one, an open game, an ending.
+FENS = ["rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1", "r1bqkb1r/pppp1ppp/2n2n2/4p3/2B1P3/5N2/PPPP1PPP/RNBQK2R b KQkq - 4 4", "8/5k2/8/3P4/8/1K6/8/8 w - - 0 60"]
+_CELLS = "r"
+for _n in range(8, 0, -1):
+    _CELLS = f"replace({_CELLS}, '{_n}', '{'.' * _n}')"
+
+
+@query(f"""WITH f AS (SELECT p_partkey, ['{"', '".join(FENS)}'][p_partkey % 3 + 1] AS fen FROM part)
+SELECT p_partkey, 'You are playing chess as ' || CASE WHEN split_part(fen, ' ', 2) = 'w' THEN 'white' ELSE 'black' END || '. Pick the best move.' || chr(10) || chr(10) || 'Board (uppercase = white, lowercase = black):' || chr(10)
+|| array_to_string(list_transform(string_split(split_part(fen, ' ', 1), '/'), lambda r, i: (9 - i)::VARCHAR || ' ' || array_to_string(string_split({_CELLS}, ''), ' ')), chr(10)) || chr(10) || '  a b c d e f g h' || chr(10) || chr(10) || 'FEN: ' || fen || chr(10) || 'Legal moves: e2e4 d2d4' || chr(10) || 'Best move:' AS prompt FROM f""")
+def chess_prompts(spark, sf_dir):
+    fen = F.element_at(F.array(*[F.lit(f) for f in FENS]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.chess_prompt(fen, F.array(F.lit("e2e4"), F.lit("d2d4"))).alias("prompt"))
+
+
+@query(f"""SELECT count(*) AS n, round(avg((o_orderpriority <> '{LEVELS[4]}')::INT), 6) AS legal_rate, round(avg((o_orderpriority = '{LEVELS[0]}')::INT), 6) AS correct_rate FROM orders""")
+def generation_rates(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")).alias("generated"), F.array(*[F.lit(x) for x in LEVELS[:4]]).alias("candidates"), F.lit(LEVELS[0]).alias("gold"))
+    return rounded(metrics.generation_evaluation(rows))
+
+
+@query("""WITH p AS (SELECT event_type AS name, count(*) AS runs, median(value) AS m, min(value) AS least FROM events GROUP BY 1)
+SELECT name, runs, round(m, 6) AS median_seconds, round(least, 6) AS min_seconds, round(m / min(m) OVER (), 6) AS ratio FROM p""")
+def latency_ratios(spark, sf_dir):
+    return rounded(metrics.latency(table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("value").alias("seconds"))))
+
+
+@query("SELECT count(*) AS n, 0.004::DOUBLE AS worst, false AS ok FROM events")
+def worst_differences(spark, sf_dir):
+    a = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("cand_id"), (F.col("event_id") % 101 / 1000).alias("probability"))
+    return rounded(tasks.worst_difference(a, a.withColumn("probability", F.col("probability") + F.col("id") % 5 / 1000), 0.001))
+
+
+@query(f"WITH {LINES} SELECT id, pos::INTEGER AS pos, s AS score FROM lp")
+def aligned_scores(spark, sf_dir):
+    rows = line_tasks(spark, sf_dir).withColumn("ids", F.transform("scores", lambda s, i: F.concat(F.lit("c"), i.cast("string"))))
+    results = rows.select("id", F.reverse(F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("utility"))).alias("candidates"))
+    return tasks.aligned(rows.select("id", "ids"), results).select("id", F.posexplode("scores").alias("pos", "score"))
+
+
+@query("SELECT count(*) AS n, sum(len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')))::BIGINT AS tokens FROM conversations")
+def within_token_limits(spark, sf_dir):
+    ok = scorers.require_token_limits(reply_tasks(spark, sf_dir), context_tokens=100_000, candidate_tokens=4)
+    return ok.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(scorers.words_of(F.col("context")))).cast("long").alias("tokens"))
+
+
+@query("SELECT count(*) * 4 AS n, 0.0::DOUBLE AS worst, true AS ok FROM conversations")
+def order_invariance(spark, sf_dir):
+    model = document_bigrams(spark, sf_dir)
+    return rounded(scorers.invariance(reply_tasks(spark, sf_dir), lambda df: scorers.score_bigrams(df, model)))
+
+
+@query(f"""WITH {BIGRAMS}, e AS (SELECT *, exp(ls / nt) AS e FROM sc) SELECT id, 4 AS n_options, round(max(e) / sum(e), 6) AS confidence FROM e WHERE right(id, 1) <> '1' GROUP BY id
+UNION ALL SELECT conv_id || ':' || turn, 1, 1.0 FROM conversations WHERE right(turn::VARCHAR, 1) = '1'""")
+def forced_options(spark, sf_dir):
+    model = document_bigrams(spark, sf_dir)
+    rows = reply_tasks(spark, sf_dir).withColumn("options", F.when(F.col("id").endswith("1"), F.slice("options", 1, 1)).otherwise(F.col("options")))
+    spread = scorers.score_with_forced(rows, lambda df: scorers.distributions(scorers.score_bigrams(df, model), norm="mean"))
+    return rounded(spread.select("id", F.size("options").alias("n_options"), F.array_max("probabilities").alias("confidence")))
+
+
 # ---- event streams: episodes, words, JSON
 
 @query("""SELECT event_id, lag(event_type) OVER w AS last_action, round(sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS total_reward FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
@@ -533,15 +631,29 @@ def situations(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.situation(F.array(thing), depth, depth, depth).alias("scene"))
 
 
-@query("SELECT event_id, sha256(props) AS digest, json_valid(props) AS valid FROM events WHERE props IS NOT NULL")
+@query("""SELECT event_id, CASE WHEN event_id % 61 > 0 THEN CASE event_id % 4 WHEN 0 THEN 'monster' WHEN 1 THEN 'monster' WHEN 2 THEN 'item' END END AS kind, repeat('█', round((event_id % 101) / 100.0::DOUBLE * 20)::INTEGER) || ' ' || (event_id % 101) || '%' AS bar FROM events""")
+def actors(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(n) for n in ("DoomImp", "SomeVzd", "Medikit", "Lamp")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", X.actor_kind(name, ["DoomImp"], ["Medikit"], F.col("event_id") % 61).alias("kind"), X.bar(F.col("event_id") % 101 / 100).alias("bar"))
+
+
+@query("""SELECT event_id, 'You are playing Doom. Goal: survive' || chr(10) || chr(10) || 'Rules:' || chr(10) || '- shoot' || chr(10) || chr(10) || 'Examples:' || chr(10) || 'Situation: a -> b' || chr(10) || chr(10) || 'Situation: here' || chr(10)
+|| 'Health ' || (event_id % 100) || ', ammo ' || (event_id % 50) || ', kills ' || (event_id % 7) || '.' || CASE WHEN event_id % 2 = 0 THEN ' Last action: ' || event_type || '.' ELSE '' END || chr(10) || '->' AS prompt FROM events""")
+def game_prompts(spark, sf_dir):
+    i = F.col("event_id")
+    state = X.status(i % 100, i % 50, i % 7, F.when(i % 2 == 0, F.col("event_type")))
+    return table(spark, sf_dir, "events").select("event_id", X.game_prompt("survive", ["shoot"], [("a", "b")], F.lit("here"), state).alias("prompt"))
+
+
+@query("SELECT event_id, sha256(props) AS digest, coalesce(json_valid(props), false) AS valid FROM events")
 def json_props(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("props is not null")
+    e = table(spark, sf_dir, "events")
     return e.select("event_id", X.sha256(F.col("props")).alias("digest"), X.canonical("props").isNotNull().alias("valid"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS game FROM pages WHERE url IS NOT NULL")
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS game FROM pages")
 def game_identities(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where("url is not null").select("page_id", X.game_identity(F.lit(""), F.col("url")).alias("game"))
+    return table(spark, sf_dir, "pages").select("page_id", X.game_identity(F.lit(""), F.col("url")).alias("game"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS action, count(*) AS n, round(sum(value), 4) AS reward FROM events GROUP BY 1, 2")
