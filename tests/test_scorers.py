@@ -233,3 +233,51 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     assert spark.read.parquet(str(tmp_path / "scored")).agg(F.sum("score")).first()[0] == 12
     assert metrics.summarize(metrics.metric_rows(spark.createDataFrame([], "id string, ids array<string>, scores array<double>, label int"))).first().n == 0
+
+
+# ---- features, artifacts and the decision scorer
+
+def decision_lines(n, start=0):
+    rows = []
+    for i in range(start, start + n):
+        options = [{"id": "x", "text": "a aa"}, {"id": "y", "text": "bbbb b"}]
+        rows.append(json.dumps({"schema_version": 1, "id": f"t{i}", "state": {"n": i}, "question": f"which {i}?", "candidates": options, "target": {"choice_id": "x" if i % 2 else "y"}}))
+    return rows
+
+
+def test_decision_scorer(spark, tmp_path):
+    from pondera.operators import decision, tasks
+    from pondera.operators.calibration import Calibrator
+
+    def letters():
+        """A small deterministic model: four numbers for each word."""
+        import numpy as np
+
+        return lambda text: np.array([[len(w), w.count("a"), ord(w[0]) % 7, 1.0] for w in text.split()])
+
+    parsed = [tasks.parse_tasks(spark.createDataFrame([(x,) for x in decision_lines(12, k)], "value string")) for k in (0, 100)]
+    train, valid = (decision.extract(p, letters) for p in parsed)
+    assert train.first().label in (0, 1) and len(train.first().options) == 2
+    decision.check_cache(train, parsed[0])
+    with pytest.raises(ValueError, match="differ"):
+        decision.check_cache(train, parsed[1])
+    with pytest.raises(ValueError, match="overlap"):
+        decision.train_artifact(train, train, str(tmp_path / "no"), {})
+    decision.train_artifact(train, valid, str(tmp_path / "head"), {"model": "letters"}, rank=2, epochs=1)
+    with pytest.raises(ValueError, match="model differs"):
+        decision.DecisionScorer(tmp_path / "head", letters, {"model": "other"})
+    scorer = decision.DecisionScorer(tmp_path / "head", letters, {"model": "letters"})
+    table = {r.id: r for r in scorer.score_table(parsed[0]).collect()}
+    one = scorer.score(json.loads(decision_lines(1)[0]))
+    assert one["choice_id"] == table["t0"].choice and [c["probability"] for c in one["candidates"]] == pytest.approx(table["t0"].probabilities)
+    assert scorer.predict(state="s", question="q?", candidates={"a": "one", "b": "two"})["choice_id"] in ("a", "b")
+    for bad in ([("a", "one")], {"a": "one"}, {"a": "one", "b": " "}):
+        with pytest.raises(ValueError):
+            scorer.predict(state="s", question="q?", candidates=bad)
+    Calibrator(2.0, "nll", (0.05, 20.0), scorer.artifact_id).save(str(tmp_path / "c.json"))
+    warm = decision.DecisionScorer(tmp_path / "head", letters, {"model": "letters"}, str(tmp_path / "c.json"))
+    got = warm.score(json.loads(decision_lines(1)[0]))
+    assert got["choice_id"] == one["choice_id"] and got["raw_probabilities"] == pytest.approx([c["probability"] for c in one["candidates"]])
+    assert warm.score_table(parsed[0]).where("id = 't0'").first().probabilities == pytest.approx([c["probability"] for c in got["candidates"]])
+    with pytest.raises(Exception, match="no features"):
+        decision.extract(parsed[0], letters, candidate_tokens=1).collect()
