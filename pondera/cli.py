@@ -1,8 +1,10 @@
-"""Commands over files: score, eval, convert, check-tasks, split, calibrate, report, benchmark, systemone, experiment and serve."""
+"""Commands over files: score, eval, convert, check-tasks, split, calibrate, report, benchmark, systemone, experiment,
+features, train, predict, eval-head, check and serve."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
@@ -10,7 +12,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pondera.functions import scores as S
-from pondera.operators import calibration, metrics, scorers, splits, systemone, tasks
+from pondera.functions import text as X
+from pondera.operators import calibration, decision, metrics, scorers, splits, systemone, tasks
 from pondera.plans.experiment import analyze_variants, refuse_existing, run
 from pondera.serve import make_server
 from pondera.sources import readers, sinks
@@ -40,10 +43,21 @@ def parser() -> argparse.ArgumentParser:
     add("split", "examples", "out", seed={"type": int, "default": 42})
     add("systemone", "texts", "requests")
     add("experiment", "settings")
+    add("features", "tasks", "out", model={"required": True, "help": "module:function that loads the model"}, labelled={"action": "store_true"})
+    add("train", "train", "validation", "out", model={"required": True}, rank={"type": int, "default": 16}, epochs={"type": int, "default": 8}, seed={"type": int, "default": 7}, brier_weight={"type": float, "default": 0.0}, selection={"choices": ["top1", "nll", "brier"], "default": "top1"})
+    add("predict", "artifact", "tasks", "out", model={"required": True}, calibrator={})
+    add("eval-head", "artifact", "tasks", model={"required": True})
+    add("check", "texts", "tasks", tolerance={"type": float, "default": 1e-9})
     add("serve", "texts", port={"type": int, "default": 8000}, api_key={})
     return p
 
 
+def load_model(name: str) -> tuple[decision.Load, dict]:
+    """A model's loader and signature by ``module:function``."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function), {"model": name}
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("pondera").getOrCreate()
@@ -95,6 +109,30 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         settings = readers.Experiment.load(a.settings)
         data = {k: readers.features(spark, v)[0] for k, v in (settings.caches or settings.datasets).items()}
         print(json.dumps(run(settings, data)))
+    elif a.command == "features":
+        refuse_existing(a.out)
+        load, signature = load_model(a.model)
+        rows = decision.extract(readers.tasks(spark, a.tasks, labelled=a.labelled), load)
+        sinks.write_features(rows, a.out, signature | {"hidden": len(rows.first().context[0])})
+    elif a.command == "train":
+        refuse_existing(a.out)
+        both = []
+        for path in (a.train, a.validation):
+            rows, meta = readers.features(spark, path)
+            if meta.get("model") != a.model:
+                raise ValueError(f"features of another model: {path}")
+            both.append(rows)
+        print(json.dumps(decision.train_artifact(*both, a.out, load_model(a.model)[1], rank=a.rank, epochs=a.epochs, seed=a.seed, brier_weight=a.brier_weight, selection=a.selection)))
+    elif a.command in ("predict", "eval-head"):
+        scorer = decision.DecisionScorer(a.artifact, *load_model(a.model), calibrator=a.calibrator if a.command == "predict" else None)
+        scored = scorer.score_table(readers.tasks(spark, a.tasks, labelled=a.command == "eval-head"))
+        if a.command == "predict":
+            sinks.write_lines(scored, a.out)
+        else:
+            show(metrics.summarize(metrics.metric_rows(scored)))
+    elif a.command == "check":
+        rows = readers.tasks(spark, a.tasks).select("id", X.render_context(F.col("state"), F.col("question")).alias("context"), F.transform("candidates", lambda c: c["text"]).alias("options"))
+        show(scorers.invariance(rows, lambda df: scorers.score_bigrams(df, model), tolerance=a.tolerance))
     elif a.command == "serve":
         make_server(model, a.port, a.api_key).serve_forever()
     elif a.command == "systemone":

@@ -281,3 +281,21 @@ def test_decision_scorer(spark, tmp_path):
     assert warm.score_table(parsed[0]).where("id = 't0'").first().probabilities == pytest.approx([c["probability"] for c in got["candidates"]])
     with pytest.raises(Exception, match="no features"):
         decision.extract(parsed[0], letters, candidate_tokens=1).collect()
+
+
+def test_head_commands(spark, tmp_path, capsys):
+    model = ["--model", "pondera.operators.decision:hashed_words"]
+    for name, k in (("train", 0), ("valid", 100)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(decision_lines(10, k)))
+        cli.main(["features", str(tmp_path / f"{name}.jsonl"), str(tmp_path / name), "--labelled", *model], spark)
+    cli.main(["train", str(tmp_path / "train"), str(tmp_path / "valid"), str(tmp_path / "head"), "--rank", "2", "--epochs", "1", *model], spark)
+    cli.main(["predict", str(tmp_path / "head"), str(tmp_path / "valid.jsonl"), str(tmp_path / "out"), *model], spark)
+    assert spark.read.json(str(tmp_path / "out")).count() == 10
+    capsys.readouterr()
+    cli.main(["eval-head", str(tmp_path / "head"), str(tmp_path / "valid.jsonl"), *model], spark)
+    assert json.loads(capsys.readouterr().out)["n"] == 10
+    (tmp_path / "texts.txt").write_text("a aa bbbb b\nb a")
+    cli.main(["check", str(tmp_path / "texts.txt"), str(tmp_path / "valid.jsonl")], spark)
+    assert json.loads(capsys.readouterr().out)["ok"] is True
+    with pytest.raises(ValueError, match="another model"):
+        cli.main(["train", str(tmp_path / "train"), str(tmp_path / "valid"), str(tmp_path / "h2"), "--model", "other:model"], spark)
