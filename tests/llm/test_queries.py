@@ -146,3 +146,80 @@ def test_stages_keep_clean_documents(spark, sf_dir):
     assert sorted(str(r.doc_id) for r in b.collect()) == ["1", "None", "None"]
     assert c.decontaminate(spark, b, sf_dir).count() == 3
     assert c.shard(spark, b, sf_dir).columns == [*c.COLUMNS, "slot", "shard"]
+
+
+# ---- plain versions of what SQL can't say
+
+def plain_grams(text, n=5):
+    """n-byte strings between blanks of the text, A-Z folded, other ASCII than letters blank."""
+    b = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in (text or "").encode())
+    b = b" " + b + b" "
+    return [b[k : k + n] for k in range(len(b) - n + 1) if b"  " not in b[k : k + n]]
+
+
+def test_language_id_against_exact_sets(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    counts, total = {}, Counter()
+    for r in docs:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            g = plain_grams(r.text)
+            counts.setdefault(r.lang, Counter()).update(g)
+            total[r.lang] += len(g)
+    known = {k: {g for g, n in c.items() if n >= 1e-5 * total[k]} for k, c in counts.items()}
+    got = {r.doc_id: r for r in q.op4_language_id(spark, sf_dir).collect()}
+    for r in docs:
+        if r.text is None or not any(map(str.isalpha, r.text)):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        hits = {k: sum(g in s for g in plain_grams(r.text)) for k, s in known.items()}
+        best = max(hits.values())
+        if best and sum(n == best for n in hits.values()) == 1:
+            assert got[r.doc_id].lang_pred == max(hits, key=hits.get)
+            assert got[r.doc_id].score == pytest.approx(best / sum(hits.values()), abs=0.02)
+
+
+def test_sharding_against_a_slow_table(spark, sf_dir):
+    slots, names = 65537, [f"shard-{i}" for i in range(64)]
+    orders = []
+    for s in names:
+        d = hashlib.md5(s.encode()).hexdigest()
+        orders.append(iter([(int(d[:8], 16) + j * (int(d[8:16], 16) % (slots - 1) + 1)) % slots for j in range(slots)]))
+    table, turn = {}, 0
+    while len(table) < slots:
+        slot = next(x for x in orders[turn % 64] if x not in table)
+        table[slot] = turn % 64
+        turn += 1
+    for r in q.op10_sharding(spark, sf_dir).collect():
+        assert r.slot == int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:13], 16) % slots and r.shard == table[r.slot]
+
+
+def test_pipeline_against_plain_stages(spark, sf_dir, texts):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r.doc_id: r.lang for r in c.language_id(spark, docs, sf_dir).collect()}
+    assert set(kept) == {i for i, t in texts.items() if t is not None and any(map(str.isalpha, t))}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := words(texts[i])) else frozenset() for i in kept}
+    part = {i: i for i in kept}
+    ids = sorted(kept)
+    changed = True
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(part[a], part[b])
+            changed |= part[a] != low or part[b] != low
+            part[a] = part[b] = low
+    one = {i for i in ids if part[i] == i}
+    leaks = {r.doc_id for r in q.op7_decontaminate(spark, sf_dir).where("contaminated").collect()}
+    clean = docs.where(docs.doc_id.isin(sorted(one - leaks)))
+    mixed = Counter({r.doc_id: r.copies for r in __import__("pondera.llm.mixing", fromlist=["mix"]).mix(clean).collect()})
+    assert Counter(r.doc_id for r in c.run(spark, sf_dir).collect()) == +mixed
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as c
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert c.run(spark, str(tmp_path)).count() == 0
