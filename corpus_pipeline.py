@@ -1,7 +1,9 @@
 """The corpus pipeline: filter by language, deduplicate, decontaminate, mix and shard documents.
 
 Each stage works on all that its predecessor kept and returns the columns of
-``documents``; the last one adds each document's slot and shard.
+``documents``; the last one adds each document's slot and shard.  Rows that repeat
+are rows of their own until near-dedup; an empty table gives an empty one in every
+stage; columns beside ``documents``' are dropped.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ SHARDS, SLOTS = 64, 65537
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose text has a language; its prediction replaces a missing ``lang``."""
+    """Keep documents whose text has a language; its prediction replaces a missing ``lang``.
+
+    Null and empty texts and texts without a letter go.  With no ``lang`` at all to
+    learn from, no text has a language.
+    """
     found = langid.identify(docs.select(*COLUMNS), langid.train(docs))
     return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
@@ -26,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each near-duplicate group.
 
     Of rows that repeat id and text one stays.  Rows with a null id can't be named
-    as a group's document, so they stay.
+    as a group's document, so they stay.  A text without words is in no group.
     """
     docs = docs.select(*COLUMNS)
     kept = near_dup.near_duplicates(docs.where("doc_id is not null")).where("kept").select("doc_id")
@@ -34,18 +40,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with a window of a benchmark item."""
+    """Drop documents with a window of a benchmark item; null texts have none."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.decontaminate(docs.select(*COLUMNS), items)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emit each document as often as its source's target asks for."""
+    """Emit each document as often as its source's target asks for; a null source is one, rows of one id are taken alike."""
     return mixing.emit(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every document."""
+    """Place every document by its id, or by its text where that is null; copies go to one shard."""
     return sharding.place(docs.select(*COLUMNS), shards=SHARDS, slots=SLOTS).select(*COLUMNS, "slot", "shard")
 
 
