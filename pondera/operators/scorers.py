@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pondera.functions import scores as S
 from pondera.operators.tasks import worst_difference
-from pondera.plans.scratch import Scratch
+from pondera.plans.scratch import Scratch, spread
 
 BOS = "<s>"
 SCORED = "id string, pos int, option string, n_tokens int, logprob_sum double, logprob_uncond double"
@@ -59,7 +59,7 @@ def train_bigrams(texts: DataFrame, *, column: str = "text", unit: str = "word",
     t = UNITS[unit](F.col(column))
     n = F.greatest(F.size("t") - 1, F.lit(0))
     joined = F.arrays_zip(F.slice("t", 1, n).alias("a"), F.slice("t", 2, n).alias("b"))
-    pairs = texts.select(F.concat(F.array(F.lit(BOS)), t).alias("t")).select(F.explode(joined).alias("p")).select("p.a", "p.b")
+    pairs = spread(texts.select(column)).select(F.concat(F.array(F.lit(BOS)), t).alias("t")).select(F.explode(joined).alias("p")).select("p.a", "p.b")
     counts = Scratch(texts.sparkSession, "bigrams").keep(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "counts")
     singles = counts.groupBy("a").agg(F.sum("n").alias("n"))
     return Bigrams(counts, singles, counts.agg(F.countDistinct("b")).first()[0] or 0, unit, k)

@@ -30,6 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
         sc.setCheckpointDir(_own[0].name)
     return f"file://{_own[0].name}"
 
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A plain scan with fewer tasks than the cluster has cores, dealt out to all of them.
+
+    A small file of one row group is one task, however heavy the work on its rows.
+    Larger scans, and plans with an exchange of their own, are left as they are.
+    """
+    query = rows._jdf.queryExecution()
+    if "Exchange" in query.executedPlan().toString():
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < query.toRdd().getNumPartitions() < cores else rows
+
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
