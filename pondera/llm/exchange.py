@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from pondera.llm import textkit
+from pondera.plans.scratch import spread
 
 PACKED = "chunk bigint, role int, doc_ids array<bigint>, offsets array<bigint>, n_bytes bigint, data binary"
 
@@ -62,7 +63,7 @@ def pack(docs: DataFrame, chunk_bytes: int, role: Callable[[int | None], int] |
             yield finish(flush(kind))
 
     textkit.bound_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(textkit.lean(run), schema)
+    return spread(docs.select("doc_id", "text")).mapInArrow(textkit.lean(run), schema)
 
 
 def bucket_count(n_bytes: int, bucket_bytes: int = 16 << 20, least: int = 16) -> int:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pondera.llm import textkit
-from pondera.plans.scratch import Scratch
+from pondera.plans.scratch import Scratch, spread
 
 UNKNOWN = "und"
 #: A task's counts of a language are passed on beyond so many different n-grams.
@@ -138,7 +138,7 @@ def count_grams(texts: DataFrame, n: int) -> DataFrame:
         for lang in list(open_):
             yield flush(lang)
 
-    counted = texts.where("lang is not null and text is not null").select("lang", "text").mapInArrow(textkit.lean(run), "lang string, gram bigint, n bigint")
+    counted = spread(texts.where("lang is not null and text is not null").select("lang", "text")).mapInArrow(textkit.lean(run), "lang string, gram bigint, n bigint")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from pondera.llm import textkit
 from pondera.operators.components import connected_components, stars
-from pondera.plans.scratch import Scratch
+from pondera.plans.scratch import Scratch, spread
 
 SAMPLES, ROWS, BITS = 128, 4, 512
 BANDS = SAMPLES // ROWS
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, blo
         raise ValueError("percent must be from 80 to 100")
     textkit.bound_batches(docs.sparkSession)
     limit, scratch = max_distance(percent), Scratch(docs.sparkSession, "neardup")
-    texts = scratch.keep(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "texts", compression="zstd")
+    texts = scratch.keep(spread(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "texts", compression="zstd")
     signed = scratch.keep(signatures(texts, shingle), "signed")
     classes = signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("named"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = scratch.keep(classes, "classes")
@@ -336,9 +336,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, blo
     pairs = keys.join(pivots, "group").where("node <> pivot").select("node", "pivot").distinct().join(sketches, "node").join(sketches.toDF("pivot", "pivot_n", "pivot_sketch"), "pivot")
     near = pairs.mapInArrow(textkit.lean(_near(limit, percent)), "node bigint, pivot bigint, far int")
     closest = scratch.keep(near.groupBy("node").agg(F.min(F.struct("far", "pivot")).alias("best")).select("node", F.col("best.pivot").alias("pivot")), "closest")
-    spread = closest.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("cells"))
-    rows = closest.join(spread, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), "cells").cast("int").alias("cell"), F.lit(1).alias("member"))
-    rows = rows.unionByName(spread.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("member")))
+    shares = closest.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("cells"))
+    rows = closest.join(shares, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), "cells").cast("int").alias("cell"), F.lit(1).alias("member"))
+    rows = rows.unionByName(shares.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("member")))
     sets = _with_sets(texts, rows, shingle).repartition("pivot", "cell").sortWithinPartitions("pivot", "cell", "member")
     first = scratch.keep(sets.mapInArrow(textkit.lean(_pivot_links(percent)), "a bigint, b bigint"), "links1")
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from pondera.plans.scratch import spread
+
 BLOCK = 1 << 20
 _U = np.uint64
 
@@ -116,7 +118,7 @@ def beside(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     columns ``added`` (their names and types).
     """
     new = StructType.fromDDL(added)
-    rows = docs.select(F.struct("*").alias("row")).mapInArrow(lean(run), StructType([StructField("row", docs.schema, False), *new]))
+    rows = spread(docs).select(F.struct("*").alias("row")).mapInArrow(lean(run), StructType([StructField("row", docs.schema, False), *new]))
     return rows.select("row.*", *new.names)
 
 
