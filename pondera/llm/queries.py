@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pondera.llm import decontamination, langid, matroska, mixing, near_dup, ngram_lm, quality, repeats, sharding, urls
+from pondera.llm import conversations, decontamination, langid, matroska, mixing, near_dup, ngram_lm, phrases, quality, repeats, sharding, urls, vector_search
 
 #: The rules of the URL query (host, path, verdict).
 URL_RULES = [
@@ -82,8 +82,38 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, shards=SHARDS, slots=SLOTS).select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "slot", "shard")
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", vector_search.whole_vectors(F.col("embedding")).alias("v"))
+    return vector_search.nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), longest=5, least=100, percent=100, limit=2000)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the faults of the repair query; nulls are one space."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = rows.select("conv_id", "turn", plain("role").alias("role"), plain("text").alias("text"), (F.crc32(F.concat(plain("conv_id"), F.lit(":"), plain("turn"))) % 20).alias("fault"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.array_repeat(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1))
+    return rows.where("fault <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    edited, faults = conversations.repair(damaged(rows))
+    every = rows.select(F.col("conv_id").alias("conv")).distinct()
+    out = every.join(faults, F.col("conv").eqNullSafe(faults["conv_id"]), "left").drop("conv_id")
+    audits = conversations.digests(edited)
+    out = out.join(audits, F.col("conv").eqNullSafe(audits["conv_id"]), "left").drop("conv_id")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_url_filter, op2_near_dup, op3_repeats, op4_language_id, op5_lm_score, op6_quality, op7_decontaminate, op8_mixing, op9_matroska, op10_sharding]
+    named = [op1_url_filter, op2_near_dup, op3_repeats, op4_language_id, op5_lm_score, op6_quality, op7_decontaminate, op8_mixing, op9_matroska, op10_sharding, op11_topk, op12_phrases, op13_repair]
     return {f.__name__: f for f in named}
 
 
@@ -150,6 +180,57 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
 
+SQL_TOPK = r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 5
+"""
+
+SQL_PHRASES = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS c FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) x(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, len(w) AS size, x.k, array_to_string(w[1:x.k], ' ') AS head, array_to_string(w[x.k + 1:], ' ') AS tail FROM c, range(1, 5) x(k) WHERE x.k < len(w)),
+s AS (SELECT cuts.*, l.c AS l, r.c AS r, n.n, (1000 * a * n.n) // (l.c * r.c) AS score FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = head JOIN f r ON r.lang = cuts.lang AND r.phrase = tail JOIN n ON n.lang = cuts.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b
+      WHERE NOT EXISTS (SELECT 1 FROM c m WHERE m.lang = b.lang AND len(m.w) > b.size AND contains(' ' || m.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * m.a >= 100 * b.a))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""
+
+#: Weights are text: a cost of nine digits, then the audit.
+SQL_REPAIR = r"""
+WITH RECURSIVE table_of AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END)) AS crc),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+h AS (SELECT k.*, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(s, ''), lambda x: ascii(x)::UBIGINT)), lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)::BIGINT]))) % 20 AS fault FROM k, table_of),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE fault <> 0),
+o AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail, role[1:1] AS x FROM d),
+q AS (SELECT *, tail = '' AS blank, tail <> '' AND row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, right(tail, 1) NOT IN ('.', '!', '?') AS open, lag(x) OVER (PARTITION BY c ORDER BY i) AS before FROM o),
+f AS (SELECT *, NOT blank AND NOT again AS stays, NOT blank AND NOT again AND open AS cut FROM q),
+counts AS (SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated,
+                  count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY c),
+insertions(g, p, j) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+steps(p, x, to_state) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+arcs AS (SELECT c, i, g, p AS to_state, 3 + 2 * j AS cost, repeat('I', j) || 'D' AS unit FROM f, insertions
+         UNION ALL SELECT c, i, g, to_state, 2 * j + cut::INTEGER, repeat('I', j) || 'K' FROM f, insertions JOIN steps USING (p) WHERE stays AND steps.x = f.x
+         UNION ALL SELECT c, i, g, to_state, 2 + 2 * j + cut::INTEGER, repeat('I', j) || 'R' FROM f, insertions JOIN steps USING (p) WHERE stays AND steps.x IN ('u', 'a')),
+best(c, i, g, v) AS (SELECT c, n + 1, g, '00000000' || v FROM counts, (VALUES (0, '0'), (3, '0'), (2, '2I'), (1, '4II')) e(g, v)
+                     UNION ALL SELECT b.c, b.i - 1, a.g, min(lpad((a.cost + b.v[1:9]::INTEGER)::VARCHAR, 9, '0') || a.unit || b.v[10:]) FROM best b JOIN arcs a ON a.c = b.c AND a.i = b.i - 1 AND a.to_state = b.g GROUP BY b.c, b.i, a.g),
+chosen AS (SELECT c, v[1:9]::BIGINT AS cost, v[10:] AS audit FROM best WHERE i = 1 AND g = 0),
+walk(c, p, i, g, done) AS (SELECT c, 1::BIGINT, 1::BIGINT, 0, NULL::VARCHAR FROM chosen
+    UNION ALL SELECT c, p + 1, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN g WHEN 'K' THEN CASE x WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE WHEN g = 2 THEN 3 ELSE 2 END END,
+      CASE WHEN e = 'D' THEN done ELSE coalesce(done || chr(10), '') || CASE WHEN e = 'K' THEN role WHEN g = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END END
+    FROM (SELECT w.*, audit[w.p:w.p] AS e, f.x, f.role, f.text FROM walk w JOIN chosen USING (c) LEFT JOIN f ON f.c = w.c AND f.i = w.i WHERE w.p <= length(audit))),
+whole AS (SELECT c, coalesce(done, '') AS done FROM walk JOIN chosen USING (c) WHERE p = length(audit) + 1)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(done, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN chosen USING (c) LEFT JOIN whole USING (c)
+"""
+
+
 def shard_sql() -> str:
     table = sharding.fill_table([f"shard-{i}" for i in range(SHARDS)], SLOTS)
     return f"""
@@ -160,4 +241,4 @@ SELECT doc_id, source, n_bytes, slot, a[slot + 1]::INTEGER AS shard FROM d, t
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": SQL_URLS, "op2_near_dup": SQL_NEAR, "op3_repeats": SQL_REPEATS, "op7_decontaminate": SQL_LEAKS, "op8_mixing": SQL_MIX, "op10_sharding": shard_sql()}
+    return {"op1_url_filter": SQL_URLS, "op2_near_dup": SQL_NEAR, "op3_repeats": SQL_REPEATS, "op7_decontaminate": SQL_LEAKS, "op8_mixing": SQL_MIX, "op10_sharding": shard_sql(), "op11_topk": SQL_TOPK, "op12_phrases": SQL_PHRASES, "op13_repair": SQL_REPAIR}
