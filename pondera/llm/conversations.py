@@ -111,6 +111,16 @@ def _again(row: Row) -> list[tuple[str, bool, bool]]:
 
 
 def paths(grammar: Grammar, rows: list[Row]) -> tuple[list[list[int]], list[list[int]], list[list[tuple[str, int] | None]]]:
+    """``solve``; short conversations, of which many look alike to the machines, are solved once in a task."""
+    return _solved(grammar, tuple(rows)) if len(rows) <= 12 else solve(grammar, rows)
+
+
+@lru_cache(maxsize=1 << 14)
+def _solved(grammar: Grammar, rows: tuple[Row, ...]) -> tuple[list, list, list]:
+    return solve(grammar, list(rows))
+
+
+def solve(grammar: Grammar, rows: list[Row]) -> tuple[list[list[int]], list[list[int]], list[list[tuple[str, int] | None]]]:
     """Costs and ranks of the best paths from state to state, and each step's first unit and next state, from the last row back.
 
     Many deleted copies in a row are one step here: each of them is a ``D``, whatever
@@ -155,30 +165,30 @@ def _legal(pair: str, grammar: Grammar) -> bool:
 def _segments(grammar: Grammar, schema: pa.Schema, limit: int):
     """Sorted rows as segments of one conversation each, with what must be known of them."""
 
-    def close(conv: object, rows: list[dict], part: int, no: int) -> pa.RecordBatch:
+    def close(conv: object, rows: list[dict], part: int, no: int) -> dict:
         own: list[Row] = [(r["role"][:1], r["truncated"], r["stays"], r["copies"] - r["stays"]) for r in rows]
         cost, rank, _ = paths(grammar, own)
         heads = [r["role"][:1] for r in rows]
         turns = [r["turn"] for r in rows if r["turn"] is not None]
         illegal = sum(not _legal(a + b, grammar) for a, b in zip(heads, heads[1:], strict=False)) + sum((r["copies"] - 1) * (not _legal(h * 2, grammar)) for h, r in zip(heads, rows, strict=True))
-        found = {
+        return {
             "part": part, "no": no, "conv": conv, "rows": [{k: r[k] for k in ("turn", "role", "h", "truncated", "stays", "blank", "copies")} for r in rows], "costs": [c for line in cost for c in line], "ranks": [x for line in rank for x in line],
             "blank": sum(r["copies"] for r in rows if r["blank"]), "duplicate": sum(r["copies"] - r["stays"] for r in rows if not r["blank"]), "truncated": sum(r["stays"] and r["truncated"] for r in rows), "illegal": illegal,
             "head": heads[0], "tail": heads[-1], "low": turns[0] if turns else None, "high": turns[-1] if turns else None, "turns": len(set(turns)),
         }
-        return pa.RecordBatch.from_pylist([found], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no, open_, conv = TaskContext.get().partitionId(), 0, [], None
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
                 if open_ and (row["conv"] != conv or len(open_) == limit):
-                    yield close(conv, open_, part, no)
+                    out.append(close(conv, open_, part, no))
                     no, open_ = no + 1, []
                 conv = row["conv"]
                 open_.append(row)
-        if open_:
-            yield close(conv, open_, part, no)
+            yield pa.RecordBatch.from_pylist(out, schema)
+        yield pa.RecordBatch.from_pylist([close(conv, open_, part, no)] if open_ else [], schema)
 
     return run
 

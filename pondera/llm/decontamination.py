@@ -2,19 +2,23 @@
 
 The automaton holds all sub-sequences of the normalised test items' words.
 Documents are streamed through it: at every word the state is the longest run
-of words ending there that occurs in some item.  Where that run has a window's
-length, the window's words are hit.  Before streaming, words and neighbouring
+of words ending there that occurs in some item, up to a window's length: where it
+gets longer, it goes on from the state of its last window, so that a word costs a
+bounded number of steps on the most repetitive text too.  Where the run has a
+window's length, the window's words are hit.  Before streaming, words and neighbouring
 pairs of words that occur in no item are ruled out by array lookups, which
 leaves short stretches to the automaton.
 
-Items are control data: their distinct texts are read in groups of at most
-``group_bytes``, one automaton each.  Texts of documents are not shuffled, unless
-there are several groups, whose marks are then joined to the documents.
+Items' distinct texts are packed to groups of at most ``group_bytes`` or one text, and a
+task builds the automaton of each.  Automata are broadcast one after another, so
+one is held at a time.  Texts of documents are not shuffled, unless there are several
+groups, whose marks are then joined to the documents.
 """
 
 from __future__ import annotations
 
 import functools
+import pickle
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -91,13 +95,24 @@ class SuffixAutomaton:
             last = new
 
 
+def _nearest(link: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """For each state itself or the nearest state on its way along the links that is good, or 0: by pointer jumping."""
+    to = np.where(good, np.arange(len(link)), np.maximum(link, 0))
+    while True:
+        on = to[to]
+        if (on == to).all():
+            return to
+        to = on
+
+
 @dataclass
 class Items:
     """An automaton of items and what its states say about windows.
 
+    ``top`` has, for the states of at least a window's words, the state of their last window.
     ``owners`` are the items (places in ``ids``) of the window states, ``owned`` the
     sorted states, each repeated for each of its items.  ``short`` has states of
-    whole items below the window's length.
+    whole items below the window's length, ``below`` the nearest of those from every state.
     """
 
     window: int
@@ -106,13 +121,15 @@ class Items:
     shortest: int
     automaton: SuffixAutomaton
     ids: list[list[str]]
+    top: array
     owned: np.ndarray
     owners: np.ndarray
     short: dict[int, list[tuple[int, int]]]
+    below: array
 
 
 def build(items: dict[str, list[str]], window: int) -> Items | None:
-    """Automaton of texts with their items' ids; None if no text has a word."""
+    """Automaton of texts with their items' ids; None if no text has a word.  Linear in the texts."""
     names, borders = textkit.words(pa.array(list(items), pa.large_string()), textkit.ALNUM)
     if not len(names):
         return None
@@ -125,21 +142,23 @@ def build(items: dict[str, list[str]], window: int) -> Items | None:
     auto = SuffixAutomaton()
     for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
         auto.add(codes[a:b].tolist())
+    link, size = np.frombuffer(auto.link, np.int32), np.frombuffer(auto.size, np.int32)
+    top = _nearest(link, (size < window) | (size[link] < window))
     owned, owners, short = array("i"), array("i"), {}
     for k, (a, b) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)):  # states are final now
         state = 0
         for n, c in enumerate(codes[a:b].tolist(), 1):
             state = auto.step(state, c)
             if n >= window:
-                p = state
-                while auto.size[auto.link[p]] >= window:
-                    p = auto.link[p]
-                owned.append(p)
+                owned.append(int(top[state]))
                 owners.append(k)
         if 0 < b - a < window:
             short.setdefault(state, []).append((b - a, k))
+    whole = np.zeros(len(link), bool)
+    whole[list(short)] = True
+    below = _nearest(link, whole)
     both = np.unique(np.frombuffer(owned, np.int32).astype(np.int64) << 32 | np.frombuffer(owners, np.int32))
-    return Items(window, vocabulary, pairs, min(window, int(lens[lens > 0].min())), auto, list(items.values()), (both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int32), short)
+    return Items(window, vocabulary, pairs, min(window, int(lens[lens > 0].min())), auto, list(items.values()), array("i", top.astype(np.int32).tobytes()), (both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int32), short, array("i", below.astype(np.int32).tobytes()))
 
 
 def scan(items: Items, names: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, dict[int, set]]:
@@ -165,8 +184,9 @@ def scan(items: Items, names: np.ndarray, borders: np.ndarray) -> tuple[np.ndarr
     begins, ends = begins[enough], ends[enough]
     rows = np.searchsorted(borders, begins, side="right") - 1
     auto, window, short = items.automaton, items.window, items.short
-    symbol, to, more, link, size = auto.symbol, auto.to, auto.more, auto.link, auto.size
+    symbol, to, more, link, size, top, below = auto.symbol, auto.to, auto.more, auto.link, auto.size, items.top, items.below
     none: dict[int, int] = {}
+    ends_: list[int] = []
     for b, e, row in zip(begins.tolist(), ends.tolist(), rows.tolist(), strict=True):
         state = run = 0
         windows = set()
@@ -181,22 +201,25 @@ def scan(items: Items, names: np.ndarray, borders: np.ndarray) -> tuple[np.ndarr
                 state = link[state]
                 run = size[state]
             if run >= window:
-                hit[i - window + 1 : i + 1] = True
-                p = state
-                while size[link[p]] >= window:
-                    p = link[p]
-                windows.add(p)
+                state, run = top[state], window
+                windows.add(state)
+                ends_.append(i)
             if short:
-                p = state
-                while p > 0:
-                    for n, item in short.get(p, ()):
+                p = below[state]
+                while p:
+                    for n, item in short[p]:
                         if n <= run:
                             hit[i - n + 1 : i + 1] = True
                             found.setdefault(row, set()).add(item)
-                    p = link[p]
+                    p = below[link[p]]
         for p in windows:
             a, z = np.searchsorted(items.owned, [p, p + 1])
             found.setdefault(row, set()).update(items.owners[a:z].tolist())
+    if ends_:
+        covers = np.zeros(len(hit) + 1, np.int64)
+        np.add.at(covers, np.array(ends_) - window + 1, 1)
+        np.add.at(covers, np.array(ends_) + 1, -1)
+        hit |= np.cumsum(covers[:-1]) > 0
     return hit, found
 
 
@@ -205,20 +228,34 @@ def _spans(hit: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
-def _groups(items: DataFrame, group_bytes: int) -> Iterator[dict[str, list[str]]]:
-    """Distinct item texts with their ids, in groups of at most so many bytes or one text."""
+_GROUP = "items bigint, automaton binary"
+
+
+def _automata(items: DataFrame, window: int, group_bytes: int) -> DataFrame:
+    """Pickled automata of the distinct item texts, built in tasks."""
     texts = items.where("text is not null").groupBy("text").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    group, held = {}, 0
-    for row in texts.toLocalIterator():
-        if group and held + len(row["text"].encode()) > group_bytes:
-            yield group
-            group, held = {}, 0
-        group[row["text"]] = row["ids"]
-        held += len(row["text"].encode())
-    yield group
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = {}, 0
 
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([len(group)], pa.int64()), pa.array([pickle.dumps(build(group, window))], pa.binary())], ["items", "automaton"])
 
-def matches(docs: DataFrame, items: DataFrame, *, window: int = 10, group_bytes: int = 32 << 20) -> DataFrame:
+        for batch in batches:
+            for text, ids in zip(batch.column("text").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if group and held + len(text.encode()) > group_bytes:
+                    yield close()
+                    group, held = {}, 0
+                group[text] = ids
+                held += len(text.encode())
+        if group:
+            yield close()
+
+    return texts.repartition(max(1, -(-size // group_bytes)), F.xxhash64("text")).mapInArrow(textkit.lean(run), _GROUP)
+
+
+def matches(docs: DataFrame, items: DataFrame, *, window: int = 10, group_bytes: int = 8 << 20) -> DataFrame:
     """All columns of ``docs`` and ``n_words``, ``n_hit``, ``hit_items`` (distinct item ids as text, sorted), ``hit_spans``.
 
     ``hit_spans`` are ``start, end`` byte ranges of the maximal hit runs of words in
@@ -228,20 +265,25 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = 10, group_bytes:
     Own columns of ``docs`` with these four names are replaced, all others are kept;
     repeated rows stay; empty tables give empty results.
 
-    The driver and each Python worker hold one group of items, about ten bytes for
-    each byte of item text.  With several groups the documents are written once and
-    read once for each group.
+    The driver and each Python worker hold one automaton, about ten bytes for
+    each byte of a group's text.  With several groups the documents are written once and
+    read once for each group.  A document is held whole, about 60 bytes for each byte.
     """
     textkit.bound_batches(docs.sparkSession)
-    spark, docs = docs.sparkSession, docs.drop("n_words", "n_hit", "hit_items", "hit_spans")
-    shared = [spark.sparkContext.broadcast(build(group, window)) for group in _groups(items, group_bytes)]
+    spark, docs, scratch = docs.sparkSession, docs.drop("n_words", "n_hit", "hit_items", "hit_spans"), Scratch(docs.sparkSession, "decontaminate")
+    groups = scratch.keep(_automata(items, window, group_bytes), "automata", **{"parquet.block.size": str(16 << 20)})
     found = "n_words bigint, n_hit bigint, hit_items array<string>, hit_spans array<bigint>"
-    if len(shared) == 1:
-        return textkit.beside(docs, _find(shared[0]), found)
-    scratch = Scratch(spark, "decontaminate")
+    n = groups.select("items").count()
+    if n < 2:
+        one = groups.first() if n else None
+        return textkit.beside(docs, _find(spark.sparkContext.broadcast(pickle.loads(one["automaton"]) if one else None)), found)
     rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "rows", compression="zstd")
-    texts = rows.select("uid", F.col("row.text").alias("text"))
-    marked = functools.reduce(DataFrame.unionByName, [texts.mapInArrow(textkit.lean(_mark(s)), "uid bigint, marks binary, items array<string>") for s in shared])
+    texts, marked = rows.select("uid", F.col("row.text").alias("text")), []
+    for k, group in enumerate(groups.toLocalIterator()):
+        shared = spark.sparkContext.broadcast(pickle.loads(group["automaton"]))
+        marked.append(scratch.keep(texts.mapInArrow(textkit.lean(_mark(shared)), "uid bigint, marks binary, items array<string>"), f"marks{k}"))
+        shared.destroy()
+    marked = functools.reduce(DataFrame.unionByName, marked)
     marked = marked.groupBy("uid").agg(F.collect_list("marks").alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     kind = StructType([StructField("row", docs.schema), *StructType.fromDDL(found)])
     rows = rows.join(marked, "uid", "left").select("row", "marks", "items").mapInArrow(textkit.lean(_merge), kind)
@@ -309,32 +351,51 @@ def items_digest(ids):
     return F.sha2(F.array_join(F.array_sort(ids), ","), 256)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_words: int = 0, max_coverage: float = 0.0, cut: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_words: int = 0, max_coverage: float = 0.0) -> DataFrame:
     """Documents without benchmark passages, with their own columns.
 
     A document goes when over ``max_words`` of its words are hit or over
-    ``max_coverage`` of them (with the defaults, at any hit).  With ``cut``, what
-    stays loses its hit spans.
+    ``max_coverage`` of them (with the defaults, at any hit).  Null and empty texts stay,
+    as do repeated rows.  ``remove_spans`` takes the passages out instead.
     """
     found = matches(docs, items, window=window)
     kept = found.where((F.col("n_hit") <= max_words) & (F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")))
+    return kept.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+
+
+def remove_spans(docs: DataFrame, items: DataFrame, *, window: int = 10, max_words: int = 0, max_coverage: float = 0.0) -> DataFrame:
+    """All documents, without the matching spans that exceed a limit.
+
+    A span, a maximal run of hit words, is cut out when it has over ``max_words`` words, and
+    every span of a document is when over ``max_coverage`` of its words are hit.  What stands
+    between words stays on both sides of a cut; a text may become empty.  Null and
+    empty texts and rows without a hit stay as they are, as do repeated rows and other columns.
+    """
     names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
-    if not cut:
-        return kept.select(*names)
-    rows = kept.select(F.struct(*names).alias("row"), "hit_spans")
-    return rows.mapInArrow(textkit.lean(_cut), StructType([rows.schema["row"]])).select("row.*")
+    found = matches(docs, items, window=window)
+    rows = found.select(F.struct(*names).alias("row"), F.when(F.col("n_hit") > 0, F.col("hit_spans")).alias("hit_spans"), (F.col("n_hit") > F.lit(max_coverage) * F.col("n_words")).alias("dense"))
+    return rows.mapInArrow(textkit.lean(_cut(max_words)), StructType([rows.schema["row"]])).select("row.*")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, spans in zip(textkit.field(batch, "text").to_pylist(), batch.column("hit_spans").to_pylist(), strict=True):
-            if spans:
-                raw = text.encode()
-                at = [0, *spans, len(raw)]
-                text = b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2], strict=True)).decode()
-            texts.append(text)
-        row = batch.column("row")
-        columns, names = row.flatten(), [f.name for f in row.type]
-        columns[names.index("text")] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, names)], ["row"])
+def _cut(max_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans, dense in zip(textkit.field(batch, "text").to_pylist(), batch.column("hit_spans").to_pylist(), batch.column("dense").to_pylist(), strict=True):
+                if spans:
+                    raw = text.encode()
+                    long = [(a, b) for a, b in zip(spans[::2], spans[1::2], strict=True) if dense or _words(raw[a:b]) > max_words]
+                    at = [0, *(x for span in long for x in span), len(raw)]
+                    text = b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2], strict=True)).decode()
+                texts.append(text)
+            row = batch.column("row")
+            columns, names = row.flatten(), [f.name for f in row.type]
+            columns[names.index("text")] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, names)], ["row"])
+
+    return run
+
+
+def _words(raw: bytes) -> int:
+    data = np.frombuffer(raw, np.uint8)
+    return len(textkit.word_bounds(data, np.array([0, len(data)]), textkit.ALNUM)[0])

@@ -33,7 +33,10 @@ CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_B
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4287, 0x4285
 MUXING_APP, WRITING_APP, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x4D80, 0x5741, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
-_TOP = {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS}
+#: What ends an element of unknown size: only these two kinds may have one.
+_ENDS = {SEGMENT: {EBML, SEGMENT}, CLUSTER: {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS}}
+#: Sampling rates that features are computed for.
+_RATES = (1.0, 1e9)
 
 
 class MatroskaError(ValueError):
@@ -73,31 +76,29 @@ def _vint(b: bytes, at: int, end: int, keep_marker: bool) -> tuple[int, int, boo
     return (v if keep_marker else v & ones), at + n, v & ones == ones
 
 
-def elements(b: bytes, at: int, end: int, stop: frozenset | set = frozenset()) -> Iterator[tuple[int, int, int]]:
-    """``(id, start of data, end of data)`` of the elements in a range.
-
-    An element of unknown size ends where the next of ``stop``'s kind begins.
-    """
+def elements(b: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """``(id, start of data, end of data)`` of the elements in a range."""
     while at < end:
-        kind, p, _ = _vint(b, at, end, True)
-        size, p, unknown = _vint(b, p, end, False)
-        if unknown:
-            q = p
-            while q < end:
-                k, r, _ = _vint(b, q, end, True)
-                if k in (_TOP if kind == CLUSTER else stop):
-                    break
-                s, r, _ = _vint(b, r, end, False)
-                q = r + s
-            last = min(q, end)
-        else:
-            last = p + size
-            if last > end:
-                raise MatroskaError(f"element at byte {at} ends after its parent")
-        yield kind, p, last
+        kind, start, last = _element_at(b, at, end)
+        yield kind, start, last
         at = last
 
 
+def _element_at(b: bytes, at: int, end: int) -> tuple[int, int, int]:
+    kind, p, _ = _vint(b, at, end, True)
+    size, p, unknown = _vint(b, p, end, False)
+    if not unknown:
+        if p + size > end:
+            raise MatroskaError(f"element at byte {at} ends after its parent")
+        return kind, p, p + size
+    if kind not in _ENDS:
+        raise MatroskaError(f"element at byte {at} must have a size")
+    q = p
+    while q < end and _vint(b, q, end, True)[0] not in _ENDS[kind]:
+        q = _element_at(b, q, end)[2]  # a segment's clusters may have no size either
+    return kind, p, q
+
+
 def _uint(b: bytes, s: int, e: int) -> int:
     if e - s > 8:
         raise MatroskaError(f"integer of {e - s} bytes at byte {s}")
@@ -159,14 +160,18 @@ def _block(b: bytes, s: int, e: int, base: int, key: bool | None, media: Media)
 
 
 def parse(b: bytes) -> Media:
-    """Tracks, packets, clusters and cues of a file; raises ``MatroskaError`` on bad bytes."""
+    """Tracks, packets, clusters and cues of a file; raises ``MatroskaError`` on bad bytes.
+
+    Files that were joined are read one after another: a new header or segment ends
+    one whose size isn't known.
+    """
     media, seen = Media(), False
-    for kind, s, e in elements(b, 0, len(b), {EBML, SEGMENT}):
+    for kind, s, e in elements(b, 0, len(b)):
         if kind == EBML:
             media.doc_type = next((b[x:y].decode("ascii", "replace").rstrip("\0") for k, x, y in elements(b, s, e) if k == DOC_TYPE), "")
         elif kind == SEGMENT:
-            seen = True
-            for k, x, y in elements(b, s, e, {EBML, SEGMENT}):
+            seen, media.scale = True, 1_000_000
+            for k, x, y in elements(b, s, e):
                 if k == INFO:
                     for i, u, v in elements(b, x, y):
                         if i == TIMESTAMP_SCALE:
@@ -313,7 +318,7 @@ def describe(media: Media, payload: bytes) -> str:
     crossings = int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)))
     last = max(media.packets, key=lambda p: p.timestamp_ns, default=None)
     rate = media.tracks.get(last.track, {}).get("rate", 0.0) if last and payload else 0.0
-    if not 0 < rate < float("inf"):
+    if not _RATES[0] <= rate <= _RATES[1]:  # NaN is in no range
         raise MatroskaError("no payload, track or sampling rate to describe")
     return f"packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};ms={last.timestamp_ns // 1_000_000 + int(last.size * 1000 // rate)};mean={int(x.sum() * 1000 // len(x))};power={int((x * x).sum() // len(x))};crossings={crossings}"
 
@@ -357,7 +362,7 @@ def read_back(stored: DataFrame) -> DataFrame:
                     media = parse(b)
                     data = samples(b, media)
                     found = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), describe(media, data))
-                except (MatroskaError, ValueError) as e:
+                except MatroskaError as e:
                     found = (None, None, None, f"error: {e}")
                 rows.append((n, *found[:3], len(b), hashlib.sha256(b).hexdigest(), found[3]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True))], names)
@@ -369,7 +374,7 @@ def packets(files: DataFrame, *, key: str, media: str) -> DataFrame:
     """The packet table of a binary column: ``key``, track, codec, timestamp_ns, is_key, lace, byte_offset, byte_size, error.
 
     A null or unreadable file has one row with its error and nulls.  Repeated
-    rows give repeated packets.
+    rows give repeated packets; an empty table gives an empty one.
     """
     kind = files.schema[key].dataType.simpleString()
     cast = files.select(files[key].cast("string").alias("k"), files[media].alias("m"))

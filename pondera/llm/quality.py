@@ -193,11 +193,13 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 24, depth: int = 3, penalt
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_rows: int = 20_000) -> RuleEnsemble:
     """Fit on at most ``max_rows`` labelled documents, those with the smallest id hashes.
 
-    Rows with a null id or label don't count; an id with several labels has the largest.
+    Rows with a null id or label don't count; an id with several labels has the largest,
+    one with several texts counts once, with the text of the smallest hash.
     """
     labels = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     sample = labels.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).select("doc_id", "_label", "stats").toPandas().sort_values("doc_id", kind="stable")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "_label").agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = with_statistics(rows.select("doc_id", "_label", "t.text")).select("doc_id", "_label", "stats").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["stats"].tolist(), float).reshape(len(rows), len(STATISTICS))
     return fit(x, rows["_label"].to_numpy())
 

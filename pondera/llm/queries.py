@@ -123,21 +123,22 @@ SQL_URLS = f"""
 WITH rules(rhost, rpath, rverdict) AS (VALUES {_SQL_RULES}),
 rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
-fit AS (SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(rverdict, length(rhost || rpath)) AS verdict
+fit AS (SELECT host, path, arg_max(rhost || rpath, [length(rhost || rpath), length(rhost)]) AS rule, arg_max(rverdict, [length(rhost || rpath), length(rhost)]) AS verdict
         FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN fit f ON p.host = f.host AND p.path = f.path
 """
 
 SQL_MIX = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+             coalesce(doc_id::VARCHAR, md5(coalesce(text, '')) || ':' || (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1)) AS mark FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS size, ([5.0, 2.0, 1.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
 o AS (SELECT source, size, w, (3.0::DOUBLE * size) AS cap, coalesce(sum(3.0::DOUBLE * size) OVER before, 0.0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER before, 0.0) AS rest, sum(size) OVER () AS total
       FROM s WINDOW before AS (ORDER BY 3.0::DOUBLE * size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lv AS (SELECT (total - capped)::DOUBLE AS num, rest AS den FROM o WHERE (total - capped) * w / rest <= cap ORDER BY cap / w, source NULLS LAST LIMIT 1),
 t AS (SELECT source, size AS source_size, least(cap, coalesce((SELECT num FROM lv) * w / (SELECT den FROM lv), cap))::DOUBLE AS target FROM o),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
-             ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+             ('0x' || substr(md5('mix:' || d.mark), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) * size AS taken FROM r
 """

@@ -7,16 +7,17 @@ its path.  Two sweeps join URLs with intervals:
 
 1. distinct (host, path) pairs, sorted by reversed host and path, with the rule
    hosts' intervals: each pair learns the rule hosts that enclose it;
-2. pairs under each of these, sorted by rule host and path, with the intervals of
-   that host's paths.
+2. the distinct (rule host, path) pairs that follow, sorted, with the intervals of
+   the host's paths.  A path that all hosts under a rule host have, as ``/``, is one
+   pair; its rules return to the hosts by an equi-join.
 
 A sweep range-partitions keys, interval starts and interval ends together; a start
 is also carried into the later partitions that its interval reaches.  Inside a
 partition, the latest start that a key has passed names the stack of intervals
 open there (itself and those around it); the key keeps those it is still in.
 
-Everything is DataFrame expressions.  Copies of one URL are judged once.  Keys are
-(host, path) pairs, so a hot host spreads over as many partitions as it needs.
+Everything is DataFrame expressions.  Copies of one URL are judged once, and the keys
+of a sweep are distinct, so no host, path or pair of them is more than one row of it.
 """
 
 from __future__ import annotations
@@ -107,8 +108,9 @@ def _sweep(points: DataFrame, intervals: DataFrame, scratch: Scratch, name: str)
 def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "allow") -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to every row of ``pages``.
 
-    The longest host, then the longest path, of all fitting rules decides; with
-    none, ``rule`` is null and ``verdict`` is ``default``.  A null or schemeless
+    Of all fitting rules the longest (host and path together) decides, of equally
+    long ones that of the longest host; with none, ``rule`` is null and ``verdict`` is
+    ``default``.  A null or schemeless
     URL has empty host and path and fits no rule.  Columns of ``pages`` with one
     of the four names are replaced, all others are kept.  Repeated rows stay
     repeated; empty tables give empty results.  URLs are of any length.
@@ -118,9 +120,10 @@ def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str
     rules, scratch = compile_rules(rules), Scratch(pages.sparkSession, "urls")
     targets = pages.select("host", "path").where("host != ''").distinct().withColumn("at", reversed_host(F.col("host")))
     enclosed = _sweep(targets.select("host", "path", _under("at", "path").alias("key")), _host_intervals(rules), scratch, "hosts")
-    under = enclosed.select("host", "path", F.explode("open").alias("outer")).select("host", "path", F.col("outer.size").alias("depth"), F.concat("outer.prefix", F.lit("\0"), "path").alias("key"))
-    fits = _sweep(under, _path_intervals(rules), scratch, "paths").where(F.size("open") > 0)
-    best = fits.groupBy("host", "path").agg(F.max(F.struct("depth", F.element_at("open", -1).alias("top"))).alias("best"))
+    under = scratch.keep(enclosed.select("host", "path", F.explode("open").alias("outer")).select("host", "path", F.col("outer.prefix").alias("at"), F.col("outer.size").alias("depth")), "under")
+    pairs = under.select("at", "path").distinct().select("at", "path", _under("at", "path").alias("key"))
+    fits = _sweep(pairs, _path_intervals(rules), scratch, "paths").where(F.size("open") > 0).select("at", "path", F.element_at("open", -1).alias("top"))
+    best = under.join(fits, ["at", "path"]).groupBy("host", "path").agg(F.max(F.struct(F.length("top.rule").alias("size"), "depth", "top")).alias("best"))
     best = scratch.keep(best.select("host", "path", F.col("best.top.rule").alias("rule"), F.col("best.top.verdict").alias("verdict")), "best")
-    scratch.drop("hosts", "paths")
+    scratch.drop("hosts", "under", "paths")
     return pages.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))

@@ -1,7 +1,9 @@
 """Edge cases of each operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import hashlib
 import pickle
 import random
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,9 @@ def test_urls(spark):
     assert urls.judge(pages, rules).count() == 9
     assert urls.judge(pages, rules.limit(0), default="block").where("verdict = 'block'").count() == 9
     assert urls.judge(pages.limit(0), rules).count() == 0
+    long = spark.createDataFrame([("org", "/very/long/path", "block"), ("a.org", "/v", "allow"), ("b.org", "/abc", "allow"), ("org", "/abcde", "block")], "host string, path string, verdict string")
+    deep = spark.createDataFrame([(1, "http://a.org/very/long/path/x"), (2, "http://a.org/very"), (3, "http://b.org/abcdef")], "page_id int, url string")
+    assert {r.page_id: r.rule for r in urls.judge(deep, long).collect()} == {1: "org/very/long/path", 2: "a.org/v", 3: "b.org/abc"}
     clash = pages.selectExpr("page_id as best", "url as `u``rl.x`", "page_id as key", "page_id as open", "page_id as part", "rule as verdict")
     assert sorted((r["best"], r["part"], r["verdict"]) for r in urls.judge(clash, rules, url="u`rl.x").collect()) == sorted((r.page_id, r.page_id, r.verdict) for r in urls.judge(pages, rules).collect())
 
@@ -69,10 +74,24 @@ def test_urls_against_plain_rules(spark):
     pages = [(i, f"http://{rng.choice(['c.b.a.org', 'b.a.org', 'aorg', 'x.com', 'y.x.com', 'org'])}/{''.join(rng.choice('ab/') for _ in range(rng.randrange(6)))}") for i in range(300)]
     df = urls.judge(spark.createDataFrame(pages, "page_id int, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"))
     for r in df.collect():
-        fits = [(len(h), len(p), h + p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
         assert (r.rule, r.verdict) == (max(fits)[2:] if fits else (None, "allow"))
 
 
+def test_homepages_of_one_rule_host_are_one_place(spark):
+    """The second sweep has a row for each path under a rule host, however many hosts have it."""
+    pages = spark.range(10_000).select("id", F.concat(F.lit("http://h"), F.col("id"), F.lit(".com/")).alias("url"))
+    rules = spark.createDataFrame([("com", "/", "block"), ("com", "/x", "allow"), ("h7.com", "/", "allow")], "host string, path string, verdict string")
+    held, sizes = urls._sweep, []
+    try:
+        urls._sweep = lambda points, *rest: sizes.append(points.count()) or held(points, *rest)
+        got = {r.id: r.verdict for r in urls.judge(pages, rules).collect()}
+    finally:
+        urls._sweep = held
+    assert sizes == [10_000, 2]
+    assert got == {i: "allow" if i == 7 else "block" for i in range(10_000)}
+
+
 # ---- 2 near-dedup
 
 def test_near_dup_edges(spark):
@@ -280,6 +299,18 @@ def test_quality_without_labels(spark):
     assert quality.classify(odd(spark), quality.train(odd(spark), one)).first().predicted == 1
 
 
+def test_quality_sample_is_bounded_where_ids_repeat(spark):
+    docs = spark.range(2000).select((F.col("id") % 20).alias("doc_id"), F.concat(F.lit("some words. "), F.col("id")).alias("text"))
+    labels = spark.range(20).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    held, seen = quality.fit, []
+    try:
+        quality.fit = lambda x, y, **o: seen.append(len(x)) or held(x, y, **o)
+        quality.train(docs, labels, max_rows=10)
+    finally:
+        quality.fit = held
+    assert seen == [10]
+
+
 # ---- 7 decontamination
 
 def plain_hits(doc, items, window):
@@ -322,6 +353,46 @@ def test_automaton_knows_all_runs_and_is_small():
     assert len(pickle.dumps(decontamination.build(text, 10))) < 15 * sum(map(len, text))
 
 
+def test_one_word_over_and_over():
+    """Work per word is bounded on the most repetitive texts, and the result is that of short ones."""
+    text = "la " * 200_000
+    items = decontamination.build({text: ["a"], "la la la": ["b"], "x y": ["c"]}, 10)
+    names, borders = textkit.words(pa.array([text, "la " * 9, "la " * 10 + "x y z la", "y x"]), textkit.ALNUM)
+    hit, found = decontamination.scan(items, names, borders)
+    got = [(int(hit[a:b].sum()), sorted(items.ids[k][0] for k in found.get(i, ()))) for i, (a, b) in enumerate(zip(borders[:-1], borders[1:], strict=True))]
+    assert got == [(200_000, ["a", "b"]), (9, ["b"]), (12, ["a", "b", "c"]), (0, [])]
+
+
+def test_removed_spans_against_plain(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcde")
+    items = [(i, [word() for _ in range(rng.randrange(2, 9))]) for i in range(8)]
+    docs = [(i, [word() for _ in range(rng.randrange(40))]) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame([(i, None if w is None else "-".join(w)) for i, w in docs], "doc_id long, text string")
+    for most, share in ((0, 0.0), (5, 0.6), (3, 1.0)):
+        got = {r.doc_id: r.text for r in decontamination.remove_spans(df, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"), window=4, max_words=most, max_coverage=share).collect()}
+        for i, w in docs:
+            if not w:
+                assert got[i] == (None if w is None else "")
+                continue
+            hit = [False] * len(w)
+            for _, words in items:
+                n = min(4, len(words))
+                for k in range(len(words) - n + 1):
+                    for j in range(len(w) - n + 1):
+                        if w[j : j + n] == words[k : k + n]:
+                            hit[j : j + n] = [True] * n
+            text, k = "", 0
+            while k < len(w):
+                e = k
+                while e < len(w) and hit[e] == hit[k]:
+                    e += 1
+                gone = hit[k] and (e - k > most or sum(hit) > share * len(w))
+                text += ("" if gone else "-".join(w[k:e])) + ("-" if e < len(w) else "")
+                k = e
+            assert got[i] == text, (i, w)
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, "Hello world"), (2, None), (3, "..."), (None, "no ID here")], "item_id long, text string")
     docs = odd(spark).union(spark.createDataFrame([(9, "say: HELLO, World! again")], "doc_id long, text string")).withColumn("n_hit", F.lit("clash"))
@@ -333,8 +404,9 @@ def test_decontamination_edges(spark):
         assert (clash["_items"], clash["uid"], clash["marks"], clash["a`b.c"], clash["hit_items"]) == (5, 6, 7, 8, ["1"])
     kept = decontamination.decontaminate(docs, items)
     assert kept.columns == docs.columns and kept.count() == len(ODD) + 1 - 4
-    cut = decontamination.decontaminate(docs, items, max_words=5, max_coverage=0.9, cut=True).where("doc_id = 9").first()
-    assert cut.text == "say: ! again"
+    for words, share, text in ((1, 1.0, "say: ! again"), (2, 0.4, "say: ! again"), (2, 1.0, "say: HELLO, World! again"), (0, 0.0, "say: ! again")):
+        cut = decontamination.remove_spans(docs, items, max_words=words, max_coverage=share)
+        assert cut.count() == docs.count() and cut.columns == docs.columns and cut.where("doc_id = 9").first().text == text
     assert decontamination.matches(docs, items.limit(0)).where("n_hit > 0").count() == 0
     assert decontamination.matches(none(spark), items).count() == 0
 
@@ -360,6 +432,15 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.where("doc_id = 1")).first().copies == 0
 
 
+def test_rows_without_an_id_are_mixed_apart(spark):
+    rows = [(None, "a b c d e f g h i j", "x")] * 1000 + [(i, "w " * 10, "y") for i in range(300)] + [(None, f"t{i} u", "y") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(docs, weights=(1.0, 3.0)).groupBy("source", "target", "source_size").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()
+    assert len(got) == 2 and all(abs(r.taken - r.target) < 0.08 * r.target for r in got)
+    a, b = (sorted((str(r.doc_id), r.copies) for r in mixing.mix(d).collect()) for d in (docs, docs.repartition(3)))
+    assert a == b
+
+
 # ---- 9 Matroska
 
 @pytest.mark.parametrize("n", [1, 64, 255, 256, 257, 2048, 2049, 40_000])
@@ -416,6 +497,72 @@ def test_hostile_numbers(spark):
     assert len(back) == 4 and all(r.feature.startswith("error: ") and r.payload_sha256 is None for r in back)
 
 
+def live(n):
+    """A file as it is streamed: neither segment nor clusters have a size."""
+    unknown = b"\x01" + b"\xff" * 7
+    clusters = b"".join(e(matroska.CLUSTER, e(matroska.CLUSTER_TIMESTAMP, bytes([k])) + e(matroska.SIMPLE_BLOCK, b"\x81\x00\x00\x80" + bytes([65 + n + k])), unknown) for k in range(2))
+    return e(matroska.EBML, e(matroska.DOC_TYPE, b"webm")) + e(matroska.SEGMENT, clusters, unknown)
+
+
+def test_joined_live_files_give_all_packets():
+    raw = live(0) + live(2) + matroska.mux(b"z" * 10) + live(4)
+    m = matroska.parse(raw)
+    assert [raw[p.offset : p.offset + p.size] for p in m.packets] == [b"A", b"B", b"C", b"D", b"z" * 10, b"E", b"F"]
+    with pytest.raises(matroska.MatroskaError, match="must have a size"):
+        matroska.parse(e(matroska.EBML, b"", b"\xff") + live(0))
+
+
+def test_rates_out_of_range_are_errors(spark):
+    def with_rate(raw):
+        track = e(matroska.TRACKS, e(matroska.TRACK_ENTRY, e(matroska.TRACK_NUMBER, b"\1") + e(matroska.AUDIO, e(matroska.SAMPLING_FREQUENCY, raw))))
+        return e(matroska.SEGMENT, track + e(matroska.CLUSTER, e(matroska.SIMPLE_BLOCK, b"\x81\x00\x00\x80abc")))
+
+    rates = [5e-324, 1e-300, 0.5, float("nan"), float("inf"), -8000.0, 1e300]
+    files = spark.createDataFrame([(i, 3, bytearray(with_rate(struct.pack(">d", r)))) for i, r in enumerate([*rates, 8000.0])], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r.feature for r in matroska.read_back(files).collect()}
+    assert all(got[i].startswith("error: ") for i in range(len(rates))) and got[len(rates)].startswith("packets=1;")
+
+
+def test_mutated_files_raise_only_matroska_errors():
+    rng = random.Random(11)
+    good = [matroska.mux(bytes(rng.randrange(256) for _ in range(3000))), live(0) + live(2)]
+    for k in range(1000):
+        raw = bytearray(rng.choice(good))
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(min(len(raw), 400) if rng.random() < 0.7 else len(raw))
+            kind = rng.randrange(3)
+            if kind == 0:
+                raw[at] = rng.choice([0, 1, 0xFF, 0x7F, 0x80, rng.randrange(256)])
+            elif kind == 1:
+                del raw[at : at + rng.randrange(1, 9)]
+            else:
+                raw[at:at] = bytes(rng.randrange(256) for _ in range(rng.randrange(1, 9)))
+        try:
+            media = matroska.parse(bytes(raw))
+            matroska.describe(media, matroska.samples(bytes(raw), media))
+            for p in media.packets:
+                assert 0 <= p.offset and p.offset + p.size <= len(raw) and abs(p.timestamp_ns) < 1 << 63
+        except matroska.MatroskaError:
+            pass
+
+
+def test_stored_form_and_feature_against_a_plain_reader(spark):
+    """A reader that knows only this one layout counts what the file must hold."""
+    texts = ["", "a", "Hello, world. " * 700, "é" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = {r.doc_id: bytes(r.media) for r in matroska.store_texts(docs).collect()}
+    for r in matroska.read_back(matroska.store_texts(docs)).collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r.media_bytes, r.media_sha256) == (len(files[r.doc_id]), hashlib.sha256(files[r.doc_id]).hexdigest())
+        frames = -(-len(payload) // 256)
+        clusters = -(-len(payload) // (256 * 8 * 16))
+        signed = [x - 128 for x in payload]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(signed, signed[1:], strict=False))
+        ms = (frames - 1) * 32 + (len(payload) - (frames - 1) * 256) * 1000 // 8000
+        assert r.feature == f"packets={frames};clusters={clusters};cues={clusters};ms={ms};mean={sum(signed) * 1000 // len(payload)};power={sum(x * x for x in signed) // len(payload)};crossings={crossings}"
+
+
 # ---- 10 sharding
 
 def test_table_is_even_and_stable():
@@ -448,7 +595,7 @@ def test_columns_with_clashing_names_stay(spark):
     items = spark.createDataFrame([(1, "the cat")], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     mixed = mixing.mix(docs)
-    outs = [langid.identify(docs, langid.train(train_rows(spark))), quality.classify(docs, quality.train(docs, labels)), decontamination.matches(docs, items), decontamination.decontaminate(docs, items), mixed, mixing.emit(mixed), sharding.place(docs, shards=3, slots=11), decontamination.decontaminate(docs, items, max_words=9, max_coverage=1.0, cut=True)]
+    outs = [langid.identify(docs, langid.train(train_rows(spark))), quality.classify(docs, quality.train(docs, labels)), decontamination.matches(docs, items), decontamination.decontaminate(docs, items), mixed, mixing.emit(mixed), sharding.place(docs, shards=3, slots=11), decontamination.remove_spans(docs, items, max_words=1, max_coverage=1.0)]
     for out in outs:
         assert [c for c in out.columns if c in names] == names
         assert all([r[n] for n in names] == list(range(len(names))) for r in out.collect())
