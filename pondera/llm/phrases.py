@@ -10,10 +10,12 @@ often the shard has that phrase.  Phrases are extended depth-first up to the
 longest length, and popcounts are summed over shards.
 
 No shard can tell what is frequent in all.  So a first pass sums the shards' counts
-of single words and of pairs, under 64-bit names, and a bitmap of the frequent names,
+of single words and of pairs, under 64-bit names, and a Bloom filter of the frequent names,
 whose size has a bound, tells the second pass which steps to take.  Where names
 collide, or where very many are frequent, a shard extends more phrases than it
 must, never fewer; the counts that are returned are those of the phrases' texts.
+Popcounts travel in packed blocks: a task merges those of its shards and sends
+one block to each part of the sum, so the engine handles blocks, not phrases.
 
 What follows the counts is joins and sums by (language, phrase).
 """
@@ -36,8 +38,10 @@ BREAK[[ord(c) for c in ".,;:!?"]] = True
 BREAK[0x0A:0x0E] = True
 INSIDE = ~BREAK
 INSIDE[[0x20, 0x09]] = False
-#: Bytes of a shard, positions of a range of roots, and binary logarithms of the least and largest bitmap of names.
-SHARD_BYTES, RANGE, BITS = 8 << 20, 1 << 18, (20, 30)
+#: Bytes of a shard, positions of a range of roots, phrases that a task holds, and binary logarithms of the least and largest filter.
+SHARD_BYTES, RANGE, HELD, BITS = 4 << 20, 1 << 18, 1 << 20, (20, 30)
+#: Where in a name the filter's probes begin.
+PROBES = (0, 17, 34)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -121,7 +125,8 @@ def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(lang, data, borders)
         for found in (shard.names, shard.pairs()):
             name, n = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n, pa.int64())], ["name", "n"])
+            for i in range(0, len(name), RANGE):
+                yield pa.RecordBatch.from_arrays([pa.array(name[i : i + RANGE].view(np.int64)), pa.array(n[i : i + RANGE], pa.int64())], ["name", "n"])
 
 
 def _bits(positions: np.ndarray, size: int) -> np.ndarray:
@@ -210,52 +215,108 @@ def extend(word: np.ndarray, go: np.ndarray, longest: int, dense: int = 64) -> I
         yield from follow(last, np.repeat(np.arange(len(roots)), count[roots]), 1)
 
 
-def _mine(shared, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``lang, phrase, n``: the shards' popcounts of phrases that may be frequent, and the number of all words as that of ''."""
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    """Counts of the same phrases summed."""
+    return pa.concat_tables(tables).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        mask = np.uint64(len(bitmap) * 64 - 1)
 
-        def frequent(name: np.ndarray) -> np.ndarray:
-            slot = name & mask
-            return bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
+def _blocks(counts: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
+    """``part, block``: the counts as one compressed block for each part, by a hash of the phrase."""
+    data, offsets = textkit.utf8(counts.column("phrase"))
+    part = (textkit.word_hashes(data, offsets[:-1], offsets[1:], fold=False) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    counts, cuts = counts.take(pa.array(order)), np.searchsorted(part[order], np.arange(parts + 1))
+    for k in range(parts):
+        if cuts[k] < cuts[k + 1]:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, counts.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_table(counts.slice(cuts[k], cuts[k + 1] - cuts[k]).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "block"])
+
 
-        def rows(lang: str, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), phrase.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+def _mine(shared, longest: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of the shards' popcounts of phrases that may be frequent, with the number of all words as that of ''."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for lang, data, borders in shards(batches):
-            shard = Shard(lang, data, borders)
-            yield rows(lang, pa.array([""], pa.string()), np.array([len(shard.names)]))
-            if not len(shard.names):
-                continue
-            known = frequent(shard.names)
-            at = np.flatnonzero(known)
-            _, first, code, n = np.unique(shard.names[at], return_index=True, return_inverse=True, return_counts=True)
-            if len(first):
-                yield rows(lang, shard.texts(at[first], np.ones(len(first), np.int64)), n)
-            free = int(shard.position[-1]) + 2
-            word, go, back = np.full(free, -1, np.int64), np.zeros(free, bool), np.zeros(free, np.int64)
-            word[shard.position[at]] = code
-            back[shard.position] = np.arange(len(shard.position))
-            pair = shard.next[known[shard.next] & known[shard.next + 1]]
-            pair = pair[frequent(textkit.mix(shard.names[pair] * _A + shard.names[pair + 1] * _B))]
-            go[shard.position[pair]] = True
-            found = list(extend(word, go, longest))
-            for i in range(0, len(found), 4096):
-                part = found[i : i + 4096]
-                length = np.repeat([m for _, m, _ in part], [len(p) for p, _, _ in part])
-                last = back[np.concatenate([p for p, _, _ in part])]
-                yield rows(lang, shard.texts(last - length + 1, length), np.concatenate([c for _, _, c in part]))
+            for phrase, n in popcounts(Shard(lang, data, borders), shared.value, longest):
+                held.append(pa.table([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), phrase, pa.array(n, pa.int64())], ["lang", "phrase", "n"]))
+                size += len(n)
+            if size > HELD:
+                held = [_merged(held)]
+                size = held[0].num_rows
+                if 2 * size > HELD:
+                    yield from _blocks(held[0], parts)
+                    held, size = [], 0
+        if held:
+            yield from _blocks(_merged(held), parts)
+
+    return run
+
+
+def popcounts(shard: Shard, bloom: np.ndarray, longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """A shard's phrases of words and pairs that the filter has, with how often they occur."""
+    mask = np.uint64(len(bloom) * 64 - 1)
+
+    def frequent(name: np.ndarray) -> np.ndarray:
+        out = np.ones(len(name), bool)
+        for shift in PROBES:
+            slot = name >> np.uint64(shift) & mask
+            out &= bloom[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
+        return out
+
+    yield pa.array([""], pa.large_string()), np.array([len(shard.names)])
+    if not len(shard.names):
+        return
+    known = frequent(shard.names)
+    at = np.flatnonzero(known)
+    _, first, code, n = np.unique(shard.names[at], return_index=True, return_inverse=True, return_counts=True)
+    if not len(first):
+        return
+    yield shard.texts(at[first], np.ones(len(first), np.int64)), n
+    free = int(shard.position[-1]) + 2
+    word, go, back = np.full(free, -1, np.int64), np.zeros(free, bool), np.zeros(free, np.int64)
+    word[shard.position[at]] = code
+    back[shard.position] = np.arange(len(shard.position))
+    pair = shard.next[known[shard.next] & known[shard.next + 1]]
+    pair = pair[frequent(textkit.mix(shard.names[pair] * _A + shard.names[pair + 1] * _B))]
+    go[shard.position[pair]] = True
+    found = list(extend(word, go, longest))
+    for i in range(0, len(found), 4096):
+        part = found[i : i + 4096]
+        length = np.repeat([m for _, m, _ in part], [len(p) for p, _, _ in part])
+        last = back[np.concatenate([p for p, _, _ in part])]
+        yield shard.texts(last - length + 1, length), np.concatenate([c for _, _, c in part])
+
+
+def _sum(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``lang, phrase, n`` of the phrases that occur often enough in all blocks of a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for block in batch.column("block"):
+                held.append(pa.ipc.open_stream(block.as_buffer()).read_all())
+                size += held[-1].num_rows
+                if size > HELD:
+                    held = [_merged(held)]
+                    size = held[0].num_rows // 2  # it may have grown for good
+        if held:
+            counts = _merged(held)
+            keep = (counts.column("n").to_numpy() >= least) | (counts.column("phrase").to_numpy(zero_copy_only=False) == "")
+            counts = counts.filter(pa.array(keep))
+            yield from counts.set_column(1, "phrase", counts.column("phrase").cast(pa.string())).combine_chunks().to_batches()
 
     return run
 
 
 def frequent_names(counts: DataFrame, least: int, scratch: Scratch) -> np.ndarray:
-    """A bitmap of the names with at least so many occurrences, by their low bits; its size has a bound."""
+    """A Bloom filter of the names with at least so many occurrences; its size has a bound."""
     found = scratch.keep(counts.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("name"), "names")
     bits = 1 << min(BITS[1], max(BITS[0], (32 * found.count()).bit_length()))
-    words = found.select(F.expr(f"shiftright(name & {bits - 1}L, 6)").alias("at"), F.expr("shiftleft(1L, cast(name & 63L as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    slots = found.select(F.explode(F.array(*[F.expr(f"shiftrightunsigned(name, {k}) & {bits - 1}L") for k in PROBES])).alias("slot"))
+    words = slots.select(F.expr("shiftright(slot, 6)").alias("at"), F.expr("shiftleft(1L, cast(slot & 63L as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
@@ -265,14 +326,15 @@ def phrase_counts(docs: DataFrame, *, longest: int = 5, least: int = 100) -> Dat
     """``lang, phrase, n``: all words and phrases of up to ``longest`` words that occur ``least`` times, and the number of all words as that of ''.
 
     Single words are there if they are frequent.  See ``collocations`` for nulls.
+    A part of the sum, of which there are as many as shuffle partitions, is held by a task.
     """
-    scratch = Scratch(docs.sparkSession, "phrases")
-    textkit.bound_batches(docs.sparkSession)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "phrases")
+    textkit.bound_batches(spark)
     texts = spread(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text"))
-    bitmap = frequent_names(texts.mapInArrow(textkit.lean(names), "name bigint, n bigint"), least, scratch)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    counts = texts.mapInArrow(textkit.lean(_mine(shared, longest)), "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    counts = scratch.keep(counts.where((F.col("n") >= least) | (F.col("phrase") == "")), "counts")
+    shared = spark.sparkContext.broadcast(frequent_names(texts.mapInArrow(textkit.lean(names), "name bigint, n bigint"), least, scratch))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = texts.mapInArrow(textkit.lean(_mine(shared, longest, parts)), "part int, block binary").repartition(parts, "part")
+    counts = scratch.keep(blocks.mapInArrow(textkit.lean(_sum(least)), "lang string, phrase string, n bigint"), "counts")
     scratch.drop("names")
     return counts
 
