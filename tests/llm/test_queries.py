@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from oracle import compare
 from pondera.llm import queries as q
+from pyspark.sql import functions as F
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -143,9 +144,21 @@ def test_stages_keep_clean_documents(spark, sf_dir):
     a = c.language_id(spark, docs, sf_dir)
     assert sorted(str(r.doc_id) for r in a.collect()) == ["1", "None"]
     b = c.near_dedup(spark, a.union(a), sf_dir)
-    assert sorted(str(r.doc_id) for r in b.collect()) == ["1", "None", "None"]
-    assert c.decontaminate(spark, b, sf_dir).count() == 3
+    assert sorted(str(r.doc_id) for r in b.collect()) == ["1", "None"]
+    assert c.decontaminate(spark, b, sf_dir).count() == 2
     assert c.shard(spark, b, sf_dir).columns == [*c.COLUMNS, "slot", "shard"]
+    odd = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert c.language_id(spark, odd, sf_dir).count() == 4  # nothing to learn from, nothing to reject by
+
+
+def test_near_dedup_judges_rows(spark, sf_dir):
+    import corpus_pipeline as c
+
+    same, other = "one text that stands here with quite a few words of its own", "another text with other words that has nothing to do with it at all"
+    rows = [(3, same), (5, same), (5, other), (5, other), (None, other), (7, ""), (7, ""), (None, None), (9, same + " now"), (None, "alone in the world, with no id and no copy of it")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in c.near_dedup(spark, docs, sf_dir).collect()), key=str)
+    assert got == sorted([(3, same), (5, other), (7, ""), (7, ""), (None, None), rows[-1]], key=str)
 
 
 # ---- plain versions of what SQL can't say
