@@ -21,22 +21,27 @@ SHARDS, SLOTS = 64, 65537
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose text has a language; its prediction replaces a missing ``lang``.
 
-    Null and empty texts and texts without a letter go.  With no ``lang`` at all to
-    learn from, no text has a language.
+    Null and empty texts and texts without a letter go.  With no ``lang`` at all there
+    is nothing to learn from and to reject by: all documents stay.
     """
-    found = langid.identify(docs.select(*COLUMNS), langid.train(docs))
+    model = langid.train(docs)
+    if model is None:
+        return docs.select(*COLUMNS)
+    found = langid.identify(docs.select(*COLUMNS), model)
     return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each near-duplicate group.
 
-    Of rows that repeat id and text one stays.  Rows with a null id can't be named
-    as a group's document, so they stay.  A text without words is in no group.
+    Rows are judged, not ids: one row of a group stays, though an id may repeat with the
+    same or another text.  A row with a null id stays if its group has no other; a text without
+    words is in no group, so its rows all stay.
     """
-    docs = docs.select(*COLUMNS)
-    kept = near_dup.near_duplicates(docs.where("doc_id is not null")).where("kept").select("doc_id")
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS).union(docs.where("doc_id is null"))
+    rows = Scratch(spark, "near_dedup").keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows", compression="zstd")
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row").alias("doc_id"), "text")
+    kept = near_dup.near_duplicates(named).where("kept").select("doc_id.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
