@@ -6,6 +6,7 @@ row-local expressions: no explode, no window, no shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -136,14 +137,21 @@ def hashed_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def hashed_index(n: Column, *parts: Column) -> Column:
-    """A number in 0..n-1 from an MD5 of the parts."""
-    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("bigint"), n)
-
-
 def norm2(vector: Column) -> Column:
     return F.sqrt(total(F.transform(vector, lambda x: x.cast("double") * x.cast("double"))))
 
 
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+
+
+def one_score(norm: str, n_tokens: int, log_sum: float, unconditional: float) -> float:
+    """``normalised`` of plain numbers."""
+    return {"mean": log_sum / n_tokens, "sum": log_sum, "pmi": log_sum - unconditional}[norm]
+
+
+def one_softmax(scores: list[float]) -> list[float]:
+    """``softmax`` of plain numbers."""
+    top = max(scores)
+    e = [math.exp(s - top) for s in scores]
+    return [v / sum(e) for v in e]

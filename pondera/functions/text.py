@@ -184,6 +184,28 @@ def situation(things: Column, center: Column, left: Column, right: Column) -> Co
     return F.array_join(F.concat(F.when(F.size(seen) > 0, seen).otherwise(F.array(F.lit("No monsters in view."))), F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("No items in view."))), F.array(depths)), " ")
 
 
+def median(values: Column) -> Column:
+    """The middle value of an array of numbers, or the mean of the two middle ones; null of an empty array."""
+    n, order = F.size(values), F.array_sort(values)
+    at = lambda k: F.get(order, F.floor(k).cast("int"))
+    return F.when(n > 0, (at((n - 1) / 2) + at(n / 2)) / 2)
+
+
+def band(frame: Column, width: int, rows: tuple[int, int], columns: tuple[int, int]) -> Column:
+    """The values of some rows and columns of a frame, an array that has its rows of ``width`` one after another."""
+    return F.flatten(F.array(*[F.slice(frame, r * width + columns[0] + 1, columns[1] - columns[0]) for r in range(*rows)]))
+
+
+def depth_bands(frame: Column, width: int, height: int) -> Column:
+    """Medians of a depth frame's middle third: ``left`` and ``right`` fifth and ``center`` fifth of its columns.
+
+    Borders are rounded down; the right fifth is rounded up.
+    """
+    rows = (height // 3, 2 * height // 3)
+    parts = {"left": (0, width // 5), "center": (2 * width // 5, 3 * width // 5), "right": (width - -(-width // 5), width)}
+    return F.struct(*[median(band(frame, width, rows, c)).cast("double").alias(k) for k, c in parts.items()])
+
+
 def status(health: Column, ammo: Column, kills: Column, last_action: Column) -> Column:
     last = F.when(F.coalesce(last_action, F.lit("")) != "", F.concat(F.lit(" Last action: "), last_action, F.lit("."))).otherwise(F.lit(""))
     return F.concat(F.lit("Health "), health.cast("string"), F.lit(", ammo "), ammo.cast("string"), F.lit(", kills "), kills.cast("string"), F.lit("."), last)
@@ -191,6 +213,7 @@ def status(health: Column, ammo: Column, kills: Column, last_action: Column) ->
 
 def game_prompt(goal: str, rules: list[str], examples: list[tuple[str, str]], scene: Column, state: Column) -> Column:
     """The whole context; options are scored after the final arrow."""
+    # fixed values: the prompt's sentences
     head = "\n".join([f"You are playing Doom. Goal: {goal}", "", "Rules:", *(f"- {r}" for r in rules), "", "Examples:", *(f"Situation: {s} -> {a}" for s, a in examples), "", "Situation: "])
     return F.concat(F.lit(head), scene, F.lit("\n"), state, F.lit("\n->"))
 

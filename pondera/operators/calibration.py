@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pondera.functions import scores as S
 from pondera.functions.text import digest
+from pondera.operators.tasks import require_unseen, table_digest
 
 
 def objective(temperature: Column, kind: str) -> Column:
@@ -86,13 +87,20 @@ def fit_temperature(predictions: DataFrame, *, kind: str = "nll", bounds: tuple[
 
 @dataclass(frozen=True)
 class Calibrator:
-    """A fitted temperature, bound to the artifact whose predictions it was fitted on."""
+    """A fitted temperature, bound to the artifact whose predictions it was fitted on, to those predictions and to their tasks.
+
+    ``provenance`` names the tasks' keys by their digest; the keys themselves are a table
+    beside the file, so that later tasks can be checked against them.
+    """
 
     temperature: float
     objective: str
     bounds: tuple[float, float]
     artifact_id: str
     provenance: dict = field(default_factory=dict)
+    examples: int = 0
+    prediction_sha256: str = ""
+    split: str = "calibration"
 
     @property
     def id(self) -> str:
@@ -103,10 +111,22 @@ class Calibrator:
         """Fit on raw predictions of the artifact only."""
         if "calibrator_id" in predictions.columns:
             raise ValueError("predictions are calibrated already")
-        if predictions.where(F.coalesce(F.col("artifact_id") != artifact_id, F.lit(True))).limit(1).count():
+        foreign = F.count(F.when(F.coalesce(F.col("artifact_id") != artifact_id, F.lit(True)), 1))
+        n, other = predictions.agg(F.count(F.lit(1)), foreign).first()
+        if other:
             raise ValueError("predictions come from another artifact")
         found = fit_temperature(predictions, kind=kind, bounds=bounds)
-        return cls(found["temperature"], kind, tuple(bounds), artifact_id, provenance or {})
+        return cls(found["temperature"], kind, tuple(bounds), artifact_id, provenance or {}, n, cls.digest_of(predictions))
+
+    @staticmethod
+    def digest_of(predictions: DataFrame) -> str:
+        """What binds a calibrator to its predictions: their ids, scores and labels in any order."""
+        return table_digest(predictions, "id", "scores", "label")
+
+    def require_predictions(self, predictions: DataFrame) -> None:
+        """Raise unless these are the predictions that it was fitted on."""
+        if self.digest_of(predictions) != self.prediction_sha256:
+            raise ValueError("the calibrator was fitted on other predictions")
 
     def apply(self, predictions: DataFrame) -> DataFrame:
         """Add calibrated ``probabilities`` beside ``raw_probabilities``; choices stay as they are."""
@@ -116,9 +136,12 @@ class Calibrator:
         checked = predictions.where(F.when(wrong, F.raise_error(F.lit("predictions come from another artifact"))).otherwise(F.lit(True)))
         return checked.withColumns({"raw_probabilities": S.softmax(F.col("scores")), "probabilities": S.softmax(F.col("scores"), self.temperature), "temperature": F.lit(self.temperature), "calibrator_id": F.lit(self.id)})
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, keys: DataFrame | None = None) -> None:
+        """Write the calibrator, and its tasks' ``kind, key`` to a table beside it."""
         with open(path, "x") as f:
             json.dump(asdict(self) | {"calibrator_id": self.id}, f, indent=2, allow_nan=False)
+        if keys is not None:
+            keys.select("kind", "key").write.mode("errorifexists").parquet(f"{path}.keys")
 
     @classmethod
     def load(cls, path: str, artifact_id: str) -> Calibrator:
@@ -127,6 +150,14 @@ class Calibrator:
         known = value.pop("calibrator_id", None)
         out = cls(**value | {"bounds": tuple(value["bounds"])})
         lo, hi = out.bounds
-        if out.id != known or out.artifact_id != artifact_id or not lo <= out.temperature <= hi or out.objective not in ("nll", "brier"):
+        if out.id != known or out.artifact_id != artifact_id or out.split != "calibration" or not lo <= out.temperature <= hi or out.objective not in ("nll", "brier"):
             raise ValueError("calibrator is damaged or belongs to another artifact")
         return out
+
+    def require_unseen(self, keys: DataFrame, path: str) -> None:
+        """Raise if tasks (their ``kind, key``) are among those that it was fitted on, whose table is beside its file."""
+        if "keys_sha256" in self.provenance:
+            own = keys.sparkSession.read.parquet(f"{path}.keys")
+            if table_digest(own, "kind", "key") != self.provenance["keys_sha256"]:
+                raise ValueError("the calibrator's table of keys was changed")
+            require_unseen(keys, own, "the calibrator's tasks")

@@ -13,12 +13,14 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pondera.functions import text as X
 from pondera.operators import metrics, scorers, tasks
 from pondera.operators.calibration import Calibrator
+from pondera.operators.prefix import number
+from pondera.plans.scratch import Scratch
 from pondera.sources import readers, sinks
 
 Load = Callable[[], Callable[[str], np.ndarray]]
@@ -60,20 +62,80 @@ def extract(parsed: DataFrame, load: Load, *, context_tokens: int = 4096, candid
     return rows.mapInPandas(run, FEATURES)
 
 
-def check_cache(features: DataFrame, parsed: DataFrame) -> None:
-    """Raise unless cached features have exactly the tasks' ids, inputs, candidates and labels."""
-    keys = lambda df: df.select("id", "fingerprint", "ids", "label")
-    want = keys(tasks.with_label(parsed))
-    if not keys(features).exceptAll(want).isEmpty() or not want.exceptAll(keys(features)).isEmpty():
-        raise ValueError("cached features differ from their tasks")
+def _keys_digest(rows: DataFrame) -> str:
+    return tasks.table_digest(rows, "id", "fingerprint", "ids", "label")
+
+
+def describe_tasks(parsed: DataFrame, role: str) -> dict:
+    """What a cache of these tasks must say of them: their role, and digests of their contents, keys and provenance."""
+    whole = tasks.table_digest(parsed, "id", "state", "question", "candidates", "choice_id", "group_id")
+    keys = tasks.table_digest(tasks.provenance({role: parsed}), "kind", "key")
+    return {"role": role, "source_sha256": whole, "provenance_sha256": keys, "tasks_sha256": _keys_digest(tasks.with_label(parsed))}
+
+
+def write_cache(parsed: DataFrame, path: str, role: str, load: Load, signature: dict, **limits: int) -> None:
+    """Extract the tasks' features to a table that names its tasks, model and limits."""
+    sinks.write_features(extract(parsed, load, **limits), path, describe_tasks(parsed, role) | {"signature": signature | limits, "signature_sha256": X.digest(signature | limits)} | signature)
+
+
+def check_cache(features: DataFrame, parsed: DataFrame, meta: dict | None = None, role: str = "") -> None:
+    """Raise unless cached features have exactly the tasks' ids, inputs, candidates and labels, in any order.
+
+    With a cache's metadata its role, contents and provenance must be these tasks' too.
+    """
+    if meta is None:
+        want, got = {"tasks_sha256": _keys_digest(tasks.with_label(parsed))}, {}
+    else:
+        want, got = describe_tasks(parsed, role), meta
+    found = {"rows": _keys_digest(features)}
+    wrong = [k for k, v in want.items() if k in got and got[k] != v or meta is not None and k not in got] + ["rows"] * (found["rows"] != want["tasks_sha256"])
+    if wrong:
+        raise ValueError(f"cached features differ from their tasks: {', '.join(wrong)}")
+
+
+def prepare(settings: readers.Experiment, spark: SparkSession, load: Load | None = None, signature: dict | None = None) -> dict[str, DataFrame]:
+    """The checked features of an experiment's splits, from its caches or else extracted beside its output."""
+    parsed = {s: readers.tasks(spark, settings.datasets[s], labelled=True) for s in readers.SPLITS}
+    tasks.require_disjoint(tasks.provenance(parsed))
+    found, signed = {}, set()
+    for split, rows in parsed.items():
+        path = settings.caches.get(split) or f"{settings.out}-features/{split}"
+        if not settings.caches:
+            if load is None:
+                raise ValueError("a model is needed to extract features")
+            write_cache(rows, path, split, load, signature or {}, context_tokens=settings.context_tokens, candidate_tokens=settings.candidate_tokens)
+        found[split], meta = readers.features(spark, path)
+        check_cache(found[split], rows, meta, split)
+        signed.add(meta.get("signature_sha256"))
+    if len(signed) != 1:
+        raise ValueError("the splits' features are of different models or limits")
+    return found
 
 
 def train_artifact(train: DataFrame, validation: DataFrame, folder: str, signature: dict, **settings: object) -> dict:
-    """Train a head on features and write it as an artifact; the roles must not overlap.  The manifest is returned."""
-    roles = {"train": train, "validation": validation}
-    tasks.require_disjoint(tasks.provenance(roles))
+    """Train a head on features and write it as an artifact; the roles must not overlap.  The manifest is returned.
+
+    The tasks' keys are a table in the artifact, whose digest the manifest has, so that
+    tasks to be evaluated later can be checked against them.
+    """
+    keys = tasks.provenance({"train": train, "validation": validation})
+    tasks.require_disjoint(keys)
     head, history = scorers.train_attention(train, validation, **settings)
-    return sinks.write_artifact(folder, head, {"history": history, "settings": settings, "hidden": int(head.query.shape[0])}, signature)
+    out = sinks.write_artifact(folder, head, {"history": history, "settings": settings, "hidden": int(head.query.shape[0])}, signature, training={"keys_sha256": tasks.table_digest(keys, "split", "kind", "key")})
+    keys.write.mode("errorifexists").parquet(f"{folder}/keys")
+    return out
+
+
+def evaluate(features: DataFrame, head: scorers.AttentionHead) -> DataFrame:
+    """``summarize`` of the head's choices by ``run``: "given", and "shuffled", where each task has the context of the next of its batch.
+
+    A head that uses the context is much worse in the second run.  Features are numbered by
+    id without a task that sees them all.
+    """
+    rows = features.where("label is not null").select("id", "context", "options", "label", "ids")
+    rows = rows.join(number(rows.select("id"), "id"), "id")
+    both = rows.withColumn("run", F.lit("given")).unionByName(tasks.shuffled_contexts(rows, ordinal="ordinal", context="context").withColumn("run", F.lit("shuffled")))
+    return metrics.summarize(metrics.metric_rows(scorers.score_attention(both, head)), "run")
 
 
 class DecisionScorer:
@@ -86,11 +148,32 @@ class DecisionScorer:
         self.manifest = readers.read_artifact(artifact)
         if self.manifest["feature_signature"] != signature:
             raise ValueError("the model differs from the artifact's")
+        self.folder, self.calibrator_path = Path(artifact), calibrator
         self.artifact_id = readers.file_digest(Path(artifact) / "manifest.json")
         self.calibrator = Calibrator.load(calibrator, self.artifact_id) if calibrator else None
         self.head, self.load = scorers.AttentionHead.load(str(Path(artifact) / "head.npz")), load
         self._model: Callable[[str], np.ndarray] | None = None
 
+    def require_unseen(self, parsed: DataFrame) -> None:
+        """Raise if the head or the calibrator was fitted on any of these tasks' ids, inputs or groups."""
+        keys = tasks.provenance({"asked": parsed})
+        if known := self.manifest.get("training", {}).get("keys_sha256"):
+            own = parsed.sparkSession.read.parquet(str(self.folder / "keys"))
+            if tasks.table_digest(own, "split", "kind", "key") != known:
+                raise ValueError("the artifact's table of keys was changed")
+            tasks.require_unseen(keys, own, "the head's training")
+        if self.calibrator:
+            self.calibrator.require_unseen(keys, self.calibrator_path)
+
+    def fit_calibrator(self, parsed: DataFrame, path: str, *, kind: str = "nll", bounds: tuple[float, float] = (0.05, 20.0), **limits: int) -> Calibrator:
+        """Fit a temperature on tasks that the head hasn't seen, and write it with their keys."""
+        self.require_unseen(parsed)
+        keys = tasks.provenance({"calibration": parsed})
+        scored = Scratch(parsed.sparkSession, "calibration").keep(self.score_table(parsed, **limits).select("id", "scores", "label", "artifact_id"), "scored")
+        out = Calibrator.fit(scored, self.artifact_id, kind=kind, bounds=bounds, provenance={"keys_sha256": tasks.table_digest(keys, "kind", "key")})
+        out.save(path, keys)
+        return out
+
     def score_table(self, parsed: DataFrame, **limits: int) -> DataFrame:
         """Predictions of parsed tasks: ``id, ids, label, scores, probabilities, choice, confidence, artifact_id``, calibrated where there is a calibrator."""
         scored = scorers.score_attention(extract(parsed, self.load, **limits), self.head).withColumn("artifact_id", F.lit(self.artifact_id))
@@ -100,7 +183,7 @@ class DecisionScorer:
     def predict(self, *, state: str | dict | list, question: str, candidates: Mapping[str, str], request_id: str = "request") -> dict:
         """Choose among candidate ids and texts; one small computation on the driver, checked like a task of a file."""
         if not isinstance(candidates, Mapping):
-            raise ValueError("candidates must be a mapping of ids to texts")
+            raise ValueError("candidates: a mapping from id to text is needed")
         listed = [{"id": k, "text": v} for k, v in candidates.items()]
         request = {"schema_version": 1, "id": request_id, "state": state, "question": question, "candidates": listed}
         return self.score(request)

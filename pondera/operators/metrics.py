@@ -6,10 +6,14 @@ unlabelled), with ``ids array<string>`` where ties go by candidate id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pondera.functions import scores as S
+from pondera.operators.prefix import running_sums
 
 COVERAGES = (0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
 CHESS_COVERAGES = (0.25, 0.5, 0.75, 1.0)
@@ -80,16 +84,13 @@ def selective(rows: DataFrame, coverages: tuple[float, ...] = COVERAGES) -> Data
     """Risk at each requested coverage: ``requested_coverage, threshold, coverage, n, error``.
 
     The threshold is the confidence at rank ceil(coverage * n), and all its ties are
-    accepted.  Equal confidences are summed first; running sums go over sorted
-    ranges of the distinct ones, so no single task sees all rows.
+    accepted.  Equal confidences are summed first; running sums of the distinct ones go
+    over ranges cut at sampled confidences, so they spread over all tasks however
+    close to 1 they crowd.
     """
     steps = rows.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hit"))
-    banded = steps.withColumn("band", F.floor(F.col("confidence") * 4096))
-    sums = banded.groupBy("band").agg(F.sum("n").alias("bn"), F.sum("hit").alias("bh"))
-    above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("band", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("before"), F.coalesce(F.sum("bh").over(above), F.lit(0.0)).alias("hit_before"), F.sum("bn").over(Window.partitionBy()).alias("all"))
-    within = Window.partitionBy("band").orderBy(F.desc("confidence"))
-    run = banded.join(sums, "band").select("confidence", "all", (F.col("before") + F.sum("n").over(within)).alias("upto"), (F.col("hit_before") + F.sum("hit").over(within)).alias("hits"), F.col("n"))
+    run = running_sums(steps, "confidence", sums={"n": "upto", "hit": "hits"}, descending=True)
+    run = run.crossJoin(F.broadcast(run.agg(F.max("upto").alias("all"))))  # one row
     asked = F.explode(F.array(*[F.lit(float(c)) for c in coverages])).alias("requested_coverage")
     need = run.select("*", asked).where((F.col("upto") >= F.ceil(F.col("requested_coverage") * F.col("all"))) & (F.col("upto") - F.col("n") < F.ceil(F.col("requested_coverage") * F.col("all"))))
     return need.select("requested_coverage", F.col("confidence").alias("threshold"), (F.col("upto") / F.col("all")).alias("coverage"), F.col("upto").alias("n"), (1 - F.col("hits") / F.col("upto")).alias("error"))
@@ -156,3 +157,14 @@ def latency(runs: DataFrame) -> DataFrame:
     per = runs.groupBy("name").agg(F.count(F.lit(1)).alias("runs"), F.median("seconds").alias("median_seconds"), F.min("seconds").alias("min_seconds"))
     best = per.agg(F.min("median_seconds").alias("_best"))
     return per.crossJoin(F.broadcast(best)).withColumn("ratio", F.col("median_seconds") / F.col("_best")).drop("_best")
+
+
+def timed(name: str, run: Callable[[], object], repeat: int) -> list[tuple[str, float]]:
+    """``name, seconds`` of a few runs after a warm one, for ``latency``."""
+    run()
+    out = []
+    for _ in range(repeat):
+        began = time.perf_counter()
+        run()
+        out.append((name, time.perf_counter() - began))
+    return out

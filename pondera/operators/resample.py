@@ -1,50 +1,80 @@
 """Cluster bootstrap, paired differences and baselines.
 
-A draw picks clusters with replacement.  Rows are summed per cluster (and
-confidence bin) first, so a draw handles clusters, not rows; a pick's index is a
-hash of seed, draw and slot, the same in every run and partitioning.
+A draw of a Poisson bootstrap gives every cluster a weight, how often it is taken, from
+a hash of seed, draw and cluster: the same in every run, partitioning and engine.  A
+weight needs nothing but its own row, so draws are sums over the clusters' rows:
+no picks are made, numbered or joined, and what is shuffled is a row for each draw and
+bin of a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pondera.functions import scores as S
 
 METRICS = ("accuracy", "nll", "brier")
+#: A prime; hashes of clusters and draws are numbers below it, so that a product of two has 62 bits.
+PRIME = (1 << 31) - 1
+#: Hashes from the k-th threshold on are weights of over k: the Poisson distribution of mean 1 (fixed values).
+THRESHOLDS = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(11)]
 
 
-def number_clusters(keys: DataFrame, key: str = "cluster") -> DataFrame:
-    """``key, ordinal`` from 0 in key order: ranges are sorted apart and offset by their sizes."""
-    ranged = keys.select(key).distinct().repartitionByRange(key).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(sizes.select("_p", "before")), "_p").select(key, (F.col("before") + F.col("_i") - 1).alias("ordinal"))
-
-
-def draws(rows: DataFrame, *, samples: int, seed: int, ece: bool = True) -> DataFrame:
-    """``draw`` and the metrics of each resample of ``cluster, hit, nll, brier, confidence`` rows."""
-    order = number_clusters(rows)
-    n = order.count()
-    if n < 2 or samples <= 0:
-        return rows.sparkSession.createDataFrame([], "draw int, accuracy double, nll double, brier double" + ", ece double" * ece)
-    sums = rows.groupBy("cluster", S.confidence_bin(F.col("confidence")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("hit", "nll", "brier", "confidence")])
-    sums = sums.join(order, "cluster")
-    spark = rows.sparkSession
-    picks = spark.range(samples * n).select((F.col("id") / n).cast("int").alias("draw"), (F.col("id") % n).alias("slot"))
-    weights = picks.select("draw", S.hashed_index(F.lit(n), F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string")).alias("ordinal")).groupBy("draw", "ordinal").agg(F.count(F.lit(1)).alias("w"))
-    drawn = weights.join(sums, "ordinal").groupBy("draw", "bin").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "hit", "nll", "brier", "confidence")])
-    mean = lambda c: F.sum(c) / F.sum("n")
-    out = [mean("hit").alias("accuracy"), mean("nll").alias("nll"), mean("brier").alias("brier")]
-    return drawn.groupBy("draw").agg(*out, *([(F.sum(F.abs(F.col("confidence") - F.col("hit"))) / F.sum("n")).alias("ece")] if ece else []))
+def draw_factors(seed: int, draw: int) -> tuple[int, int, int]:
+    """``a, b, c`` of a draw's hash ``a x + b y + c`` modulo ``PRIME``; a and b aren't 0."""
+    h = hashlib.md5(f"{seed}:{draw}".encode()).hexdigest()
+    a, b, c = (int(h[k : k + 8], 16) for k in (0, 8, 16))
+    return a % (PRIME - 1) + 1, b % (PRIME - 1) + 1, c % PRIME
+
+
+def cluster_numbers(cluster: Column) -> tuple[Column, Column]:
+    """Two numbers below ``PRIME`` of a cluster's name; a null one counts as ''."""
+    h = F.md5(F.coalesce(cluster.cast("string"), F.lit("")))
+    return tuple(F.conv(F.substring(h, at, 8), 16, 10).cast("long") % PRIME for at in (1, 9))
+
 
+def poisson(hashed: Column) -> Column:
+    """The weight of a hash."""
+    out = F.lit(len(THRESHOLDS))
+    for k, t in reversed(list(enumerate(THRESHOLDS))):
+        out = F.when(hashed < t, k).otherwise(out)
+    return out
 
-def intervals(drawn: DataFrame) -> DataFrame:
-    """``metric, lower, upper``: 2.5 and 97.5 percentiles; empty with fewer than two clusters or no draws."""
-    names = [c for c in drawn.columns if c != "draw"]
-    one = drawn.agg(*[F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(c) for c in names])
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("q")) for c in names])).alias("m"))
-    return rows.where("m.q is not null").select("m.metric", F.col("m.q")[0].alias("lower"), F.col("m.q")[1].alias("upper"))
+
+def draws(rows: DataFrame, *, samples: int, seed: int, ece: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """``draw`` and the metrics of each resample of ``cluster, hit, nll, brier, confidence`` rows, in all or by keys; none with fewer than two clusters.
+
+    Groups by keys are resampled in one pass, each draw with the same clusters in all of them.
+    Weights of any two clusters are independent, and a draw's metrics are weighted
+    means, so their mean and spread are those of picking clusters with
+    replacement up to terms of one over the number of clusters: the sum of weights
+    varies (by its root, relatively) where picks are a fixed number, and a draw in
+    which no cluster has weight, of probability ``exp(-clusters)``, isn't there.
+    """
+    sums = ("n", "hit", "nll", "brier", "confidence")
+    x, y = cluster_numbers(F.col("cluster"))
+    per = rows.groupBy(*by, x.alias("x"), y.alias("y"), S.confidence_bin(F.col("confidence")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums[1:]])
+    factors = F.array(*[F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip("abc", draw_factors(seed, d), strict=True)]) for d in range(max(samples, 0))]).cast("array<struct<a:bigint,b:bigint,c:bigint>>")
+    hashed = lambda f: (f["a"] * F.col("x") + f["b"] * F.col("y") + f["c"]) % PRIME
+    taken = per.select(*by, "x", "y", "bin", *sums, F.posexplode(F.transform(factors, lambda f: poisson(hashed(f)))).alias("draw", "w"))
+    drawn = taken.groupBy(*by, "draw", "bin").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in sums], *[f(F.col(c)).alias(f"{k}{c}") for c in "xy" for k, f in (("lo", F.min), ("hi", F.max))])
+    mean = lambda c: F.sum(c) / F.sum("n")
+    out = [mean("hit").alias("accuracy"), mean("nll").alias("nll"), mean("brier").alias("brier")] + [(F.sum(F.abs(F.col("confidence") - F.col("hit"))) / F.sum("n")).alias("ece")] * ece
+    several = (F.min("lox") < F.max("hix")) | (F.min("loy") < F.max("hiy"))
+    found = drawn.groupBy(*by, "draw").agg(*out, (several & (F.sum("n") > 0)).alias("_several"))
+    return found.where("_several").drop("_several")
+
+
+def intervals(drawn: DataFrame, *by: str) -> DataFrame:
+    """``metric, lower, upper``: 2.5 and 97.5 percentiles, in all or by keys; empty with fewer than two clusters or no draws."""
+    names = [c for c in drawn.columns if c != "draw" and c not in by]
+    one = drawn.groupBy(*by).agg(*[F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(c) for c in names])
+    rows = one.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("q")) for c in names])).alias("m"))
+    return rows.where("m.q is not null").select(*by, "m.metric", F.col("m.q")[0].alias("lower"), F.col("m.q")[1].alias("upper"))
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:

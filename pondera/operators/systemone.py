@@ -43,12 +43,13 @@ def explode_requests(requests: DataFrame) -> DataFrame:
     """Question rows of ``request_id, state, questions`` (JSON text of an object), in order.
 
     Order of questions and of a choice's criteria matters, which a variant would
-    lose, so the objects are read in Python.
+    lose, so the objects are read in Python.  Questions that can't be read fail the
+    query with their request's id.
     """
-    shape = "array<struct<qid:string,ordinal:int,type:string,instructions:string,criteria:array<struct<name:string,desc:string>>>>"
+    shape = "struct<error:string,items:array<struct<qid:string,ordinal:int,type:string,instructions:string,criteria:array<struct<name:string,desc:string>>>>>"
 
     @F.pandas_udf(shape)
-    def listed(raw: pd.Series) -> pd.Series:
+    def listed(raw: pd.Series) -> pd.DataFrame:
         def entry(v):
             return None if v is None else json.dumps(v, ensure_ascii=False)
 
@@ -60,9 +61,18 @@ def explode_requests(requests: DataFrame) -> DataFrame:
                 out.append({"qid": qid, "ordinal": i, "type": q.get("type"), "instructions": entry(q.get("instructions")), "criteria": [{"name": str(k), "desc": entry(v)} for k, v in pairs]})
             return out
 
-        return raw.map(one)
+        rows = []
+        for text in raw:
+            try:
+                rows.append((None, one(text)))
+            except (ValueError, TypeError, AttributeError, RecursionError):
+                rows.append(("questions are not an object of questions", []))
+        return pd.DataFrame(rows, columns=["error", "items"])
 
-    return requests.select("request_id", "state", F.explode(listed("questions")).alias("q")).select("request_id", "state", "q.*")
+    read = requests.select("request_id", "state", listed("questions").alias("l"))
+    fault = F.raise_error(F.concat(F.lit("request "), F.coalesce(F.col("request_id").cast("string"), F.lit("?")), F.lit(": "), "l.error"))
+    read = read.where(F.when(F.col("l.error").isNotNull(), fault).otherwise(F.lit(True)))
+    return read.select("request_id", "state", F.explode("l.items").alias("q")).select("request_id", "state", "q.*")
 
 
 def render(questions: DataFrame) -> DataFrame:
@@ -100,15 +110,21 @@ def answer(scored: DataFrame) -> DataFrame:
     })
 
 
-def system_one(questions: DataFrame, score: Callable[[DataFrame], DataFrame], *, norm: str = "sum") -> DataFrame:
+def system_one(questions: DataFrame, score: Callable[[DataFrame], DataFrame] | scorers.Bigrams, *, norm: str = "sum") -> DataFrame:
     """Answer every question with a scorer (see ``scorers``): question rows with answers and ``input_tokens, output_tokens``.
 
     Rows have ``state`` beside the question's columns, so a question never meets
-    its request in a join.  Rendered questions are numbered and written once; null
-    and repeated ids stay, each row with its own answer.
+    its request in a join.  A bigram model with a store answers in the row: nothing is
+    shuffled or written.  For other scorers rendered questions are numbered and written
+    once.  Null and repeated ids stay, each row with its own answer.
     """
-    scratch = Scratch(questions.sparkSession, "systemone")
     rendered = render(questions).withColumn("input_tokens", F.size(scorers.words_of(F.col("prompt"))).cast("long"))
+    if isinstance(score, scorers.Bigrams):
+        if score.store:
+            spread = scorers.row_distributions(rendered, score, context="prompt", options="labels", norm=norm)
+            return answer(spread.withColumnRenamed("n_tokens", "output_tokens").drop("scores"))
+        model, score = score, lambda df: scorers.score_bigrams(df, model)
+    scratch = Scratch(questions.sparkSession, "systemone")
     rendered = scratch.keep(rendered.withColumn("id", F.monotonically_increasing_id().cast("string")), "rendered")
     scored = score(rendered.select("id", F.col("prompt").alias("context"), F.col("labels").alias("options")))
     spread = scorers.distributions(scored, norm=norm).select("id", "probabilities", F.col("n_tokens").alias("output_tokens"))

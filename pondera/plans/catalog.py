@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pondera.functions import scores as S
 from pondera.functions import text as X
 from pondera.operators import calibration, metrics, resample, scorers, splits, systemone, tasks
+from pondera.plans import experiment
 from pondera.sources import readers
 from pondera.streaming import decisions
 
@@ -121,10 +122,19 @@ def temperature_fit(spark, sf_dir):
     return spark.createDataFrame([(found["temperature"], found["raw_objective"], found["fitted_objective"], found["at_bound"])], "temperature double, raw_nll double, fitted_nll double, at_bound boolean")
 
 
-@query(f"""WITH {vector_sql()}, c AS (SELECT id, id % 40 AS cluster, hit, nll, brier, confidence FROM r), o AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM c)),
-d AS (SELECT draw, (('0x' || substr(md5('7:' || draw || ':' || slot), 1, 8))::BIGINT % n) AS k FROM range(100) x(draw), (SELECT k AS slot, n FROM o)), w AS (SELECT draw, k, count(*) AS w FROM d GROUP BY draw, k),
-s AS (SELECT draw, least(9, floor(confidence * 10)) AS bin, sum(w) AS n, sum(w * hit) AS hit, sum(w * nll) AS nll, sum(w * brier) AS brier, sum(w * confidence) AS conf FROM w JOIN o USING (k) JOIN c USING (cluster) GROUP BY 1, 2),
-e AS (SELECT draw, sum(hit) / sum(n) AS accuracy, sum(nll) / sum(n) AS nll, sum(brier) / sum(n) AS brier, sum(abs(conf - hit)) / sum(n) AS ece FROM s GROUP BY draw),
+def weights_sql(rows: str, samples: int, seed: int) -> str:
+    """CTEs up to ``wt``: each draw's weight of every cluster of the rows, from the same hashes."""
+    steps = " ".join(f"WHEN u < {t} THEN {k}" for k, t in enumerate(resample.THRESHOLDS))
+    number = lambda h, at: f"('0x' || substr({h}, {at}, 8))::BIGINT"
+    return f"""
+fa AS (SELECT draw, 1 + {number("h", 1)} % {resample.PRIME - 1} AS a, 1 + {number("h", 9)} % {resample.PRIME - 1} AS b, {number("h", 17)} % {resample.PRIME} AS c FROM (SELECT draw, md5('{seed}:' || draw) AS h FROM range({samples}) x(draw))),
+ki AS (SELECT cluster, {number("h", 1)} % {resample.PRIME} AS x, {number("h", 9)} % {resample.PRIME} AS y FROM (SELECT DISTINCT cluster, md5(cluster::VARCHAR) AS h FROM {rows})),
+wt AS (SELECT draw, cluster, CASE {steps} ELSE {len(resample.THRESHOLDS)} END AS w FROM (SELECT draw, cluster, (a * x + b * y + c) % {resample.PRIME} AS u FROM fa, ki))"""
+
+
+@query(f"""WITH {vector_sql()}, c AS (SELECT id, id % 40 AS cluster, hit, nll, brier, confidence FROM r), {weights_sql("c", 100, 7)},
+s AS (SELECT draw, least(9, floor(confidence * 10)) AS bin, sum(w) AS n, sum(w * hit) AS hit, sum(w * nll) AS nll, sum(w * brier) AS brier, sum(w * confidence) AS conf FROM wt JOIN c USING (cluster) GROUP BY 1, 2),
+e AS (SELECT draw, sum(hit) / sum(n) AS accuracy, sum(nll) / sum(n) AS nll, sum(brier) / sum(n) AS brier, sum(abs(conf - hit)) / sum(n) AS ece FROM s GROUP BY draw HAVING sum(n) > 0),
 l AS (SELECT 'accuracy' AS metric, accuracy AS v FROM e UNION ALL SELECT 'nll', nll FROM e UNION ALL SELECT 'brier', brier FROM e UNION ALL SELECT 'ece', ece FROM e)
 SELECT metric, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM l GROUP BY metric""")
 def bootstrap_ci(spark, sf_dir):
@@ -132,10 +142,8 @@ def bootstrap_ci(spark, sf_dir):
     return rounded(resample.intervals(resample.draws(rows, samples=100, seed=7)))
 
 
-@query(f"""WITH {vector_sql()}, {vector_sql(1.0, 5.0, "r2")}, c AS (SELECT r.id % 40 AS cluster, r2.hit - r.hit AS hit, r2.nll - r.nll AS nll, r2.brier - r.brier AS brier FROM r JOIN r2 USING (id)),
-o AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM c)),
-d AS (SELECT draw, (('0x' || substr(md5('42:' || draw || ':' || slot), 1, 8))::BIGINT % n) AS k FROM range(100) x(draw), (SELECT k AS slot, n FROM o)), w AS (SELECT draw, k, count(*) AS w FROM d GROUP BY draw, k),
-e AS (SELECT draw, sum(w * hit) / sum(w) AS accuracy, sum(w * nll) / sum(w) AS nll, sum(w * brier) / sum(w) AS brier FROM w JOIN o USING (k) JOIN c USING (cluster) GROUP BY draw),
+@query(f"""WITH {vector_sql()}, {vector_sql(1.0, 5.0, "r2")}, c AS (SELECT r.id % 40 AS cluster, r2.hit - r.hit AS hit, r2.nll - r.nll AS nll, r2.brier - r.brier AS brier FROM r JOIN r2 USING (id)), {weights_sql("c", 100, 42)},
+e AS (SELECT draw, sum(w * hit) / sum(w) AS accuracy, sum(w * nll) / sum(w) AS nll, sum(w * brier) / sum(w) AS brier FROM wt JOIN c USING (cluster) GROUP BY draw HAVING sum(w) > 0),
 l AS (SELECT 'accuracy' AS metric, accuracy AS v FROM e UNION ALL SELECT 'nll', nll FROM e UNION ALL SELECT 'brier', brier FROM e)
 SELECT metric, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM l GROUP BY metric""")
 def paired_difference(spark, sf_dir):
@@ -155,6 +163,14 @@ def mean_norms(spark, sf_dir):
     return scorers.mean_norm(table(spark, sf_dir, "embeddings"), vector="embedding")
 
 
+@query("""SELECT vec_id, round(list_aggregate([embedding[17], embedding[25], embedding[33]]::DOUBLE[], 'median'), 6) AS left, round(list_aggregate([embedding[20], embedding[28], embedding[36]]::DOUBLE[], 'median'), 6) AS center,
+round(list_aggregate([embedding[23], embedding[24], embedding[31], embedding[32], embedding[39], embedding[40]]::DOUBLE[], 'median'), 6) AS right FROM embeddings""")
+def depth_bands(spark, sf_dir):
+    # a vector stands for a depth frame of eight by eight
+    frame = F.transform("embedding", lambda x: x.cast("double"))
+    return rounded(table(spark, sf_dir, "embeddings").select("vec_id", X.depth_bands(frame, 8, 8).alias("d")).select("vec_id", "d.left", "d.center", "d.right"))
+
+
 @query("SELECT label, i::INTEGER AS dim, round(avg(embedding[i]::DOUBLE), 6) AS pooled FROM embeddings, range(1, 65) t(i) WHERE vec_id % 7 <> 0 GROUP BY label, i")
 def pooled_mean(spark, sf_dir):
     # padding and sentinels are masked out; here every seventh vector stands for them
@@ -201,6 +217,43 @@ def forced_vs_open(spark, sf_dir):
     return rounded(metrics.summarize(rows, "forced"))
 
 
+# two variants of the line scores, raw and by a temperature of each
+
+VARIANTS = {"base": 2.0, "other": 0.5}
+VARIANT_ROWS = f"""{LINES},
+vp AS (SELECT variant, mode, id, pos, l_extendedprice, (lp.s + CASE WHEN variant = 'other' THEN l_extendedprice / 20000 ELSE 0 END)::DOUBLE / CASE WHEN mode = 'raw' THEN 1.0 WHEN variant = 'base' THEN {VARIANTS["base"]} ELSE {VARIANTS["other"]} END::DOUBLE AS s
+  FROM lp, (VALUES ('base'), ('other')) v(variant), (VALUES ('raw'), ('calibrated')) m(mode)),
+vg AS (SELECT *, row_number() OVER (PARTITION BY variant, mode, id ORDER BY l_extendedprice DESC, pos) = 1 AS gold, row_number() OVER (PARTITION BY variant, mode, id ORDER BY s DESC, pos) AS rk, max(s) OVER (PARTITION BY variant, mode, id) AS mx FROM vp),
+vq AS (SELECT *, exp(s - mx) / sum(exp(s - mx)) OVER (PARTITION BY variant, mode, id) AS p FROM vg),
+vr AS (SELECT variant, mode, id, count(*) AS n_candidates, max(CASE WHEN gold THEN (rk = 1)::INT END)::DOUBLE AS hit, max(CASE WHEN gold THEN (rk <= 3)::INT END)::DOUBLE AS top3,
+  ln(sum(exp(s - mx))) + max(mx) - max(CASE WHEN gold THEN s END) AS nll, sum(p * p) - 2 * max(CASE WHEN gold THEN p END) + 1 AS brier, max(CASE WHEN rk = 1 THEN p END) AS confidence FROM vq GROUP BY variant, mode, id)"""
+
+
+def line_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction rows of both variants, with a rating and a cluster."""
+    versions = F.explode(F.array(F.struct(F.lit("base").alias("variant"), F.col("scores").alias("s")), F.struct(F.lit("other").alias("variant"), F.zip_with("scores", "prices", lambda s, p: s + p / 20000).alias("s"))))
+    rows = line_tasks(spark, sf_dir).select("id", "label", (F.col("id") % 40).alias("cluster"), (F.col("id") % 2000).cast("double").alias("rating"), versions.alias("v"))
+    return rows.select("id", "label", "cluster", F.when(F.col("rating") < 1900, F.col("rating")).alias("rating"), "v.variant", F.col("v.s").cast("array<double>").alias("scores"))
+
+
+@query(f"""WITH {VARIANT_ROWS}, sv AS (SELECT 'all' AS stratum, 'all' AS value, * FROM vr UNION ALL SELECT 'candidates', CASE WHEN n_candidates = 1 THEN '1' WHEN n_candidates <= 10 THEN '2-10' WHEN n_candidates <= 25 THEN '11-25' ELSE '26+' END, * FROM vr
+UNION ALL SELECT 'rating', CASE WHEN id % 2000 < 1000 THEN '<1000' WHEN id % 2000 < 1400 THEN '1000-1399' WHEN id % 2000 < 1800 THEN '1400-1799' ELSE '1800+' END, * FROM vr WHERE id % 2000 < 1900) {summary_sql("sv", "variant, mode, stratum, value")}""")
+def variant_strata(spark, sf_dir):
+    return rounded(experiment.variant_strata(experiment.variant_rows(line_variants(spark, sf_dir), VARIANTS)))
+
+
+@query(f"""WITH {VARIANT_ROWS}, cm(a_variant, a_mode, b_variant, b_mode) AS (VALUES ('base', 'raw', 'base', 'calibrated'), ('other', 'raw', 'other', 'calibrated'), ('base', 'raw', 'other', 'raw'), ('base', 'calibrated', 'other', 'calibrated')),
+c AS (SELECT b_variant || '/' || b_mode || ' minus ' || a_variant || '/' || a_mode AS comparison, a.id % 40 AS cluster, b.hit - a.hit AS hit, b.nll - a.nll AS nll, b.brier - a.brier AS brier
+  FROM cm JOIN vr a ON a.variant = a_variant AND a.mode = a_mode JOIN vr b ON b.variant = b_variant AND b.mode = b_mode AND b.id = a.id), {weights_sql("c", 100, 42)},
+k AS (SELECT comparison, cluster, count(*) AS n, sum(hit) AS hit, sum(nll) AS nll, sum(brier) AS brier FROM c GROUP BY 1, 2),
+e AS (SELECT comparison, draw, sum(w * hit) / sum(w * n) AS accuracy, sum(w * nll) / sum(w * n) AS nll, sum(w * brier) / sum(w * n) AS brier FROM wt JOIN k USING (cluster) GROUP BY 1, 2 HAVING sum(w) > 0),
+l AS (SELECT comparison, 'accuracy' AS metric, accuracy AS v FROM e UNION ALL SELECT comparison, 'nll', nll FROM e UNION ALL SELECT comparison, 'brier', brier FROM e)
+SELECT comparison, metric, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM l GROUP BY 1, 2""")
+def variant_differences(spark, sf_dir):
+    rows = experiment.variant_differences(experiment.variant_rows(line_variants(spark, sf_dir), VARIANTS))
+    return rounded(resample.intervals(resample.draws(rows, samples=100, seed=42, ece=False, by=("comparison",)), "comparison"))
+
+
 @query(f"WITH {LINES} SELECT id, rk::INTEGER AS place, pos::INTEGER AS pos, l_partkey AS part FROM lg WHERE rk <= 3")
 def topk_per_task(spark, sf_dir):
     rows = line_tasks(spark, sf_dir).select("id", "parts", F.posexplode(S.top_positions(F.col("scores"), 3)).alias("place", "pos"))
@@ -341,12 +394,12 @@ def ngram_choice(spark, sf_dir):
     return rounded(metrics.decide(spread, tie="position").select("id", "best", "confidence"))
 
 
-@query("SELECT count(*) * 4 AS n, 0.0::DOUBLE AS worst FROM conversations")
+@query(f"WITH {BIGRAMS} SELECT pos, count(*) AS n, round(avg(ls), 6) AS shared, round(avg(ls), 6) AS naive FROM sc GROUP BY pos")
 def ngram_shared_vs_naive(spark, sf_dir):
     rows, model = reply_tasks(spark, sf_dir), document_bigrams(spark, sf_dir)
     a, b = scorers.score_bigrams(rows, model), scorers.score_naive(rows, model)
-    d = a.alias("a").join(b.alias("b"), ["id", "pos"])
-    return rounded(d.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("a.logprob_sum") - F.col("b.logprob_sum"))).alias("worst")))
+    both = a.select("id", "pos", F.col("logprob_sum").alias("shared")).join(b.select("id", "pos", F.col("logprob_sum").alias("naive")), ["id", "pos"])
+    return rounded(both.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.avg("shared").alias("shared"), F.avg("naive").alias("naive")))
 
 
 @query(rf"SELECT sum(len({_TOKENS.format('text')}))::BIGINT AS input_tokens, count(*)::BIGINT * {sum(len(r.split()) for r in REPLIES)} AS output_tokens FROM conversations")
@@ -369,23 +422,29 @@ def turn_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("request_id", "state", asked.alias("q")).select("request_id", "state", "q.*")
 
 
-@query(rf"""WITH {BIGRAMS}, lb AS (SELECT * FROM (VALUES ('topic', 0, 'the'), ('topic', 1, 'la'), ('topic', 2, 'und'), ('heat', 0, '0'), ('heat', 1, '1'), ('heat', 2, '2'), ('asks', 0, 'yes'), ('asks', 1, 'no')) x(qid, pos, label)),
+ANSWERS = rf"""{BIGRAMS}, lb AS (SELECT * FROM (VALUES ('topic', 0, 'the'), ('topic', 1, 'la'), ('topic', 2, 'und'), ('heat', 0, '0'), ('heat', 1, '1'), ('heat', 2, '2'), ('asks', 0, 'yes'), ('asks', 1, 'no')) x(qid, pos, label)),
 ls AS (SELECT qid, pos, label, (coalesce(g.n, 0) + 0.5::DOUBLE) / (coalesce(u.n, 0) + 0.5::DOUBLE * v) AS e FROM lb CROSS JOIN vo LEFT JOIN bg g ON g.a = 'answer:' AND g.b = label LEFT JOIN un u ON u.a = 'answer:'),
 pr AS (SELECT *, e / sum(e) OVER (PARTITION BY qid) AS p FROM ls),
 an AS (SELECT qid, arg_max(label, (p, -pos)) AS best, sum(pos * p) AS lv, max(CASE WHEN pos = 0 THEN p END) AS first, greatest(0, least(1, 1 + sum(p * ln(p)) / ln(count(*)::DOUBLE))) AS cf, count(*) AS n FROM pr GROUP BY qid),
-tk AS (SELECT conv_id || ':' || turn AS request_id, len({_TOKENS.format("text")}) + CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 1 END AS k FROM conversations)
+tk AS (SELECT conv_id || ':' || turn AS request_id, len({_TOKENS.format("text")}) + CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 1 END AS k FROM conversations)"""
+_ASKED = "CASE qid WHEN 'topic' THEN 3 + 4 + 1 + 5 + 2 + 4 + 1 WHEN 'heat' THEN 12 + 1 + 2 + 1 + 2 + 1 + 1 ELSE 5 + 5 + 4 + 1 END"
+
+
+@query(rf"""WITH {ANSWERS}
 SELECT request_id, qid, CASE WHEN qid = 'topic' THEN best END AS choice, CASE WHEN qid = 'heat' THEN round(lv, 6) END AS score, CASE WHEN qid = 'asks' THEN round(first, 6) END AS noul, CASE WHEN qid <> 'asks' THEN round(cf, 6) END AS confidence,
-(k + CASE qid WHEN 'topic' THEN 3 + 4 + 1 + 5 + 2 + 4 + 1 WHEN 'heat' THEN 12 + 1 + 2 + 1 + 2 + 1 + 1 ELSE 5 + 5 + 4 + 1 END)::BIGINT AS input_tokens, n::BIGINT AS output_tokens FROM tk, an""")
+(k + {_ASKED})::BIGINT AS input_tokens, n::BIGINT AS output_tokens FROM tk, an""")
 def systemone_answers(spark, sf_dir):
     model = document_bigrams(spark, sf_dir)
-    a = systemone.system_one(turn_questions(spark, sf_dir), lambda df: scorers.score_bigrams(df, model))
+    a = systemone.system_one(turn_questions(spark, sf_dir), model)
     return rounded(a.select("request_id", "qid", "choice", "score", "noul", "confidence", "input_tokens", "output_tokens"))
 
 
-@query()
+@query(rf"""WITH {ANSWERS}
+SELECT request_id, max(CASE WHEN qid = 'topic' THEN best END) AS topic, round(max(CASE WHEN qid = 'heat' THEN lv END), 6) AS heat, round(max(CASE WHEN qid = 'asks' THEN first END), 6) AS asks, sum(k + {_ASKED})::BIGINT AS input_tokens, sum(n)::BIGINT AS output_tokens FROM tk, an GROUP BY request_id""")
 def systemone_responses(spark, sf_dir):
-    model = document_bigrams(spark, sf_dir)
-    return systemone.responses(systemone.system_one(turn_questions(spark, sf_dir), lambda df: scorers.score_bigrams(df, model))).select("request_id", F.to_json("answers").alias("answers"), "input_tokens", "output_tokens")
+    found = systemone.responses(systemone.system_one(turn_questions(spark, sf_dir), document_bigrams(spark, sf_dir)))
+    of = lambda q, f, name: F.element_at("answers", F.lit(q))[f].alias(name)
+    return rounded(found.select("request_id", of("topic", "choice", "topic"), of("heat", "score", "heat"), of("asks", "noul", "asks"), "input_tokens", "output_tokens"))
 
 
 # ---- contracts: fingerprints, leakage, audits, clusters, splits
@@ -409,8 +468,7 @@ def duplicate_inputs(spark, sf_dir):
 
 
 def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = document_tasks(spark, sf_dir)
-    return tasks.provenance({s: rows.where(F.col("split") == s) for s in splits.SPLITS})
+    return tasks.provenance_by(document_tasks(spark, sf_dir).where(F.col("split").isin(*splits.SPLITS)), "split")
 
 
 KEYS = f"{PRINTS}, ky AS (SELECT DISTINCT split, kind, key FROM (SELECT split, 'id' AS kind, doc_id::VARCHAR AS key FROM fp UNION ALL SELECT split, 'input', fingerprint FROM fp UNION ALL SELECT split, 'group', source FROM fp) WHERE key IS NOT NULL)"
@@ -455,7 +513,12 @@ def clusters(spark, sf_dir):
     return splits.clusters(*event_keys(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLUSTERS}, ks AS (SELECT r, min(c) AS c FROM cc GROUP BY r), zs AS (SELECT count(*) AS size FROM ks GROUP BY c), os AS (SELECT size, row_number() OVER (ORDER BY size DESC) AS i, count(*) OVER () AS n, (sum(size) OVER ())::DOUBLE AS total FROM zs),
+ls AS (SELECT any_value(n) AS n, any_value(total) AS total, list(struct_pack(size := size::BIGINT, seen := 0::BIGINT, held := [0, 0, 0, 0]::BIGINT[], k := [0, 0, 0, 0]::BIGINT[]) ORDER BY i) AS every FROM os),
+fs AS (SELECT list_reduce(list_prepend(struct_pack(size := 0::BIGINT, seen := 0::BIGINT, held := [0, 0, 0, 0]::BIGINT[], k := [0, 0, 0, 0]::BIGINT[]), every),
+  lambda a, x: list_transform([list_transform([0.7, 0.1, 0.1, 0.1]::DOUBLE[], lambda f, j: CASE WHEN n - a.seen = len(list_filter(a.held, lambda h: h = 0)) AND a.held[j] > 0 THEN -1e300::DOUBLE ELSE total * f - a.held[j] END)],
+    lambda room: list_transform([list_position(room, list_max(room))], lambda p: struct_pack(size := x.size, seen := a.seen + 1, held := list_transform(a.held, lambda v, j: v + CASE WHEN j = p THEN x.size ELSE 0 END), k := list_transform(a.k, lambda v, j: v + CASE WHEN j = p THEN 1 ELSE 0 END)))[1])[1]) AS f FROM ls)
+SELECT unnest(['train', 'valid', 'calibration', 'test']) AS split, unnest(f.held) AS rows, unnest(f.k) AS clusters FROM fs""")
 def group_split(spark, sf_dir):
     members = splits.clusters(*event_keys(spark, sf_dir))
     return members.join(splits.group_split(members), "cluster").groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("cluster").alias("clusters"))
@@ -495,7 +558,7 @@ def legacy_conversion(spark, sf_dir):
     return got.select("id", "state", "choice_id", X.render_context(F.col("state"), F.col("question")).alias("context"))
 
 
-@query("""WITH t AS (SELECT conv_id || '-' || turn AS id, role FROM conversations), v AS (SELECT id, CASE WHEN role = 'system' THEN 'need 2..255 candidates' WHEN right(id, 1) = '0' THEN 'duplicate candidate IDs' END AS error FROM t) SELECT id, error FROM v""")
+@query("""WITH t AS (SELECT conv_id || '-' || turn AS id, role FROM conversations), v AS (SELECT id, CASE WHEN role = 'system' THEN 'candidates are not a list of 2 to 255' WHEN right(id, 1) = '0' THEN 'two candidates have one id' END AS error FROM t) SELECT id, error FROM v""")
 def task_validation(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "role", X.json_string(F.coalesce("text", F.lit(""))).alias("s"))
     second = F.when(F.col("key").endswith("0"), F.lit("a")).otherwise(F.lit("b"))
@@ -568,7 +631,7 @@ def latency_ratios(spark, sf_dir):
     return rounded(metrics.latency(table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("value").alias("seconds"))))
 
 
-@query("SELECT count(*) AS n, 0.004::DOUBLE AS worst, false AS ok FROM events")
+@query("SELECT count(*) AS n, round(max(d), 6) AS worst, max(d) <= 0.001 AS ok FROM (SELECT event_id % 5 / 1000.0::DOUBLE AS d FROM events)")
 def worst_differences(spark, sf_dir):
     a = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("cand_id"), (F.col("event_id") % 101 / 1000).alias("probability"))
     return rounded(tasks.worst_difference(a, a.withColumn("probability", F.col("probability") + F.col("id") % 5 / 1000), 0.001))
@@ -587,12 +650,32 @@ def within_token_limits(spark, sf_dir):
     return ok.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(scorers.words_of(F.col("context")))).cast("long").alias("tokens"))
 
 
-@query("SELECT count(*) * 4 AS n, 0.0::DOUBLE AS worst, true AS ok FROM conversations")
+@query(rf"SELECT conv_id || ':' || turn AS id, len({_TOKENS.format('text')})::INTEGER AS context_tokens, 3 AS candidate_tokens FROM conversations WHERE len({_TOKENS.format('text')}) > 100")
+def over_token_limits(spark, sf_dir):
+    return scorers.over_token_limits(reply_tasks(spark, sf_dir), context_tokens=100, candidate_tokens=3)
+
+
+@query("SELECT count(*) AS n, count(*) * 4 AS compared, 0.0::DOUBLE AS worst, 0::BIGINT AS changed, true AS ok FROM conversations")
 def order_invariance(spark, sf_dir):
     model = document_bigrams(spark, sf_dir)
     return rounded(scorers.invariance(reply_tasks(spark, sf_dir), lambda df: scorers.score_bigrams(df, model)))
 
 
+#: What a scorer that looks at places adds to an option's score for each place.
+LEANING = 1.5
+
+
+@query(f"""WITH {BIGRAMS}, o AS (SELECT id, pos, option, ls + {LEANING}::DOUBLE * pos AS a, ls + {LEANING}::DOUBLE * ({len(REPLIES) - 1} - pos) AS b FROM sc JOIN op USING (pos)),
+p AS (SELECT *, exp(a - max(a) OVER w) / sum(exp(a)) OVER w * exp(max(a) OVER w) AS pa, exp(b - max(b) OVER w) / sum(exp(b)) OVER w * exp(max(b) OVER w) AS pb FROM o WINDOW w AS (PARTITION BY id)),
+t AS (SELECT id, count(*) AS k, max(greatest(abs(a - b), abs(pa - pb))) AS far, arg_max(option, a) <> arg_max(option, b) AS changed FROM p GROUP BY id)
+SELECT count(*) AS n, sum(k)::BIGINT AS compared, round(max(far), 6) AS worst, count(*) FILTER (changed) AS changed, max(far) <= 1e-9 AND count(*) FILTER (changed) = 0 AS ok FROM t""")
+def order_dependence(spark, sf_dir):
+    # a scorer that leans to later options, which the check must find
+    model = document_bigrams(spark, sf_dir)
+    leaning = lambda df: scorers.score_bigrams(df, model).withColumn("logprob_sum", F.col("logprob_sum") + LEANING * F.col("pos"))
+    return rounded(scorers.invariance(reply_tasks(spark, sf_dir), leaning))
+
+
 @query(f"""WITH {BIGRAMS}, e AS (SELECT *, exp(ls / nt) AS e FROM sc) SELECT id, 4 AS n_options, round(max(e) / sum(e), 6) AS confidence FROM e WHERE right(id, 1) <> '1' GROUP BY id
 UNION ALL SELECT conv_id || ':' || turn, 1, 1.0 FROM conversations WHERE right(turn::VARCHAR, 1) = '1'""")
 def forced_options(spark, sf_dir):

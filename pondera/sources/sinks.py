@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pondera.functions.text import digest
 from pondera.operators.scorers import AttentionHead
-from pondera.sources.readers import file_digest
+from pondera.sources.readers import ARTIFACT, file_digest
 
 
 def write_lines(rows: DataFrame, path: str, number_columns: tuple[str, ...] = ()) -> None:
@@ -32,20 +32,23 @@ def write_document(value: object, path: str | Path, *, overwrite: bool = False)
 
 
 def write_features(rows: DataFrame, path: str, meta: dict) -> None:
-    """``id, context, options, label`` and metadata, the latter last, so that a failed write can't be read."""
+    """``id, context, options, label`` and metadata, the latter last, so that a failed write can't be read.
+
+    The number of tokens' dimensions is that of the rows, where the metadata doesn't say it.
+    """
     rows.write.mode("errorifexists").parquet(f"{path}/features")
-    n = rows.sparkSession.read.parquet(f"{path}/features").count()
-    text = json.dumps(meta | {"rows": n}, allow_nan=False)
+    n, hidden = rows.sparkSession.read.parquet(f"{path}/features").agg(F.count(F.lit(1)), F.max(F.size(F.get("context", F.lit(0))))).first()
+    text = json.dumps({"hidden": hidden} | meta | {"rows": n}, allow_nan=False)
     rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/meta.json")
 
 
-def write_artifact(folder: str | Path, head: AttentionHead, config: dict, signature: dict) -> dict:
-    """Weights and settings, then the manifest with their digests."""
+def write_artifact(folder: str | Path, head: AttentionHead, config: dict, signature: dict, **more: object) -> dict:
+    """Weights and settings, then the manifest with their digests and what else it is to say."""
     root = Path(folder)
     root.mkdir(parents=True)
     head.save(str(root / "head.npz"))
-    write_document(config, root / "head.json")
-    manifest = {"schema_version": 1, "strategy": "candidate_head", "feature_signature": signature, "signature_sha256": digest(signature), "files": {n: file_digest(root / n) for n in ("head.npz", "head.json")}}
+    write_document(config | {"signature_sha256": digest(signature)}, root / "head.json")
+    manifest = ARTIFACT | {"feature_signature": signature, "signature_sha256": digest(signature), "files": {n: file_digest(root / n) for n in ("head.npz", "head.json")}} | more
     write_document(manifest, root / "manifest.json")
     return manifest
 

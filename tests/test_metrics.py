@@ -86,6 +86,15 @@ def test_calibrator_is_bound_and_applies_once(spark, tmp_path):
     assert calibration.Calibrator.load(str(tmp_path / "c.json"), "x") == c
     with pytest.raises(ValueError):
         calibration.Calibrator.load(str(tmp_path / "c.json"), "y")
+    c.require_predictions(df.repartition(3))
+    for other in (df.limit(29), df.union(df.limit(1)), df.withColumn("scores", F.reverse("scores"))):
+        with pytest.raises(ValueError, match="other predictions"):
+            c.require_predictions(other)
+    assert c.examples == 30 and c.split == "calibration"
+    text = (tmp_path / "c.json").read_text()
+    (tmp_path / "d.json").write_text(text.replace('"examples": 30', '"examples": 31'))
+    with pytest.raises(ValueError, match="damaged"):
+        calibration.Calibrator.load(str(tmp_path / "d.json"), "x")
     out = c.apply(df)
     assert out.first().raw_probabilities != out.first().probabilities
     for again in (lambda: c.apply(out), lambda: calibration.Calibrator.fit(out, "x"), lambda: calibration.Calibrator.fit(df, "y")):
@@ -107,6 +116,35 @@ def test_bootstrap_of_two_groups(spark):
     assert (acc.lower, acc.upper) == (0, 1)
 
 
+def test_bootstrap_weights_are_poisson(spark):
+    """Mean, spread and independence of the weights, and the interval against picking with replacement."""
+    import numpy as np
+
+    n, samples = 2000, 400
+    x = spark.range(n).select(*[c.alias(k) for k, c in zip("xy", resample.cluster_numbers(F.col("id")), strict=True)])
+    weights = []
+    for d in range(60):
+        a, b, c = resample.draw_factors(7, d)
+        weights.append([r[0] for r in x.select(resample.poisson((a * F.col("x") + b * F.col("y") + c) % resample.PRIME)).collect()] if d < 12 else None)
+    w = np.array([v for v in weights if v])
+    assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.06 and abs(np.corrcoef(w)[np.triu_indices(len(w), 1)]).max() < 0.12
+    rng = np.random.default_rng(1)
+    hits = (rng.random(n) < 0.3).astype(float)
+    rows = spark.createDataFrame([(i, float(h)) for i, h in enumerate(hits)], "cluster int, hit double").select("cluster", "hit", F.lit(0.0).alias("nll"), F.lit(0.0).alias("brier"), F.lit(0.5).alias("confidence"))
+    got = {r.metric: r for r in resample.intervals(resample.draws(rows, samples=samples, seed=3)).collect()}["accuracy"]
+    picked = np.quantile([hits[rng.integers(0, n, n)].mean() for _ in range(2000)], [0.025, 0.975])
+    assert abs(got.lower - picked[0]) < 0.006 and abs(got.upper - picked[1]) < 0.006
+
+
+def test_bootstrap_by_keys_draws_the_same_clusters(spark):
+    rows = clustered(spark)
+    both = rows.withColumn("k", F.lit("a")).unionByName(rows.withColumn("k", F.lit("b")))
+    got = {(r.k, r.draw): r.accuracy for r in resample.draws(both, samples=30, seed=7, by=("k",)).collect()}
+    one = {r.draw: r.accuracy for r in resample.draws(rows, samples=30, seed=7).collect()}
+    assert one and got == {(k, d): v for k in "ab" for d, v in one.items()}
+    assert resample.draws(rows, samples=0, seed=7).count() == 0
+
+
 def test_one_cluster_has_no_interval(spark):
     rows = clustered(spark).withColumn("cluster", F.lit(1))
     assert resample.intervals(resample.draws(rows, samples=50, seed=7)).count() == 0

@@ -16,10 +16,10 @@ def task(**over):
 
 
 BAD = [
-    ({"extra": 1}, "unknown task fields"), ({"schema_version": True}, "schema_version"), ({"schema_version": 2}, "schema_version"), ({"id": " "}, "id must"), ({"question": ...}, "question must"), ({"state": 3}, "state must"),
-    ({"candidates": [{"id": "x", "text": "X"}]}, "2..255"), ({"candidates": [{"id": "x"}, {"id": "y", "text": "Y"}]}, "only id and text"), ({"candidates": [{"id": "x", "text": ""}, {"id": "y", "text": "Y"}]}, "nonempty strings"),
-    ({"candidates": [{"id": "x", "text": "X"}, {"id": "x", "text": "Y"}]}, "duplicate candidate IDs"), ({"candidates": [{"id": "x", "text": "X"}, {"id": "y", "text": "X"}]}, "duplicate candidate text"),
-    ({"target": {"choice_id": "z"}}, "not in candidates"), ({"target": {"a": 1}}, "only choice_id"), ({"group_id": ""}, "group_id"),
+    ({"extra": 1}, "not one of a task's"), ({"schema_version": True}, "schema_version"), ({"schema_version": 2}, "schema_version"), ({"id": " "}, "id is missing"), ({"question": ...}, "question is missing"), ({"state": 3}, "state is neither"),
+    ({"candidates": [{"id": "x", "text": "X"}]}, "2 to 255"), ({"candidates": [{"id": "x"}, {"id": "y", "text": "Y"}]}, "other fields than id and text"), ({"candidates": [{"id": "x", "text": ""}, {"id": "y", "text": "Y"}]}, "text is blank"),
+    ({"candidates": [{"id": "x", "text": "X"}, {"id": "x", "text": "Y"}]}, "have one id"), ({"candidates": [{"id": "x", "text": "X"}, {"id": "y", "text": "X"}]}, "have one text"),
+    ({"target": {"choice_id": "z"}}, "none of the candidates"), ({"target": {"a": 1}}, "other fields than choice_id"), ({"target": {"choice_id": ["x"]}}, "none of the candidates"), ({"group_id": ""}, "group_id is blank"),
 ]
 
 
@@ -32,7 +32,7 @@ def test_each_rule(spark, over, message):
 def test_bad_json_and_missing_target(spark):
     df = spark.createDataFrame([("[1",), ('{"state": NaN}',), ("3",), (None,)], "value string")
     assert all(r.error for r in tasks.parse_tasks(df).collect())
-    assert "required" in tasks.parse_tasks(spark.createDataFrame([(json.dumps(task()),)], "value string"), labelled=True).first().error
+    assert "has a target" in tasks.parse_tasks(spark.createDataFrame([(json.dumps(task()),)], "value string"), labelled=True).first().error
 
 
 def test_round_trip_and_fingerprint(spark):
@@ -50,13 +50,13 @@ def test_round_trip_and_fingerprint(spark):
 def test_strict_load_names_the_line(spark, tmp_path):
     p = tmp_path / "data.jsonl"
     p.write_text(json.dumps(task()) + "\n\n" + json.dumps(task(id="")) + "\n")
-    with pytest.raises(ValueError, match="data.jsonl:3: id must"):
+    with pytest.raises(ValueError, match="data.jsonl:3: id is missing"):
         readers.tasks(spark, str(p))
     p.write_text((json.dumps(task()) + "\n") * 2)
-    with pytest.raises(ValueError, match="duplicate task ID"):
+    with pytest.raises(ValueError, match="more than once"):
         readers.tasks(spark, str(p))
     p.write_text("\n")
-    with pytest.raises(ValueError, match="empty dataset"):
+    with pytest.raises(ValueError, match="no task in"):
         readers.tasks(spark, str(p))
 
 
@@ -89,7 +89,8 @@ def test_alignment(spark):
 def test_enrichment_mismatch(spark):
     rows = spark.createDataFrame([("a", ["x"], 0, "old")], "id string, candidates array<string>, label int, rating string")
     source = rows.withColumn("rating", F.lit(None).cast("string"))
-    assert tasks.enrich(rows, source, ["rating"]).first().rating is None
+    assert tasks.enrich(rows, source, ["rating"]).first().rating == "old"  # the source has none
+    assert tasks.enrich(rows, source.withColumn("rating", F.lit("new")), ["rating"]).first().rating == "new"
     with pytest.raises(Exception, match="does not match"):
         tasks.enrich(rows, source.withColumn("label", F.lit(1)), ["rating"]).collect()
 
@@ -181,6 +182,8 @@ def test_feature_table(spark, tmp_path):
     sinks.write_features(df, str(tmp_path / "f"), {"hidden": 2})
     rows, meta = readers.features(spark, str(tmp_path / "f"))
     assert rows.count() == 1 and meta == {"hidden": 2, "rows": 1}
+    sinks.write_features(df, str(tmp_path / "h"), {})
+    assert readers.features(spark, str(tmp_path / "h"))[1]["hidden"] == 2
     sinks.write_features(df, str(tmp_path / "g"), {"hidden": 3})
     with pytest.raises(ValueError, match="damaged"):
         readers.features(spark, str(tmp_path / "g"))
@@ -243,3 +246,108 @@ def test_pairs_must_have_the_same_candidates(spark):
     assert resample.paired(a, a).first().hit == 0
     with pytest.raises(Exception, match="do not match"):
         resample.paired(a, b).collect()
+
+
+def test_lines_are_numbered_across_ranges(spark, tmp_path):
+    """A file cut to many byte ranges, with blank and long lines, gives every line its place."""
+    import random
+
+    r = random.Random(1)
+    files = {}
+    for name in ("a.txt", "b.txt"):
+        lines = ["" if r.random() < 0.2 else f"{name}{i} " + "x" * r.choice([1, 5, 3000, 40]) for i in range(1500)]
+        (tmp_path / name).write_bytes("".join(x + r.choice(["\n", "\r\n"]) for x in lines).encode())
+        files[name] = lines
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "20000")
+        df = readers.numbered_lines(spark, str(tmp_path / "a.txt"), str(tmp_path / "b.txt"))
+        assert df.rdd.getNumPartitions() > 20
+        got = {(x.file.rsplit("/")[-1], x.line): x.value for x in df.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {(n, i): x for n, lines in files.items() for i, x in enumerate(lines, 1) if x}
+
+
+def test_tasks_of_several_files_are_parsed_once(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps(task(id=f"{name}{i}")) + "\n" for i in range(5)))
+    paths = [str(tmp_path / f"{n}.jsonl") for n in "ab"]
+    got = readers.tasks(spark, *paths)
+    assert sorted(r.id for r in got.collect()) == [f"{n}{i}" for n in "ab" for i in range(5)]
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="given twice|more than once"):
+        readers.tasks(spark, paths[0], paths[0].replace("a.jsonl", "[a]*.jsonl"))
+    (tmp_path / "c.jsonl").write_text((tmp_path / "a.jsonl").read_text())
+    with pytest.raises(ValueError, match="a0 occurs more than once"):
+        readers.tasks(spark, paths[0], str(tmp_path / "c.jsonl"))
+    (tmp_path / "b.jsonl").write_text("\n\n{}\n{}\n")
+    with pytest.raises(ValueError, match="b.jsonl:3: schema_version"):
+        readers.tasks(spark, *paths)
+
+
+def test_digest_of_a_table(spark):
+    rows = [("a", 1, [1.0, 2.0]), ("b", None, None), ("a", 1, [1.0, 2.0])]
+    mk = lambda x: spark.createDataFrame(x, "id string, n int, v array<double>")
+    known = tasks.table_digest(mk(rows), "id", "n", "v")
+    assert known == tasks.table_digest(mk(rows[::-1]).repartition(3), "id", "n", "v")
+    for other in (rows[:2], [*rows, rows[0]], [rows[0], rows[1], ("a", 1, [1.0, 2.5])], [rows[0], ("b", 0, None), rows[2]], []):
+        assert tasks.table_digest(mk(other), "id", "n", "v") != known
+
+
+def test_split_plan_equals_the_loop():
+    import random
+
+    def loop(sizes, fractions):
+        total = sum(s * n for s, n in sizes)
+        goal, have, left, out = [total * f for f in fractions], [0] * 4, sum(n for _, n in sizes), {}
+        for size, count in sorted(sizes, reverse=True):
+            row = out.setdefault(size, [0] * 4)
+            for _ in range(count):
+                empty = [i for i in range(4) if not have[i]]
+                i = max(empty if left == len(empty) else range(4), key=lambda j: goal[j] - have[j])
+                row[i], have[i], left = row[i] + 1, have[i] + size, left - 1
+        return out
+
+    r = random.Random(2)
+    for _ in range(1000):
+        sizes = [(s, r.choice([1, 2, 5, 40, 400])) for s in r.sample(range(1, 60), r.randrange(1, 7))]
+        w = [r.choice([1, 1, 2, 7, 30]) for _ in range(4)]
+        fractions = tuple(x / sum(w) for x in w)
+        if sum(n for _, n in sizes) >= 4:
+            assert splits.plan_sizes(sizes, fractions) == loop(sizes, fractions)
+    plan = splits.plan_sizes([(1, 10**9), (7, 10**6)], (0.7, 0.1, 0.1, 0.1))
+    assert sum(plan[1]) == 10**9 and abs(plan[1][0] + 7 * plan[7][0] - 0.7 * (10**9 + 7 * 10**6)) <= 7
+
+
+def test_running_sums_of_crowded_keys(spark):
+    from pondera.operators.prefix import PART, number, ranges, running_sums
+
+    rows = spark.range(200_000).select((1 - F.col("id") / 2e9).alias("c"), F.lit(1).alias("n"))  # all in [0.9999, 1]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # so few rows would be one task
+    try:
+        spark.conf.set(key, "false")
+        sizes = [x["count"] for x in ranges(rows.repartition(8), "c", descending=True).groupBy(PART).count().collect()]
+    finally:
+        spark.conf.unset(key)
+    assert len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    got = running_sums(rows.repartition(8), "c", sums={"n": "upto"}, descending=True)
+    assert got.where(F.col("upto") != F.round((1 - F.col("c")) * 2e9) + 1).count() == 0
+    assert sorted(map(tuple, number(spark.createDataFrame([("b",), ("a",), ("b",)], "k string"), "k").collect())) == [("a", 0), ("b", 1)]
+    assert running_sums(rows.limit(0), "c", sums={"n": "upto"}).count() == 0
+
+
+def test_band_medians(spark):
+    frame = [float(v) for v in range(100)]  # ten by ten
+    d = spark.createDataFrame([(frame,)], "f array<double>").select(X.depth_bands(F.col("f"), 10, 10).alias("d"), X.median(F.lit([3.0, 1.0, 2.0])).alias("m"), X.median(F.array().cast("array<double>")).alias("none")).first()
+    assert (d.d.left, d.d.center, d.d.right) == (40.5, 44.5, 48.5) and d.m == 2 and d.none is None
+
+
+def test_package_names():
+    import pondera
+    from pondera.operators import scorers
+
+    assert pondera.AttentionHead is scorers.AttentionHead and all(getattr(pondera, n) for n in pondera.__all__)
+    with pytest.raises(AttributeError):
+        pondera.nothing  # noqa: B018
