@@ -9,7 +9,7 @@ window's length, the window's words are hit.  Before streaming, words and neighb
 pairs of words that occur in no item are ruled out by array lookups, which
 leaves short stretches to the automaton.
 
-Items' distinct texts are packed to groups of at most ``group_bytes`` or one text, and a
+Items' distinct texts are dealt to groups of about ``group_bytes`` or one text, and a
 task builds the automaton of each.  Automata are broadcast one after another, so
 one is held at a time.  Texts of documents are not shuffled, unless there are several
 groups, whose marks are then joined to the documents.
@@ -228,31 +228,17 @@ def _spans(hit: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
-_GROUP = "items bigint, automaton binary"
-
-
 def _automata(items: DataFrame, window: int, group_bytes: int) -> DataFrame:
-    """Pickled automata of the distinct item texts, built in tasks."""
+    """``items, automaton``: pickled automata of groups of the distinct item texts, dealt by hash, each built in a task."""
     texts = items.where("text is not null").groupBy("text").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = {}, 0
+    def one(group: pa.Table) -> pa.Table:
+        held = dict(zip(group.column("text").to_pylist(), group.column("ids").to_pylist(), strict=True))
+        return pa.table([pa.array([len(held)], pa.int64()), pa.array([pickle.dumps(build(held, window))], pa.binary())], ["items", "automaton"])
 
-        def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([len(group)], pa.int64()), pa.array([pickle.dumps(build(group, window))], pa.binary())], ["items", "automaton"])
-
-        for batch in batches:
-            for text, ids in zip(batch.column("text").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if group and held + len(text.encode()) > group_bytes:
-                    yield close()
-                    group, held = {}, 0
-                group[text] = ids
-                held += len(text.encode())
-        if group:
-            yield close()
-
-    return texts.repartition(max(1, -(-size // group_bytes)), F.xxhash64("text")).mapInArrow(textkit.lean(run), _GROUP)
+    dealt = texts.withColumn("group", F.pmod(F.xxhash64("text"), F.lit(max(1, -(-size // group_bytes)))))
+    return dealt.groupBy("group").applyInArrow(one, "items bigint, automaton binary")
 
 
 def matches(docs: DataFrame, items: DataFrame, *, window: int = 10, group_bytes: int = 8 << 20) -> DataFrame:
