@@ -10,17 +10,22 @@
    the text has from which others were made.  Each class is compared by sketch
    with the pivots of its keys and exactly with the closest: this links most of a
    dense group by one comparison for each member.
-4. A key whose classes are all connected by now is done.  In other keys the
-   classes outside the largest part are compared by sketch with all that are in
-   other parts.  Keys are dealt out as cells, pairs of blocks of bounded size, so
+4. A key whose classes are all connected by now is done.  The classes of other
+   keys may share no more than a template.  Their shingles are put in one order, the rare
+   ones first; two sets that are linked have a shingle in common among the first of
+   both that are too many to miss, so only classes that share one of these meet.
+   Those outside a shingle's largest part are compared by sketch with all that are in
+   other parts.  Shingles are dealt out as cells, pairs of blocks of bounded size, so
    every pair meets in some task; a cell returns a spanning forest of its close
    pairs, not the pairs.
 5. The forests' components are dealt out alike with their full sets, and links
    between parts are confirmed exactly, against a forest that grows in the cell.
 6. Components of all confirmed links are the result.
 
-The work of 4 and 5 is a key's classes times those outside its largest part, not
-their square, unless the key falls into many unconnected parts that are all close.
+The work of 4 and 5 is a rare shingle's classes times those outside its largest part, not
+their square, unless it falls into many unconnected parts that are all close.
+How rare a shingle is, is counted by a part of its name in a table of bounded size: any
+order gives all links, a better one fewer meetings.
 
 A pair of similarity 0.85 misses all 32 bands with probability 6e-11, one of 0.8
 with 5e-8; the sketch distance that is let through lies over five standard
@@ -44,6 +49,8 @@ SAMPLES, ROWS, BITS = 128, 4, 512
 BANDS = SAMPLES // ROWS
 #: Binary logarithm of the largest bitmap of nodes, 16 MB.
 MAX_FILTER_BITS = 27
+#: Binary logarithms of the least and largest table of counts of shingles, 4 million entries.
+COUNT_BITS = (16, 22)
 _FACTOR = textkit.mix(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = textkit.mix(np.arange(5001, 5001 + SAMPLES, dtype=np.uint64))
 _PLACE = textkit.mix(np.arange(9001, 9001 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
@@ -304,6 +311,55 @@ def _with_sets(texts: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     return _maybe_in(texts, rows.select("node").distinct()).join(rows, "node").mapInArrow(textkit.lean(_full_sets(shingle, rows.columns)), f"{kinds}, names binary")
 
 
+def _slots(bits: int):
+    """``slot, n``: how many shingles have a name that begins with these bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in b.column("names")), np.uint64)
+            slot, n = np.unique(names >> np.uint64(64 - bits), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n, pa.int64())], ["slot", "n"])
+
+    return run
+
+
+def _rarest(shared, bits: int, percent: int):
+    """``group, node, own``: each set's first shingles in the common order.
+
+    Two linked sets share one that is among the larger set's first, one more than
+    any linked set can lack, and among the smaller set's ``own`` ones, one more than
+    a linked set of at least its size can lack.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for b in batches:
+            nodes, found, own = [], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+            for node, raw in zip(b.column("node").to_pylist(), b.column("names"), strict=True):
+                names = np.frombuffer(raw.as_buffer(), np.uint64)
+                n = len(names)
+                size, inner = n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
+                found.append(names[np.lexsort((names, counts[names >> np.uint64(64 - bits)]))[:size]])
+                own.append(np.arange(size) < inner)
+                nodes.append(np.full(size, node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *nodes])), pa.array(np.concatenate(own))], ["group", "node", "own"])
+
+    return run
+
+
+def _by_rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """``group, node, own``: the ``node, names`` sets under each of their rarest shingles; linked sets share one that is an ``own`` of the smaller."""
+    total = sets.agg(F.sum(F.octet_length("names"))).first()[0] or 0
+    bits = min(COUNT_BITS[1], max(COUNT_BITS[0], (total // 8).bit_length() + 1))
+    found = sets.select("names").mapInArrow(textkit.lean(_slots(bits)), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << bits, np.uint32)
+    counts[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), (1 << 32) - 1)
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    return sets.select("node", "names").mapInArrow(textkit.lean(_rarest(shared, bits, percent)), "group bigint, node bigint, own boolean")
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, block: int = 128, fan: int = 1024) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -343,14 +399,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, blo
     first = scratch.keep(sets.mapInArrow(textkit.lean(_pivot_links(percent)), "a bigint, b bigint"), "links1")
 
     parts = scratch.keep(connected_components(first).toDF("node", "comp"), "parts")
-    rows = keys.select("group", "node").join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    within = lambda rows: rows.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = within(keys.select("group", "node"))
+    mixed = rows.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("group")
+    sets = scratch.keep(_with_sets(texts, rows.join(mixed, "group").select("node").distinct(), shingle), "sets", **{"parquet.block.size": str(16 << 20)})
+    rare = scratch.keep(_by_rare_shingles(sets, percent), "rare")
+    shared = rare.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).where("n > 1 and any").select("group")
+    rows = within(rare.join(shared, "group").select("group", "node"))
     close = _gather(_to_cells(rows, block).join(sketches, "node")).mapInArrow(textkit.lean(_close_pairs(limit, percent)), "a bigint, b bigint")
     groups = scratch.keep(connected_components(close).toDF("node", "group"), "groups")
-    rows = groups.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    cells = scratch.keep(_to_cells(rows, block).join(sketches.drop("n"), "node"), "cells")
+    cells = scratch.keep(_to_cells(within(groups), block).join(sketches.drop("n"), "node"), "cells")
     second = _gather(_with_sets(texts, cells, shingle)).mapInArrow(textkit.lean(_cell_links(percent, limit)), "a bigint, b bigint")
     second = scratch.keep(second, "links2")
-    scratch.drop("texts", "keys", "closest", "groups", "cells")
+    scratch.drop("texts", "keys", "closest", "sets", "rare", "groups", "cells")
     linked = classes.select("node", "named").join(connected_components(first.union(second)).toDF("node", "comp"), "node")
     linked = linked.join(linked.groupBy("comp").agg(F.min("named").alias("component_id")), "comp").select("node", "component_id")
     named = classes.join(linked, "node", "left").select("n", "h1", "h2", F.coalesce("component_id", "named").alias("component_id"))

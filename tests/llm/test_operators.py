@@ -152,6 +152,37 @@ def test_odd_sketch_counts_flips():
     assert far[0, 2] == 0 and 10 < far[0, 1] <= near_dup.max_distance(80)
 
 
+def test_templated_texts_don_t_meet(spark):
+    """Texts that share a template but aren't linked make no pairs, and those that are linked are found among them."""
+    rng = random.Random(21)
+    template = " ".join(f"t{i}" for i in range(80))
+    rows = [(i, template + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(12))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + f" x{i}") for i in range(0, 400, 40)]
+    held, sizes = near_dup._to_cells, []
+    try:
+        near_dup._to_cells = lambda r, block: (lambda out: (sizes.append(out.count()), out)[1])(held(r, block))
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, block=16).collect()
+    finally:
+        near_dup._to_cells = held
+    assert {r.doc_id: r.component_id for r in got} == {i: i if i < 1000 else i - 1000 for i, _ in rows}
+    assert sum(sizes) < 400
+
+
+def test_linked_sets_share_a_rare_shingle():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 9, 1 << 16).astype(np.uint32)
+    shared = type("Shared", (), {"value": counts})
+    for size in (1, 2, 7, 40, 300):
+        names = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+        miss = len(names) - -(-85 * len(names) // 100)
+        other = np.sort(np.delete(names, rng.choice(len(names), miss, replace=False)))
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([names.tobytes(), other.tobytes()], pa.binary())], ["node", "names"])
+        out = next(near_dup._rarest(shared, 16, 85)(iter([batch]))).to_pydict()
+        a = {g for g, n in zip(out["group"], out["node"], strict=True) if n == 1}
+        own = {g for g, n, o in zip(out["group"], out["node"], out["own"], strict=True) if n == 2 and o}
+        assert a & own and len(a) == miss + 1 and len(own) <= len(a)
+
+
 # ---- 3 repeats
 
 def test_repeats_edges(spark):
