@@ -116,10 +116,19 @@ def calibrated_metrics(spark, sf_dir):
     return rounded(metrics.summarize(vector_rows(spark, sf_dir, 2.5)))
 
 
-@query()
+def _loss_sql(log_t: str) -> str:
+    return f"avg(ln(list_sum(list_transform(s, lambda x: exp(x / exp({log_t}))))) - g / exp({log_t}))"
+
+
+@query(f"""WITH RECURSIVE {vector_sql()}, es AS MATERIALIZED (SELECT id, list(u - mx) AS s, max(CASE WHEN cand = gold THEN u - mx END) AS g FROM m GROUP BY id),
+ts(i, lo, hi) AS (SELECT 0, ln(0.05::DOUBLE), ln(20.0::DOUBLE) UNION ALL SELECT any_value(i) + 1, CASE WHEN {_loss_sql("a")} < {_loss_sql("b")} THEN any_value(lo) ELSE any_value(a) END, CASE WHEN {_loss_sql("a")} < {_loss_sql("b")} THEN any_value(b) ELSE any_value(hi) END
+  FROM (SELECT *, lo + (hi - lo) * 0.382 AS a, lo + (hi - lo) * 0.618 AS b FROM ts WHERE i < 60), es GROUP BY i),
+bs AS (SELECT (lo + hi) / 2 AS t FROM ts WHERE i = 60)
+SELECT round(exp(any_value(t)), 4) AS temperature, round({_loss_sql("0")}, 6) AS raw_nll, round({_loss_sql("t")}, 6) AS fitted_nll, false AS at_bound FROM es, bs""")
 def temperature_fit(spark, sf_dir):
     found = calibration.fit_temperature(vector_tasks(spark, sf_dir))
-    return spark.createDataFrame([(found["temperature"], found["raw_objective"], found["fitted_objective"], found["at_bound"])], "temperature double, raw_nll double, fitted_nll double, at_bound boolean")
+    row = (round(found["temperature"], 4), round(found["raw_objective"], 6), round(found["fitted_objective"], 6), found["at_bound"])
+    return spark.createDataFrame([row], "temperature double, raw_nll double, fitted_nll double, at_bound boolean")
 
 
 def weights_sql(rows: str, samples: int, seed: int) -> str:
@@ -179,11 +188,29 @@ def pooled_mean(spark, sf_dir):
     return rounded(out.select("label", F.posexplode("pooled").alias("dim", "pooled")).withColumn("dim", F.col("dim") + 1))
 
 
-@query()
+HEAD = scorers.AttentionHead.random(64, 16)
+
+
+def _unit_sql(key: str, vector: str, source: str) -> str:
+    """Rows with a vector of mean 0 and variance 1."""
+    mean = f"SELECT {key}, {vector}::DOUBLE[] AS w, list_avg({vector}::DOUBLE[]) AS mu FROM {source}"
+    return f"SELECT {key}, list_transform(w, lambda x: (x - mu) / sd) AS x FROM (SELECT *, sqrt(list_avg(list_transform(w, lambda y: (y - mu) * (y - mu))) + 1e-5) AS sd FROM ({mean}))"
+
+
+def _project_sql(vector: str, weights) -> str:
+    return "[" + ", ".join(f"list_dot_product({vector}, {[float(x) for x in column]}::DOUBLE[])" for column in weights.T) + "]"
+
+
+@query(f"""WITH cm AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS a FROM embeddings, range(1, 65) t(i) GROUP BY label, i), ct AS (SELECT label, list(a ORDER BY i) AS c FROM cm GROUP BY label),
+os AS ({_unit_sql("label", "c", "ct")}), cs AS ({_unit_sql("vec_id", "embedding", "embeddings")}),
+qs AS (SELECT row_number() OVER (ORDER BY label) - 1 AS pos, {_project_sql("x", HEAD.query)} AS q FROM os), vs AS (SELECT vec_id AS id, {_project_sql("x", HEAD.value)} AS v FROM cs),
+ls AS (SELECT id, pos, list_dot_product(q, v) / 4 AS s FROM qs, vs), ps AS (SELECT id, pos, s, exp(s - max(s) OVER (PARTITION BY id)) AS e, row_number() OVER (PARTITION BY id ORDER BY s DESC, pos) AS rk FROM ls)
+SELECT id, max(CASE WHEN rk = 1 THEN pos END)::INTEGER AS best, round(1 / sum(e), 6) AS confidence FROM ps GROUP BY id""")
 def attention_head(spark, sf_dir):
+    # a context of one token has all the attention, so the weights of keys don't count here
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("gold"), F.array("embedding").alias("context"), "embedding")
     one = scorers.centroids(v, label="gold").agg(F.transform(F.array_sort(F.collect_list(F.struct("gold", "centroid"))), lambda e: e["centroid"]).alias("options"))
-    scored = scorers.score_attention(v.select("id", "gold", "context").crossJoin(F.broadcast(one)), scorers.AttentionHead.random(64, 16))
+    scored = scorers.score_attention(v.select("id", "gold", "context").crossJoin(F.broadcast(one)), HEAD)
     return rounded(metrics.decide(scored.select("id", "scores"), tie="position").select("id", "best", "confidence"))
 
 
