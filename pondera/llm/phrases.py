@@ -10,11 +10,13 @@ often the shard has that phrase.  Phrases are extended depth-first up to the
 longest length, and popcounts are summed over shards.
 
 No shard can tell what is frequent in all.  So a first pass sums the shards' counts
-of single words and of pairs, under 64-bit names, and a Bloom filter of the frequent names,
-whose size has a bound, tells the second pass which steps to take.  Where names
+of single words and of pairs, under 64-bit names, and a second one those of the triples
+whose words and pairs are frequent.  Bloom filters of the frequent names, whose size has
+a bound, tell the last pass which steps to take.  By pairs alone it would make nearly
+every long phrase of a large corpus, as most pairs of it are frequent.  Where names
 collide, or where very many are frequent, a shard extends more phrases than it
 must, never fewer; the counts that are returned are those of the phrases' texts.
-Popcounts travel in packed blocks: a task merges those of its shards and sends
+Names and popcounts travel in packed blocks: a task merges those of its shards and sends
 one block to each part of the sum, so the engine handles blocks, not phrases.
 
 What follows the counts is joins and sums by (language, phrase).
@@ -38,11 +40,11 @@ BREAK[[ord(c) for c in ".,;:!?"]] = True
 BREAK[0x0A:0x0E] = True
 INSIDE = ~BREAK
 INSIDE[[0x20, 0x09]] = False
-#: Bytes of a shard, positions of a range of roots, phrases that a task holds, and binary logarithms of the least and largest filter.
-SHARD_BYTES, RANGE, HELD, BITS = 4 << 20, 1 << 18, 1 << 20, (20, 30)
+#: Bytes of a shard, positions of a range of roots, phrases and names that a task holds, and binary logarithms of the least and largest filter.
+SHARD_BYTES, RANGE, HELD, NAMES, BITS = 4 << 20, 1 << 18, 1 << 20, 1 << 22, (20, 30)
 #: Where in a name the filter's probes begin.
 PROBES = (0, 17, 34)
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def blocks_of(raw: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -99,9 +101,22 @@ class Shard:
         self.names = textkit.mix(textkit.word_hashes(data, self.starts, self.ends) + salt)
         self.next = np.flatnonzero(~new[1:])  # words that have one behind them in their piece
 
-    def pairs(self) -> np.ndarray:
-        """Names of the pairs that begin at ``next``."""
-        return textkit.mix(self.names[self.next] * _A + self.names[self.next + 1] * _B)
+    def pairs(self, at: np.ndarray) -> np.ndarray:
+        """Names of the pairs that begin at these words."""
+        return textkit.mix(self.names[at] * _A + self.names[at + 1] * _B)
+
+    def triples(self, at: np.ndarray) -> np.ndarray:
+        """Names of the triples that begin at these words."""
+        return textkit.mix(self.names[at] * _A + self.names[at + 1] * _B + self.names[at + 2] * _C)
+
+    def steps(self, bloom: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words that the filter has, and where the pairs begin that it has with their words, and the triples of two such pairs."""
+        known = _has(bloom, self.names)
+        pair = self.next[known[self.next] & known[self.next + 1]]
+        pair = pair[_has(bloom, self.pairs(pair))]
+        begins = np.zeros(len(known) + 1, bool)
+        begins[pair] = True
+        return np.flatnonzero(known), pair, pair[begins[pair + 1]]
 
     def texts(self, word: np.ndarray, length: np.ndarray) -> pa.Array:
         """The phrases of so many words from these words on, A-Z folded, joined by spaces."""
@@ -119,14 +134,72 @@ class Shard:
         return pa.Array.from_buffers(pa.large_string(), len(word), [None, pa.py_buffer(borders), pa.py_buffer(out)])
 
 
-def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``name, n``: each shard's counts of its words and pairs."""
-    for lang, data, borders in shards(batches):
-        shard = Shard(lang, data, borders)
-        for found in (shard.names, shard.pairs()):
-            name, n = np.unique(found, return_counts=True)
-            for i in range(0, len(name), RANGE):
-                yield pa.RecordBatch.from_arrays([pa.array(name[i : i + RANGE].view(np.int64)), pa.array(n[i : i + RANGE], pa.int64())], ["name", "n"])
+def _has(bloom: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Whether the filter has each name."""
+    mask, out = np.uint64(len(bloom) * 64 - 1), np.ones(len(name), bool)
+    for shift in PROBES:
+        slot = name >> np.uint64(shift) & mask
+        out &= bloom[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
+    return out
+
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+
+
+def _names(of: Callable[[Shard], list[np.ndarray]], parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``part, names, counts``: of the names that a task's shards have, as one block for each part of the range of names."""
+
+    def blocks(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        first = _runs(every)
+        name, n = every[first], np.diff(np.append(first, len(every))).astype(np.uint32)
+        cuts = [*np.searchsorted(name, np.array([(k << 64) // parts for k in range(parts)], np.uint64)).tolist(), len(name)]
+        for k in range(parts):
+            if cuts[k] < cuts[k + 1]:
+                part = slice(cuts[k], cuts[k + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([name[part].tobytes()], pa.binary()), pa.array([n[part].tobytes()], pa.binary())], ["part", "names", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for lang, data, borders in shards(batches):
+            held += of(Shard(lang, data, borders))
+            if sum(map(len, held)) > NAMES:
+                yield from blocks(held)
+        if held:
+            yield from blocks(held)
+
+    return run
+
+
+def _frequent(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``name``: of all blocks of a part, those that occur often enough."""
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        name, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(name)
+        name, n = name[order], n[order]
+        first = _runs(name)
+        return name[first], np.add.reduceat(n, first) if len(first) else n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, NAMES
+        for batch in batches:
+            for name, n in zip(batch.column("names"), batch.column("counts"), strict=True):
+                held.append((np.frombuffer(name.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64)))
+                size += len(held[-1][0])
+                if size > most:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    most = max(NAMES, 2 * size)  # it may have grown for good
+        if held:
+            name, n = merged(held)
+            yield pa.RecordBatch.from_arrays([pa.array(name[n >= least].view(np.int64))], ["name"])
+
+    return run
 
 
 def _bits(positions: np.ndarray, size: int) -> np.ndarray:
@@ -145,11 +218,12 @@ def _shifted(bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def extend(word: np.ndarray, go: np.ndarray, longest: int, dense: int = 64) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+def extend(word: np.ndarray, go: np.ndarray, longest: int, dense: int = 64, further: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
     """Depth-first phrases of at least two words: ``last positions, words, popcounts``.
 
     ``word`` has the word at each position, or -1; ``go`` marks the positions from which
-    a phrase may go on to the next.  A bitmap of over ``1 / dense`` of all positions is held
+    a phrase of one word may go on to the next, ``further`` those from which a longer one
+    may (as ``go``, unless given).  A bitmap of over ``1 / dense`` of all positions is held
     as bits: there are at most ``dense`` words of them, so a phrase meets them all at
     once.  Lists of positions are extended for a range of first words together: the
     words behind a phrase's positions split its shifted list into the ANDs with the
@@ -158,6 +232,7 @@ def extend(word: np.ndarray, go: np.ndarray, longest: int, dense: int = 64) -> I
     kinds, count = np.unique(word[word >= 0], return_counts=True)
     if not len(kinds) or longest < 2:
         return
+    further = go if further is None else further
     size = len(word) // 64 + 1
     often = kinds[count * dense > len(word)]
     by = np.argsort(word, kind="stable")[np.count_nonzero(word < 0) :]
@@ -166,7 +241,7 @@ def extend(word: np.ndarray, go: np.ndarray, longest: int, dense: int = 64) -> I
     def follow(last: np.ndarray, phrase: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """Extend phrases of ``n`` words given as lists."""
         while n < longest and len(last):
-            on = go[last]
+            on = (go if n == 1 else further)[last]
             last = last[on] + 1
             key = phrase[on].astype(np.int64) << 32 | word[last]
             order = np.argsort(key, kind="stable")
@@ -188,13 +263,13 @@ def extend(word: np.ndarray, go: np.ndarray, longest: int, dense: int = 64) -> I
             yield from follow(last, np.repeat(np.arange(len(first)), times), n)
 
     if len(often):
-        gate = _bits(np.flatnonzero(go), size)
+        gate, gates = _bits(np.flatnonzero(go), size), _bits(np.flatnonzero(further), size)
         plain = np.stack([_bits(by[cuts[k] : cuts[k + 1]], size) for k in np.searchsorted(kinds, often)])
         rare = ~np.bitwise_or.reduce(plain)
         stack = [(bits, 1) for bits in plain]
         while stack:
             bits, n = stack.pop()
-            ahead = _shifted(bits & gate)
+            ahead = _shifted(bits & (gate if n == 1 else gates))
             hits = plain & ahead
             times = np.bitwise_count(hits).sum(1, dtype=np.int64)
             for k in np.flatnonzero(times).tolist():
@@ -234,13 +309,13 @@ def _blocks(counts: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "block"])
 
 
-def _mine(shared, longest: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _mine(blooms, longest: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks of the shards' popcounts of phrases that may be frequent, with the number of all words as that of ''."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for lang, data, borders in shards(batches):
-            for phrase, n in popcounts(Shard(lang, data, borders), shared.value, longest):
+            for phrase, n in popcounts(Shard(lang, data, borders), [b.value for b in blooms], longest):
                 held.append(pa.table([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), phrase, pa.array(n, pa.int64())], ["lang", "phrase", "n"]))
                 size += len(n)
             if size > HELD:
@@ -255,34 +330,27 @@ def _mine(shared, longest: int, parts: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def popcounts(shard: Shard, bloom: np.ndarray, longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """A shard's phrases of words and pairs that the filter has, with how often they occur."""
-    mask = np.uint64(len(bloom) * 64 - 1)
-
-    def frequent(name: np.ndarray) -> np.ndarray:
-        out = np.ones(len(name), bool)
-        for shift in PROBES:
-            slot = name >> np.uint64(shift) & mask
-            out &= bloom[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
-        return out
+def popcounts(shard: Shard, blooms: list[np.ndarray], longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """A shard's phrases of words, pairs and triples that the filters have, with how often they occur.
 
+    The first filter is of words and pairs, the second, if phrases get that long, of triples.
+    """
     yield pa.array([""], pa.large_string()), np.array([len(shard.names)])
     if not len(shard.names):
         return
-    known = frequent(shard.names)
-    at = np.flatnonzero(known)
+    at, pair, triple = shard.steps(blooms[0])
     _, first, code, n = np.unique(shard.names[at], return_index=True, return_inverse=True, return_counts=True)
     if not len(first):
         return
     yield shard.texts(at[first], np.ones(len(first), np.int64)), n
     free = int(shard.position[-1]) + 2
-    word, go, back = np.full(free, -1, np.int64), np.zeros(free, bool), np.zeros(free, np.int64)
+    word, go, further, back = np.full(free, -1, np.int64), np.zeros(free, bool), np.zeros(free, bool), np.zeros(free, np.int64)
     word[shard.position[at]] = code
     back[shard.position] = np.arange(len(shard.position))
-    pair = shard.next[known[shard.next] & known[shard.next + 1]]
-    pair = pair[frequent(textkit.mix(shard.names[pair] * _A + shard.names[pair + 1] * _B))]
     go[shard.position[pair]] = True
-    found = list(extend(word, go, longest))
+    if longest > 2:
+        further[shard.position[triple[_has(blooms[1], shard.triples(triple))] + 1]] = True
+    found = list(extend(word, go, longest, further=further))
     for i in range(0, len(found), 4096):
         part = found[i : i + 4096]
         length = np.repeat([m for _, m, _ in part], [len(p) for p, _, _ in part])
@@ -311,14 +379,17 @@ def _sum(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
-def frequent_names(counts: DataFrame, least: int, scratch: Scratch) -> np.ndarray:
-    """A Bloom filter of the names with at least so many occurrences; its size has a bound."""
-    found = scratch.keep(counts.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("name"), "names")
+def frequent_names(texts: DataFrame, of: Callable[[Shard], list[np.ndarray]], least: int, scratch: Scratch, label: str) -> np.ndarray:
+    """A Bloom filter of the names that shards have with at least so many occurrences in all; its size has a bound."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = texts.mapInArrow(textkit.lean(_names(of, parts)), "part int, names binary, counts binary").repartition(parts, "part")
+    found = scratch.keep(blocks.mapInArrow(textkit.lean(_frequent(least)), "name bigint"), label)
     bits = 1 << min(BITS[1], max(BITS[0], (32 * found.count()).bit_length()))
     slots = found.select(F.explode(F.array(*[F.expr(f"shiftrightunsigned(name, {k}) & {bits - 1}L") for k in PROBES])).alias("slot"))
     words = slots.select(F.expr("shiftright(slot, 6)").alias("at"), F.expr("shiftleft(1L, cast(slot & 63L as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    scratch.drop(label)
     return out
 
 
@@ -331,12 +402,13 @@ def phrase_counts(docs: DataFrame, *, longest: int = 5, least: int = 100) -> Dat
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "phrases")
     textkit.bound_batches(spark)
     texts = spread(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text"))
-    shared = spark.sparkContext.broadcast(frequent_names(texts.mapInArrow(textkit.lean(names), "name bigint, n bigint"), least, scratch))
+    blooms = [spark.sparkContext.broadcast(frequent_names(texts, lambda shard: [shard.names, shard.pairs(shard.next)], least, scratch, "names"))]
+    if longest > 2:
+        pairs = blooms[0]
+        blooms.append(spark.sparkContext.broadcast(frequent_names(texts, lambda shard: [shard.triples(shard.steps(pairs.value)[2])], least, scratch, "triples")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = texts.mapInArrow(textkit.lean(_mine(shared, longest, parts)), "part int, block binary").repartition(parts, "part")
-    counts = scratch.keep(blocks.mapInArrow(textkit.lean(_sum(least)), "lang string, phrase string, n bigint"), "counts")
-    scratch.drop("names")
-    return counts
+    blocks = texts.mapInArrow(textkit.lean(_mine(blooms, longest, parts)), "part int, block binary").repartition(parts, "part")
+    return scratch.keep(blocks.mapInArrow(textkit.lean(_sum(least)), "lang string, phrase string, n bigint"), "counts")
 
 
 def collocations(docs: DataFrame, *, longest: int = 5, least: int = 100, percent: int = 100, limit: int = 2000) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -138,6 +139,42 @@ def test_phrases(spark):
     assert phrases.collocations(df.limit(0)).count() == 0
 
 
+def test_long_phrases_of_frequent_pairs_alone_are_not_made(spark, tmp_path, monkeypatch):
+    r = random.Random(7)
+    rows = [("en", " ".join("as a matter of fact" if r.random() < 0.02 else f"w{r.randrange(30)}" for _ in range(1000))) for _ in range(20)]
+    whole, folder = phrases._sum, str(tmp_path)
+
+    def counted(least):
+        add = whole(least)
+
+        def run(batches):
+            held = list(batches)
+            made = sum(pa.ipc.open_stream(block.as_buffer()).read_all().num_rows for b in held for block in b.column("block"))
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(made))
+            return add(iter(held))
+
+        return run
+
+    monkeypatch.setattr(phrases, "_sum", counted)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    assert sorted(map(tuple, phrases.collocations(df, least=10).collect())) == plain_phrases(rows, 5, 10, 100, 2000)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) < 8000  # of 900 pairs in each task; the texts have 50,000 longer phrases
+
+
+def test_names_are_summed_over_blocks_of_any_size(monkeypatch):
+    r = np.random.default_rng(5)
+    every = np.repeat(r.integers(0, 1 << 64, 500, dtype=np.uint64), r.integers(1, 9, 500))
+    r.shuffle(every)
+    name, n = np.unique(every, return_counts=True)
+    for most in (50, 1 << 22):
+        monkeypatch.setattr(phrases, "NAMES", most)
+        batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array(["x"])], ["lang", "text"])
+        blocks = [b for some in np.array_split(every, 9) for b in phrases._names(lambda _, some=some: [some], 3)(iter([batch]))]
+        found = [x for b in range(3) for got in phrases._frequent(4)(x for x in blocks if x.column("part")[0].as_py() == b) for x in got.column("name").to_pylist()]
+        assert np.array_equal(np.sort(np.array(found, np.int64).view(np.uint64)), name[n >= 4])
+
+
 def test_bitmaps_extend_alike_as_bits_and_lists():
     r = np.random.default_rng(4)
     word = r.choice([-1, 0, 0, 0, 1, 1, 2, 3, 4, 5, 6, 7], 5000)
